@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import secrets, urlfilter
+from rowloom.llm import mixing, packing, secrets, urlfilter
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document by a mix of all sources."""
+    return mixing.Mix(table(spark, sf_dir, "documents")).digest()
+
+
 @query
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all pages: rules, else the reputation learned from the pages that rules decide."""
@@ -26,6 +32,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"rate": F.round("rate", 6), "bound": F.round("bound", 6)})
 
 
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in bins of 2,048 words."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets of all documents, whole texts."""
