@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import mixing, packing, secrets, simhash, urlfilter
+from rowloom.llm import fingerprints, mixing, packing, secrets, simhash, urlfilter
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"rate": F.round("rate", 6), "bound": F.round("bound", 6)})
 
 
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how like they are."""
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in bins of 2,048 words."""
