@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import fingerprints, mixing, packing, secrets, simhash, urlfilter
-from rowloom.llm.common import table
+from rowloom.llm import fingerprints, langid, mixing, packing, quality, secrets, simhash, urlfilter
+from rowloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    out = langid.identify(docs, ~held_out, ["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document by a mix of all sources."""
@@ -38,6 +47,16 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labels of those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = quality.train_model(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = quality.score(docs, model, ["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in bins of 2,048 words."""
