@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import fingerprints, langid, mixing, packing, quality, secrets, simhash, urlfilter
+from rowloom.llm import fingerprints, langid, mixing, packing, quality, secrets, simhash, urlfilter, vptree
 from rowloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of every 50th embedding."""
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 _STRENGTH = """SELECT least(greatest(coalesce(CASE WHEN rho <= 0 THEN 1000.0 ELSE 1 / least(rho, 1.0) - 1 END, 1.0), 0.5), 1000.0)::DOUBLE AS strength FROM (
     SELECT (sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / greatest(sum(n * prior * (1 - prior)) - sum(prior * (1 - prior)), 1e-9) AS rho FROM {0} WHERE n > 0)"""
 _RATE = "(bad + strength * prior) / (n + strength)"
