@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import fingerprints, langid, mixing, packing, quality, secrets, simhash, urlfilter, vptree
+from rowloom.llm import fingerprints, langid, mixing, packing, pitmanyor, quality, secrets, simhash, urlfilter, vptree
 from rowloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,16 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    model, rare = pitmanyor.fit(docs, ~held_out)
+    out = pitmanyor.score(docs, model, rare, ["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 _STRENGTH = """SELECT least(greatest(coalesce(CASE WHEN rho <= 0 THEN 1000.0 ELSE 1 / least(rho, 1.0) - 1 END, 1.0), 0.5), 1000.0)::DOUBLE AS strength FROM (
     SELECT (sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / greatest(sum(n * prior * (1 - prior)) - sum(prior * (1 - prior)), 1e-9) AS rho FROM {0} WHERE n > 0)"""
 _RATE = "(bad + strength * prior) / (n + strength)"
