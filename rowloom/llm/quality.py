@@ -232,3 +232,19 @@ def train_model(docs: DataFrame, labels: DataFrame, train: Column, **names) -> M
     """None unless the sample has both labels."""
     sample = labelled_sample(docs, labels, train, **names)
     return fit(*map(list, zip(*sample, strict=True))) if len({s[1] for s in sample}) == 2 else None
+
+
+def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, columns as they are, whose score is `threshold` or more. Without a model all rows stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, hi, raw, offsets in text_chunks(batch.column(place), CHUNK) if model else ():
+                keep[lo:hi] = model.scores(raw, offsets) >= threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
