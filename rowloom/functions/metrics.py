@@ -16,20 +16,20 @@ def _curve(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     per = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
     down = W.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
     every = W.partitionBy(*by)
-    return per.select(*by, "s", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), F.sum("p").over(every).alias("P"), F.sum("n").over(every).alias("N"))
+    return per.select(*by, "s", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), F.sum("p").over(every).alias("all_p"), F.sum("n").over(every).alias("all_n"))
 
 
 def ranking(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """(by, n, positives, auroc, average_precision, aupr_trapezoid); the metrics are null where a group has one label only."""
     c = _curve(df, by, label, score)
     w = W.partitionBy(*by).orderBy(F.desc("s"))
-    prec, rec = F.col("tp") / F.col("seen"), F.try_divide(F.col("tp"), F.col("P"))
+    prec, rec = F.col("tp") / F.col("seen"), F.try_divide(F.col("tp"), F.col("all_p"))
     c = c.withColumns({"prec": prec, "rec": rec, "neg": F.col("n") - F.col("p")})
     c = c.withColumns({"prec0": F.coalesce(F.lag("prec").over(w), F.lit(1.0)), "rec0": F.coalesce(F.lag("rec").over(w), F.lit(0.0))})
     # negatives strictly below a score, and half of those at it
-    below = (F.col("N") - F.col("P")) - (F.col("seen") - F.col("tp")) + F.col("neg") / 2
+    below = (F.col("all_n") - F.col("all_p")) - (F.col("seen") - F.col("tp")) + F.col("neg") / 2
     out = c.groupBy(*by).agg(
-        F.max("N").alias("n"), F.max("P").alias("positives"), F.sum(F.col("p") * below).alias("u"),
+        F.max("all_n").alias("n"), F.max("all_p").alias("positives"), F.sum(F.col("p") * below).alias("u"),
         F.sum((F.col("rec") - F.col("rec0")) * F.col("prec")).alias("ap"), F.sum((F.col("rec") - F.col("rec0")) * (F.col("prec") + F.col("prec0")) / 2).alias("trap"),
     )
     two = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))

@@ -31,10 +31,10 @@ def pair_quotas(keys: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     sums of capacity in that order. The one global order is over peptides whose base is below their capacity.
     """
     per = keys.groupBy("pep").agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("N"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("cap"))
-    wanted = F.least(F.greatest(F.lit(1), F.ceil(F.col("N") * F.lit(float(fraction)))), F.col("cap"))
-    open_ = per.where("n > 1").join(F.broadcast(total.select("N", wanted.alias("wanted"))))
-    share = F.col("wanted") * F.col("n") / F.col("N")
+    total = per.agg(F.sum("n").alias("__total"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("cap"))
+    wanted = F.least(F.greatest(F.lit(1), F.ceil(F.col("__total") * F.lit(float(fraction)))), F.col("cap"))
+    open_ = per.where("n > 1").join(F.broadcast(total.select("__total", wanted.alias("wanted"))))
+    share = F.col("wanted") * F.col("n") / F.col("__total")
     base = F.least(F.floor(share), F.col("n") - 1)
     open_ = open_.withColumns({"base": base, "frac": share - F.floor(share), "tie": S.hash_order(seed, F.col("pep"))})
     left = open_.agg(F.first("wanted").alias("w"), F.sum("base").alias("b")).select((F.col("w") - F.col("b")).alias("left"))

@@ -76,5 +76,5 @@ def masked_scores(df: DataFrame, by: str, predicted: str, actual: str, mask: str
     """(by, pearson, median_ae, median_ape) over unmasked cells; pearson is null where a side doesn't vary."""
     m = df.where(F.col(mask))
     err = F.abs(F.col(predicted) - F.col(actual))
-    out = m.groupBy(by).agg(F.corr(predicted, actual).alias("pearson"), F.median(err).alias("median_ae"), F.median(F.try_divide(err, F.abs(F.col(actual)))).alias("median_ape"))
-    return out.withColumn("pearson", F.when(~F.isnan("pearson"), F.col("pearson")))
+    out = m.groupBy(by).agg(F.try_divide(F.covar_pop(predicted, actual), F.stddev_pop(predicted) * F.stddev_pop(actual)).alias("pearson"), F.median(err).alias("median_ae"), F.median(F.try_divide(err, F.abs(F.col(actual)))).alias("median_ape"))
+    return out

@@ -16,8 +16,8 @@ SQL: dict[str, str] = {}
 
 #: The pair table of the driver's data: a part name with a supplier class and an ordered chain pair, labelled and scored.
 PAIRS = """pairs AS (
-  SELECT l.*, p_name AS pep, 'S' || (l_suppkey % 7) AS mhc, 'C' || l_returnflag || l_suppkey || 'F/' || l_linestatus || l_linenumber || 'W' AS ab,
-         rtrim(ltrim('C' || l_returnflag || l_suppkey || 'F', 'C'), 'FW') || '/' || rtrim(ltrim(l_linestatus || l_linenumber || 'W', 'C'), 'FW') AS grp,
+  SELECT l.*, p_name AS pep, 'S' || (l_suppkey % 7) AS mhc, 'C' || l_suppkey || 'F/' || l_linestatus || l_linenumber || 'W' AS ab,
+         rtrim(ltrim('C' || l_suppkey || 'F', 'C'), 'FW') || '/' || rtrim(ltrim(l_linestatus || l_linenumber || 'W', 'C'), 'FW') AS grp,
          (l_quantity > 25)::INT AS label, ((l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 97)::DOUBLE / 97 AS score, p_type AS kind, p_brand AS brand
   FROM lineitem l JOIN part ON l_partkey = p_partkey)"""
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -32,7 +32,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("pep"), F.col("p_type").alias("kind"), F.col("p_brand").alias("brand"))
     line = table(spark, sf_dir, "lineitem")
     text = lambda c: F.col(c).cast("string")
-    ab = F.concat(F.lit("C"), "l_returnflag", text("l_suppkey"), F.lit("F/"), "l_linestatus", text("l_linenumber"), F.lit("W"))
+    ab = F.concat(F.lit("C"), text("l_suppkey"), F.lit("F/"), "l_linestatus", text("l_linenumber"), F.lit("W"))
     out = line.join(part, line.l_partkey == part.p_partkey).drop("p_partkey")
     return out.withColumns({
         "mhc": F.concat(F.lit("S"), (F.col("l_suppkey") % 7).cast("string")), "ab": ab, "grp": S.endpoint_group(ab), "label": (F.col("l_quantity") > 25).cast("int"),
