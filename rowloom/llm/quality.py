@@ -151,10 +151,14 @@ class Model:
 
 def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int = 80, penalty: float = 2e-3) -> Model:
     """A model of labelled documents; weights restore the frequency of each label."""
-    raws = [t.encode() for t in texts]
     y_doc, w_doc = np.array(labels, float), np.array(weights, float)
     prior = float((w_doc * y_doc).sum() / w_doc.sum())
-    x, size, bounds = line_features(np.frombuffer(b"".join(raws), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raws]))).astype(np.int64))
+    # features chunk by chunk: only they are held for all documents, not what they are made of
+    parts = [line_features(raw, offsets) for _, _, raw, offsets in text_chunks(pa.array(texts, pa.large_string()))]
+    x, size = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    ends = np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))
+    bounds = np.concatenate(([0], ends))
+    del parts
     mean, scale = x.mean(axis=0), x.std(axis=0)
     mean[-1], scale[scale < 1e-6] = 0, 1
     x = (x - mean) / scale
