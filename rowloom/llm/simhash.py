@@ -234,7 +234,8 @@ def _with_component(marked: DataFrame, id_col: str) -> DataFrame:
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     members = linked.join(least, "root").select("fp", "component_id")
-    groups = distinct.join(members, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # a table of its own, so that the join of all rows is one of two plain exchanges, which Spark splits where a fingerprint is hot
+    groups = cut(distinct.join(members, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(groups, "fp", "left")
 
 
