@@ -13,27 +13,33 @@ from pyspark.sql import functions as F
 from rowloom.operators.components import connected_components
 
 
-def _segments(n: Column, k: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of the k + 1 segments of a string of length n, as equal as can be."""
+def _segment(n: Column, i: Column, k: int) -> tuple[Column, Column]:
+    """(start from 1, length) of segment i of the k + 1 that a string of length n has, as equal as can be."""
     base, extra = F.floor(n / (k + 1)).cast("int"), (n % (k + 1)).cast("int")
-    return [((base * i + F.least(F.lit(i), extra) + 1).cast("int"), (base + (F.lit(i) < extra).cast("int")).cast("int")) for i in range(k + 1)]
+    return (base * i + F.least(i, extra) + 1).cast("int"), (base + (i < extra).cast("int")).cast("int")
+
+
+def _key(n: Column, i: Column, part: Column) -> Column:
+    return F.concat_ws("|", n.cast("string"), i.cast("string"), part)
 
 
 def _stored(text: Column, k: int) -> Column:
     n = F.length(text)
-    return F.array(*[F.concat_ws("|", n.cast("string"), F.lit(str(i)), F.substring(text, p, m)) for i, (p, m) in enumerate(_segments(n, k))])
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: _key(n, i, F.substring(text, *_segment(n, i, k))))
 
 
 def _probes(text: Column, k: int) -> Column:
-    out = []
-    for delta in range(-k, k + 1):
-        n = F.length(text) + delta
-        for i, (p, m) in enumerate(_segments(n, k)):
-            for shift in range(-k, k + 1):
-                at = p + shift
-                ok = (n >= 0) & (at >= 1) & (at + m - 1 <= F.length(text))
-                out.append(F.when(ok, F.concat_ws("|", n.cast("string"), F.lit(str(i)), F.substring(text, at, m))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+    """Keys of all segments that a string within k edits may have kept: each length, each segment, each shift that fits."""
+    near = F.sequence(F.lit(-k), F.lit(k))
+
+    def shifted(n: Column, i: Column) -> Column:
+        at, size = _segment(n, i, k)
+        fits = lambda s: (at + s >= 1) & (at + s + size - 1 <= F.length(text))
+        return F.transform(F.filter(near, fits), lambda s: _key(n, i, F.substring(text, at + s, size)))
+
+    by_length = lambda n: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: shifted(n, i)))
+    lengths = F.filter(F.transform(near, lambda x: F.length(text) + x), lambda n: n >= 0)
+    return F.array_distinct(F.flatten(F.transform(lengths, by_length)))
 
 
 def edit_pairs(left: DataFrame, right: DataFrame, k: int, a: str = "a", b: str = "b") -> DataFrame:
