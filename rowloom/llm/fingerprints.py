@@ -2,8 +2,9 @@
 
 Every shingle of five words is hashed once; the top bits of its hash name a bin and each bin keeps its least hash. An
 empty bin takes the value of another, found by a fixed random order of bins of its own (its first TRIES members directly,
-the rest by a hash of both bins), so that two sets with equal bins choose alike and the estimate stays unbiased. Four bits
-of each bin are kept as one hex digit; likeness takes out the 1/16 of digits that agree by chance.
+the rest by a hash of both bins), so that two sets with equal bins choose alike and the estimate stays unbiased. Each value is
+hashed once more with its bin, so that bins with one value between them (short texts) don't agree by chance all at once,
+and four bits of that are kept as one hex digit; likeness takes out the 1/16 of digits that agree by chance.
 
 All steps are expressions on a row: no shingle leaves its row, so nothing is shuffled for a fingerprint.
 """
@@ -70,7 +71,8 @@ def signature(text: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """BINS hex digits; equal texts, equal fingerprints."""
-    digits = F.transform(signature(text), lambda v: F.substring(F.lit(_DIGITS), v.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int") + 1, F.lit(1)))
+    low = lambda v, j: F.xxhash64(v, j).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    digits = F.transform(signature(text), lambda v, j: F.substring(F.lit(_DIGITS), low(v, j) + 1, F.lit(1)))
     return F.array_join(digits, "")
 
 
