@@ -249,13 +249,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # an id and the hash of its row name a row up to exact repeats, of which one is kept
     marked = cut(fingerprints(docs.withColumn("__row", row), [id_col, "__row"], text_col))
     grouped = _with_component(marked, id_col)
-    kept = grouped.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("__row").alias("__kept"))
-    kept = kept.withColumnRenamed("component_id", "__id")
+    kept = grouped.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id", "__row").agg(F.count("*").alias("__n"))
+    kept = cut(kept.groupBy("component_id").agg(F.min_by(F.struct("__row", "__n"), "__row").alias("__k")).select(F.col("component_id").alias("__id"), "__k.*").withColumnRenamed("__row", "__kept"))
     tagged = docs.withColumn("__row", row)
     out = tagged.join(kept, tagged[id_col].eqNullSafe(kept["__id"]) & (F.col("__row") == F.col("__kept")), "left_semi")
-    return _one_of_equal(out, id_col).select(*columns)
-
-
-def _one_of_equal(rows: DataFrame, id_col: str) -> DataFrame:
-    """Of rows equal in all columns, one. Only such rows share an id and a row hash here, so groups are small or exact repeats."""
-    return rows.dropDuplicates([id_col, "__row"])
+    if not kept.where("__n > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "__row"])  # rows equal in all columns
+    return out.select(*columns)
