@@ -58,22 +58,22 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _strength(groups: DataFrame) -> DataFrame:
-    """One row: the prior strength from groups (n, bad, prior): intraclass correlation by moments, turned into pages."""
+def _strength(groups: DataFrame) -> float:
+    """The prior strength from groups (n, bad, prior): intraclass correlation by moments, turned into pages."""
     n, p, m = F.col("n"), F.col("bad") / F.col("n"), F.col("prior")
     sums = groups.agg(
         F.sum(n * (p - m) * (p - m)).alias("s"), F.sum(m * (1 - m)).alias("v"), F.sum(n * m * (1 - m)).alias("nv"), F.count("*").alias("k")
     )
     rho = (F.col("s") - F.col("v")) / F.greatest(F.col("nv") - F.col("v"), F.lit(1e-9))
     strength = F.when(rho <= 0, MOST_STRENGTH).otherwise(1 / F.least(rho, F.lit(1.0)) - 1)
-    return sums.select(F.least(F.greatest(F.coalesce(strength, F.lit(1.0)), F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)).alias("strength"))
+    return sums.select(F.least(F.greatest(F.coalesce(strength, F.lit(1.0)), F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH))).first()[0]
 
 
 def host_reputation(labelled: DataFrame, hosts: DataFrame) -> DataFrame:
     """(host, alpha, beta, rate, bound) for each distinct host of `hosts`, from `labelled` (host, bad 0/1; null bad: no label).
 
-    No labels at all: rate 0.5 with the weakest prior. One-row tables are joined by broadcast: they hold a strength or a
-    rate, never data. Tables of one row per host, domain or suffix
+    No labels at all: rate 0.5 with a prior of one page. The overall rate and the three strengths, single numbers, come to
+    the driver. Tables of one row per host, domain or suffix
     are cut into the checkpoint folder, as each is read again for its strength. The table of suffixes and domains is as large as there are such names, so Spark picks its join.
     """
     by_host = labelled.where("host is not null").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -81,14 +81,14 @@ def host_reputation(labelled: DataFrame, hosts: DataFrame) -> DataFrame:
         "host", registered_domain(F.col("host")).alias("domain"), host_suffix(F.col("host")).alias("suffix"),
         F.coalesce("n", F.lit(0)).cast("double").alias("n"), F.coalesce("bad", F.lit(0)).cast("double").alias("bad"),
     ))
-    total = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)).alias("prior"))
+    overall = tree.agg((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)).first()[0]
     domains = tree.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(F.broadcast(total))
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit(overall))
 
     def posterior(groups: DataFrame) -> DataFrame:
-        strength = _strength(groups.where("n > 0"))
-        mean = (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))
-        return groups.join(F.broadcast(strength)).withColumn("rate", mean)
+        strength = F.lit(_strength(groups.where("n > 0")))
+        mean = (F.col("bad") + strength * F.col("prior")) / (F.col("n") + strength)
+        return groups.withColumns({"strength": strength, "rate": mean})
 
     suffixes = posterior(cut(suffixes)).select("suffix", F.col("rate").alias("prior"))
     domains = posterior(cut(domains.join(suffixes, "suffix"))).select("domain", F.col("rate").alias("prior"))
