@@ -56,12 +56,12 @@ def _folds(s, d):
 
 
 add("A4_fold_union", _folds, "SELECT n_name, '1' AS label, 'fold' || (n_nationkey % 3) || '.csv:' || (row_number() OVER (PARTITION BY n_nationkey % 3 ORDER BY n_nationkey) - 1) AS observation_id FROM nation WHERE n_nationkey % 3 <> 1 QUALIFY n_regionkey > 1")
-_DOMAIN = F.when(F.col("l_returnflag") == "A", "human").when(F.col("l_returnflag") == "N", "mouse").otherwise("other")
+_DOMAIN = lambda: F.when(F.col("l_returnflag") == "A", "human").when(F.col("l_returnflag") == "N", "mouse").otherwise("other")
 
 
 def _pan(s, d):
     p = pairs(s, d).select(F.upper(F.translate("pep", " bjouxz", "")).alias("peptide"), F.lit("K1").alias("allele_key"), F.lit("CASS").alias("tcr_alpha_cdr3"), F.lit("CAW").alias("tcr_beta_cdr3"), F.lit("ACD").alias("mhc_alpha_seq"),
-                           F.when(F.col("l_linestatus") == "O", "GG").otherwise("").alias("mhc_beta_seq"), _DOMAIN.alias("species"), F.when(F.col("l_linestatus") == "O", "II").otherwise("I").alias("mhc_class"), "label")
+                           F.when(F.col("l_linestatus") == "O", "GG").otherwise("").alias("mhc_beta_seq"), _DOMAIN().alias("species"), F.when(F.col("l_linestatus") == "O", "II").otherwise("I").alias("mhc_class"), "label")
     p = p.withColumn("domain", F.concat(F.when(F.col("species") == "human", "human").otherwise("nonhuman"), F.lit("_"), "mhc_class"))
     return readers.read_pan(p).groupBy("domain", "hla_allele", "ab", "peptide").agg(F.count("*").alias("n"))
 
@@ -212,8 +212,8 @@ add(
     "WITH " + _CAP_SQL + " SELECT *, count(*) AS n FROM r WHERE peptide_too_long OR peptide_too_short OR peptide_not_amino_acid OR hla_length_mismatch OR alpha_too_long OR beta_too_long OR chain_missing GROUP BY ALL",
 )
 add("B7_first_reason", lambda s, d: _sources(s, d).where("reason IS NOT NULL").select("slice", "pep", "mhc", "reason").distinct(), f"{{P}} SELECT DISTINCT l_returnflag || '_' || l_linestatus AS slice, pep, mhc, {_REASON} AS reason FROM pairs WHERE {_REASON} IS NOT NULL")
-_RAW_LABEL = F.when(F.col("l_linenumber") == 1, "1.0").when(F.col("l_linenumber") == 2, " yes ").when(F.col("l_linenumber") == 3, "0.5").when(F.col("l_linenumber") == 4, "0")
-add("B8_label_token", lambda s, d: pairs(s, d).select("l_linenumber", S.label_token(_RAW_LABEL).alias("label")).distinct(), "SELECT DISTINCT l_linenumber, CASE l_linenumber WHEN 1 THEN '1' WHEN 2 THEN 'YES' WHEN 3 THEN '0.5' WHEN 4 THEN '0' END AS label FROM lineitem JOIN part ON l_partkey = p_partkey")
+_RAW_LABEL = lambda: F.when(F.col("l_linenumber") == 1, "1.0").when(F.col("l_linenumber") == 2, " yes ").when(F.col("l_linenumber") == 3, "0.5").when(F.col("l_linenumber") == 4, "0")
+add("B8_label_token", lambda s, d: pairs(s, d).select("l_linenumber", S.label_token(_RAW_LABEL()).alias("label")).distinct(), "SELECT DISTINCT l_linenumber, CASE l_linenumber WHEN 1 THEN '1' WHEN 2 THEN 'YES' WHEN 3 THEN '0.5' WHEN 4 THEN '0' END AS label FROM lineitem JOIN part ON l_partkey = p_partkey")
 _KEY = ["pep", "mhc", "grp"]
 _FIRST = lambda how: f"row_number() OVER (PARTITION BY {how} ORDER BY {{O}}) = 1"
 add("B9_evaluation_dedup", lambda s, d: R.dedup_evaluation(pairs(s, d).where("label = 1"), _KEY, "label", ORDER).select(*_KEY, "l_orderkey", "l_linenumber"), "{P} SELECT pep, mhc, grp, l_orderkey, l_linenumber FROM pairs WHERE label = 1 QUALIFY " + _FIRST("pep, mhc, grp"))

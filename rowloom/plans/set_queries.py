@@ -84,8 +84,8 @@ add("D6_fold_intersection", lambda s, d: pairs(s, d).where((F.crc32("pep") % 5 =
 
 # --- E: aggregates ----------------------------------------------------------------------------------------------------
 add("E1_group_sizes", lambda s, d: pairs(s, d).groupBy("pep").agg(F.count("*").alias("n")), "{P} SELECT pep, count(*) AS n FROM pairs GROUP BY pep")
-_SUMS = {"peptides": F.countDistinct("pep"), "positives": F.sum("label"), "negatives": F.sum(1 - F.col("label")), "rows": F.count("*")}
-add("E2_strata", lambda s, d: summaries.strata(pairs(s, d), ["l_returnflag", "kind"], _SUMS), "{P} SELECT l_returnflag, kind, count(DISTINCT pep) AS peptides, sum(label) AS positives, sum(1 - label) AS negatives, count(*) AS rows FROM pairs GROUP BY GROUPING SETS ((l_returnflag, kind), (l_returnflag))")
+_SUMS = lambda: {"peptides": F.countDistinct("pep"), "positives": F.sum("label"), "negatives": F.sum(1 - F.col("label")), "rows": F.count("*")}
+add("E2_strata", lambda s, d: summaries.strata(pairs(s, d), ["l_returnflag", "kind"], _SUMS()), "{P} SELECT l_returnflag, kind, count(DISTINCT pep) AS peptides, sum(label) AS positives, sum(1 - label) AS negatives, count(*) AS rows FROM pairs GROUP BY GROUPING SETS ((l_returnflag, kind), (l_returnflag))")
 add("E3_label_counts", lambda s, d: pairs(s, d).groupBy("kind").agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives")), "{P} SELECT kind, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives FROM pairs GROUP BY kind")
 add("E4_projection_conflicts", lambda s, d: records.label_conflicts(pairs(s, d), ["pep", "grp"], F.col("label")).agg(F.count("*").alias("conflicts")), "{P} SELECT count(*) AS conflicts FROM (SELECT 1 FROM pairs GROUP BY pep, grp HAVING count(DISTINCT label) > 1)")
 add("E5_value_counts", lambda s, d: pairs(s, d).groupBy(F.length("pep").cast("long").alias("len"), "label").agg(F.count("*").alias("n")), "{P} SELECT length(pep) AS len, label, count(*) AS n FROM pairs GROUP BY ALL")
