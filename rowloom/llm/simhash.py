@@ -152,8 +152,24 @@ def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_
         return x
 
     bits, a_out, b_out = fps.view(np.uint64), [], []
-    active, step = np.arange(len(keys) - 1), 1
-    while True:
+
+    def link(x: int, y: int) -> None:
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            a_out.append(x)
+            b_out.append(y)
+
+    def settled() -> np.ndarray:
+        up = np.array(parent)
+        while ((higher := up[up]) != up).any():
+            up = higher
+        parent[:] = up.tolist()
+        return up
+
+    # rows against those 1, 2, ... places on in their group: all of a small group, and the nearest of a large one
+    active = np.arange(len(keys) - 1)
+    for step in range(1, NEAR_ROWS + 1):
         active = active[active + step < len(keys)]
         active = active[keys[active] == keys[active + step]]
         if not len(active):
@@ -161,20 +177,25 @@ def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_
         near = (stored[active] | stored[active + step]) & (label[nodes[active]] != label[nodes[active + step]])
         i = active[near]
         i = i[np.bitwise_count(bits[i] ^ bits[i + step]) <= most_bits]
-        joined = False
-        for x, y in zip(nodes[i].tolist(), nodes[i + step].tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                a_out.append(x)
-                b_out.append(y)
-                joined = True
-        if joined:
-            up = np.array(parent)
-            while (higher := up[up]).tolist() != up.tolist():
-                up = higher
-            label, parent = up, up.tolist()
-        step += 1
+        if len(i):
+            for x, y in zip(nodes[i].tolist(), nodes[i + step].tolist(), strict=True):
+                link(x, y)
+            label = settled()
+    # a large group has mostly one label by now: only rows of other labels still meet all rows
+    for key in np.unique(keys[active]) if len(active) else ():
+        lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+        own, lab = nodes[lo:hi], label[nodes[lo:hi]]
+        names, sizes = np.unique(lab, return_counts=True)
+        for x in np.flatnonzero(lab != names[sizes.argmax()]):
+            other = (lab != lab[x]) & (stored[lo:hi] | stored[lo + x])
+            hit = np.flatnonzero(other)
+            hit = hit[np.bitwise_count(bits[lo + hit] ^ bits[lo + x]) <= most_bits]
+            if len(hit):
+                for y in hit[np.unique(lab[hit], return_index=True)[1]].tolist():
+                    link(int(own[x]), int(own[y]))
+                met = np.append(lab[hit], lab[x])
+                lab[np.isin(lab, met)] = met.min()
+        label = settled()
     return distinct[np.array(a_out, np.int64)], distinct[np.array(b_out, np.int64)]
 
 
@@ -204,6 +225,8 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 LINK_ROWS = 1 << 18
+#: Places on in a group that rows are compared with before what has one label by then is passed over.
+NEAR_ROWS = 64
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:

@@ -95,6 +95,35 @@ def test_keys_miss_no_link():
     assert all(sides[0][1][i] & sides[1][0][i] or sides[1][1][i] & sides[0][0][i] for i in range(len(a)))
 
 
+@pytest.mark.parametrize("near", [3, 64])
+def test_links_of_large_groups(monkeypatch, near):
+    """One key for all rows: links connect what all pairs of a stored row connect, whatever the switch."""
+    monkeypatch.setattr(simhash, "NEAR_ROWS", near)
+    rng = random.Random(near)
+    centres, fps = [rng.getrandbits(64) for _ in range(6)], set()
+    for c in centres:
+        for _ in range(rng.choice([1, 30, 90])):
+            x = c
+            for b in rng.sample(range(64), rng.randint(0, 7)):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    stored = np.array([rng.random() < 0.6 for _ in fps])
+    a, b = simhash.links_in_groups(np.zeros(len(fps), np.int64), np.array(fps, np.uint64).view(np.int64), stored)
+
+    def classes(pairs):
+        up = {f: f for f in fps}
+        find = lambda x: x if up[x] == x else find(up[x])
+        for x, y in pairs:
+            up[max(find(x), find(y))] = min(find(x), find(y))
+        return {f: find(f) for f in fps}
+
+    found = [(int(x), int(y)) for x, y in zip(a.view(np.uint64), b.view(np.uint64), strict=True)]
+    want = [(x, y) for i, x in enumerate(fps) for j, y in enumerate(fps[:i]) if (x ^ y).bit_count() <= 4 and (stored[i] or stored[j])]
+    assert all((x ^ y).bit_count() <= 4 for x, y in found) and len(found) < len(fps)
+    assert classes(found) == classes(want)
+
+
 def test_components_of_clouds_and_chains(spark):
     """Dense clouds, chains of four-bit steps and lone points, against all pairs."""
     rng = random.Random(5)
