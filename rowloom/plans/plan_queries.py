@@ -41,7 +41,7 @@ def _report(s, d, grouping):
 add("G13_prepare_pairs", lambda s, d: _report(s, d, "pair_stratified"))
 add("G13_prepare_clusters", lambda s, d: _report(s, d, "cluster"))
 _CHAIN = lambda df: df.withColumn("ab", S.last_part(F.col("ab")))
-add("H6_screened_redraws", lambda s, d: negatives.drawn_negatives(_CHAIN(pairs(s, d)).where("l_suppkey < 5").select("pep", "brand").distinct(), _CHAIN(pairs(s, d)), _CHAIN(pairs(s, d)).where("l_linenumber = 1"), seed=11))
+add("H6_screened_redraws", lambda s, d: negatives.drawn_negatives(_CHAIN(pairs(s, d)).select("pep", "brand").distinct(), _CHAIN(pairs(s, d)), _CHAIN(pairs(s, d)).where("l_linenumber = 1"), seed=11))
 add("I13_embedding_rows", lambda s, d: s.createDataFrame([(k, v) for k, v in sorted(S.scale_of("hydrophobicity").items())], "residue string, v double").where(F.lit(S.PAN_ORDER).contains(F.col("residue"))), "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in S.scale_of("hydrophobicity").items() if k in S.PAN_ORDER) + ") v(residue, v)")
 add(
     "J16_per_epitope_auc", lambda s, d: M.ranking(pairs(s, d), ["brand"]).agg(F.round(F.avg("auroc"), 6).alias("auroc"), F.count("auroc").alias("n")),

@@ -104,8 +104,9 @@ add("H2_distinct_groups", lambda s, d: _ranked(s, d, "grp"), _RANKED + ", f AS (
 
 
 def _drawn(s, d):
-    rows = _POS(s, d).select("pep", "mhc", "ab").distinct().groupBy("pep", "mhc").agg(F.count("*").alias("n")).select("pep", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"), "mhc")
-    return negatives.drawn_negatives(rows, _flag(s, d, "A"), _POS(s, d))
+    pos = _flag(s, d, "A")
+    rows = pos.select("pep", "mhc", "ab").distinct().groupBy("pep", "mhc").agg(F.count("*").alias("n")).select("pep", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"), "mhc")
+    return negatives.drawn_negatives(rows, pos, pos)
 
 
 add("H1_drawn_negatives", _drawn)
@@ -116,8 +117,9 @@ add("H4_single_chain_negatives", lambda s, d: negatives.ranked_negatives(_CHAIN(
 
 def _epochs(s, d):
     """Negatives of two epochs: the draw is keyed by epoch and row, so any epoch can be made alone."""
-    rows = _POS(s, d).select("pep", "mhc").distinct().select("pep", "mhc", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
-    return negatives.drawn_negatives(rows, _flag(s, d, "A"), _POS(s, d), seed=7)
+    pos = _flag(s, d, "A")
+    rows = pos.select("pep", "mhc").distinct().select("pep", "mhc", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
+    return negatives.drawn_negatives(rows, pos, pos, seed=7)
 
 
 add("H5_epoch_negatives", _epochs)
