@@ -7,9 +7,10 @@ any size of the corpus, and pair counts fit in a matrix of proven size.
 
 Restaurants: one for each context, whose parent is the one of all contexts, whose parent is uniform over the dishes.
 Within TAIL, a restaurant seats the tail tokens themselves over a uniform base of all tail tokens and one for the unseen.
-The state of a dish in a restaurant is its number of tables: a move unseats a random customer, which closes a table with
+The state of a dish in a restaurant is its number of tables: a sweep unseats every customer in turn, which closes a table with
 probability S(c-1, t-1) / S(c, t) (ratios of generalized Stirling numbers), and seats it again by the Chinese-restaurant
-rule, where a new table costs the parent's probability; new tables are the parent's customers. Predictive probabilities
+rule, where a new table costs the parent's probability; new tables are the parent's customers. Counts above BLOCKS move in
+that many blocks, whose closed and opened tables are binomial draws. Predictive probabilities
 are averaged over the sweeps after the first ones. Draws come from hashes of the dish, so reruns agree.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import cut, lower_ascii, mix64, text_chunks, word_hashes, words_of
 
 HEAD, CONTEXT, LOOKUP = 2e-4, 2e-3, 4e-7
-BURN, KEEP, MOVES = 2, 3, 12
+BURN, KEEP, BLOCKS = 2, 3, 16
 END = np.uint64(0x5DEECE66D1234567)
 _DONE = np.zeros(0, np.int64)
 
@@ -126,13 +127,36 @@ def start_tables(c: np.ndarray, a: np.ndarray, d: float) -> np.ndarray:
     return np.clip(np.round(t), np.minimum(c, 1), c).astype(np.int64)
 
 
-def gibbs(c: np.ndarray, t: np.ndarray, a: np.ndarray, keys: np.ndarray, ratio: Stirling, turn: int, moves: int = MOVES) -> np.ndarray:
-    """Tables after `moves` customers of each dish were unseated and seated again; a: weight of a new table, fixed for the sweep."""
-    for k in range(moves):
-        u = turn * 2 * moves + 2 * k
-        closed = (_uniform(keys, u) < ratio(c, t)) & (t > 1)
-        t = t - closed
-        opened = _uniform(keys, u + 1) < a / np.maximum(c - 1 - ratio.discount * t + a, 1e-12)
+def binomial(m: np.ndarray, p: np.ndarray, keys: np.ndarray, turn: int) -> np.ndarray:
+    """Successes among m draws of probability p: by the inverse distribution, or its normal limit where the variance is large."""
+    p = np.clip(p, 0.0, 1.0)
+    u = _uniform(keys, turn)
+    out = ((u < p) & (m == 1)).astype(np.int64)
+    many = np.flatnonzero(m > 1)
+    if len(many):
+        n, q, v = m[many].astype(float), np.minimum(p, 1 - p)[many], u[many]
+        far = n * q * (1 - q) > 20
+        term = np.where(far, 0.0, np.exp(n * np.log1p(-q)))
+        k, total = np.zeros(len(many)), term.copy()
+        for i in range(1, 100):
+            more = ~far & (v >= total) & (k < n)
+            if not more.any():
+                break
+            term = term * (n - i + 1) / i * q / (1 - q)
+            total, k = total + term, k + more
+        z = np.sqrt(-2 * np.log(np.maximum(v, 1e-300))) * np.cos(2 * np.pi * _uniform(mix64(keys[many]), turn))
+        k = np.where(far, np.clip(np.round(n * q + z * np.sqrt(n * q * (1 - q))), 0, n), k)
+        out[many] = np.where(p[many] > 0.5, n - k, k).astype(np.int64)
+    return out
+
+
+def gibbs(c: np.ndarray, t: np.ndarray, a: np.ndarray, keys: np.ndarray, ratio: Stirling, turn: int) -> np.ndarray:
+    """Tables after every customer of each dish was unseated and seated again; a: weight of a new table, fixed for the sweep."""
+    for k in range(min(BLOCKS, int(c.max(initial=0)))):
+        m = np.where(c <= BLOCKS, k < c, c * (k + 1) // BLOCKS - c * k // BLOCKS)
+        u = 2 * (turn * BLOCKS + k)
+        t = t - np.minimum(binomial(m, np.where(t > 1, ratio(c, t), 0.0), keys, u), np.maximum(t - 1, 0))
+        opened = binomial(m, a / np.maximum(c - (m + 1) / 2 - ratio.discount * t + a, 1e-12), keys, u + 1)
         t = np.where(c > 1, np.minimum(t + opened, c), t)
     return t
 
@@ -162,7 +186,7 @@ def pair_model(counts: np.ndarray, keep: int = KEEP, burn: int = BURN) -> np.nda
     out = np.zeros((contexts, dishes))
     for turn in range(burn + keep):
         own = np.bincount(w, t, dishes).astype(np.int64)
-        s = np.minimum(own, 1) if s is None else np.clip(s, np.minimum(own, 1), own)
+        s = start_tables(own, np.full(dishes, (root_strength + root_d * (own > 0).sum()) / dishes), root_d) if s is None else np.clip(s, np.minimum(own, 1), own)
         s = gibbs(own, s, np.full(dishes, (root_strength + root_d * s.sum()) / dishes), dish_keys, root_ratio, turn)
         parent = (own - root_d * s + (root_strength + root_d * s.sum()) / dishes) / (root_strength + own.sum())
         tables = np.bincount(u, t, contexts)
