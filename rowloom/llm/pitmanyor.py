@@ -1,21 +1,23 @@
 """LM scoring: a hierarchical Pitman-Yor model of token pairs, its seating sampled by Gibbs, its predictions averaged.
 
-Tokens are counted over all training documents (a shuffle by 64-bit token hash: as large as the vocabulary). Tokens of a
-relative frequency of HEAD or more are dishes of their own, all others together are the dish TAIL; tokens of CONTEXT or
-more are contexts of their own, all others one more context. So there are at most 1/HEAD dishes and 1/CONTEXT contexts at
-any size of the corpus, and pair counts fit in a matrix of proven size.
-
-Restaurants: one for each context, whose parent is the one of all contexts, whose parent is uniform over the dishes.
-Within TAIL, a restaurant seats the tail tokens themselves over a uniform base of all tail tokens and one for the unseen.
-The state of a dish in a restaurant is its number of tables: a sweep unseats every customer in turn, which closes a table with
-probability S(c-1, t-1) / S(c, t) (ratios of generalized Stirling numbers), and seats it again by the Chinese-restaurant
-rule, where a new table costs the parent's probability; new tables are the parent's customers. Counts above BLOCKS move in
-that many blocks, whose closed and opened tables are binomial draws. Predictive probabilities
-are averaged over the sweeps after the first ones. Draws come from hashes of the dish, so reruns agree.
+Tokens and all pairs (context, token) of the training documents are counted in distributed tables keyed by 64-bit hashes.
+Every context has a restaurant, whose parent is the one of all contexts, whose parent is uniform over the types and one
+more for the unseen. The state of a dish in a restaurant is its number of tables. A sweep unseats and seats again every
+customer of every cell: leaving closes a table with probability S(c-1, t-1) / S(c, t) (ratios of generalized Stirling
+numbers), a new table costs the parent's probability; new tables are the parent's customers. Counts above BLOCKS move in
+that many blocks, whose closed and opened tables are binomial draws. A pair seen once has one table, so only the others
+are sampled. Draws come from hashes of the cell, so reruns agree.
+
+Tables T of a context and probabilities P of a token are averaged over the sweeps after the first ones, and a pair has
+(c - d t + (s + d T) P) / (s + C), which sums to one. Its logarithm is a sum of one term for the context, one for the token
+and, where the pair was seen, a gain. Tokens and pairs of a share of LOOKUP or more are at most 1 / LOOKUP rows: they are
+broadcast. All others are joined by hash, and none of those is hot.
 """
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import cut, lower_ascii, mix64, text_chunks, word_hashes, words_of
+from rowloom.llm.common import ensure_checkpoint_dir, lower_ascii, mix64, text_chunks, word_hashes, words_of
 
-HEAD, CONTEXT, LOOKUP = 2e-4, 2e-3, 4e-7
+LOOKUP = 4e-7
 BURN, KEEP, BLOCKS = 2, 3, 16
+STRENGTH = 1.0
 END = np.uint64(0x5DEECE66D1234567)
 _DONE = np.zeros(0, np.int64)
 
@@ -198,34 +201,34 @@ def pair_model(counts: np.ndarray, keep: int = KEEP, burn: int = BURN) -> np.nda
     return out
 
 
-class Tail:
-    """The restaurant of the tail tokens: types of them, customers and tables in each sweep so far, and predictions."""
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(mix64(u + np.uint64(0x632BE59BD9B4E019)) + w)
 
-    def __init__(self, types: int, customers: int, discount: float):
-        self.types, self.customers, self.discount, self.strength = types, customers, discount, 1.0
-        self.tables: list[int] = [types]
 
-    def weight(self, turn: int) -> float:
-        return (self.strength + self.discount * self.tables[turn]) / (self.types + 1)
+def pairs_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and token of each place of a chunk (the first token's context is the end token), and the offsets of the texts."""
+    hashes, bounds = tokens_of(raw, offsets)
+    before = np.roll(hashes, 1)
+    before[bounds[:-1]] = END
+    return before, hashes, bounds
 
-    def sweeps(self, h: np.ndarray, c: np.ndarray) -> Iterator[np.ndarray]:
-        """Tables of the types in each sweep whose totals are known: start, then one after the other."""
-        ratio = Stirling(self.discount)
-        t = np.minimum(c, 1)
-        yield t
-        for turn in range(len(self.tables)):
-            weight = np.full(len(c), self.weight(turn))
-            t = gibbs(c, start_tables(c, weight, self.discount) if turn == 0 else t, weight, h, ratio, turn)
-            yield t
 
-    def unseen(self) -> float:
-        """Averaged probability, within the tail, of a token without a count."""
-        kept = self.tables[BURN + 1 :] or self.tables
-        return float(np.mean([(self.strength + self.discount * n) / (self.strength + self.customers) for n in kept])) / (self.types + 1)
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def averaged(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        kept = list(self.sweeps(h, c))[BURN + 1 : len(self.tables)] or [np.minimum(c, 1)]
-        return sum((c - self.discount * t) for t in kept) / len(kept) / (self.strength + self.customers) + self.unseen()
+    def merged() -> pa.RecordBatch:
+        u, w = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        held.clear()
+        _, first, n = np.unique(pair_hash(u, w), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(u[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)], ["u", "w", "c"])
+
+    for batch in batches:
+        for _, _, raw, offsets in text_chunks(batch.column(0)):
+            held.append(pairs_of(raw, offsets)[:2])
+            if sum(len(x[0]) for x in held) > 3_000_000:
+                yield merged()
+    if held:
+        yield merged()
 
 
 @dataclass
@@ -234,81 +237,178 @@ class Model:
     v: int  # distinct ones
     index: Index  # tokens that are looked up without a join
     counts: np.ndarray  # of those
-    dish: np.ndarray  # their dish; the last entry is for all others
-    context: np.ndarray
-    log_pair: np.ndarray  # (contexts, dishes), log10
-    log_tail: np.ndarray  # of the indexed tokens within the tail, log10; 0 for dishes of their own
+    log_token: np.ndarray  # of those: log10 of what they give as a context and as a token
+    pairs: Index  # pairs that are looked up without a join
+    gains: np.ndarray
     log_unseen: float
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10(c + 1.0) - np.log10((self.n + 1.0) * (self.v + 1.0))
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model of the documents that `train` holds for, and (h, c, log_tail) of the counted tokens that it doesn't index."""
+@dataclass
+class Rest:
+    """What is joined: (h, c, log_token) of tokens and (p, gain) of pairs that the model doesn't index."""
+
+    tokens: DataFrame
+    pairs: DataFrame
+
+
+class Store:
+    """Tables as Parquet in the shared checkpoint folder; a name stored again replaces the one before."""
+
+    def __init__(self, spark):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.at = spark, {}
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pitmanyor-{uuid.uuid4().hex}"
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.at[name] = path
+        gc.collect()
+        self.spark._jvm.System.gc()  # so that the shuffle files of the plan go now
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        if old := self.at.pop(name, None):
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def fit(docs: DataFrame, train: Column, text_col: str = "text") -> tuple[Model, Rest]:
+    """The model of the documents that `train` holds for, and what of it is joined by hash."""
+    spark = docs.sparkSession
+    store, share = Store(spark), spark.sparkContext.broadcast
     text = F.coalesce(F.col(text_col), F.lit(""))
     training = docs.where(train).select(text.alias("t"))
-    counts = cut(training.mapInArrow(_count_tokens, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
-    total = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-    n, v = total.n or 0, total.v
-    known = counts.where(F.col("c") >= LOOKUP * n).toArrow()  # at most 1 / LOOKUP rows
+    counts = store("counts", training.mapInArrow(_count_tokens, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
+    total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    n, v, root_d = total.n, total.v, discount_of(total.once, total.twice)
+    often = F.col("c") >= max(2.0, LOOKUP * n)
+    known = counts.where(often).toArrow()  # at most 1 / LOOKUP rows
     h, c = known["h"].to_numpy().view(np.uint64), known["c"].to_numpy()
     first = np.argsort(h)
     h, c = h[first], c[first]
-    special = h == END
-    head, context = (c >= HEAD * n) | special, (c >= CONTEXT * n) | special
-    dish = np.append(np.where(head, np.cumsum(head) - 1, head.sum()), head.sum())
-    place = np.append(np.where(context, np.cumsum(context) - 1, context.sum()), context.sum())
-    index, shape = Index(h), (int(context.sum()) + 1, int(head.sum()) + 1)
-    start = int(place[index(np.array([END]))[0]])
-    shared = docs.sparkSession.sparkContext.broadcast((Index(h[head]), dish[:-1][head], place[:-1][head], start))
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, dishes, places, start = shared.value
-        dishes, places = np.append(dishes, shape[1] - 1), np.append(places, shape[0] - 1)
-        out = np.zeros(shape[0] * shape[1], np.int64)
-        for batch in batches:
-            for _, _, raw, offsets in text_chunks(batch.column(0)):
-                hashes, bounds = tokens_of(raw, offsets)
-                at = find(hashes)
-                before = np.roll(places[at], 1)
-                before[bounds[:-1]] = start
-                out += np.bincount(before * shape[1] + dishes[at], minlength=len(out))
-        cells = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(out[cells])], ["cell", "n"])
-
-    cells = training.mapInArrow(count_pairs, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(shape[0] * shape[1], np.int64)
-    pairs[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-
-    tail_rows = counts.where((F.col("c") < HEAD * n) & (F.col("h") != int(END.astype(np.int64))))
-    seen = tail_rows.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    tail = Tail(seen.v, seen.n, discount_of(seen.once, seen.twice))
-    for _ in range(BURN + KEEP):
-
-        def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                *_, last = tail.sweeps(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array([int(last.sum())])], ["t"])
-
-        tail.tables.append(tail_rows.mapInArrow(tables, "t bigint").agg(F.sum("t")).first()[0] or 0)
-
-    def predictive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = tail.averaged(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.log10(p))], ["h", "c", "log_tail"])
-
-    log_tail = np.where(head, 0.0, np.log10(np.maximum(tail.averaged(h, c), 1e-300)))
-    model = Model(n, v, index, c, dish, place, np.log10(pair_model(pairs.reshape(shape))), log_tail, float(np.log10(tail.unseen())))
-    rare = counts.where(F.col("c") < LOOKUP * n).mapInArrow(predictive, "h bigint, c bigint, log_tail double")
-    return model, rare
+    shared = share(Index(h))
 
-
-def score(docs: DataFrame, model: Model, rare: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = shared.value
+        for batch in batches:
+            hot = [pa.array(find(batch.column(i).to_numpy().view(np.uint64)) < len(find.sorted)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *hot], ["u", "w", "c", "hu", "hw"])
+
+    pairs = training.mapInArrow(_count_pairs, "u bigint, w bigint, c bigint").groupBy("u", "w").agg(F.sum("c").alias("c"))
+    pairs = store("pairs", pairs.mapInArrow(marked, "u bigint, w bigint, c bigint, hu boolean, hw boolean"))
+    seen = pairs.agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    d = discount_of(seen.once, seen.twice)
+    ratio, root_ratio = Stirling(d), Stirling(root_d)
+
+    def tables(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.groupBy(F.col(key).alias("h")).agg(F.sum("t").alias(name))
+
+    # tokens seen once have one table as a context and as a dish whatever the sweep, and aren't held here
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    ones = pairs.where("c = 1").withColumn("t", F.lit(1))
+    tokens = counts.where("c > 1").join(tables(ones, "u", "ones_u"), "h", "left").join(tables(ones, "w", "ones_w"), "h", "left")
+    tokens = store("ones", tokens.select("h", "c", zero(F.col("ones_u")).alias("ones_u"), zero(F.col("ones_w")).alias("ones_w")))
+    cells = store("cells", pairs.where("c > 1").withColumns({"t": F.lit(1).cast("long"), "a": F.lit(0.0)}))
+    state = tokens.select("h", F.lit(0).cast("long").alias("s"), F.lit(0.0).alias("sum_t"), F.lit(0.0).alias("sum_p"))
+    roots, single, unseen = float(v), [], []
+    for turn in range(-1, BURN + KEEP):  # the first turn gives the start
+        kept = turn >= BURN
+        now = tokens.join(tables(cells, "u", "tu"), "h", "left").join(tables(cells, "w", "tw"), "h", "left").join(state, "h")
+        now = now.select("h", "c", (F.col("ones_u") + zero(F.col("tu"))).alias("t"), (F.col("ones_w") + zero(F.col("tw"))).alias("own"), "s", "sum_t", "sum_p")
+
+        def seat_roots(batches: Iterator[pa.RecordBatch], turn=turn, roots=roots) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys, own, s = b.column(0).to_numpy().view(np.uint64), b.column(3).to_numpy(), b.column(4).to_numpy()
+                weight = np.full(len(own), (STRENGTH + root_d * roots) / (v + 1))
+                s = start_tables(own, weight, root_d) if turn < 0 else np.clip(s, np.minimum(own, 1), own)
+                s = gibbs(own, s, weight, mix64(keys), root_ratio, turn + 1)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s), *b.columns[5:]], b.schema.names)
+
+        now = store("seated", now.mapInArrow(seat_roots, now.schema))
+        got = now.agg(zero(F.sum("s")).alias("s"), zero(F.sum("own")).alias("own")).first()
+        roots, customers = float(got.s + total.once), float(got.own + total.once)
+        fresh = (STRENGTH + root_d * roots) / (v + 1)
+        p = (F.col("own") - root_d * F.col("s") + fresh) / (STRENGTH + customers)
+        now = now.withColumn("p", p)
+        if kept:
+            single.append((1 - root_d + fresh) / (STRENGTH + customers))
+            unseen.append(fresh / (STRENGTH + customers))
+            now = now.withColumns({"sum_t": F.col("sum_t") + F.col("t"), "sum_p": F.col("sum_p") + F.col("p")})
+        now = store("state", now)
+        state = now.select("h", "s", "sum_t", "sum_p")
+        hot = now.where(often).select("h", "t", "p").toArrow().sort_by("h")
+        order = np.argsort(hot["h"].to_numpy().view(np.uint64))
+        tables_of, chance_of = (share(np.append(hot[x].to_numpy().astype(float)[order], 0.0)) for x in ("t", "p"))
+
+        def seat(batches: Iterator[pa.RecordBatch], turn=turn, tables_of=tables_of, chance_of=chance_of, kept=kept) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                u, w = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+                c, t, a = (b.column(i).to_numpy() for i in (2, 5, 6))
+                tu = _filled(b.column(7), shared.value(u), tables_of.value)
+                pw = _filled(b.column(8), shared.value(w), chance_of.value)
+                a = a + (c - d * t) if kept else a  # the seating that the token sums of this turn belong to
+                weight = (STRENGTH + d * tu) * pw
+                t = start_tables(c, weight, d) if turn < 0 else gibbs(c, t, weight, pair_hash(u, w), ratio, turn)
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(t), pa.array(a)], b.schema.names[:7])
+
+        found = _with_tokens(cells, now.where(~often).select("h", F.col("t").cast("double").alias("tu"), F.col("p").alias("pw")))
+        cells = store("cells", found.mapInArrow(seat, cells.schema))
+
+    mean_t, mean_p = F.col("sum_t") / KEEP, F.col("sum_p") / KEEP
+    state = store("state", now.select("h", "c", mean_t.alias("t"), mean_p.alias("p")))
+    one_p = float(np.mean(single))
+    log_token = F.log10((STRENGTH + d * F.col("t")) / (STRENGTH + F.col("c"))) + F.log10("p")
+    hot = state.where(often).select("h", "t", "p", log_token.alias("l")).toArrow()
+    order = np.argsort(hot["h"].to_numpy().view(np.uint64))
+    hot_t, hot_p, hot_l = (hot[x].to_numpy()[order] for x in ("t", "p", "l"))
+    tables_of, chance_of = share(np.append(hot_t, 0.0)), share(np.append(hot_p, 0.0))
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, w = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            tu = _filled(b.column(4), shared.value(u), tables_of.value, 1.0)
+            pw = _filled(b.column(5), shared.value(w), chance_of.value, one_p)
+            gain = np.log10(1 + b.column(3).to_numpy() / ((STRENGTH + d * tu) * pw))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(u, w).view(np.int64)), b.column(2), pa.array(gain.astype(np.float32))], ["p", "c", "gain"])
+
+    every = cells.withColumn("a", F.col("a") / KEEP).drop("t").unionByName(pairs.where("c = 1").withColumn("a", F.lit(1 - d))).select("u", "w", "c", "a", "hu", "hw")
+    cold = state.where(~often).select("h", F.col("t").alias("tu"), F.col("p").alias("pw"))
+    gained = store("gains", _with_tokens(every, cold, slim=True).mapInArrow(gains, "p bigint, c bigint, gain float"))
+    for name in ("pairs", "cells", "ones", "seated"):
+        store.drop(name)
+    top = gained.where(often).toArrow()
+    rare = counts.where("c = 1").withColumn("log_token", F.lit(float(np.log10((STRENGTH + d) / (STRENGTH + 1) * one_p))))
+    rare = rare.unionByName(state.where(~often).select("h", "c", log_token.alias("log_token")))
+    model = Model(n, v, Index(h), c, hot_l, Index(top["p"].to_numpy().view(np.uint64)), top["gain"].to_numpy(), float(np.log10(np.mean(unseen))))
+    return model, Rest(rare, gained.where(~often).select("p", "gain"))
+
+
+def _filled(joined: pa.Array, at: np.ndarray, known: np.ndarray, other: float = 0.0) -> np.ndarray:
+    """Values of indexed tokens from the broadcast, else the joined ones, else other."""
+    return np.where(at < len(known) - 1, known[at], joined.fill_null(other).to_numpy(zero_copy_only=False))
+
+
+def _with_tokens(cells: DataFrame, cold: DataFrame, slim: bool = False) -> DataFrame:
+    """cells with tu of u and pw of w from cold; only rows with a token that isn't indexed move, those that are spread by the pair."""
+    none = F.lit(None).cast("double")
+    kept = [c for c in cells.columns if not slim or c not in ("hu", "hw")]
+    rows = cells.where("hu AND hw").select(*kept, none.alias("tu"), none.alias("pw"))
+    key = lambda x, hot: F.when(F.col(hot), F.xxhash64("u", "w")).otherwise(F.col(x))
+    moved = cells.where("NOT (hu AND hw)").select(*kept, key("u", "hu").alias("ku"), key("w", "hw").alias("kw"))
+    moved = moved.join(cold.select(F.col("h").alias("ku"), "tu"), "ku", "left").join(cold.select(F.col("h").alias("kw"), "pw"), "kw", "left")
+    return rows.unionByName(moved.select(*rows.columns))
+
+
+def score(docs: DataFrame, model: Model, rest: Rest, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns of keep and n_tokens, n_known, base_score, score for every row, over whole texts.
 
-    Tokens that the model indexes are scored where their document is; only the others (a share of LOOKUP at most each, so
-    none is hot) are joined with their counts by hash, once per document. Null and empty texts have the end token only.
+    Tokens and pairs that the model indexes are scored where their document is; only the others (a share of LOOKUP at most
+    each, so none is hot) are joined by hash, once per document. Null and empty texts have the end token only.
     """
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]
@@ -318,48 +418,50 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, keep: list[str], text_
         from pyspark import TaskContext
 
         model, row = shared.value, TaskContext.get().partitionId() << 36
-        start = int(model.context[model.index(np.array([END]))[0]])
         base, known = np.append(model.base(model.counts), 0.0), np.append(np.ones(len(model.counts), np.int64), 0)
-        tail = np.append(model.log_tail, 0.0)
+        token, gain = np.append(model.log_token, 0.0), np.append(model.gains, 0.0)
         for batch in batches:
             parts: list[list[np.ndarray]] = [[], [], [], []]
-            rest_h, rest_n, rest_at = [], [], [np.zeros(1, np.int64)]
+            rest: list[list[list[np.ndarray]]] = [[[], [], [np.zeros(1, np.int64)]] for _ in range(2)]
             for lo, hi, raw, offsets in text_chunks(batch.column(batch.num_columns - 1)):
-                hashes, bounds = tokens_of(raw, offsets)
-                at = model.index(hashes)
-                before = np.roll(model.context[at], 1)
-                before[bounds[:-1]] = start
-                logs = model.log_pair[before, model.dish[at]] + tail[at]
+                before, hashes, bounds = pairs_of(raw, offsets)
+                both = pair_hash(before, hashes)
+                at, pair_at = model.index(hashes), model.pairs(both)
+                logs = token[at] + gain[pair_at]
                 for k, x in enumerate((np.diff(bounds), np.add.reduceat(known[at], bounds[:-1]), np.add.reduceat(base[at], bounds[:-1]), np.add.reduceat(logs, bounds[:-1]))):
                     parts[k].append(x)
-                other = np.flatnonzero(at == len(model.counts))
-                owner = np.searchsorted(bounds, other, "right") - 1
-                order = np.lexsort((hashes[other], owner))
-                h, owner = hashes[other][order], owner[order]
-                fresh = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)])
-                rest_h.append(h[fresh])
-                rest_n.append(np.diff(np.append(fresh, len(h))))
-                rest_at.append(np.bincount(owner[fresh], minlength=hi - lo))
+                for (rest_h, rest_n, rest_at), names, other in ((rest[0], hashes, at == len(model.counts)), (rest[1], both, pair_at == len(model.gains))):
+                    other = np.flatnonzero(other)
+                    owner = np.searchsorted(bounds, other, "right") - 1
+                    order = np.lexsort((names[other], owner))
+                    h, owner = names[other][order], owner[order]
+                    fresh = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)])
+                    rest_h.append(h[fresh])
+                    rest_n.append(np.diff(np.append(fresh, len(h))))
+                    rest_at.append(np.bincount(owner[fresh], minlength=hi - lo))
             n = batch.num_rows
             whole = [np.concatenate(x) if x else _DONE for x in parts]
-            bounds = pa.array(np.cumsum(np.concatenate(rest_at)), pa.int32())
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x) if x else _DONE, kind)) for x, kind in (([y.view(np.int64) for y in rest_h], pa.int64()), (rest_n, pa.int64()))]
+            lists = []
+            for rest_h, rest_n, rest_at in rest:
+                bounds = pa.array(np.cumsum(np.concatenate(rest_at)), pa.int32())
+                lists += [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x) if x else _DONE, pa.int64())) for x in ([y.view(np.int64) for y in rest_h], rest_n)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(np.arange(row, row + n)), pa.array(whole[0], pa.int64()), pa.array(whole[1], pa.int64()), pa.array(whole[2], pa.float64()), pa.array(whole[3], pa.float64()), *lists],
-                [*batch.schema.names[:-1], "__row", "n_tokens", "__known", "__base", "__logs", "__h", "__n"],
+                [*batch.schema.names[:-1], "__row", "n_tokens", "__known", "__base", "__logs", "__h", "__n", "__p", "__m"],
             )
             row += n
 
-    scored = cut(slim.mapInArrow(run, ", ".join([*kinds, "__row bigint, n_tokens bigint, __known bigint, __base double, __logs double, __h array<bigint>, __n array<bigint>"])))
-    rest = scored.select("__row", F.explode(F.arrays_zip("__h", "__n")).alias("x")).select("__row", F.col("x.__h").alias("h"), F.col("x.__n").alias("n"))
-    found = rest.join(rare, "h", "left")
+    scored = Store(docs.sparkSession)("scored", slim.mapInArrow(run, ", ".join([*kinds, "__row bigint, n_tokens bigint, __known bigint, __base double, __logs double, __h array<bigint>, __n array<bigint>, __p array<bigint>, __m array<bigint>"])))
+    once = lambda h, n, name: scored.select("__row", F.explode(F.arrays_zip(h, n)).alias("x")).select("__row", F.col(f"x.{h}").alias(name), F.col(f"x.{n}").alias("n"))
+    found = once("__h", "__n", "h").join(rest.tokens, "h", "left")
     base = F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - float(np.log10((model.n + 1.0) * (model.v + 1.0))))
     sums = found.groupBy("__row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("__k"), F.sum(base).alias("__b"), F.sum(F.col("n") * F.coalesce("log_tail", F.lit(model.log_unseen))).alias("__l")
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("__k"), F.sum(base).alias("__b"), F.sum(F.col("n") * F.coalesce("log_token", F.lit(model.log_unseen))).alias("__l")
     )
-    out = scored.drop("__h", "__n").join(sums, "__row", "left")
+    gains = once("__p", "__m", "p").join(rest.pairs, "p").groupBy("__row").agg(F.sum(F.col("n") * F.col("gain")).alias("__g"))
+    out = scored.drop("__h", "__n", "__p", "__m").join(sums, "__row", "left").join(gains, "__row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         *[F.col(f"`{c}`") for c in keep], "n_tokens", (F.col("__known") + zero("__k")).alias("n_known"),
-        (F.col("__base") + zero("__b")).alias("base_score"), (F.col("__logs") + zero("__l")).alias("score"),
+        (F.col("__base") + zero("__b")).alias("base_score"), (F.col("__logs") + zero("__l") + zero("__g")).alias("score"),
     )

@@ -94,8 +94,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under a model of those not held out."""
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 7) == 2
-    model, rare = pitmanyor.fit(docs, ~held_out)
-    out = pitmanyor.score(docs, model, rare, ["doc_id"])
+    model, rest = pitmanyor.fit(docs, ~held_out)
+    out = pitmanyor.score(docs, model, rest, ["doc_id"])
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -1,10 +1,34 @@
-"""The pair model resamples cells of any count."""
+"""The pair model keeps rare words' pairs, resamples cells of any count and sums to one."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from rowloom.llm import pitmanyor
 
 
+def test_pairs_of_rare_words_count(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 6000, 120)) for _ in range(300)]
+    texts = [f"{t} rareleft rareright" if i < 4 else f"{t} otherleft w{i}" for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)] + [(1000, "rareleft rareright", False), (1001, "w1 rareright", False)], "doc_id long, text string, train boolean")
+    model, rest = pitmanyor.fit(docs, F.col("train"))
+    got = {r.doc_id: r.score for r in pitmanyor.score(docs, model, rest, ["doc_id"]).collect()}
+    assert got[1000] > got[1001] + 1.5
+
+
+def test_predictions_sum_to_one(spark):
+    """Terms of token w after u are p(w | u) B(w) / B(u): a matrix like the stochastic one, so its largest eigenvalue is 1."""
+    texts = ["a b a c", "b b a", "a b", "c d a b a b", None]
+    model, rest = pitmanyor.fit(spark.createDataFrame([(t,) for t in texts], "text string"), F.lit(True))
+    token = dict(zip(model.index.sorted.tolist(), model.log_token[model.index.order].tolist(), strict=True)) | {r.h % (1 << 64): r.log_token for r in rest.tokens.collect()}
+    gain = dict(zip(model.pairs.sorted.tolist(), model.gains[model.pairs.order].tolist(), strict=True)) | {r.p % (1 << 64): r.gain for r in rest.pairs.collect()}
+    words = np.array([*token, 12345], np.uint64)  # the last one is unseen
+    x = np.array([[token.get(int(w), model.log_unseen) + gain.get(int(pitmanyor.pair_hash(np.array([u]), np.array([w]))[0]), 0.0) for w in words] for u in words])
+    assert len(token) == model.v == 5 and len(gain) == 13
+    assert np.abs(np.linalg.eigvals(10**x)).max() == pytest.approx(1)
+
+
 def test_sweeps_forget_their_start():
     c = np.full(400, 100_000)
     keys = pitmanyor.mix64(np.arange(400, dtype=np.uint64))
