@@ -154,7 +154,7 @@ class Shard:
                 cos = qu[active] @ self.unit[own].T
                 cos[self.ids[own][None, :] == ids[active][:, None]] = -2
                 if len(own) > k:
-                    kth = np.partition(cos, len(own) - k, axis=1)[:, len(own) - k]
+                    kth = _kth_of_ids(cos, self.ids[own], k)
                     reach[active] = np.minimum(reach[active], np.sqrt(np.maximum(0, 2 - 2 * kth)))
                 else:
                     kth = np.full(len(active), -1.5)
@@ -182,6 +182,17 @@ class Shard:
         return p[first], rows[first], score[first]
 
 
+def _kth_of_ids(cos: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row of cos where an id that repeats counts once, by its best; -1.5 where there are fewer ids."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+    if len(first) < len(ids):
+        cos = np.maximum.reduceat(cos[:, order], first, axis=1)
+    if cos.shape[1] <= k:
+        return np.full(len(cos), -1.5) if cos.shape[1] < k else np.maximum(cos.min(axis=1), -1.5)
+    return np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
+
+
 def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col("v")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
