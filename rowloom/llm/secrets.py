@@ -68,7 +68,7 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One sequence: of a version and more, or of an algorithm sequence that names an object identifier and then a key."""
+    """One sequence: of a version and more, or of an algorithm sequence that names an object identifier and then a key, enciphered or not."""
     if len(data) < 16 or data[0] != 0x30 or not (top := der_items(data)) or len(top) != 1:
         return False
     inner = der_items(top[0][1])
@@ -76,7 +76,7 @@ def is_der_key(data: bytes) -> bool:
         return False
     if inner[0][0] == 0x02 and len(inner[0][1]) == 1 and inner[0][1][0] <= 3:
         return inner[1][0] in (0x02, 0x04, 0x30)
-    if inner[0][0] == 0x30 and inner[1][0] == 0x03:
+    if inner[0][0] == 0x30 and inner[1][0] in (0x03, 0x04):
         return bool((algorithm := der_items(inner[0][1])) and algorithm[0][0] == 0x06)
     return False
 
@@ -112,38 +112,69 @@ def _json_object(part: bytes) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def confirm(run: bytes) -> tuple[str, int, int] | None:
-    """(kind, start, end) within a run of coded letters, if its content parses; the first form that fits."""
+def _der_size(head: bytes) -> int:
+    """Bytes of the DER item that starts with head, its tag and length included; 0 where the length has no such form."""
+    if len(head) < 2 or head[1] < 0x80:
+        return 2 + head[1] if len(head) > 1 else 0
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 and len(head) >= 2 + n else 0
+
+
+def structures(run: bytes) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all structures within a run of coded letters, by start. None overlap: tokens go first, then hex, then base64."""
+    out: list[tuple[str, int, int]] = []
+
+    def add(kind: str, start: int, end: int) -> None:
+        if all(end <= s or start >= e for _, s, e in out):
+            out.append((kind, start, end))
+
     at = run.find(b"eyJ")
     while at >= 0:
-        parts = re.match(rb"([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)", run[at:])
+        parts, end = re.compile(rb"([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)").match(run, at), at + 1
         if parts and isinstance((head := _json_object(parts[1])) and head.get("alg"), str) and _json_object(parts[2]) is not None:
-            return "jwt", at, at + parts.end()
-        at = run.find(b"eyJ", at + 1)
+            end = parts.end()
+            add("jwt", at, end)
+        at = run.find(b"eyJ", end)
     for m in re.finditer(rb"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}", run):
         if m[0][:2].lower() == b"30" and is_der_key(bytes.fromhex(m[0].decode())):
-            return "der", m.start(), m.end()
+            add("der", m.start(), m.end())
     for m in re.finditer(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN, run):
         data = _base64(m[0])
-        if data and is_der_key(data):
-            return "der", m.start(), m.end()
-        if data and is_ssh_key(data):
-            return "ssh", m.start(), m.end()
-    return None
+        if data and (is_der_key(data) or is_ssh_key(data)):
+            add("der" if is_der_key(data) else "ssh", m.start(), m.end())
+            continue
+        # several joined by letters of the alphabet: a sequence says its own length, so its end is known
+        end = 0
+        for start in re.finditer(rb"(?:^|(?<=[-_/+]))M", m[0]):
+            at = start.start()
+            if at < end or not (size := _der_size(_base64(m[0][at : at + 8]) or b"")):
+                continue
+            stop = at + -(-size * 4 // 3)
+            if stop <= len(m[0]) and (data := _base64(m[0][at:stop])) and len(data) == size and is_der_key(data):
+                end = stop
+                add("der", m.start() + at, m.start() + end)
+    return sorted(out, key=lambda x: x[1])
+
+
+def confirm(run: bytes) -> tuple[str, int, int] | None:
+    """The first of a run's structures."""
+    return next(iter(structures(run)), None)
 
 
 def method_spans(text: str) -> list[tuple[int, str, int]]:
     """Confirmed spans. Coded letters are ASCII, so each byte of a run is one code point."""
     raw, out = text.encode(), []
     for m in _RUN.finditer(raw):
-        if found := confirm(m[0]):
-            start = len(raw[: m.start()].decode()) + found[1]
-            out.append((start, found[0], start + found[2] - found[1]))
-    # an armoured key is split over lines: join the lines of a block and decode it whole
-    for m in re.finditer(r"-----BEGIN [A-Z0-9 ]+-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END [A-Z0-9 ]+-----", text):
-        data = _base64(re.sub(r"\s+", "", m[1]).encode("ascii", "ignore"))
+        if found := structures(m[0]):
+            before = len(raw[: m.start()].decode())
+            out += [(before + start, kind, before + end) for kind, start, end in found]
+    # an armoured key is split over lines: join the lines of a block, behind its header lines, and decode it whole
+    for m in re.finditer(r"-----BEGIN [A-Z0-9 ]+-----\s*((?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+\S[^\n]*\n)*)*)\s*([A-Za-z0-9+/=\s]+?)\s*-----END [A-Z0-9 ]+-----", text):
+        data = _base64(re.sub(r"\s+", "", m[2]).encode("ascii", "ignore"))
         if data and (is_der_key(data) or is_ssh_key(data)):
             out.append((m.start(), "der" if is_der_key(data) else "ssh", m.end()))
+        elif data and re.search(r"(?m)^Proc-Type:[^\n]*ENCRYPTED", m[1]) and len(data) >= 16 and len(data) % 8 == 0:
+            out.append((m.start(), "der", m.end()))  # enciphered in whole blocks, so nothing more can be parsed
     return list(dict.fromkeys(out))
 
 
