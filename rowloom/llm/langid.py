@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import lower_ascii, text_chunks
+from rowloom.llm.common import CHUNK_BYTES, lower_ascii, text_chunks
 
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (2, 3, 4)
 SAMPLE, MOST_LANGS = 400, 200
@@ -29,6 +29,13 @@ _LETTER = re.compile(r"[^\W\d_]")
 _KEYS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
+def _buckets(codes: np.ndarray, n: int) -> np.ndarray:
+    h = codes[: len(codes) - n + 1] * _KEYS[0]
+    for k in range(1, n):
+        h = (h ^ (h >> np.uint32(15))) * _KEYS[k] + codes[k : len(codes) - n + 1 + k]
+    return (h ^ (h >> np.uint32(16))) & np.uint32(BUCKETS - 1)
+
+
 def subwords(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every subword of the texts in raw, text by text, and the offsets of the texts among them. Empty texts have one of one space pair."""
     rows, sizes = len(offsets) - 1, np.diff(offsets)
@@ -42,16 +49,29 @@ def subwords(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for n in GRAMS:
         if len(codes) < n:
             continue
-        h = codes[: len(codes) - n + 1] * _KEYS[0]
-        for k in range(1, n):
-            h = (h ^ (h >> np.uint32(15))) * _KEYS[k] + codes[k : len(codes) - n + 1 + k]
-        h ^= h >> np.uint32(16)
+        h = _buckets(codes, n)
         start = np.flatnonzero(np.arange(len(h)) + n <= end[: len(h)])
-        grams.append((h[start] & np.uint32(BUCKETS - 1)).astype(np.int32))
+        grams.append(h[start].astype(np.int32))
         owners.append(start)
     return grams, [np.searchsorted(o, np.append(first, len(padded))) for o in owners]
 
 
+def text_subwords(raw: bytes, most: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all subwords of one text and how often each occurs, counted `most` bytes at a time."""
+    padded = np.frombuffer(b" " + raw.lower() + b" ", np.uint8)
+    rows, times = [], []
+    for at in range(0, len(padded), most):
+        codes = padded[at : at + most + max(GRAMS) - 1].astype(np.uint32) + np.uint32(1)
+        hashed = [_buckets(codes, n)[:most] for n in GRAMS if len(codes) >= n]
+        found, n = np.unique(np.concatenate([h.astype(np.int32) for h in hashed] or [np.zeros(0, np.int32)]), return_counts=True)
+        rows.append(found)
+        times.append(n)
+    if len(rows) == 1:
+        return rows[0], times[0]
+    rows, place = np.unique(np.concatenate(rows), return_inverse=True)
+    return rows, np.bincount(place, np.concatenate(times)).astype(np.int64)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -89,8 +109,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 1.0,
     raws = [t.encode() for t in texts]
 
     def example(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        grams, _ = subwords(*_flat([raw]))
-        rows, times = np.unique(np.concatenate(grams), return_counts=True)
+        rows, times = text_subwords(raw)
         return rows, (times / times.sum()).astype(np.float32)
 
     def cut(raw: bytes) -> bytes:
@@ -100,7 +119,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 1.0,
 
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weights, bias = np.zeros((WIDTH, len(names)), np.float32), np.zeros(len(names), np.float32)
-    whole = {i: example(raws[i][: 1 << 20]) for i in train}
+    whole = {i: example(raws[i]) for i in train}
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(train):
