@@ -4,8 +4,9 @@ Subwords are the byte n-grams (2 to 4) of a text between two spaces, ASCII lower
 embedding table, a text is the mean of its rows, and a softmax over a linear map of it gives the languages. As map and mean
 commute, prediction reads the rows already mapped: one small table, one pass over the bytes of whole texts.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE documents per language at most, MOST_LANGS languages at
-most): ids are chosen by hash at a rate that their counts give. A part of the sample sets the temperature of the softmax
+The model is fitted on a bounded sample of labelled rows (SAMPLE documents per language and about MOST_ROWS in all, but some
+of every language): ids are chosen by hash at a rate that their counts give. Where there are more languages than WIDTH, the
+embeddings are kept and mapped after the mean, so the table doesn't grow with the languages. A part of the sample sets the temperature of the softmax
 and the least probability at which a prediction is accepted.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import CHUNK_BYTES, lower_ascii, text_chunks
 
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (2, 3, 4)
-SAMPLE, MOST_LANGS = 400, 200
+SAMPLE, MOST_ROWS = 400, 80_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _KEYS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -75,20 +76,22 @@ def text_subwords(raw: bytes, most: int = CHUNK_BYTES) -> tuple[np.ndarray, np.n
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # (BUCKETS, langs): embeddings already mapped to the languages
+    table: np.ndarray  # (BUCKETS, langs): embeddings already mapped to the languages; or (BUCKETS, WIDTH) if weights map them
     bias: np.ndarray
     temperature: float
     least: float  # predictions of a lower probability are rejected
+    weights: np.ndarray | None = None  # (WIDTH, langs)
 
     def probabilities(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
-        total, count = np.zeros((rows, len(self.langs))), np.zeros(rows)
+        total, count = np.zeros((rows, self.table.shape[1])), np.zeros(rows)
         for grams, bounds in zip(*subwords(raw, offsets), strict=True):
             some = np.flatnonzero(np.diff(bounds))
             if len(some):
                 total[some] += np.add.reduceat(self.table[grams], bounds[:-1][some], axis=0)
                 count[some] += np.diff(bounds)[some]
-        logits = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
+        mean = total / np.maximum(count, 1)[:, None]
+        logits = ((mean if self.weights is None else mean @ self.weights) + self.bias) / self.temperature
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         return p / p.sum(axis=1, keepdims=True)
@@ -105,7 +108,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 1.0,
     order = rng.permutation(len(texts))
     held = order[: len(order) // 5] if len(order) >= 20 else order
     train = order[len(order) // 5 :] if len(order) >= 20 else order
-    label = np.array([names.index(x) for x in langs])
+    place = {x: i for i, x in enumerate(names)}
+    label = np.array([place[x] for x in langs])
     raws = [t.encode() for t in texts]
 
     def example(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +137,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 1.0,
                 weights -= step * np.outer(hidden, p)
                 bias -= step * 0.1 * p
                 table[rows] -= step * 16 * share[:, None] * back
-    model = Model(names, (table @ weights).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
+    few = len(names) <= WIDTH
+    model = Model(names, (table @ weights).astype(np.float32) if few else table, bias.astype(np.float64), 1.0, 0.0, None if few else weights)
 
     # calibration: held-out texts and cuts of them set the temperature, then the least probability that is right often enough
     probes = [raws[i] for i in held] + [cut(raws[i]) for i in held]
@@ -155,14 +160,17 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, rate: float = 1.0,
 
 
 def labelled_sample(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """(text, lang) of about `sample` rows per language among the rows that `train` holds for: chosen by a hash of the id."""
+    """(text, lang) of about `sample` rows per language, MOST_ROWS in all, among the rows that `train` holds for: chosen by a
+    hash of the id. A language has the row of its least hash at least, whatever the number of languages."""
     labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGS).collect()
+    draw = F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 30)) / float(1 << 30)
+    counts = labelled.groupBy(lang_col).agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()  # a row per language
     if not counts:
         return []
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, sample / r[1])))])
-    draw = F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.where(draw < F.coalesce(F.get(F.array(rate[F.col(lang_col)]), F.lit(0)), F.lit(0.0)))
+    sample = min(sample, max(1, MOST_ROWS // len(counts)))
+    bounds = [(r[0], max(sample / r.n, r.least)) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(bounds, "__lang string, __most double")
+    rows = labelled.join(F.broadcast(bounds), F.col(lang_col) == F.col("__lang")).where(draw <= F.col("__most"))
     return [tuple(r) for r in rows.select(text_col, lang_col).limit(2 * sample * len(counts)).collect()]
 
 
