@@ -42,7 +42,17 @@ add("G13_prepare_pairs", lambda s, d: _report(s, d, "pair_stratified"))
 add("G13_prepare_clusters", lambda s, d: _report(s, d, "cluster"))
 _CHAIN = lambda df: df.withColumn("ab", S.last_part(F.col("ab")))
 add("H6_screened_redraws", lambda s, d: negatives.drawn_negatives(_CHAIN(pairs(s, d)).select("pep", "brand").distinct(), _CHAIN(pairs(s, d)), _CHAIN(pairs(s, d)).where("l_linenumber = 1"), seed=11))
-add("I13_embedding_rows", lambda s, d: s.createDataFrame([(k, v) for k, v in sorted(S.scale_of("hydrophobicity").items())], "residue string, v double").where(F.lit(S.PAN_ORDER).contains(F.col("residue"))), "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in S.scale_of("hydrophobicity").items() if k in S.PAN_ORDER) + ") v(residue, v)")
+_EMBEDDING = {k: [S.SCALES["hydrophobicity"][k], S.SCALES["helicity"][k]] for k in S.PAN_ORDER}
+# The rows once more as text, so that a wrong value in the library shows. O reads as K.
+_ROWS = "('A',0.16,1.24),('C',2.50,0.79),('D',-2.49,0.89),('E',-1.50,0.85),('F',5.00,1.26),('G',-3.31,1.15),('H',-4.63,0.97),('I',4.41,1.29),('K',-5.00,0.88),('L',4.76,1.28),('M',3.23,1.22),('N',-3.79,0.94),('P',-4.92,0.57),('Q',-2.76,0.96),('R',-2.77,0.95),('S',-2.85,1.00),('T',-1.08,1.09),('V',3.02,1.27),('W',4.88,1.07),('Y',2.00,1.11),('O',-5.00,0.88)"
+
+
+def _embedded(s, d):
+    rows = table(s, d, "part").select("p_name", F.upper("p_name").alias("x")).distinct().select("p_name", F.explode(S.substituted(S.letters(F.col("x")), _EMBEDDING)).alias("e"))
+    return rows.groupBy("p_name").agg(F.round(F.sum(F.get("e", F.lit(0))), 6).alias("first"), F.round(F.sum(F.get("e", F.lit(1))), 6).alias("second"), F.count("e").alias("n"))
+
+
+add("I13_embedding_rows", _embedded, f"WITH e(k, a, b) AS (VALUES {_ROWS}), c AS (SELECT p_name, unnest(string_split(upper(p_name), '')) AS k FROM (SELECT DISTINCT p_name FROM part)) SELECT p_name, round(sum(a::DOUBLE), 6) AS first, round(sum(b::DOUBLE), 6) AS second, count(a) AS n FROM c LEFT JOIN e USING (k) GROUP BY p_name")
 add(
     "J16_per_epitope_auc", lambda s, d: M.ranking(pairs(s, d), ["brand"]).agg(F.round(F.avg("auroc"), 6).alias("auroc"), F.count("auroc").alias("n")),
     "WITH {P} SELECT round(avg(a), 6) AS auroc, count(a) AS n FROM (SELECT brand, (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2::DOUBLE) / nullif(sum(label) * (count(*) - sum(label)), 0) AS a FROM (SELECT brand, label, rank() OVER (PARTITION BY brand ORDER BY score) + (count(*) OVER (PARTITION BY brand, score) - 1) / 2::DOUBLE AS r FROM pairs) GROUP BY brand)",
