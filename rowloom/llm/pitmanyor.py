@@ -1,22 +1,29 @@
 """LM scoring: a hierarchical Pitman-Yor model of token pairs, its seating sampled by Gibbs, its predictions averaged.
 
-Tokens and all pairs (context, token) of the training documents are counted in distributed tables keyed by 64-bit hashes.
-Every context has a restaurant, whose parent is the one of all contexts, whose parent is uniform over the types and one
-more for the unseen. The state of a dish in a restaurant is its number of tables. A sweep unseats and seats again every
-customer of every cell: leaving closes a table with probability S(c-1, t-1) / S(c, t) (ratios of generalized Stirling
-numbers), a new table costs the parent's probability; new tables are the parent's customers. Counts above BLOCKS move in
-that many blocks, whose closed and opened tables are binomial draws. A pair seen once has one table, so only the others
-are sampled. Draws come from hashes of the cell, so reruns agree.
-
-Tables T of a context and probabilities P of a token are averaged over the sweeps after the first ones, and a pair has
-(c - d t + (s + d T) P) / (s + C), which sums to one. Its logarithm is a sum of one term for the context, one for the token
-and, where the pair was seen, a gain. Tokens and pairs of a share of LOOKUP or more are at most 1 / LOOKUP rows: they are
-broadcast. All others are joined by hash, and none of those is hot.
+Every context (the token before) has a restaurant, whose parent is the one of all contexts, whose parent is uniform over
+the types and one more for the unseen. The state of a dish in a restaurant is its number of tables. A sweep unseats and
+seats again every customer of every cell: leaving closes a table with probability S(c-1, t-1) / S(c, t) (ratios of
+generalized Stirling numbers), a new table costs the parent's probability; new tables are the parent's customers. Counts
+above BLOCKS move in that many blocks, whose closed and opened tables are binomial draws. A pair seen once has one table,
+so only the others are sampled. Draws come from hashes of the cell, so reruns agree.
+
+The predictive probability of a pair is averaged over the kept sweeps: (c - d t + (s + d T) P) / (s + C), with T tables
+and C customers in the context's restaurant and P the parent's probability of the token, all of the same sweep.
+
+How it is spread out. Texts are tokenized once, into chunks of about CHUNK bytes that are stored as packed arrays. Tokens
+and pairs are dealt to buckets of about BUCKET places each: a chunk sends each bucket its distinct keys in order, as one
+packed message, and the bucket answers with an array in the same order, so nothing is joined by key. Token buckets number
+the types (32 bits) and hold a type's counts and root tables; a pair is the two numbers in 64 bits, mixed reversibly, and
+pair buckets hold the cells of pairs seen twice or more. In a sweep pair buckets tell token buckets by how much customers
+exceed tables (which is nothing for pairs seen once), and get the sums back. A pair or token, however frequent, is one key
+of a chunk's message, so there are no hot keys; memory of a task is a chunk's or a bucket's.
 """
 
 from __future__ import annotations
 
 import gc
+import math
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,68 +33,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import ensure_checkpoint_dir, lower_ascii, mix64, text_chunks, word_hashes, words_of
+from rowloom.llm.common import ensure_checkpoint_dir, lower_ascii, mix64, text_chunks, with_floor, word_hashes, words_of
 
-LOOKUP = 4e-7
+CHUNK, BUCKET = 4 << 20, 1 << 21
 BURN, KEEP, BLOCKS = 2, 3, 16
-STRENGTH = 1.0
+STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 END = np.uint64(0x5DEECE66D1234567)
-_DONE = np.zeros(0, np.int64)
+#: Numbers of types are 32 bits wide, so that a pair is 64.
+MOST_TYPES = 1 << 32
 
 
 def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts of a chunk, each text's end token after its words, and the offsets of the texts."""
     raw = lower_ascii(raw)
-    starts, ends, rows = words_of(raw, offsets)
     n = len(offsets) - 1
+    if n == 1 and len(raw) > 2 * CHUNK:  # one long text: by parts that end at a space
+        parts, lo = [], 0
+        while lo < len(raw):
+            hi = min(len(raw), lo + CHUNK)
+            while hi < len(raw) and raw[hi] != 0x20 and not 0x09 <= raw[hi] <= 0x0D:
+                hi += 1
+            starts, ends, _ = words_of(raw[lo:hi], np.array([0, hi - lo]))
+            parts.append(word_hashes(raw[lo:hi], starts, ends))
+            lo = hi
+        out = np.concatenate([*parts, [END]])
+        return out, np.array([0, len(out)])
+    starts, ends, rows = words_of(raw, offsets)
     out = np.full(len(starts) + n, END, np.uint64)
     out[np.arange(len(starts)) + rows] = word_hashes(raw, starts, ends)
     return out, np.searchsorted(rows, np.arange(n + 1)) + np.arange(n + 1)
 
 
-def _counted(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    return keys, np.bincount(place, np.concatenate(counts), len(keys)).astype(np.int64)
-
-
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-
-    def out() -> pa.RecordBatch:
-        keys, n = _counted(hashes, counts)
-        hashes.clear(), counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "c"])
-
-    for batch in batches:
-        for _, _, raw, offsets in text_chunks(batch.column(0)):
-            keys, n = np.unique(tokens_of(raw, offsets)[0], return_counts=True)
-            hashes.append(keys)
-            counts.append(n)
-            if sum(map(len, hashes)) > 3_000_000:
-                if len(hashes) > 1:
-                    keys, n = _counted(hashes, counts)
-                    hashes[:], counts[:] = [keys], [n]
-                if len(hashes[0]) > 1_500_000:
-                    yield out()
-    if hashes:
-        yield out()
-
-
-class Index:
-    """Positions of hashes in a sorted table; missing ones get its length."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], len(self.sorted))
-
-
 @dataclass
 class Stirling:
     """Ratios S(c-1, t-1) / S(c, t) for one discount: exact up to a count, then their limit d (t-1) / (c-1)."""
@@ -169,89 +145,98 @@ def discount_of(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.1, 0.9)) if once else 0.5
 
 
-def pair_model(counts: np.ndarray, keep: int = KEEP, burn: int = BURN) -> np.ndarray:
-    """Averaged predictive probabilities of all dishes in all contexts, from pair counts of shape (contexts, dishes). Rows sum to 1."""
-    contexts, dishes = counts.shape
-    u, w = np.nonzero(counts)
-    c = counts[u, w]
-    d, strength = discount_of((c == 1).sum(), (c == 2).sum()), 1.0
-    total = counts.sum(axis=1).astype(float)
-    ratio = Stirling(d)
-    share = counts.sum(axis=0) + 0.5
-    parent = share / share.sum()
-    keys = mix64(u.astype(np.uint64) * np.uint64(1 << 32) + w.astype(np.uint64))
-    t = np.minimum(c, 1)
-    for _ in range(2):
-        tables = np.bincount(u, t, contexts)
-        t = start_tables(c, (strength + d * tables[u]) * parent[w], d) if len(c) else c
-    root_d, root_strength = 0.5, 1.0
-    root_ratio, dish_keys, s = Stirling(root_d), mix64(np.arange(dishes, dtype=np.uint64) + np.uint64(77)), None
-    out = np.zeros((contexts, dishes))
-    for turn in range(burn + keep):
-        own = np.bincount(w, t, dishes).astype(np.int64)
-        s = start_tables(own, np.full(dishes, (root_strength + root_d * (own > 0).sum()) / dishes), root_d) if s is None else np.clip(s, np.minimum(own, 1), own)
-        s = gibbs(own, s, np.full(dishes, (root_strength + root_d * s.sum()) / dishes), dish_keys, root_ratio, turn)
-        parent = (own - root_d * s + (root_strength + root_d * s.sum()) / dishes) / (root_strength + own.sum())
-        tables = np.bincount(u, t, contexts)
-        if turn >= burn:
-            now = ((strength + d * tables) / (strength + total))[:, None] * parent[None, :]
-            now[u, w] += (c - d * t) / (strength + total[u])
-            out += now / keep
-        t = gibbs(c, t, (strength + d * tables[u]) * parent[w], keys, ratio, turn)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value. Integers (none negative) that never fall go as differences; all go byte by byte."""
+    heads, bodies = [], []
+    for x in arrays:
+        y, rises = np.ascontiguousarray(x), False
+        if x.dtype.kind in "iu":
+            rises = len(x) > 1 and bool((x[1:] >= x[:-1]).all())
+            y = x.astype(np.uint64)
+            y = np.diff(y, prepend=np.uint64(0)) if rises else y
+        width = max(1, (int(y.max(initial=0)).bit_length() + 7) // 8) if x.dtype.kind in "iu" else y.itemsize
+        heads.append((x.dtype.str, len(x), rises, width))
+        bodies.append(np.ascontiguousarray(y.view(np.uint8).reshape(len(y), y.itemsize)[:, :width].T).tobytes())
+    head = pickle.dumps(heads)
+    raw = b"".join([head, *bodies])
+    return len(raw).to_bytes(8, "little") + len(head).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(value: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(value[12:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
+    at, out = int.from_bytes(value[8:12], "little"), []
+    for kind, n, rises, width in pickle.loads(raw[:at]):
+        kind = np.dtype(kind)
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        at += n * width
+        full = np.zeros((n, 8 if kind.kind in "iu" else kind.itemsize), np.uint8)
+        full[:, :width] = planes.T
+        x = full.view(np.uint64 if kind.kind in "iu" else kind).reshape(n)
+        out.append((np.cumsum(x, dtype=np.uint64) if rises else x).astype(kind))
     return out
 
 
-def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix64(mix64(u + np.uint64(0x632BE59BD9B4E019)) + w)
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix64."""
+    word = 1 << 64
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(pow(0x94D049BB133111EB, -1, word))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, word))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
-def pairs_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and token of each place of a chunk (the first token's context is the end token), and the offsets of the texts."""
-    hashes, bounds = tokens_of(raw, offsets)
-    before = np.roll(hashes, 1)
-    before[bounds[:-1]] = END
-    return before, hashes, bounds
+def bucket_edges(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of sorted 64-bit keys, by their high bits; empty buckets are left out."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    for lo, hi in zip(first, np.append(first[1:], len(of)), strict=True):
+        yield int(of[lo]), int(lo), int(hi)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
+# --- messages: (receiver, kind, sender, body) ---------------------------------------------------------------------------
+STATE, WORDS, IDS, PAIRS, CLASSES, TELL, SUMS, TOKEN_VALUES, PAIR_VALUES = range(9)
+_ROW = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("frm", pa.int64()), ("body", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
+_ROWS = "to bigint, kind int, frm bigint, body binary, a bigint, b bigint, c bigint, d bigint"
+Row = tuple  # to, kind, frm, body and up to four totals
 
-    def merged() -> pa.RecordBatch:
-        u, w = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        held.clear()
-        _, first, n = np.unique(pair_hash(u, w), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(u[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)], ["u", "w", "c"])
 
-    for batch in batches:
-        for _, _, raw, offsets in text_chunks(batch.column(0)):
-            held.append(pairs_of(raw, offsets)[:2])
-            if sum(len(x[0]) for x in held) > 3_000_000:
-                yield merged()
-    if held:
-        yield merged()
+def _sent(rows: list[Row], batch: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about that many bytes."""
+    lo = size = 0
+    for hi, r in enumerate(rows, 1):
+        size += len(r[3])
+        if size >= batch or hi == len(rows):
+            part = [(*r, *(0,) * (8 - len(r))) for r in rows[lo:hi]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], _ROW.field(i).type) for i in range(8)], schema=_ROW)
+            lo, size = hi, 0
 
 
-@dataclass
-class Model:
-    n: int  # training tokens
-    v: int  # distinct ones
-    index: Index  # tokens that are looked up without a join
-    counts: np.ndarray  # of those
-    log_token: np.ndarray  # of those: log10 of what they give as a context and as a token
-    pairs: Index  # pairs that are looked up without a join
-    gains: np.ndarray
-    log_unseen: float
+def _by_receiver(answer):
+    """answer(receiver, {kind: [(sender, body)] in order of sender}) -> rows, over rows sorted by receiver, kind and sender."""
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10(c + 1.0) - np.log10((self.n + 1.0) * (self.v + 1.0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in batches:
+            for to, kind, frm, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if to != at and held:
+                    yield from _sent(answer(at, held))
+                    held = {}
+                at = to
+                held.setdefault(kind, []).append((frm, body))
+        if held:
+            yield from _sent(answer(at, held))
 
+    return run
 
-@dataclass
-class Rest:
-    """What is joined: (h, c, log_token) of tokens and (p, gain) of pairs that the model doesn't index."""
 
-    tokens: DataFrame
-    pairs: DataFrame
+def _meet(rows: list[DataFrame], partitions: int, exact: bool, answer) -> DataFrame:
+    """The rows of all tables by their receiver; exact: receivers are the numbers of the partitions."""
+    every = rows[0].select("to", "kind", "frm", "body")
+    for more in rows[1:]:
+        every = every.unionByName(more.select("to", "kind", "frm", "body"))
+    dealt = every.repartitionById(partitions, F.col("to").cast("int")) if exact else every.repartition(partitions, "to")
+    return dealt.sortWithinPartitions("to", "kind", "frm").mapInArrow(_by_receiver(answer), _ROWS)
 
 
 class Store:
@@ -264,7 +249,7 @@ class Store:
 
     def __call__(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", 16 << 20).parquet(path)
         self.drop(name)
         self.at[name] = path
         gc.collect()
@@ -277,191 +262,269 @@ class Store:
             old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text") -> tuple[Model, Rest]:
-    """The model of the documents that `train` holds for, and what of it is joined by hash."""
-    spark = docs.sparkSession
-    store, share = Store(spark), spark.sparkContext.broadcast
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    training = docs.where(train).select(text.alias("t"))
-    counts = store("counts", training.mapInArrow(_count_tokens, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
-    total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    n, v, root_d = total.n, total.v, discount_of(total.once, total.twice)
-    often = F.col("c") >= max(2.0, LOOKUP * n)
-    known = counts.where(often).toArrow()  # at most 1 / LOOKUP rows
-    h, c = known["h"].to_numpy().view(np.uint64), known["c"].to_numpy()
-    first = np.argsort(h)
-    h, c = h[first], c[first]
-    shared = share(Index(h))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = shared.value
+# --- what chunks and buckets do -----------------------------------------------------------------------------------------
+def _tokenized(most: int):
+    """Kept columns, train and text to kept columns, chunk, at, n_tokens; the first row of a chunk holds its arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            hot = [pa.array(find(batch.column(i).to_numpy().view(np.uint64)) < len(find.sorted)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *hot], ["u", "w", "c", "hu", "hw"])
-
-    pairs = training.mapInArrow(_count_pairs, "u bigint, w bigint, c bigint").groupBy("u", "w").agg(F.sum("c").alias("c"))
-    pairs = store("pairs", pairs.mapInArrow(marked, "u bigint, w bigint, c bigint, hu boolean, hw boolean"))
-    seen = pairs.agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    d = discount_of(seen.once, seen.twice)
-    ratio, root_ratio = Stirling(d), Stirling(root_d)
-
-    def tables(rows: DataFrame, key: str, name: str) -> DataFrame:
-        return rows.groupBy(F.col(key).alias("h")).agg(F.sum("t").alias(name))
-
-    # tokens seen once have one table as a context and as a dish whatever the sweep, and aren't held here
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    ones = pairs.where("c = 1").withColumn("t", F.lit(1))
-    tokens = counts.where("c > 1").join(tables(ones, "u", "ones_u"), "h", "left").join(tables(ones, "w", "ones_w"), "h", "left")
-    tokens = store("ones", tokens.select("h", "c", zero(F.col("ones_u")).alias("ones_u"), zero(F.col("ones_w")).alias("ones_w")))
-    cells = store("cells", pairs.where("c > 1").withColumns({"t": F.lit(1).cast("long"), "a": F.lit(0.0)}))
-    state = tokens.select("h", F.lit(0).cast("long").alias("s"), F.lit(0.0).alias("sum_t"), F.lit(0.0).alias("sum_p"))
-    roots, single, unseen = float(v), [], []
-    for turn in range(-1, BURN + KEEP):  # the first turn gives the start
-        kept = turn >= BURN
-        now = tokens.join(tables(cells, "u", "tu"), "h", "left").join(tables(cells, "w", "tw"), "h", "left").join(state, "h")
-        now = now.select("h", "c", (F.col("ones_u") + zero(F.col("tu"))).alias("t"), (F.col("ones_w") + zero(F.col("tw"))).alias("own"), "s", "sum_t", "sum_p")
-
-        def seat_roots(batches: Iterator[pa.RecordBatch], turn=turn, roots=roots) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys, own, s = b.column(0).to_numpy().view(np.uint64), b.column(3).to_numpy(), b.column(4).to_numpy()
-                weight = np.full(len(own), (STRENGTH + root_d * roots) / (v + 1))
-                s = start_tables(own, weight, root_d) if turn < 0 else np.clip(s, np.minimum(own, 1), own)
-                s = gibbs(own, s, weight, mix64(keys), root_ratio, turn + 1)
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s), *b.columns[5:]], b.schema.names)
-
-        now = store("seated", now.mapInArrow(seat_roots, now.schema))
-        got = now.agg(zero(F.sum("s")).alias("s"), zero(F.sum("own")).alias("own")).first()
-        roots, customers = float(got.s + total.once), float(got.own + total.once)
-        fresh = (STRENGTH + root_d * roots) / (v + 1)
-        p = (F.col("own") - root_d * F.col("s") + fresh) / (STRENGTH + customers)
-        now = now.withColumn("p", p)
-        if kept:
-            single.append((1 - root_d + fresh) / (STRENGTH + customers))
-            unseen.append(fresh / (STRENGTH + customers))
-            now = now.withColumns({"sum_t": F.col("sum_t") + F.col("t"), "sum_p": F.col("sum_p") + F.col("p")})
-        now = store("state", now)
-        state = now.select("h", "s", "sum_t", "sum_p")
-        hot = now.where(often).select("h", "t", "p").toArrow().sort_by("h")
-        order = np.argsort(hot["h"].to_numpy().view(np.uint64))
-        tables_of, chance_of = (share(np.append(hot[x].to_numpy().astype(float)[order], 0.0)) for x in ("t", "p"))
-
-        def seat(batches: Iterator[pa.RecordBatch], turn=turn, tables_of=tables_of, chance_of=chance_of, kept=kept) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                u, w = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-                c, t, a = (b.column(i).to_numpy() for i in (2, 5, 6))
-                tu = _filled(b.column(7), shared.value(u), tables_of.value)
-                pw = _filled(b.column(8), shared.value(w), chance_of.value)
-                a = a + (c - d * t) if kept else a  # the seating that the token sums of this turn belong to
-                weight = (STRENGTH + d * tu) * pw
-                t = start_tables(c, weight, d) if turn < 0 else gibbs(c, t, weight, pair_hash(u, w), ratio, turn)
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(t), pa.array(a)], b.schema.names[:7])
-
-        found = _with_tokens(cells, now.where(~often).select("h", F.col("t").cast("double").alias("tu"), F.col("p").alias("pw")))
-        cells = store("cells", found.mapInArrow(seat, cells.schema))
-
-    mean_t, mean_p = F.col("sum_t") / KEEP, F.col("sum_p") / KEEP
-    state = store("state", now.select("h", "c", mean_t.alias("t"), mean_p.alias("p")))
-    one_p = float(np.mean(single))
-    log_token = F.log10((STRENGTH + d * F.col("t")) / (STRENGTH + F.col("c"))) + F.log10("p")
-    hot = state.where(often).select("h", "t", "p", log_token.alias("l")).toArrow()
-    order = np.argsort(hot["h"].to_numpy().view(np.uint64))
-    hot_t, hot_p, hot_l = (hot[x].to_numpy()[order] for x in ("t", "p", "l"))
-    tables_of, chance_of = share(np.append(hot_t, 0.0)), share(np.append(hot_p, 0.0))
-
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, w = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            tu = _filled(b.column(4), shared.value(u), tables_of.value, 1.0)
-            pw = _filled(b.column(5), shared.value(w), chance_of.value, one_p)
-            gain = np.log10(1 + b.column(3).to_numpy() / ((STRENGTH + d * tu) * pw))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(u, w).view(np.int64)), b.column(2), pa.array(gain.astype(np.float32))], ["p", "c", "gain"])
-
-    every = cells.withColumn("a", F.col("a") / KEEP).drop("t").unionByName(pairs.where("c = 1").withColumn("a", F.lit(1 - d))).select("u", "w", "c", "a", "hu", "hw")
-    cold = state.where(~often).select("h", F.col("t").alias("tu"), F.col("p").alias("pw"))
-    gained = store("gains", _with_tokens(every, cold, slim=True).mapInArrow(gains, "p bigint, c bigint, gain float"))
-    for name in ("pairs", "cells", "ones", "seated"):
-        store.drop(name)
-    top = gained.where(often).toArrow()
-    rare = counts.where("c = 1").withColumn("log_token", F.lit(float(np.log10((STRENGTH + d) / (STRENGTH + 1) * one_p))))
-    rare = rare.unionByName(state.where(~often).select("h", "c", log_token.alias("log_token")))
-    model = Model(n, v, Index(h), c, hot_l, Index(top["p"].to_numpy().view(np.uint64)), top["gain"].to_numpy(), float(np.log10(np.mean(unseen))))
-    return model, Rest(rare, gained.where(~often).select("p", "gain"))
+            train = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi, raw, offsets in text_chunks(batch.column(batch.num_columns - 1), most):
+                hashes, bounds = tokens_of(raw, offsets)
+                sizes, own = np.diff(bounds), train[lo:hi]
+                keys, place = np.unique(hashes, return_inverse=True)
+                counts = np.bincount(place, np.repeat(own, sizes), len(keys)).astype(np.int64)
+                body, words = [None] * (hi - lo), [None] * (hi - lo)
+                body[0], words[0] = pack(place.astype(np.uint32), sizes, own.view(np.uint8)), pack(keys, counts)
+                kept = [c.slice(lo, hi - lo) for c in batch.columns[:-2]]
+                more = [pa.array(np.full(hi - lo, chunk)), pa.array(np.arange(hi - lo)), pa.array(sizes), pa.array(body, pa.binary()), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*kept, *more], [*batch.schema.names[:-2], "chunk", "at", "n_tokens", "body", "words"])
+                chunk += 1
+
+    return run
+
+
+def _ask_tokens(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, counts = unpack(words)
+                yield from _sent([(b, WORDS, chunk, pack(keys[lo:hi], counts[lo:hi])) for b, lo, hi in bucket_edges(keys, buckets)])
 
+    return run
 
-def _filled(joined: pa.Array, at: np.ndarray, known: np.ndarray, other: float = 0.0) -> np.ndarray:
-    """Values of indexed tokens from the broadcast, else the joined ones, else other."""
-    return np.where(at < len(known) - 1, known[at], joined.fill_null(other).to_numpy(zero_copy_only=False))
 
+def _merged(asked: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Distinct keys, their counts, and of each sender the places of its keys."""
+    senders, parts = [s for s, _ in asked], [unpack(x) for _, x in asked]
+    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.bincount(place, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    ends = np.cumsum([0, *(len(p[0]) for p in parts)])
+    return keys, counts, [(s, place[lo:hi]) for s, lo, hi in zip(senders, ends, ends[1:], strict=False)]
 
-def _with_tokens(cells: DataFrame, cold: DataFrame, slim: bool = False) -> DataFrame:
-    """cells with tu of u and pw of w from cold; only rows with a token that isn't indexed move, those that are spread by the pair."""
-    none = F.lit(None).cast("double")
-    kept = [c for c in cells.columns if not slim or c not in ("hu", "hw")]
-    rows = cells.where("hu AND hw").select(*kept, none.alias("tu"), none.alias("pw"))
-    key = lambda x, hot: F.when(F.col(hot), F.xxhash64("u", "w")).otherwise(F.col(x))
-    moved = cells.where("NOT (hu AND hw)").select(*kept, key("u", "hu").alias("ku"), key("w", "hw").alias("kw"))
-    moved = moved.join(cold.select(F.col("h").alias("ku"), "tu"), "ku", "left").join(cold.select(F.col("h").alias("kw"), "pw"), "kw", "left")
-    return rows.unionByName(moved.select(*rows.columns))
 
+def _number_tokens(bucket: int, got: dict) -> list[Row]:
+    keys, c, places = _merged(got[WORDS])
+    state = (bucket, STATE, len(keys), pack(c, c), int((c > 0).sum()), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()))
+    return [state, *((s, IDS, bucket, pack(x.astype(np.uint32))) for s, x in places)]
 
-def score(docs: DataFrame, model: Model, rest: Rest, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of keep and n_tokens, n_known, base_score, score for every row, over whole texts.
 
-    Tokens and pairs that the model indexes are scored where their document is; only the others (a share of LOOKUP at most
-    each, so none is hot) are joined by hash, once per document. Null and empty texts have the end token only.
-    """
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _places(got: dict, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: the token at each place (its number in the chunk), the one before it, the pair, the sizes of the texts,
+    which of them train, and the offsets of the texts."""
+    place, sizes, train = unpack(got[STATE][0][1])
+    ids = np.concatenate([unpack(x)[0].astype(np.uint64) + np.uint64(starts[b]) for b, x in got[IDS]])
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    before = np.roll(place, 1)
+    before[bounds[:-1]] = place[-1]  # the end token
+    return place, before, mix64((ids[before] << np.uint64(32)) | ids[place]), sizes, train, bounds
+
+
+def _ask_pairs(starts: np.ndarray, buckets: int):
+    def answer(chunk: int, got: dict) -> list[Row]:
+        _, _, pairs, sizes, train, _ = _places(got, starts)
+        keys, place = np.unique(pairs, return_inverse=True)
+        counts = np.bincount(place, np.repeat(train, sizes), len(keys)).astype(np.int64)
+        return [(b, PAIRS, chunk, pack(keys[lo:hi], counts[lo:hi])) for b, lo, hi in bucket_edges(keys, buckets)]
+
+    return answer
+
+
+def _make_cells(bucket: int, got: dict) -> list[Row]:
+    keys, c, places = _merged(got[PAIRS])
+    cells = np.flatnonzero(c > 1)
+    number = np.cumsum(c > 1) - 1
+    both = unmix64(keys[cells])
+    u, w = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+    rows = [(bucket, STATE, bucket, pack(u, w, c[cells], np.ones(len(cells), np.int64), np.zeros(len(cells))), int((c == 1).sum()), int((c == 2).sum()))]
+    for s, x in places:
+        kind = np.minimum(c[x], 2).astype(np.uint8)
+        rows.append((s, CLASSES, bucket, pack(kind, number[x[kind == 2]])))
+    return rows
+
+
+def _told(bucket: int, u: np.ndarray, w: np.ndarray, more: np.ndarray, starts: np.ndarray) -> list[Row]:
+    """To the token buckets: by how much customers exceed tables, of each token as a context and as a dish."""
+    ids, place = np.unique(np.concatenate((u, w)), return_inverse=True)
+    sums = [np.bincount(p, more, len(ids)).astype(np.int64) for p in (place[: len(u)], place[len(u) :])]
+    edges = np.searchsorted(ids, starts)
+    return [(int(b), TELL, bucket, pack(*(x[edges[b] : edges[b + 1]] for x in (ids - np.uint32(starts[b]), *sums)))) for b in np.flatnonzero(np.diff(edges))]
 
+
+def _first_told(starts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for batch in batches:
+            for bucket, body in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                u, w, c, t, _ = unpack(body)
+                yield from _sent(_told(bucket, u, w, c - t, starts))
+
+    return run
+
+
+def _seat_roots(turn: int, weight: float, ratio: Stirling, starts: np.ndarray):
+    """Root tables of a token bucket's types, given the tables that pair buckets have told; kept turns are added to the state."""
+
+    def answer(bucket: int, got: dict) -> list[Row]:
+        c, s, *kept = unpack(got[STATE][0][1])
+        tables, own, asked = c.copy(), c.copy(), []
+        for sender, body in got.get(TELL, ()):
+            ids, du, dw = unpack(body)
+            tables[ids] -= du
+            own[ids] -= dw
+            asked.append((sender, ids))
+        weights, keys = np.full(len(c), weight), mix64(np.arange(starts[bucket], starts[bucket] + len(c), dtype=np.uint64) + np.uint64(77))
+        s = start_tables(own, weights, ratio.discount) if turn < 0 else np.clip(s, np.minimum(own, 1), own)
+        s = gibbs(own, s, weights, keys, ratio, turn + 1)
+        kept += [tables, own, s] if turn >= BURN else []
+        return [(bucket, STATE, len(c), pack(c, s, *kept), int(s.sum()), int(own.sum())), *((x, SUMS, bucket, pack(tables[ids], own[ids], s[ids])) for x, ids in asked)]
+
+    return answer
+
+
+@dataclass(frozen=True)
+class Root:
+    """The restaurant of all contexts in one sweep."""
+
+    discount: float
+    fresh: float  # weight of a new table of one type
+    customers: float
+
+    def chance(self, own: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return (own - self.discount * s + self.fresh) / (ROOT_STRENGTH + self.customers)
+
+
+def _seat_cells(turn: int, root: Root, ratio: Stirling, starts: np.ndarray):
+    d = ratio.discount
+
+    def answer(bucket: int, got: dict) -> list[Row]:
+        u, w, c, t, a = unpack(got[STATE][0][1])
+        if not len(c):
+            return [(bucket, STATE, bucket, got[STATE][0][1])]
+        ids, place = np.unique(np.concatenate((u, w)), return_inverse=True)
+        tables, own, s = (np.concatenate(x) for x in zip(*(unpack(body) for _, body in got[SUMS]), strict=True))
+        a = a + (c - d * t) if turn >= BURN else a  # the seating that the token sums of this turn belong to
+        weight = (STRENGTH + d * tables[place[: len(u)]]) * root.chance(own, s)[place[len(u) :]]
+        keys = mix64((u.astype(np.uint64) << np.uint64(32)) | w)
+        t = start_tables(c, weight, d) if turn < 0 else gibbs(c, t, weight, keys, ratio, turn)
+        return [(bucket, STATE, bucket, pack(u, w, c, t, a)), *_told(bucket, u, w, c - t, starts)]
+
+    return answer
 
-        model, row = shared.value, TaskContext.get().partitionId() << 36
-        base, known = np.append(model.base(model.counts), 0.0), np.append(np.ones(len(model.counts), np.int64), 0)
-        token, gain = np.append(model.log_token, 0.0), np.append(model.gains, 0.0)
+
+def _token_values(roots: list[Root]):
+    def answer(bucket: int, got: dict) -> list[Row]:
+        c, _, *kept = unpack(got[STATE][0][1])
+        values = [c]
+        for k, root in enumerate(roots):
+            tables, own, s = kept[3 * k : 3 * k + 3]
+            values += [tables, root.chance(own, s).astype(np.float32)]
+        return [(chunk, TOKEN_VALUES, bucket, pack(*(x[ids] for x in values))) for chunk, body in got[IDS] for ids in unpack(body)]
+
+    return answer
+
+
+def _pair_values(discount: float):
+    def answer(bucket: int, got: dict) -> list[Row]:
+        cell = unpack(got[STATE][0][1])[4] / KEEP
+        out = []
+        for chunk, body in got[CLASSES]:
+            kind, place = unpack(body)
+            value = np.array([0.0, 1 - discount, 0.0], np.float32)[kind]
+            value[kind == 2] = cell[place]
+            out.append((chunk, PAIR_VALUES, bucket, pack(value)))
+        return out
+
+    return answer
+
+
+def _score_chunks(starts: np.ndarray, discount: float, n: int, v: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(chunk: int, got: dict) -> pa.RecordBatch:
+            place, before, pairs, _, _, bounds = _places(got, starts)
+            c, *kept = (np.concatenate(x) for x in zip(*(unpack(body) for _, body in got[TOKEN_VALUES]), strict=True))
+            a = np.concatenate([unpack(body)[0] for _, body in got[PAIR_VALUES]])
+            p = a[np.unique(pairs, return_inverse=True)[1]].astype(np.float64)
+            for tables, chance in zip(kept[::2], kept[1::2], strict=True):
+                p += (STRENGTH + discount * tables[before]) * chance[place] / (len(kept) // 2)
+            logs = np.log10(p / (STRENGTH + c[before]))
+            base = (np.log10(c + 1.0) - math.log10(n + 1.0 * (v + 1)))[place]
+            sums = [np.add.reduceat(x, bounds[:-1]) for x in ((c > 0).astype(np.int64)[place], base, logs)]
+            texts = len(bounds) - 1
+            return pa.RecordBatch.from_arrays([pa.array(np.full(texts, chunk)), pa.array(np.arange(texts)), *map(pa.array, sums)], ["chunk", "at", "n_known", "base_score", "score"])
+
+        at, held = None, {}
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], []]
-            rest: list[list[list[np.ndarray]]] = [[[], [], [np.zeros(1, np.int64)]] for _ in range(2)]
-            for lo, hi, raw, offsets in text_chunks(batch.column(batch.num_columns - 1)):
-                before, hashes, bounds = pairs_of(raw, offsets)
-                both = pair_hash(before, hashes)
-                at, pair_at = model.index(hashes), model.pairs(both)
-                logs = token[at] + gain[pair_at]
-                for k, x in enumerate((np.diff(bounds), np.add.reduceat(known[at], bounds[:-1]), np.add.reduceat(base[at], bounds[:-1]), np.add.reduceat(logs, bounds[:-1]))):
-                    parts[k].append(x)
-                for (rest_h, rest_n, rest_at), names, other in ((rest[0], hashes, at == len(model.counts)), (rest[1], both, pair_at == len(model.gains))):
-                    other = np.flatnonzero(other)
-                    owner = np.searchsorted(bounds, other, "right") - 1
-                    order = np.lexsort((names[other], owner))
-                    h, owner = names[other][order], owner[order]
-                    fresh = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)])
-                    rest_h.append(h[fresh])
-                    rest_n.append(np.diff(np.append(fresh, len(h))))
-                    rest_at.append(np.bincount(owner[fresh], minlength=hi - lo))
-            n = batch.num_rows
-            whole = [np.concatenate(x) if x else _DONE for x in parts]
-            lists = []
-            for rest_h, rest_n, rest_at in rest:
-                bounds = pa.array(np.cumsum(np.concatenate(rest_at)), pa.int32())
-                lists += [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x) if x else _DONE, pa.int64())) for x in ([y.view(np.int64) for y in rest_h], rest_n)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.arange(row, row + n)), pa.array(whole[0], pa.int64()), pa.array(whole[1], pa.int64()), pa.array(whole[2], pa.float64()), pa.array(whole[3], pa.float64()), *lists],
-                [*batch.schema.names[:-1], "__row", "n_tokens", "__known", "__base", "__logs", "__h", "__n", "__p", "__m"],
-            )
-            row += n
-
-    scored = Store(docs.sparkSession)("scored", slim.mapInArrow(run, ", ".join([*kinds, "__row bigint, n_tokens bigint, __known bigint, __base double, __logs double, __h array<bigint>, __n array<bigint>, __p array<bigint>, __m array<bigint>"])))
-    once = lambda h, n, name: scored.select("__row", F.explode(F.arrays_zip(h, n)).alias("x")).select("__row", F.col(f"x.{h}").alias(name), F.col(f"x.{n}").alias("n"))
-    found = once("__h", "__n", "h").join(rest.tokens, "h", "left")
-    base = F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - float(np.log10((model.n + 1.0) * (model.v + 1.0))))
-    sums = found.groupBy("__row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("__k"), F.sum(base).alias("__b"), F.sum(F.col("n") * F.coalesce("log_token", F.lit(model.log_unseen))).alias("__l")
-    )
-    gains = once("__p", "__m", "p").join(rest.pairs, "p").groupBy("__row").agg(F.sum(F.col("n") * F.col("gain")).alias("__g"))
-    out = scored.drop("__h", "__n", "__p", "__m").join(sums, "__row", "left").join(gains, "__row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
-        *[F.col(f"`{c}`") for c in keep], "n_tokens", (F.col("__known") + zero("__k")).alias("n_known"),
-        (F.col("__base") + zero("__b")).alias("base_score"), (F.col("__logs") + zero("__l") + zero("__g")).alias("score"),
-    )
+            for to, kind, frm, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if to != at and held:
+                    yield one(at, held)
+                    held = {}
+                at = to
+                held.setdefault(kind, []).append((frm, body))
+        if held:
+            yield one(at, held)
+
+    return run
+
+
+def scores(docs: DataFrame, train: Column, keep: list[str], text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """The columns of keep and n_tokens, n_known, train_tokens, base_score, score of every row of docs, over whole texts,
+    under a model of the rows that `train` holds for (null: it doesn't).
+
+    Null and empty texts have the end token only. Null ids and repeated rows pass through; repeated rows that train count
+    as often as they come. No training row: all tokens are unseen. An empty table gives an empty one. Base: log10 of
+    (c + 1) / (n + v + 1). More than 2^32 types are refused. Other columns of docs, whatever their names, play no part.
+    """
+    spark = docs.sparkSession
+    store = Store(spark)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    slim = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-2]]
+    texts = store("texts", slim.mapInArrow(_tokenized(chunk), ", ".join([*kinds, "chunk bigint, at bigint, n_tokens bigint, body binary, words binary"])))
+    places = texts.agg(F.sum("n_tokens")).first()[0] or 0
+    buckets, tasks = with_floor(docs, math.ceil(places / BUCKET)), with_floor(docs, 1)
+    chunks = texts.where("body IS NOT NULL")
+    bodies = chunks.select(F.col("chunk").alias("to"), F.lit(STATE).alias("kind"), F.lit(0).cast("long").alias("frm"), "body")
+    kind = lambda df, k: df.where(F.col("kind") == k)
+    turned = lambda df, k: kind(df, k).select(F.col("frm").alias("to"), "kind", F.col("to").alias("frm"), "body")  # noqa: E731  to those who sent it
+
+    asked = chunks.select("chunk", "words").mapInArrow(_ask_tokens(buckets), _ROWS)
+    tokens = store("tokens", _meet([asked], buckets, True, _number_tokens))
+    sizes, totals = np.zeros(buckets, np.int64), np.zeros(4, np.int64)
+    for r in kind(tokens, STATE).select("to", "frm", "a", "b", "c", "d").collect():  # a row for each bucket
+        sizes[r.to] = r.frm
+        totals += (r.a, r.b, r.c, r.d)
+    v, n, once, twice = map(int, totals)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    if starts[-1] > MOST_TYPES:
+        raise ValueError(f"{starts[-1]} types don't fit 32 bits")
+    ids = kind(tokens, IDS)
+
+    told = _meet([bodies, ids], tasks, False, _ask_pairs(starts, buckets))
+    pairs = store("pairs", _meet([told], buckets, True, _make_cells))
+    seen = kind(pairs, STATE).agg(F.sum("a").alias("once"), F.sum("b").alias("twice")).first()
+    ratio, root_ratio = Stirling(discount_of(seen.once or 0, seen.twice or 0)), Stirling(discount_of(once, twice))
+    cells, types = pairs, tokens
+    news = kind(pairs, STATE).select(*_ROW.names).mapInArrow(_first_told(starts), _ROWS)
+    tables, roots = float(v), []
+    for turn in range(-1, BURN + KEEP):  # the first turn gives the start
+        fresh = (ROOT_STRENGTH + root_ratio.discount * tables) / (v + 1)
+        types = store("types", _meet([kind(types, STATE), news], buckets, True, _seat_roots(turn, fresh, root_ratio, starts)))
+        got = kind(types, STATE).agg(F.sum("a").alias("s"), F.sum("b").alias("own")).first()
+        tables = float(got.s or 0)
+        root = Root(root_ratio.discount, (ROOT_STRENGTH + root_ratio.discount * tables) / (v + 1), float(got.own or 0))
+        roots += [root] if turn >= BURN else []
+        cells = store("cells", _meet([kind(cells, STATE), kind(types, SUMS)], buckets, True, _seat_cells(turn, root, ratio, starts)))
+        news = kind(cells, TELL)
+
+    values = store("values", _meet([kind(types, STATE), turned(ids, IDS)], buckets, True, _token_values(roots)).unionByName(
+        _meet([kind(cells, STATE), turned(pairs, CLASSES)], buckets, True, _pair_values(ratio.discount))))
+    for name in ("pairs", "types", "cells"):
+        store.drop(name)
+    every = bodies.unionByName(ids.select("to", "kind", "frm", "body")).unionByName(values.select("to", "kind", "frm", "body"))
+    dealt = every.repartition(tasks, "to").sortWithinPartitions("to", "kind", "frm")
+    found = dealt.mapInArrow(_score_chunks(starts, ratio.discount, n, v), "chunk bigint, at bigint, n_known bigint, base_score double, score double")
+    out = texts.drop("body", "words").join(found, ["chunk", "at"])
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -94,9 +94,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under a model of those not held out."""
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 7) == 2
-    model, rest = pitmanyor.fit(docs, ~held_out)
-    out = pitmanyor.score(docs, model, rest, ["doc_id"])
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = pitmanyor.scores(docs, ~held_out, ["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 _STRENGTH = """SELECT least(greatest(coalesce(CASE WHEN rho <= 0 THEN 1000.0 ELSE 1 / least(rho, 1.0) - 1 END, 1.0), 0.5), 1000.0)::DOUBLE AS strength FROM (

@@ -419,15 +419,6 @@ def test_quality_of_awkward_rows(spark, awkward):
     assert quality.score(awkward.limit(0), model, ["doc_id"]).count() == 0
 
 
-def test_pair_model_sums_to_one():
-    rng = np.random.default_rng(3)
-    counts = rng.poisson(0.7, (6, 40)) * rng.integers(1, 60, (6, 40))
-    p = pitmanyor.pair_model(counts)
-    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
-    often = counts[0].argmax()
-    assert p[0, often] == p[0].max()
-
-
 def test_stirling_ratios():
     d, n = 0.4, 12
     s = [[0.0] * (n + 2) for _ in range(n + 2)]
@@ -441,28 +432,6 @@ def test_stirling_ratios():
             assert ratio(np.array([c]), np.array([t]))[0] == pytest.approx(s[c - 1][t - 1] / s[c][t])
 
 
-def test_language_model(spark, sf, awkward):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(awkward.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
-    held = crc_mod(F.col("doc_id"), 7) == 2
-    model, rare = pitmanyor.fit(docs, ~held)
-    rows = pitmanyor.score(docs, model, rare, ["doc_id"]).collect()
-    texts = docs.collect()
-    toks = lambda t: [*tokens(t), None]
-    c = Counter()
-    for r in texts:
-        if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2:
-            c.update(toks(r.text))
-    n, v = sum(c.values()), len(c)
-    assert (model.n, model.v) == (n, v) and len(rows) == len(texts)
-    want = sorted((str(r.doc_id), len(toks(r.text)), sum(c[x] > 0 for x in toks(r.text)), round(sum(log10(c[x] + 1) for x in toks(r.text)) - len(toks(r.text)) * log10((n + 1) * (v + 1)), 5)) for r in texts)
-    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 5)) for r in rows)
-    assert [x[:3] for x in got] == [x[:3] for x in want]
-    assert np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-3)
-    assert all(r.score <= 1e-9 for r in rows) and sum(r.score for r in rows) > sum(r.base_score for r in rows)
-    empty, rest = pitmanyor.fit(docs.limit(0), F.lit(True))
-    assert empty.n == 0 and pitmanyor.score(docs, empty, rest, ["doc_id"]).count() == len(texts)
-
-
 # --- nearest neighbours -----------------------------------------------------------------------------------------------
 def test_nearest_against_all_pairs(spark):
     rng = np.random.default_rng(9)
