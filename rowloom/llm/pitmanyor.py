@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import ensure_checkpoint_dir, lower_ascii, mix64, text_chunks, with_floor, word_hashes, words_of
 
-CHUNK, BUCKET = 4 << 20, 1 << 21
+CHUNK, BUCKET = 3 << 20, 1 << 20
 BURN, KEEP, BLOCKS = 2, 3, 16
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 END = np.uint64(0x5DEECE66D1234567)
@@ -201,7 +201,7 @@ _ROWS = "to bigint, kind int, frm bigint, body binary, a bigint, b bigint, c big
 Row = tuple  # to, kind, frm, body and up to four totals
 
 
-def _sent(rows: list[Row], batch: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _sent(rows: list[Row], batch: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as batches of about that many bytes."""
     lo = size = 0
     for hi, r in enumerate(rows, 1):
@@ -339,7 +339,7 @@ def _make_cells(bucket: int, got: dict) -> list[Row]:
     number = np.cumsum(c > 1) - 1
     both = unmix64(keys[cells])
     u, w = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
-    rows = [(bucket, STATE, bucket, pack(u, w, c[cells], np.ones(len(cells), np.int64), np.zeros(len(cells))), int((c == 1).sum()), int((c == 2).sum()))]
+    rows = [(bucket, STATE, bucket, pack(u, w, c[cells], np.ones(len(cells), np.int64), np.zeros(len(cells), np.int64)), int((c == 1).sum()), int((c == 2).sum()))]
     for s, x in places:
         kind = np.minimum(c[x], 2).astype(np.uint8)
         rows.append((s, CLASSES, bucket, pack(kind, number[x[kind == 2]])))
@@ -400,55 +400,49 @@ def _seat_cells(turn: int, root: Root, ratio: Stirling, starts: np.ndarray):
     d = ratio.discount
 
     def answer(bucket: int, got: dict) -> list[Row]:
-        u, w, c, t, a = unpack(got[STATE][0][1])
+        u, w, c, t, kept = unpack(got[STATE][0][1])
         if not len(c):
             return [(bucket, STATE, bucket, got[STATE][0][1])]
         ids, place = np.unique(np.concatenate((u, w)), return_inverse=True)
         tables, own, s = (np.concatenate(x) for x in zip(*(unpack(body) for _, body in got[SUMS]), strict=True))
-        a = a + (c - d * t) if turn >= BURN else a  # the seating that the token sums of this turn belong to
+        kept = kept + t if turn >= BURN else kept  # the seating that the token sums of this turn belong to
         weight = (STRENGTH + d * tables[place[: len(u)]]) * root.chance(own, s)[place[len(u) :]]
         keys = mix64((u.astype(np.uint64) << np.uint64(32)) | w)
         t = start_tables(c, weight, d) if turn < 0 else gibbs(c, t, weight, keys, ratio, turn)
-        return [(bucket, STATE, bucket, pack(u, w, c, t, a)), *_told(bucket, u, w, c - t, starts)]
+        return [(bucket, STATE, bucket, pack(u, w, c, t, kept)), *_told(bucket, u, w, c - t, starts)]
 
     return answer
 
 
-def _token_values(roots: list[Root]):
-    def answer(bucket: int, got: dict) -> list[Row]:
-        c, _, *kept = unpack(got[STATE][0][1])
-        values = [c]
-        for k, root in enumerate(roots):
-            tables, own, s = kept[3 * k : 3 * k + 3]
-            values += [tables, root.chance(own, s).astype(np.float32)]
-        return [(chunk, TOKEN_VALUES, bucket, pack(*(x[ids] for x in values))) for chunk, body in got[IDS] for ids in unpack(body)]
-
-    return answer
+def _token_values(bucket: int, got: dict) -> list[Row]:
+    """Whole numbers that are mostly 0 for rare types: a type's count, and of each kept turn what it lacks in tables, and root tables."""
+    c, _, *kept = unpack(got[STATE][0][1])
+    values = [c, *(kept[i] if i % 3 == 2 else c - kept[i] for i in range(len(kept)))]
+    return [(chunk, TOKEN_VALUES, bucket, pack(*(x[ids] for x in values))) for chunk, body in got[IDS] for ids in unpack(body)]
 
 
-def _pair_values(discount: float):
-    def answer(bucket: int, got: dict) -> list[Row]:
-        cell = unpack(got[STATE][0][1])[4] / KEEP
-        out = []
-        for chunk, body in got[CLASSES]:
-            kind, place = unpack(body)
-            value = np.array([0.0, 1 - discount, 0.0], np.float32)[kind]
-            value[kind == 2] = cell[place]
-            out.append((chunk, PAIR_VALUES, bucket, pack(value)))
-        return out
-
-    return answer
+def _pair_values(bucket: int, got: dict) -> list[Row]:
+    """Count of each pair that a chunk has, and its tables summed over the kept turns."""
+    _, _, c, _, kept = unpack(got[STATE][0][1])
+    out = []
+    for chunk, body in got[CLASSES]:
+        kind, place = unpack(body)
+        count, tables = kind.astype(np.int64), kind.astype(np.int64) * KEEP
+        count[kind == 2], tables[kind == 2] = c[place], kept[place]
+        out.append((chunk, PAIR_VALUES, bucket, pack(count, tables)))
+    return out
 
 
-def _score_chunks(starts: np.ndarray, discount: float, n: int, v: int):
+def _score_chunks(starts: np.ndarray, discount: float, roots: list[Root], n: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(chunk: int, got: dict) -> pa.RecordBatch:
             place, before, pairs, _, _, bounds = _places(got, starts)
             c, *kept = (np.concatenate(x) for x in zip(*(unpack(body) for _, body in got[TOKEN_VALUES]), strict=True))
-            a = np.concatenate([unpack(body)[0] for _, body in got[PAIR_VALUES]])
-            p = a[np.unique(pairs, return_inverse=True)[1]].astype(np.float64)
-            for tables, chance in zip(kept[::2], kept[1::2], strict=True):
-                p += (STRENGTH + discount * tables[before]) * chance[place] / (len(kept) // 2)
+            count, seated = (np.concatenate(x) for x in zip(*(unpack(body) for _, body in got[PAIR_VALUES]), strict=True))
+            p = (count - discount * seated / KEEP)[np.unique(pairs, return_inverse=True)[1]]
+            for k, root in enumerate(roots):
+                lacking, own, s = kept[3 * k : 3 * k + 3]
+                p += (STRENGTH + discount * (c - lacking)[before]) * root.chance(c - own, s)[place] / KEEP
             logs = np.log10(p / (STRENGTH + c[before]))
             base = (np.log10(c + 1.0) - math.log10(n + 1.0 * (v + 1)))[place]
             sums = [np.add.reduceat(x, bounds[:-1]) for x in ((c > 0).astype(np.int64)[place], base, logs)]
@@ -484,14 +478,15 @@ def scores(docs: DataFrame, train: Column, keep: list[str], text_col: str = "tex
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-2]]
     texts = store("texts", slim.mapInArrow(_tokenized(chunk), ", ".join([*kinds, "chunk bigint, at bigint, n_tokens bigint, body binary, words binary"])))
     places = texts.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets, tasks = with_floor(docs, math.ceil(places / BUCKET)), with_floor(docs, 1)
+    buckets, tasks = max(1, math.ceil(places / BUCKET)), with_floor(docs, 1)  # buckets follow the corpus alone: tiny ones would cost more in tasks than they hold
     chunks = texts.where("body IS NOT NULL")
-    bodies = chunks.select(F.col("chunk").alias("to"), F.lit(STATE).alias("kind"), F.lit(0).cast("long").alias("frm"), "body")
     kind = lambda df, k: df.where(F.col("kind") == k)
     turned = lambda df, k: kind(df, k).select(F.col("frm").alias("to"), "kind", F.col("to").alias("frm"), "body")  # noqa: E731  to those who sent it
 
     asked = chunks.select("chunk", "words").mapInArrow(_ask_tokens(buckets), _ROWS)
     tokens = store("tokens", _meet([asked], buckets, True, _number_tokens))
+    texts = store("texts", texts.drop("words"))
+    bodies = texts.where("body IS NOT NULL").select(F.col("chunk").alias("to"), F.lit(STATE).alias("kind"), F.lit(0).cast("long").alias("frm"), "body")
     sizes, totals = np.zeros(buckets, np.int64), np.zeros(4, np.int64)
     for r in kind(tokens, STATE).select("to", "frm", "a", "b", "c", "d").collect():  # a row for each bucket
         sizes[r.to] = r.frm
@@ -519,12 +514,12 @@ def scores(docs: DataFrame, train: Column, keep: list[str], text_col: str = "tex
         cells = store("cells", _meet([kind(cells, STATE), kind(types, SUMS)], buckets, True, _seat_cells(turn, root, ratio, starts)))
         news = kind(cells, TELL)
 
-    values = store("values", _meet([kind(types, STATE), turned(ids, IDS)], buckets, True, _token_values(roots)).unionByName(
-        _meet([kind(cells, STATE), turned(pairs, CLASSES)], buckets, True, _pair_values(ratio.discount))))
+    values = store("values", _meet([kind(types, STATE), turned(ids, IDS)], buckets, True, _token_values).unionByName(
+        _meet([kind(cells, STATE), turned(pairs, CLASSES)], buckets, True, _pair_values)))
     for name in ("pairs", "types", "cells"):
         store.drop(name)
     every = bodies.unionByName(ids.select("to", "kind", "frm", "body")).unionByName(values.select("to", "kind", "frm", "body"))
     dealt = every.repartition(tasks, "to").sortWithinPartitions("to", "kind", "frm")
-    found = dealt.mapInArrow(_score_chunks(starts, ratio.discount, n, v), "chunk bigint, at bigint, n_known bigint, base_score double, score double")
-    out = texts.drop("body", "words").join(found, ["chunk", "at"])
+    found = dealt.mapInArrow(_score_chunks(starts, ratio.discount, roots, n, v), "chunk bigint, at bigint, n_known bigint, base_score double, score double")
+    out = texts.drop("body").join(found, ["chunk", "at"])
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import lower_ascii, text_chunks, word_hashes, words_of
 
 SAMPLE, THRESHOLD = 1500, 0.7
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _CLASSES = ("\n", " \t\r\x0b\x0c", "".join(map(chr, range(97, 123))), "".join(map(chr, range(65, 91))), "0123456789", ".!?", ",;:'\"()-", "|", "#$%&*@^~_=+", "<>[]{}/\\`")
 _CLASS_OF = np.full(256, len(_CLASSES) + 1, np.int64)  # other control bytes
 _CLASS_OF[128:] = len(_CLASSES)
@@ -34,8 +34,8 @@ N_CLASSES = len(_CLASSES) + 2
 OWN = N_CLASSES - 1 + 7
 
 
-def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of each line with those of its neighbours, bytes of each line, offsets of the documents among the lines).
+def _own_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line its own features but the last one, its bytes and a hash; and the offsets of the documents among the lines.
 
     A document has a line more than line ends; an empty one has one line of no bytes.
     """
@@ -72,54 +72,91 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         seen = np.flatnonzero(words)
         line_hash[seen] = np.add.reduceat(hashes * (np.arange(len(hashes), dtype=np.uint64) - np.repeat(np.searchsorted(owner, seen), words[seen].astype(np.int64)).astype(np.uint64) + np.uint64(1)), np.searchsorted(owner, seen))
     doc_of = np.searchsorted(np.append(np.cumsum(sizes + 1), 0)[:-1], starts, "right")
-    by_line = np.lexsort((np.arange(lines), line_hash, doc_of))
-    again = np.zeros(lines)
-    again[by_line[1:]] = (line_hash[by_line][1:] == line_hash[by_line][:-1]) & (doc_of[by_line][1:] == doc_of[by_line][:-1])
     own = np.column_stack([
         shares, np.log1p(size) / 5, np.log1p(words) / 3, size / some / 20, np.bincount(owner, repeat, minlength=lines) / some,
-        distinct / some, np.bincount(owner, marked, minlength=lines) / some, again,
+        distinct / some, np.bincount(owner, marked, minlength=lines) / some, np.zeros(lines),
     ])
-    bounds = np.searchsorted(doc_of, np.arange(docs + 1))
-    first, last = np.zeros(lines, bool), np.zeros(lines, bool)
-    first[bounds[:-1]], last[bounds[1:] - 1] = True, True
-    before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
-    before[first], after[last] = 0, 0
-    return np.column_stack([own, before, after, first, last, np.ones(lines)]), size, bounds
+    return own, size, line_hash, np.searchsorted(doc_of, np.arange(docs + 1))
 
 
-def _grid(values: np.ndarray, bounds: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """values of the lines as (line number, document), documents by falling number of lines; missing ones 0."""
-    counts = np.diff(bounds)[order]
-    out = np.zeros((counts.max(initial=0), len(order)))
-    column = np.repeat(np.arange(len(order)), counts)
-    row = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    out[row, column] = values[np.repeat(bounds[:-1][order], counts) + row]
+def _again(line_hash: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """1 for lines that their document has had before."""
+    doc_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    by_line = np.lexsort((np.arange(len(line_hash)), line_hash, doc_of))
+    out = np.zeros(len(line_hash))
+    out[by_line[1:]] = (line_hash[by_line][1:] == line_hash[by_line][:-1]) & (doc_of[by_line][1:] == doc_of[by_line][:-1])
     return out
 
 
+def _ends(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first, last = np.zeros(bounds[-1], bool), np.zeros(bounds[-1], bool)
+    first[bounds[:-1]], last[bounds[1:] - 1] = True, True
+    return first, last
+
+
+def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of each line with those of its neighbours, bytes of each line, offsets of the documents among the lines)."""
+    own, size, line_hash, bounds = _own_features(raw, offsets)
+    own[:, -1] = _again(line_hash, bounds)
+    first, last = _ends(bounds)
+    before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
+    before[first], after[last] = 0, 0
+    return np.column_stack([own, before, after, first, last, np.ones(len(size))]), size, bounds
+
+
+def _parts(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The chunk as it is, or one text of more than two chunks by parts that end before a line end (which is left out)."""
+    if len(offsets) > 2 or len(raw) <= 2 * CHUNK:
+        yield raw, offsets
+        return
+    lo = 0
+    while lo <= len(raw):
+        hi, step = min(len(raw), lo + CHUNK), 1 << 16
+        while hi < len(raw):
+            found = np.flatnonzero(raw[hi : hi + step] == 0x0A)
+            hi += int(found[0]) if len(found) else min(step, len(raw) - hi)
+            if len(found):
+                break
+        yield raw[lo:hi], np.array([0, hi - lo])
+        lo = hi + 1
+
+
+def _products(m: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of 2 x 2 matrices (rows 00, 01, 10, 11 of m) the product of each with all before it in its segment, up to a factor.
+
+    A scan by doubling: matrices whose place in their segment is `step` or more take in those `step` places back.
+    """
+    step, active = 1, np.flatnonzero(place >= 1)
+    while len(active):
+        a, b, c, d = m[:, active]
+        e, f, g, h = m[:, active - step]
+        new = np.stack([a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h])
+        m[:, active] = new / new.max(axis=0)
+        step *= 2
+        active = active[place[active] >= step]
+    return m
+
+
 def forward_backward(emission: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of good against bad for each line, from all lines before it (with it) and from all after it."""
-    order = np.argsort(-np.diff(bounds), kind="stable")
-    counts = np.diff(bounds)[order]
-    e = _grid(emission, bounds, order)
-    forward, backward = np.zeros_like(e), np.zeros_like(e)
-    (t00, t01), (t10, t11) = trans
-    for t in range(len(e)):
-        n = int(np.searchsorted(-counts, -t, "left"))  # documents with more than t lines
-        forward[t, :n] = e[t, :n]
-        if t:
-            r = forward[t - 1, :n]
-            forward[t, :n] += np.logaddexp(r + t11, t01) - np.logaddexp(r + t10, t00)
-    for t in range(len(e) - 2, -1, -1):
-        n = int(np.searchsorted(-counts, -(t + 1), "left"))
-        s = e[t + 1, :n] + backward[t + 1, :n]
-        backward[t, :n] = np.logaddexp(s + t11, t10) - np.logaddexp(s + t01, t00)
-    row = np.concatenate([np.arange(c) for c in counts]) if len(counts) else np.zeros(0, int)
-    column = np.repeat(np.arange(len(order)), counts)
-    place = np.repeat(bounds[:-1][order], counts) + row
-    out = np.zeros((2, len(emission)))
-    out[0, place], out[1, place] = forward[row, column], backward[row, column]
-    return out[0], out[1]
+    """Log odds of good against bad for each line, from all lines before it (with it) and from all after it.
+
+    Memory and work go with the number of lines, whatever the lengths of the documents.
+    """
+    counts = np.diff(bounds)
+    place = np.arange(len(emission)) - np.repeat(bounds[:-1], counts)
+    from_end = np.repeat(counts, counts) - 1 - place
+    e = np.clip(emission, -300, 300)
+    bad, good = np.exp(-np.maximum(e, 0)), np.exp(np.minimum(e, 0))
+    (t00, t01), (t10, t11) = np.exp(trans)
+    inner, nothing = place > 0, np.zeros(len(e))
+    m = np.stack([np.where(inner, t00, 1) * bad, np.where(inner, t10, 0) * bad, np.where(inner, t01, 0) * good, np.where(inner, t11, 1) * good])
+    a, b, c, d = _products(m, place)
+    forward = np.log(np.maximum(c + d, 1e-300)) - np.log(np.maximum(a + b, 1e-300))
+    inner = from_end > 0
+    bad, good = np.append(bad[1:], 1), np.append(good[1:], 1)
+    m = np.stack([np.where(inner, t00 * bad, 1), np.where(inner, t01 * good, nothing), np.where(inner, t10 * bad, nothing), np.where(inner, t11 * good, 1)])
+    a, b, c, d = _products(np.ascontiguousarray(m[:, ::-1]), from_end[::-1])[:, ::-1]
+    return forward, np.log(np.maximum(c + d, 1e-300)) - np.log(np.maximum(a + b, 1e-300))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,8 +175,16 @@ class Model:
 
     def marks(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean marginal by length, and number of bytes in lines, of each document."""
-        x, size, bounds = line_features(raw, offsets)
-        forward, backward = forward_backward(((x - self.mean) / self.scale) @ self.weights, bounds, self.trans)
+        # emissions part by part: a line's own features times the weights that it, the line after and the line before have for them
+        w = self.weights / self.scale
+        by_place = w[: 3 * OWN].reshape(3, OWN)
+        found = [(own @ by_place.T, size, line_hash, bounds) for own, size, line_hash, bounds in (_own_features(*p) for p in _parts(raw, offsets))]
+        effect, size, line_hash = (np.concatenate([f[i] for f in found]) for i in range(3))
+        bounds = found[0][3] if len(found) == 1 else np.array([0, len(size)])
+        effect += _again(line_hash, bounds)[:, None] * by_place[:, -1]
+        first, last = _ends(bounds)
+        e = effect[:, 0] + np.where(first, w[-3], np.roll(effect[:, 1], 1)) + np.where(last, w[-2], np.roll(effect[:, 2], -1)) + w[-1] - self.mean @ w
+        forward, backward = forward_backward(e, bounds, self.trans)
         total = np.add.reduceat(size, bounds[:-1]) if len(size) else size
         return np.add.reduceat(_sigmoid(forward + backward) * size, bounds[:-1]) / np.maximum(total, 1), total
 
