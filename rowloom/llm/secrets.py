@@ -2,18 +2,21 @@
 
 Base kinds (assign, access, hex) follow their patterns alone. The method then decodes runs of base64 and hex letters and
 parses what they hold; a run is reported only if its structure holds from end to end:
-der (ASN.1 keys: a sequence whose nested lengths fill it exactly and that starts with a version or algorithm),
-jwt (a signed-token header: JSON object with "alg", then a payload object and a signature),
-ssh (length-prefixed "openssh-key-v1" or public-key fields).
+der (ASN.1 private keys: a sequence whose nested lengths fill it exactly, of a version and more, or of an algorithm and an
+enciphered key), jwt (a signed-token header: JSON object with "alg", then a payload object and a signature), ssh
+("openssh-key-v1", whose cipher, key count, public and private parts fill it exactly). Public keys are no secrets.
+A run is decoded once for each of the four places where base64 letters may start, so work goes with its length.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import functools
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +71,7 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One sequence: of a version and more, or of an algorithm sequence that names an object identifier and then a key, enciphered or not."""
+    """One sequence: of a version and more, or of an algorithm sequence that names an object identifier and an enciphered key."""
     if len(data) < 16 or data[0] != 0x30 or not (top := der_items(data)) or len(top) != 1:
         return False
     inner = der_items(top[0][1])
@@ -76,22 +79,42 @@ def is_der_key(data: bytes) -> bool:
         return False
     if inner[0][0] == 0x02 and len(inner[0][1]) == 1 and inner[0][1][0] <= 3:
         return inner[1][0] in (0x02, 0x04, 0x30)
-    if inner[0][0] == 0x30 and inner[1][0] in (0x03, 0x04):
+    if inner[0][0] == 0x30 and inner[1][0] == 0x04:
         return bool((algorithm := der_items(inner[0][1])) and algorithm[0][0] == 0x06)
     return False
 
 
+_SSH = b"openssh-key-v1\0"
+
+
+def ssh_size(data: bytes) -> int:
+    """Bytes of the private-key container that data starts with, by its nested lengths; 0 if they don't hold."""
+    if not data.startswith(_SSH):
+        return 0
+    at = len(_SSH)
+
+    def number() -> int:
+        nonlocal at
+        at += 4
+        return int.from_bytes(data[at - 4 : at], "big") if at <= len(data) else 1 << 32
+
+    def text() -> bytes | None:
+        nonlocal at
+        n = number()
+        at += n
+        return data[at - n : at] if at <= len(data) else None
+
+    if not text() or not text() or text() is None or not 1 <= (keys := number()) <= 64:  # cipher, derivation, its options
+        return 0
+    for _ in range(keys):
+        public = text()
+        if not public or len(public) < 8 or 4 + int.from_bytes(public[:4], "big") > len(public):
+            return 0
+    return at if text() else 0
+
+
 def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data) and len(fields) < 64:
-        n = int.from_bytes(data[at : at + 4], "big")
-        if n > len(data) - at - 4:
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa|sk-)[a-z0-9@.-]+", fields[0]))
+    return 0 < ssh_size(data) == len(data)
 
 
 def _base64(text: bytes) -> bytes | None:
@@ -112,6 +135,25 @@ def _json_object(part: bytes) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+_BASE64_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
+
+
+class _Aligned:
+    """Decodings of a piece of base64 letters from any of its places, of which there are four up to a shift."""
+
+    def __init__(self, letters: bytes):
+        self.letters, self.held = letters.translate(bytes.maketrans(b"-_", b"+/")), {}
+
+    def __call__(self, at: int) -> tuple[bytes, int]:
+        """(bytes, place in them) of what the letters from `at` on stand for."""
+        r = at % 4
+        if r not in self.held:
+            part = self.letters[r:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            self.held[r] = base64.b64decode(part + b"=" * (-len(part) % 4))
+        return self.held[r], at // 4 * 3
+
+
 def _der_size(head: bytes) -> int:
     """Bytes of the DER item that starts with head, its tag and length included; 0 where the length has no such form."""
     if len(head) < 2 or head[1] < 0x80:
@@ -120,40 +162,89 @@ def _der_size(head: bytes) -> int:
     return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 and len(head) >= 2 + n else 0
 
 
+_HEX_RUN = re.compile(rb"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
+_URL_LETTERS = re.compile(rb"[A-Za-z0-9_-]+")
+_URL_ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+_PIECE = re.compile(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN)
+_KEY_START = re.compile(rb"(?:^|(?<=[-_/+]))(?:M|b3BlbnNzaC1rZXktdjEA)")
+_DECODER = json.JSONDecoder()
+
+
+def _token_head(part: bytes) -> int:
+    """Where the header of a signed token starts that ends with part; -1 if none does.
+
+    An object that is open at the end of its decoding holds none that closes there, so its alignment is done with.
+    """
+    aligned, at = _Aligned(part), part.find(b"eyJ")
+    texts: dict[int, str] = {}
+    done = {(len(part) - 1) % 4}  # letters from there on can't be a whole decoding
+    while at >= 0 and len(done) < 4:
+        if at % 4 not in done:
+            data, place = aligned(at)
+            text = texts.setdefault(at % 4, data.decode("latin-1"))  # one letter a byte, so places agree
+            try:
+                found, end = _DECODER.raw_decode(text, place)
+                if isinstance(found, dict) and not text[end:].strip() and (head := _json_object(part[at:])) and isinstance(head.get("alg"), str):
+                    return at
+            except json.JSONDecodeError as e:
+                if e.pos >= len(text) or e.msg.startswith("Unterminated"):
+                    done.add(at % 4)
+            except RecursionError:
+                done.add(at % 4)
+        at = part.find(b"eyJ", at + 1)
+    return -1
+
+
 def structures(run: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all structures within a run of coded letters, by start. None overlap: tokens go first, then hex, then base64."""
-    out: list[tuple[str, int, int]] = []
+    starts, taken = [], []  # in order
 
     def add(kind: str, start: int, end: int) -> None:
-        if all(end <= s or start >= e for _, s, e in out):
-            out.append((kind, start, end))
-
-    at = run.find(b"eyJ")
-    while at >= 0:
-        parts, end = re.compile(rb"([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)").match(run, at), at + 1
-        if parts and isinstance((head := _json_object(parts[1])) and head.get("alg"), str) and _json_object(parts[2]) is not None:
-            end = parts.end()
-            add("jwt", at, end)
-        at = run.find(b"eyJ", end)
-    for m in re.finditer(rb"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}", run):
+        k = bisect_left(starts, start)
+        if (k == 0 or taken[k - 1][2] <= start) and (k == len(taken) or end <= starts[k]):
+            starts.insert(k, start)
+            taken.insert(k, (kind, start, end))
+
+    if b"eyJ" in run and b"." in run:
+        parts = run.split(b".")
+        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+        payload = functools.cache(lambda k: _URL_LETTERS.fullmatch(parts[k]) is not None and _json_object(parts[k]) is not None)
+        k = 0
+        while k + 2 < len(parts):
+            signature = _URL_LETTERS.match(parts[k + 2])
+            tail = parts[k][len(parts[k].rstrip(_URL_ALPHABET)) :]
+            if signature and b"eyJ" in tail and payload(k + 1) and (at := _token_head(tail)) >= 0:
+                add("jwt", int(ends[k]) - len(tail) + at, int(ends[k + 1]) + 1 + signature.end())
+                k += 1  # its payload begins no other token
+            k += 1
+    for m in _HEX_RUN.finditer(run):
         if m[0][:2].lower() == b"30" and is_der_key(bytes.fromhex(m[0].decode())):
             add("der", m.start(), m.end())
-    for m in re.finditer(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN, run):
+    for m in _PIECE.finditer(run):
         data = _base64(m[0])
         if data and (is_der_key(data) or is_ssh_key(data)):
             add("der" if is_der_key(data) else "ssh", m.start(), m.end())
             continue
-        # several joined by letters of the alphabet: a sequence says its own length, so its end is known
-        end = 0
-        for start in re.finditer(rb"(?:^|(?<=[-_/+]))M", m[0]):
+        # several joined by letters of the alphabet: a structure says its own length, so its end is known
+        end, aligned = 0, _Aligned(m[0].rstrip(b"="))
+        for start in _KEY_START.finditer(m[0]):
             at = start.start()
-            if at < end or not (size := _der_size(_base64(m[0][at : at + 8]) or b"")):
+            if at < end:
                 continue
-            stop = at + -(-size * 4 // 3)
-            if stop <= len(m[0]) and (data := _base64(m[0][at:stop])) and len(data) == size and is_der_key(data):
-                end = stop
-                add("der", m.start() + at, m.start() + end)
-    return sorted(out, key=lambda x: x[1])
+            data, place = aligned(at)
+            head = data[place : place + 8]
+            if start[0] == b"M":
+                # the first item inside is a version or an algorithm: told by its tag, before anything is copied
+                inner = 2 + (head[1] & 0x7F if len(head) > 1 and head[1] >= 0x80 else 0)
+                size = _der_size(head) if len(head) > inner and head[0] == 0x30 and head[inner] in (0x02, 0x30) else 0
+                found = bool(size) and place + size <= len(data) and is_der_key(data[place : place + size])
+            else:
+                size = ssh_size(data[place:])
+                found = bool(size)
+            if found:
+                end = at + -(-size * 4 // 3)
+                add("der" if start[0] == b"M" else "ssh", m.start() + at, m.start() + end)
+    return taken
 
 
 def confirm(run: bytes) -> tuple[str, int, int] | None:
@@ -161,21 +252,42 @@ def confirm(run: bytes) -> tuple[str, int, int] | None:
     return next(iter(structures(run)), None)
 
 
+_ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
+_ARMOUR_END = re.compile(r"-----END [A-Z0-9 ]+-----")
+_HEADERS = re.compile(r"\s*((?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+\S[^\n]*\n)*)*)")
+
+
+def _armoured(text: str) -> list[tuple[int, str, int]]:
+    """Keys that are split over the lines of an armour: the lines are joined, behind header lines, and decoded whole."""
+    out, begin = [], _ARMOUR.search(text)
+    while begin:
+        dashes = text.find("-----", begin.end())
+        if dashes < 0:
+            break
+        end, after = _ARMOUR_END.match(text, dashes), dashes
+        if end:
+            after = end.end()
+            headers = _HEADERS.match(text, begin.end(), dashes)
+            body = text[headers.end() : dashes]
+            letters = "".join(body.split()).encode("ascii", "replace")
+            data = _base64(letters) if letters and not letters.translate(None, _BASE64_LETTERS) else None
+            if data and (is_der_key(data) or is_ssh_key(data)):
+                out.append((begin.start(), "der" if is_der_key(data) else "ssh", after))
+            elif data and re.search(r"(?m)^Proc-Type:[^\n]*ENCRYPTED", headers[1]) and len(data) >= 16 and len(data) % 8 == 0:
+                out.append((begin.start(), "der", after))  # enciphered in whole blocks, so nothing more can be parsed
+        begin = _ARMOUR.search(text, after)
+    return out
+
+
 def method_spans(text: str) -> list[tuple[int, str, int]]:
     """Confirmed spans. Coded letters are ASCII, so each byte of a run is one code point."""
     raw, out = text.encode(), []
+    before = at = 0
     for m in _RUN.finditer(raw):
         if found := structures(m[0]):
-            before = len(raw[: m.start()].decode())
+            before, at = before + len(raw[at : m.start()].decode()), m.start()
             out += [(before + start, kind, before + end) for kind, start, end in found]
-    # an armoured key is split over lines: join the lines of a block, behind its header lines, and decode it whole
-    for m in re.finditer(r"-----BEGIN [A-Z0-9 ]+-----\s*((?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+\S[^\n]*\n)*)*)\s*([A-Za-z0-9+/=\s]+?)\s*-----END [A-Z0-9 ]+-----", text):
-        data = _base64(re.sub(r"\s+", "", m[2]).encode("ascii", "ignore"))
-        if data and (is_der_key(data) or is_ssh_key(data)):
-            out.append((m.start(), "der" if is_der_key(data) else "ssh", m.end()))
-        elif data and re.search(r"(?m)^Proc-Type:[^\n]*ENCRYPTED", m[1]) and len(data) >= 16 and len(data) % 8 == 0:
-            out.append((m.start(), "der", m.end()))  # enciphered in whole blocks, so nothing more can be parsed
-    return list(dict.fromkeys(out))
+    return list(dict.fromkeys(out + _armoured(text)))
 
 
 def find_spans(text: str) -> list[tuple[int, str, int]]:
