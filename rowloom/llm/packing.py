@@ -5,55 +5,75 @@ hold only one piece of a source and one of a duplicate cluster (so also one of a
 bitmaps. Pieces come longest first. Open bins are kept ordered by the room they have left: the search starts at the first
 bin where the piece fits and goes on to its successors until one is compatible, so it finds the tightest compatible bin,
 or opens a new one.
-Documents are dealt to packing groups by a hash, so that each has about GROUP_WORDS words whatever the corpus: a group's
-bins are the only state, and groups are independent.
+Documents are dealt to packing groups by a hash, so that each has about GROUP_WORDS words or GROUP_PIECES pieces, whichever
+is less, whatever the corpus: a group's bins are the only state, and groups are independent.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import insort
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import cut, with_floor, word_count
 
-CAPACITY, GROUP_WORDS = 2048, 1 << 19
+CAPACITY, GROUP_WORDS, GROUP_PIECES = 2048, 1 << 19, 4096
+#: Sources and clusters with that many pieces in a group are counted room by room, so that full rooms are passed over.
+HOT = 32
 
 
 def pack(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(bin, offset) of each piece, in the given order. Null sources and null clusters conflict with nothing."""
-    bit_of: dict = {}
-    open_bins: list[tuple[int, int]] = []  # (room left, bin), ordered
-    room: list[int] = []
+    keys = [[key for key in (("s", s), ("c", c)) if key[1] is not None] for s, c in zip(sources, clusters, strict=True)]
+    times = Counter(key for own in keys for key in own)
+    bit_of = {key: 1 << k for k, key in enumerate(key for key, n in times.items() if n > 1)}  # what comes once conflicts with nothing
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]  # open bins with that room left, in order
+    bins = np.zeros(capacity + 1, np.int64)
+    hot = {key: np.zeros(capacity + 1, np.int64) for key, n in times.items() if n >= HOT}  # how many of them hold it
     held: list[int] = []  # bitmap of the sources and clusters in each bin
+    hot_in: list[list[np.ndarray]] = []
     out = []
-    for size, source, cluster in zip(sizes, sources, clusters, strict=True):
+    for size, own_keys in zip(sizes, keys, strict=True):
         own = 0
-        for key in (("s", source), ("c", cluster)):
-            if key[1] is not None:
-                own |= 1 << bit_of.setdefault(key, len(bit_of))
-        at = bisect_left(open_bins, (size, -1))
-        while at < len(open_bins) and held[open_bins[at][1]] & own:
-            at += 1
-        if at < len(open_bins):
-            left, b = open_bins.pop(at)
-        else:
-            left, b = capacity, len(room)
-            room.append(capacity)
+        for key in own_keys:
+            own |= bit_of.get(key, 0)
+        counts = [hot[key] for key in own_keys if key in hot]
+        least = max(size, 1)
+        free = bins[least:] > 0
+        for count in counts:
+            free &= bins[least:] > count[least:]
+        left, b = capacity, -1
+        for room in (np.flatnonzero(free) + least).tolist():
+            b = next((x for x in by_room[room] if not held[x] & own), -1)
+            if b >= 0:
+                left = room
+                by_room[room].remove(b)
+                bins[room] -= 1
+                for count in hot_in[b]:
+                    count[room] -= 1
+                break
+        if b < 0:
+            b = len(held)
             held.append(0)
+            hot_in.append([])
         out.append((b, capacity - left))
-        room[b], held[b] = left - size, held[b] | own
-        if room[b]:
-            insort(open_bins, (room[b], b))
+        left -= size
+        held[b] |= own
+        hot_in[b] += counts
+        if left:
+            insort(by_room[left], b)
+            bins[left] += 1
+            for count in hot_in[b]:
+                count[left] += 1
     return out
 
 
-
-
 def _pack_groups(capacity: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(group: pd.DataFrame) -> pd.DataFrame:
@@ -77,7 +97,7 @@ def _pack_groups(capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_words: int = GROUP_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_words: int = GROUP_WORDS, group_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece (from 0), n_words, source, cluster, bin_group and bin (together the bin), start in
     the bin, bin_words and bin_pieces.
 
@@ -87,9 +107,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_words: int =
     """
     cluster = F.col(cluster_col).cast("long") if cluster_col else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     slim = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), word_count(F.col(text_col)).alias("size")))
-    total = slim.agg(F.sum("size")).first()[0] or 0
-    groups = max(1, math.ceil(total / group_words))
     parts = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1)).cast("int")
+    total = slim.agg(F.sum("size").alias("words"), F.sum(parts).alias("pieces")).first()
+    groups = max(1, math.ceil((total.words or 0) / group_words), math.ceil((total.pieces or 0) / group_pieces))
     pieces = slim.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("piece"))
     pieces = pieces.select(
         "doc_id", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("long").alias("n_words"), "source", "cluster",
