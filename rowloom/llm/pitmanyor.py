@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import ensure_checkpoint_dir, lower_ascii, mix64, text_chunks, with_floor, word_hashes, words_of
 
-CHUNK, BUCKET = 3 << 20, 1 << 20
+CHUNK, BUCKET = 3 << 20, 1 << 21
+#: Buckets that a task of a sweep goes through one after the other: their tables are small beside what they were made of.
+AT_ONCE = 4
 BURN, KEEP, BLOCKS = 2, 3, 16
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 END = np.uint64(0x5DEECE66D1234567)
@@ -230,12 +232,12 @@ def _by_receiver(answer):
     return run
 
 
-def _meet(rows: list[DataFrame], partitions: int, exact: bool, answer) -> DataFrame:
-    """The rows of all tables by their receiver; exact: receivers are the numbers of the partitions."""
+def _meet(rows: list[DataFrame], receivers: int, answer, at_once: int = 1) -> DataFrame:
+    """The rows of all tables by their receiver, a number below `receivers`; a task has at_once of them, one after the other."""
     every = rows[0].select("to", "kind", "frm", "body")
     for more in rows[1:]:
         every = every.unionByName(more.select("to", "kind", "frm", "body"))
-    dealt = every.repartitionById(partitions, F.col("to").cast("int")) if exact else every.repartition(partitions, "to")
+    dealt = every.repartitionById(-(-receivers // at_once), F.floor(F.col("to") / at_once).cast("int"))
     return dealt.sortWithinPartitions("to", "kind", "frm").mapInArrow(_by_receiver(answer), _ROWS)
 
 
@@ -484,7 +486,7 @@ def scores(docs: DataFrame, train: Column, keep: list[str], text_col: str = "tex
     turned = lambda df, k: kind(df, k).select(F.col("frm").alias("to"), "kind", F.col("to").alias("frm"), "body")  # noqa: E731  to those who sent it
 
     asked = chunks.select("chunk", "words").mapInArrow(_ask_tokens(buckets), _ROWS)
-    tokens = store("tokens", _meet([asked], buckets, True, _number_tokens))
+    tokens = store("tokens", _meet([asked], buckets, _number_tokens))
     texts = store("texts", texts.drop("words"))
     bodies = texts.where("body IS NOT NULL").select(F.col("chunk").alias("to"), F.lit(STATE).alias("kind"), F.lit(0).cast("long").alias("frm"), "body")
     sizes, totals = np.zeros(buckets, np.int64), np.zeros(4, np.int64)
@@ -497,8 +499,9 @@ def scores(docs: DataFrame, train: Column, keep: list[str], text_col: str = "tex
         raise ValueError(f"{starts[-1]} types don't fit 32 bits")
     ids = kind(tokens, IDS)
 
-    told = _meet([bodies, ids], tasks, False, _ask_pairs(starts, buckets))
-    pairs = store("pairs", _meet([told], buckets, True, _make_cells))
+    whole = bodies.unionByName(ids.select("to", "kind", "frm", "body")).repartition(tasks, "to").sortWithinPartitions("to", "kind", "frm")
+    told = whole.mapInArrow(_by_receiver(_ask_pairs(starts, buckets)), _ROWS)
+    pairs = store("pairs", _meet([told], buckets, _make_cells))
     seen = kind(pairs, STATE).agg(F.sum("a").alias("once"), F.sum("b").alias("twice")).first()
     ratio, root_ratio = Stirling(discount_of(seen.once or 0, seen.twice or 0)), Stirling(discount_of(once, twice))
     cells, types = pairs, tokens
@@ -506,16 +509,16 @@ def scores(docs: DataFrame, train: Column, keep: list[str], text_col: str = "tex
     tables, roots = float(v), []
     for turn in range(-1, BURN + KEEP):  # the first turn gives the start
         fresh = (ROOT_STRENGTH + root_ratio.discount * tables) / (v + 1)
-        types = store("types", _meet([kind(types, STATE), news], buckets, True, _seat_roots(turn, fresh, root_ratio, starts)))
+        types = store("types", _meet([kind(types, STATE), news], buckets, _seat_roots(turn, fresh, root_ratio, starts), AT_ONCE))
         got = kind(types, STATE).agg(F.sum("a").alias("s"), F.sum("b").alias("own")).first()
         tables = float(got.s or 0)
         root = Root(root_ratio.discount, (ROOT_STRENGTH + root_ratio.discount * tables) / (v + 1), float(got.own or 0))
         roots += [root] if turn >= BURN else []
-        cells = store("cells", _meet([kind(cells, STATE), kind(types, SUMS)], buckets, True, _seat_cells(turn, root, ratio, starts)))
+        cells = store("cells", _meet([kind(cells, STATE), kind(types, SUMS)], buckets, _seat_cells(turn, root, ratio, starts), AT_ONCE))
         news = kind(cells, TELL)
 
-    values = store("values", _meet([kind(types, STATE), turned(ids, IDS)], buckets, True, _token_values).unionByName(
-        _meet([kind(cells, STATE), turned(pairs, CLASSES)], buckets, True, _pair_values)))
+    values = store("values", _meet([kind(types, STATE), turned(ids, IDS)], buckets, _token_values).unionByName(
+        _meet([kind(cells, STATE), turned(pairs, CLASSES)], buckets, _pair_values)))
     for name in ("pairs", "types", "cells"):
         store.drop(name)
     every = bodies.unionByName(ids.select("to", "kind", "frm", "body")).unionByName(values.select("to", "kind", "frm", "body"))
