@@ -8,6 +8,13 @@ both lie three bits from theirs and the other's codeword is one of the five next
 nearest codeword is the stored key, those of the up to six nearby codewords are the probes. The other segment is cut in
 halves, one of which is free of error and completes the key. So no link is missed.
 
+The stage that drops near-duplicates (five words, similarity 0.8) has links of WIDE_BITS bits or fewer, which needs keys
+that stand more errors. Both segments of a pair are decoded to all codewords within four bits (one, or six) on either
+side, and a key is one codeword of each. This finds nearly all links of six bits and about three quarters of those of
+eight. A link also has to agree on a sketch of the texts' shingles: 64 one-bit bins of a one-permutation MinHash, of
+which (1 - similarity) / 2 differ, so SKETCH_BITS of them bound the similarity whatever the fingerprints say. README has
+the share of pairs found by their similarity.
+
 Keys are dealt to tasks and sorted; within a key's rows candidates are compared as vectors, verified on all 64 bits, and
 only links between fingerprints that earlier links have not joined yet go out, so a dense group of m fingerprints gives
 fewer than m links, not m squared. Fingerprints of exact copies are merged before any of this.
@@ -24,9 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import connected_components, cut, lower_ascii, text_chunks, with_floor, words_of
+from rowloom.llm.common import connected_components, cut, lower_ascii, mix64, text_chunks, with_floor, words_of
 
 MOST_BITS, SHINGLE, SEED = 4, 4, 42
+#: Of the stage: words of a shingle, most differing bits of fingerprints and of sketches. At similarity 0.8 a sketch differs in 6.4 bits, with deviation 2.4.
+WIDE_SHINGLE, WIDE_BITS, SKETCH_BITS = 5, 12, 8
 #: (low bit, width) of the segments.
 SEGMENTS = ((0, 22), (22, 22), (44, 20))
 #: Pairs for two segments with one error each: (decoded segment, segment cut in halves).
@@ -35,14 +44,25 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 GENERATOR = 0b101011100011
 
 
-def text_fingerprint(words: bytes, starts: list[int], ends: list[int]) -> int:
-    """Of single-spaced lower-case bytes and their words. No word: 0."""
-    if not starts:
-        return 0
-    n = max(1, len(starts) - SHINGLE + 1)
+def shingle_hashes(words: bytes, starts: list[int], ends: list[int], shingle: int = SHINGLE) -> np.ndarray:
+    """Of single-spaced lower-case bytes and their words, one at least."""
+    n = max(1, len(starts) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(words[s:e], SEED) for s, e in zip(starts[:n], ends[min(SHINGLE, len(ends)) - 1 :], strict=True)], np.uint64)
-    return majority(hashes)
+    return np.array([digest(words[s:e], SEED) for s, e in zip(starts[:n], ends[min(shingle, len(ends)) - 1 :], strict=True)], np.uint64)
+
+
+def text_fingerprint(words: bytes, starts: list[int], ends: list[int]) -> int:
+    """No word: 0."""
+    return majority(shingle_hashes(words, starts, ends)) if starts else 0
+
+
+def text_sketch(hashes: np.ndarray) -> int:
+    """One bit of the least hash in each of 64 bins; an empty bin takes the next bin's that isn't."""
+    ordered = np.sort(hashes)
+    first = np.searchsorted(ordered >> np.uint64(58), np.arange(64, dtype=np.uint64))
+    least = ordered[first % len(ordered)]  # past an empty bin comes the next one's, round the end
+    bits = mix64(least ^ (np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(63)
+    return int((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -53,31 +73,38 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = np.zeros(batch.num_rows, np.uint64)
-        for lo, hi, raw, offsets in text_chunks(batch.column(batch.num_columns - 1)):
-            raw = lower_ascii(raw)
-            starts, ends, rows = words_of(raw, offsets)
-            lengths = ends - starts
-            # the words once more, one space after each, so that a shingle is one slice
-            new = np.cumsum(lengths + 1) - (lengths + 1)
-            joined = np.full(int(lengths.sum()) + len(starts), 0x20, np.uint8)
-            place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            joined[np.repeat(new, lengths) + place] = raw[np.repeat(starts, lengths) + place]
-            words, first = joined.tobytes(), np.searchsorted(rows, np.arange(hi - lo + 1))
-            new, end = new.tolist(), (new + lengths).tolist()
-            for r in range(hi - lo):
-                a, b = first[r], first[r + 1]
-                out[lo + r] = text_fingerprint(words, new[a:b], end[a:b])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out.view(np.int64))], [*batch.schema.names[:-1], "fp"])
-
-
-def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of keep and fp (the 64 bits as a long) of every row, over whole texts; null counts as empty: 0."""
+def _fingerprints(shingle: int, sketched: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((2, batch.num_rows), np.uint64)
+            for lo, hi, raw, offsets in text_chunks(batch.column(batch.num_columns - 1)):
+                raw = lower_ascii(raw)
+                starts, ends, rows = words_of(raw, offsets)
+                lengths = ends - starts
+                # the words once more, one space after each, so that a shingle is one slice
+                new = np.cumsum(lengths + 1) - (lengths + 1)
+                joined = np.full(int(lengths.sum()) + len(starts), 0x20, np.uint8)
+                place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                joined[np.repeat(new, lengths) + place] = raw[np.repeat(starts, lengths) + place]
+                words, first = joined.tobytes(), np.searchsorted(rows, np.arange(hi - lo + 1))
+                new, end = new.tolist(), (new + lengths).tolist()
+                for r in range(hi - lo):
+                    a, b = first[r], first[r + 1]
+                    if a < b:
+                        hashes = shingle_hashes(words, new[a:b], end[a:b], shingle)
+                        out[0, lo + r] = majority(hashes)
+                        out[1, lo + r] = text_sketch(hashes) if sketched else 0
+            made = [pa.array(x.view(np.int64)) for x in out[: 1 + sketched]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "fp", "sketch"][: batch.num_columns + sketched])
+
+    return run
+
+
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = SHINGLE, sketched: bool = False) -> DataFrame:
+    """The columns of keep and fp (the 64 bits as a long; if sketched, sketch too) of every row, over whole texts; null counts as empty: 0."""
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]
-    return slim.mapInArrow(_fingerprints, ", ".join([*kinds, "fp bigint"]))
+    return slim.mapInArrow(_fingerprints(shingle, sketched), ", ".join([*kinds, "fp bigint", *["sketch bigint"] * sketched]))
 
 
 @cache
@@ -130,18 +157,44 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
-def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(fps), 1 << 14):
-            part = fps[at : at + (1 << 14)]
-            rows, keys, stored = keys_of(part)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[rows]), pa.array(stored)], ["key", "fp", "stored"])
-
-
-def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+def wide_keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, key, stored): for each two segments a codeword near the one with a codeword near the other."""
+    fps = fps.view(np.uint64)
+    near = []
+    for lo, n in SEGMENTS:
+        nearest, more = golay_keys((fps >> np.uint64(lo)) & np.uint64((1 << n) - 1))
+        near.append((np.column_stack([nearest, more]).astype(np.uint64), more[:, 0] != nearest))
+    out = []
+    for kind, (i, j) in enumerate(PAIRS):
+        (a, many_a), (b, many_b) = near[i], near[j]
+        for x in range(6):
+            for y in range(6):
+                rows = np.flatnonzero((many_a if x else True) & (many_b if y else True) & np.ones(len(fps), bool))
+                out.append((rows, (a[rows, x] << np.uint64(12)) | b[rows, y] | np.uint64(kind << 40)))
+    position, keys = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+    return position, keys, np.ones(len(keys), bool)
+
+
+def _explode_keys(wide: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(fps), 1 << 14):
+                rows, keys, stored = (wide_keys_of if wide else keys_of)(fps[at : at + (1 << 14)])
+                kept = [c.take(pa.array(rows + at)) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *kept, pa.array(stored)], ["key", *batch.schema.names, "stored"])
+
+    return run
+
+
+def node_of(fps: np.ndarray, sketches: np.ndarray | None) -> np.ndarray:
+    """What stands for a text in the graph of links: its fingerprint, or a hash of it and of its sketch."""
+    return fps if sketches is None else mix64(fps.view(np.uint64) ^ mix64(sketches.view(np.uint64) + np.uint64(1))).view(np.int64)
+
+
+def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_bits: int = MOST_BITS, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows of equal key (sorted by key) with a stored one at either end, without those that others imply."""
-    distinct, nodes = np.unique(fps, return_inverse=True)
+    distinct, nodes = np.unique(node_of(fps, sketches), return_inverse=True)
     label = np.arange(len(distinct))
     parent = label.tolist()
 
@@ -152,6 +205,11 @@ def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_
         return x
 
     bits, a_out, b_out = fps.view(np.uint64), [], []
+    marks = None if sketches is None else sketches.view(np.uint64)
+
+    def close(x: np.ndarray, y) -> np.ndarray:
+        out = np.bitwise_count(bits[x] ^ bits[y]) <= most_bits
+        return out if marks is None else out & (np.bitwise_count(marks[x] ^ marks[y]) <= SKETCH_BITS)
 
     def link(x: int, y: int) -> None:
         p, q = root(x), root(y)
@@ -176,7 +234,7 @@ def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_
             break
         near = (stored[active] | stored[active + step]) & (label[nodes[active]] != label[nodes[active + step]])
         i = active[near]
-        i = i[np.bitwise_count(bits[i] ^ bits[i + step]) <= most_bits]
+        i = i[close(i, i + step)]
         if len(i):
             for x, y in zip(nodes[i].tolist(), nodes[i + step].tolist(), strict=True):
                 link(x, y)
@@ -189,7 +247,7 @@ def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_
         for x in np.flatnonzero(lab != names[sizes.argmax()]):
             other = (lab != lab[x]) & (stored[lo:hi] | stored[lo + x])
             hit = np.flatnonzero(other)
-            hit = hit[np.bitwise_count(bits[lo + hit] ^ bits[lo + x]) <= most_bits]
+            hit = hit[close(lo + hit, lo + x)]
             if len(hit):
                 for y in hit[np.unique(lab[hit], return_index=True)[1]].tolist():
                     link(int(own[x]), int(own[y]))
@@ -199,29 +257,32 @@ def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_
     return distinct[np.array(a_out, np.int64)], distinct[np.array(b_out, np.int64)]
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link(wide: bool):
     """Rows come sorted by key. Whole groups are handled about LINK_ROWS at a time; a group that goes on waits for its end."""
-    held: list[pa.Table] = []
 
     def links(rows: pa.Table) -> pa.RecordBatch:
-        columns = [rows.column(c).to_numpy() for c in ("key", "fp", "stored")]
-        a, b = links_in_groups(*columns)
+        keys, fps, stored = (rows.column(c).to_numpy() for c in ("key", "fp", "stored"))
+        a, b = links_in_groups(keys, fps, stored, WIDE_BITS, rows.column("sketch").to_numpy()) if wide else links_in_groups(keys, fps, stored)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    waiting = 0
-    for batch in batches:
-        held.append(pa.Table.from_batches([batch]))
-        waiting += batch.num_rows
-        if waiting < LINK_ROWS:
-            continue
-        rows = pa.concat_tables(held).combine_chunks()
-        keys = rows.column("key").to_numpy()
-        end = int(np.searchsorted(keys, keys[-1]))
-        if end:
-            yield links(rows.slice(0, end))
-        held, waiting = [rows.slice(end)], len(keys) - end
-    if waiting:
-        yield links(pa.concat_tables(held).combine_chunks())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        waiting = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            waiting += batch.num_rows
+            if waiting < LINK_ROWS:
+                continue
+            rows = pa.concat_tables(held).combine_chunks()
+            keys = rows.column("key").to_numpy()
+            end = int(np.searchsorted(keys, keys[-1]))
+            if end:
+                yield links(rows.slice(0, end))
+            held, waiting = [rows.slice(end)], len(keys) - end
+        if waiting:
+            yield links(pa.concat_tables(held).combine_chunks())
+
+    return run
 
 
 LINK_ROWS = 1 << 18
@@ -229,11 +290,15 @@ LINK_ROWS = 1 << 18
 NEAR_ROWS = 64
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect all within MOST_BITS of each other."""
-    keyed = distinct.select("fp").mapInArrow(_explode_keys, "key bigint, fp bigint, stored boolean")
+def fingerprint_links(distinct: DataFrame, wide: bool = False) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp) that connect all within MOST_BITS of each other.
+
+    wide: between distinct (fp, sketch), named by node_of, that WIDE_BITS and SKETCH_BITS hold for and a key is found of.
+    """
+    kept = "fp bigint, sketch bigint" if wide else "fp bigint"
+    keyed = distinct.select("fp", *["sketch"] * wide).mapInArrow(_explode_keys(wide), f"key bigint, {kept}, stored boolean")
     dealt = keyed.repartition(with_floor(distinct, 1), "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_link, "a bigint, b bigint")
+    return dealt.mapInArrow(_link(wide), "a bigint, b bigint")
 
 
 def fingerprint_components(distinct: DataFrame) -> DataFrame:
@@ -247,35 +312,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have fingerprint 0 and link like others. Null ids take no part in a minimum (a component of
     null ids only has a null one). Repeated rows each keep a row. An empty table gives an empty one.
     """
-    marked = cut(fingerprints(docs, [id_col], text_col))
-    return _with_component(marked, id_col)
+    marked = cut(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), ["id"]))
+    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    return _with_component(marked, distinct, "fp", fingerprint_components(distinct)).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _with_component(marked: DataFrame, id_col: str) -> DataFrame:
-    distinct = cut(marked.groupBy("fp").agg(F.min(F.col(id_col)).alias("least")))
-    roots = fingerprint_components(distinct)
-    linked = distinct.join(roots, "fp")
+def _with_component(marked: DataFrame, distinct: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+    """marked with component_id, the least id of the nodes that roots (node, root) puts together; others are by themselves."""
+    linked = distinct.join(roots, node)
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = linked.join(least, "root").select("fp", "component_id")
+    members = linked.join(least, "root").select(node, "component_id")
     # a table of its own, so that the join of all rows is one of two plain exchanges, which Spark splits where a fingerprint is hot
-    groups = cut(distinct.join(members, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return marked.join(groups, "fp", "left")
+    groups = cut(distinct.join(members, node, "left").select(node, F.coalesce("component_id", "least").alias("component_id")))
+    return marked.join(groups, node, "left")
+
+
+def _add_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps, sketches = (batch.column(i).to_numpy() for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_of(fps, sketches))], ["fp", "sketch", "least", "node"])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component kept: the one of the smallest id (of repeated ids, the one whose row hashes least).
 
-    Rows without a word all share fingerprint 0, so one of them is kept. Columns as in docs.
+    Texts are near-duplicates by their shingles of WIDE_SHINGLE words, as the module says. Rows without a word all share
+    fingerprint 0, so one of them is kept. Null ids come after all others. Columns as in docs, whatever their names; an
+    empty table stays empty.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     row = F.xxhash64(*columns)
     # an id and the hash of its row name a row up to exact repeats, of which one is kept
-    marked = cut(fingerprints(docs.withColumn("__row", row), [id_col, "__row"], text_col))
-    grouped = _with_component(marked, id_col)
-    kept = grouped.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id", "__row").agg(F.count("*").alias("__n"))
-    kept = cut(kept.groupBy("component_id").agg(F.min_by(F.struct("__row", "__n"), "__row").alias("__k")).select(F.col("component_id").alias("__id"), "__k.*").withColumnRenamed("__row", "__kept"))
-    tagged = docs.withColumn("__row", row)
-    out = tagged.join(kept, tagged[id_col].eqNullSafe(kept["__id"]) & (F.col("__row") == F.col("__kept")), "left_semi")
-    if not kept.where("__n > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__row"])  # rows equal in all columns
-    return out.select(*columns)
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), row.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    marked = cut(fingerprints(slim, ["id", "row"], shingle=WIDE_SHINGLE, sketched=True))
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    distinct = cut(marked.groupBy("fp", "sketch").agg(F.min("id").alias("least")).mapInArrow(_add_nodes, f"fp bigint, sketch bigint, least {id_kind}, node bigint"))
+    roots = connected_components(fingerprint_links(distinct, wide=True)).select("node", F.col("label").alias("root"))
+    grouped = _with_component(marked.join(distinct.select("fp", "sketch", "node"), ["fp", "sketch"]), distinct, "node", roots)
+    kept = grouped.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "row").agg(F.count("*").alias("n"))
+    kept = cut(kept.groupBy("component_id").agg(F.min_by(F.struct("row", "n"), "row").alias("k")).select(F.col("component_id").alias("kept_id"), F.col("k.row").alias("kept_row"), F.col("k.n").alias("n")))
+    tagged = docs.select(F.struct(*columns).alias("all"), F.col(f"`{id_col}`").alias("id"), row.alias("row"))
+    out = tagged.join(kept.select("kept_id", "kept_row"), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")), "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["id", "row"])  # rows equal in all columns
+    return out.select(*[F.col(f"all.`{c}`").alias(c) for c in docs.columns])
