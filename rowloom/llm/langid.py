@@ -12,12 +12,12 @@ and the least probability at which a prediction is accepted.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from rowloom.llm.common import CHUNK_BYTES, lower_ascii, text_chunks
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (2, 3, 4)
 SAMPLE, MOST_ROWS = 400, 80_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # by Unicode category: no fractions, exponents or Roman numerals
 _KEYS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -85,11 +85,15 @@ class Model:
     def probabilities(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
         total, count = np.zeros((rows, self.table.shape[1])), np.zeros(rows)
-        for grams, bounds in zip(*subwords(raw, offsets), strict=True):
-            some = np.flatnonzero(np.diff(bounds))
-            if len(some):
-                total[some] += np.add.reduceat(self.table[grams], bounds[:-1][some], axis=0)
-                count[some] += np.diff(bounds)[some]
+        if rows == 1 and len(raw) > 2 * CHUNK_BYTES:  # one long text: counted part by part
+            grams, times = text_subwords(raw.tobytes())
+            total[0], count[0] = times @ self.table[grams], times.sum()
+        else:
+            for grams, bounds in zip(*subwords(raw, offsets), strict=True):
+                some = np.flatnonzero(np.diff(bounds))
+                if len(some):
+                    total[some] += np.add.reduceat(self.table[grams], bounds[:-1][some], axis=0)
+                    count[some] += np.diff(bounds)[some]
         mean = total / np.maximum(count, 1)[:, None]
         logits = ((mean if self.weights is None else mean @ self.weights) + self.bias) / self.temperature
         logits -= logits.max(axis=1, keepdims=True)
@@ -171,7 +175,8 @@ def labelled_sample(docs: DataFrame, train: Column, text_col: str = "text", lang
     bounds = [(r[0], max(sample / r.n, r.least)) for r in counts]
     bounds = docs.sparkSession.createDataFrame(bounds, "__lang string, __most double")
     rows = labelled.join(F.broadcast(bounds), F.col(lang_col) == F.col("__lang")).where(draw <= F.col("__most"))
-    return [tuple(r) for r in rows.select(text_col, lang_col).limit(2 * sample * len(counts)).collect()]
+    rows = rows.select(text_col, lang_col, draw.alias("__draw")).orderBy("__draw", F.xxhash64(text_col), lang_col).limit(2 * sample * len(counts))
+    return [tuple(r)[:2] for r in rows.collect()]
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:

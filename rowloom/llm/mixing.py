@@ -1,14 +1,14 @@
 """Mixing sources to target weights: exact word quotas per source, drawn as permuted blocks and dealt out by a splitting tree.
 
-Documents fall into blocks of their source by a hash of their id. A source's quota of words takes whole passes over its
+Documents fall into blocks of their source by a hash of their id, so many that a block has about BLOCK_WORDS words. A source's quota of words takes whole passes over its
 blocks, then the blocks of one more pass in permuted order up to the quota; the block on the border is cut at a hash of
 its documents, and the last document at a word. The drawn blocks of all sources are then divided among the output shards:
 a node of the tree splits its exact block counts between two halves by a multivariate hypergeometric draw, down to single
 shards. A shard's blocks are the next ones of each source's permuted sequence, so shards are disjoint, and rows are
 shuffled within each shard by hash.
 
-Documents are never shuffled to decide what is taken: one row per source and one per drawn block are broadcast, both of a
-bounded number (MOST_SOURCES, MOST_BLOCKS).
+A row per source comes to the driver. Up to MOST_ROWS sources or drawn blocks are broadcast to the documents; more are
+joined by their keys, of which none is hot: a block has about BLOCK_WORDS words whatever its source.
 """
 
 from __future__ import annotations
@@ -26,9 +26,14 @@ from rowloom.llm.common import cut, word_count
 WEIGHTS = (5, 2, 1)
 #: The mix's words as a share of all words; the most passes over a source.
 SHARE, MOST_PASSES = 1.5, 2
-#: Bounds of what is collected or broadcast: more sources are refused, and blocks per source get fewer as sources get more.
-MOST_SOURCES, MOST_BLOCKS, MOST_SHARDS = 16_384, 1 << 16, 4096
-WORDS_PER_SHARD = 1 << 20
+BLOCK_WORDS, LEAST_BLOCKS, WORDS_PER_SHARD = 1 << 16, 16, 1 << 24
+#: Rows of about 100 bytes that a broadcast may have.
+MOST_ROWS = 1 << 17
+
+
+def small(rows: DataFrame, n: int) -> DataFrame:
+    """rows, marked for a broadcast if n says that they are few."""
+    return F.broadcast(rows) if n <= MOST_ROWS else rows
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST_PASSES) -> list[float]:
@@ -50,22 +55,22 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return out
 
 
-def split_blocks(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source for each shard, shape (shards, sources): a tree of multivariate hypergeometric draws. Sums are exact."""
-    out = np.zeros((shards, len(counts)), np.int64)
+def split_blocks(counts: np.ndarray, shards: int, seed: int) -> list[tuple[int, int, int]]:
+    """(shard, source, blocks), blocks above 0: a tree of multivariate hypergeometric draws over what each node has. Sums are exact."""
+    out: list[tuple[int, int, int]] = []
 
-    def descend(lo: int, hi: int, own: np.ndarray) -> None:
-        if hi - lo == 1:
-            out[lo] = own
+    def descend(lo: int, hi: int, sources: np.ndarray, own: np.ndarray) -> None:
+        sources, own = sources[own > 0], own[own > 0]
+        if hi - lo == 1 or not len(own):
+            out.extend((lo, int(i), int(n)) for i, n in zip(sources, own, strict=True))
             return
         mid = (lo + hi) // 2
-        n = int(own.sum())
-        take = n * (mid - lo) // (hi - lo)
-        left = np.random.default_rng((seed, lo, hi)).multivariate_hypergeometric(own, take, method="marginals") if n else own
-        descend(lo, mid, left)
-        descend(mid, hi, own - left)
+        take = int(own.sum()) * (mid - lo) // (hi - lo)
+        left = np.random.default_rng((seed, lo, hi)).multivariate_hypergeometric(own, take, method="marginals")
+        descend(lo, mid, sources, left)
+        descend(mid, hi, sources, own - left)
 
-    descend(0, shards, counts.astype(np.int64))
+    descend(0, shards, np.arange(len(counts)), counts.astype(np.int64))
     return out
 
 
@@ -75,17 +80,14 @@ class Mix:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, share: float = SHARE, shards: int | None = None, seed: int = 17):
         spark, self.seed, self.columns = docs.sparkSession, seed, (id_col, source_col, text_col)
         self.slim = slim = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
-        found = slim.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-        if len(found) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources: group them before mixing")
-        found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
+        found = sorted(slim.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r.source is None, r.source or ""))
         sizes = [r["size"] or 0 for r in found]
         goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share)
         quota = [min(round(t), MOST_PASSES * n) for t, n in zip(goal, sizes, strict=True)]
-        self.blocks = max(1, min(4096, MOST_BLOCKS // max(1, len(found))))
         passes = [divmod(q, n) if n else (0, 0) for q, n in zip(quota, sizes, strict=True)]
-        rows = [(r.source, i, n, t, *p) for i, (r, n, t, p) in enumerate(zip(found, sizes, goal, passes, strict=True))]
-        kinds = "source string, idx int, source_size long, target double, whole int, rest long"
+        self.n_sources = len(found)
+        rows = [(r.source, i, n, t, *p, max(LEAST_BLOCKS, math.ceil(n / BLOCK_WORDS))) for i, (r, n, t, p) in enumerate(zip(found, sizes, goal, passes, strict=True))]
+        kinds = "source string, idx int, source_size long, target double, whole int, rest long, blocks long"
         sources = spark.createDataFrame(rows, kinds)
 
         known = self._known(slim, sources)
@@ -99,7 +101,7 @@ class Mix:
         drawn = cut(drawn.select("idx", "block", "round", "edge", (F.row_number().over(ranks) - 1).alias("place")))
 
         # the last document of a source: where the hashes of the border block reach the words still wanted
-        edge = known.join(F.broadcast(drawn.where("edge IS NOT NULL").select("idx", "block", "edge")), ["idx", "block"])
+        edge = known.join(small(drawn.where("edge IS NOT NULL").select("idx", "block", "edge"), len(found)), ["idx", "block"])  # one a source at most
         edge = edge.where("size > 0").groupBy("idx", "edge", self._hash().alias("h")).agg(F.sum("size").alias("words"))
         run = W.partitionBy("idx").orderBy("h").rowsBetween(W.unboundedPreceding, 0)
         last = edge.withColumn("through", F.sum("words").over(run)).where("through >= edge AND through - words < edge")
@@ -108,10 +110,12 @@ class Mix:
 
         counts = {r.idx: r["count"] for r in drawn.groupBy("idx").count().collect()}
         counts = np.array([counts.get(i, 0) for i in range(len(found))], np.int64)
-        self.shards = min(MOST_SHARDS, shards or max(1, math.ceil(sum(quota) / WORDS_PER_SHARD)))
-        dealt = split_blocks(counts, self.shards, seed) if len(found) else np.zeros((self.shards, 0), np.int64)
-        ends = np.cumsum(dealt, axis=0)
-        pieces = [(int(i), int(s), int(ends[s, i] - dealt[s, i]), int(ends[s, i])) for s, i in zip(*np.nonzero(dealt), strict=True)]
+        self.shards = shards or max(1, math.ceil(sum(quota) / WORDS_PER_SHARD))
+        self.n_drawn = int(counts.sum())
+        ends, pieces = [0] * len(found), []
+        for shard, i, n in split_blocks(counts, self.shards, seed):  # by shard, so a source's places go up
+            pieces.append((i, shard, ends[i], ends[i] + n))
+            ends[i] += n
         places = spark.createDataFrame(pieces, "idx int, shard int, lo int, hi int").select("idx", "shard", F.explode(F.expr("sequence(lo, hi - 1)")).alias("place"))
         struct = F.struct("round", "shard", "edge")
         self.drawn = drawn.join(places, ["idx", "place"]).groupBy("idx", "block").agg(F.sort_array(F.collect_list(struct)).alias("rounds"))
@@ -120,16 +124,16 @@ class Mix:
         return F.xxhash64(F.lit(self.seed + 1), "doc_id")
 
     def _known(self, rows: DataFrame, sources: DataFrame) -> DataFrame:
-        """rows with what their source has, and their block. Sources are at most MOST_SOURCES."""
+        """rows with what their source has, and their block."""
         names = sources.withColumnRenamed("source", "__source")
-        out = rows.join(F.broadcast(names), rows["source"].eqNullSafe(names["__source"]), "left").drop("__source")
-        return out.withColumn("block", F.pmod(F.xxhash64(F.lit(self.seed), "doc_id"), F.lit(self.blocks)).cast("int"))
+        out = rows.join(small(names, self.n_sources), rows["source"].eqNullSafe(names["__source"]), "left").drop("__source")
+        return out.withColumn("block", F.pmod(F.xxhash64(F.lit(self.seed), "doc_id"), F.col("blocks")).cast("int"))
 
     def taken(self, rows: DataFrame) -> DataFrame:
         """rows (doc_id, source, size, ...) and placements array<struct<round, shard, words>>: where each copy goes, with its words."""
         drawn = self.drawn.withColumnsRenamed({"idx": "__idx", "block": "__block"})
         known = self._known(rows, self.sources)
-        joined = known.join(F.broadcast(drawn), (known["idx"] == drawn["__idx"]) & (known["block"] == drawn["__block"]), "left")
+        joined = known.join(small(drawn, self.n_drawn), (known["idx"] == drawn["__idx"]) & (known["block"] == drawn["__block"]), "left")
         h = self._hash()
         part = F.when(h < F.col("last_h"), F.col("size")).when(h == F.col("last_h"), F.floor(F.col("size") * F.col("last_taken") / F.col("last_words"))).otherwise(0).cast("long")
         words = lambda r: F.when(r["edge"].isNull(), F.col("size")).otherwise(part)

@@ -250,9 +250,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, text_col:
     for k, n in counts.items():
         rate = F.when(F.col("__label") == k, min(1.0, sample / n)).otherwise(rate)
     draw = F.pmod(F.xxhash64(F.lit(13), "__id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(draw < rate).limit(4 * sample)
+    chosen = known.where(draw < rate).orderBy(draw, "__id", "__label").limit(4 * sample)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").where("__text IS NOT NULL")
-    found = [(r["__text"], r["__label"]) for r in rows.limit(8 * sample).collect()]
+    found = [(r["__text"], r["__label"]) for r in rows.orderBy(draw, F.xxhash64("__text"), "__label").limit(8 * sample).collect()]
     had = {k: sum(1 for _, x in found if x == k) for k in counts}
     return [(t, k, counts[k] / had[k]) for t, k in found]
 

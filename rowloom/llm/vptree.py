@@ -7,7 +7,8 @@ vectors. A query first searches its home shard, which bounds its k-th chord; the
 leaves, whose lower bound from the triangle inequality times `factor` does not exceed it. Factor 1 is an exact search;
 larger ones prune more and may miss.
 
-Queries and rows meet by shard, the rows of a shard first, then its queries batch by batch: a task holds one shard.
+Queries and rows meet by shard, the rows of a shard first, then its queries batch by batch: a task holds one shard, or
+one of its parts where the table has more than MOST_SHARDS * SHARD_ROWS rows. A query then visits all parts of a shard.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import cut, mix64, with_floor
 
+#: The top tree has at most MOST_SHARDS leaves, which the sample can tell apart; larger tables cut every shard into parts.
 K, SHARD_ROWS, MOST_SHARDS, SAMPLE, LEAF = 5, 1024, 4096, 8192, 256
 #: Slack for rounding in chords, and in the cosines of one vector pair computed two ways.
 EPS, TIE = 1e-7, 1e-9
@@ -230,18 +232,20 @@ def nearest(rows: DataFrame, is_query: Column, k: int = K, factor: float = FACTO
     """(query_id, rank, vec_id, score): for each row of `rows` that is_query holds for, its k nearest others by cosine.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; shorter vectors count
-    as padded with zeros. Ties go to the smaller id. Rows of one id count once and never find themselves. Fewer than k
+    as padded with zeros. Ties go to the smaller id. Rows of one id count once, by their nearest vector, and never find themselves; as a
+    query such an id asks with the vector that hashes least. Fewer than k
     candidates give as many rows; an empty table gives none.
     """
     found = _usable(rows, id_col, vec_col)
-    queries = _usable(rows.where(is_query), id_col, vec_col).dropDuplicates(["id"])
+    queries = _usable(rows.where(is_query), id_col, vec_col).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
     size = found.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     shape = "query_id long, vec_id long, score double"
     if not size.n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = min(MOST_SHARDS, 1 << max(0, math.ceil(size.n / shard_rows) - 1).bit_length())
+    parts = math.ceil(size.n / (2 * shards * shard_rows))
     draw = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = found.where(draw < min(1.0, SAMPLE / size.n)).select("v").limit(2 * SAMPLE).toArrow()["v"]
+    sample = found.where(draw < min(1.0, SAMPLE / size.n)).orderBy(draw, F.xxhash64("v")).select("v").limit(2 * SAMPLE).toArrow()["v"]
     sample = vectors(sample, size.width) if len(sample) else np.ones((1, size.width))
     width, top = size.width, rows.sparkSession.sparkContext.broadcast(fit_top(unit(sample), shards))
 
@@ -263,7 +267,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = K, factor: float = FACTO
                 yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(1).take(pa.array(q)), part.column(2).take(pa.array(q)), pa.array(reach[q])], ["shard", "id", "v", "most"])
 
     def meet(asked: DataFrame) -> DataFrame:
-        held = found.mapInArrow(route, "shard long, id long, v array<double>").select("shard", F.lit(0).alias("role"), "id", "v", F.lit(2.0).alias("most"))
+        part = F.pmod(F.xxhash64(F.lit(9), "id", "v"), F.lit(parts))
+        asked = asked.withColumn("shard", F.explode(F.sequence(F.col("shard") * parts, F.col("shard") * parts + parts - 1))) if parts > 1 else asked
+        held = found.mapInArrow(route, "shard long, id long, v array<double>").select((F.col("shard") * parts + part).alias("shard"), F.lit(0).alias("role"), "id", "v", F.lit(2.0).alias("most"))
         both = held.unionByName(asked.select("shard", F.lit(1).alias("role"), "id", "v", "most"))
         dealt = both.repartition(with_floor(rows, 1), "shard").sortWithinPartitions("shard", "role", "id")
         return dealt.mapInArrow(_search(width, k, factor), shape)
