@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark) -> None:
-    """spark.checkpoint.dir holds; a local folder only where none is set."""
+    """spark.checkpoint.dir holds. Where none is set, a session of one machine gets a folder; a cluster is an error."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

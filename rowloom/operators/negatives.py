@@ -58,18 +58,58 @@ def drawn_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, seed:
     return rest if out is None else out.unionByName(rest)
 
 
-def ranked_negatives(peptides: DataFrame, pool: DataFrame, blocked: DataFrame, wanted: str, seed: int = 42, pep: str = "pep", ab: str = "ab", grp: str | None = None) -> DataFrame:
-    """(pep, ab, k): for small peptide lists, the first `wanted` (a column of peptides) admissible donors in hash order, at most
-    one per endpoint group if grp names it. Pairs peptides with the pool: for pools that a split keeps small; drawn_negatives
-    is the form for large ones."""
-    pairs = peptides.select(pep, wanted).join(pool.select(ab).distinct()).withColumn("__grp", S.endpoint_group(F.col(ab)))
-    pairs = pairs.join(blocked.select(pep, ab).distinct(), [pep, ab], "left_anti")
-    pairs = pairs.join(blocked.select(pep, S.endpoint_group(F.col(ab)).alias("__grp")).distinct(), [pep, "__grp"], "left_anti")
-    order = S.hash_order(seed, F.col(pep), F.col(ab))
-    if grp:
-        pairs = pairs.groupBy(pep, wanted, "__grp").agg(F.min_by(ab, F.struct(order, F.col(ab))).alias(ab))
-    k = F.row_number().over(W.partitionBy(pep).orderBy(order, ab))
-    return pairs.withColumn("k", k).where(F.col("k") <= F.col(wanted)).select(pep, ab, "k")
+def ranked_negatives(peptides: DataFrame, pool: DataFrame, blocked: DataFrame, wanted: str, seed: int = 42, pep: str = "pep", ab: str = "ab", distinct_groups: bool = False) -> DataFrame:
+    """(pep, ab, k): for each peptide the first `wanted` (a column of peptides) admissible donors of the pool in hash order, from
+    a place that the peptide's own hash draws, and round the end.
+
+    As many places as are wanted and blocked hold all that is wanted, so only those are looked at: work goes with wanted and
+    blocked pairs, never with peptides times pool. distinct_groups: an endpoint group has one donor in the pool, its first in
+    hash order. Fewer admissible donors than wanted give as many rows.
+    """
+    checkpoint_dir(pool.sparkSession)
+    donors = pool.select(ab).distinct().withColumn("__grp", S.endpoint_group(F.col(ab)))
+    if distinct_groups:
+        donors = donors.groupBy("__grp").agg(F.min_by(ab, F.struct(F.md5(ab), F.col(ab))).alias(ab))
+    numbered = numbered_pool(donors, ab).join(donors, ab).checkpoint()
+    size = numbered.count()
+    exact = blocked.select(pep, ab).distinct()
+    groups = blocked.select(pep, S.endpoint_group(F.col(ab)).alias("__grp")).distinct()
+    closed = groups.join(numbered, "__grp").select(pep, "idx").unionByName(exact.join(numbered, ab).select(pep, "idx")).distinct().checkpoint()
+    counts = closed.groupBy(pep).agg(F.count("*").alias("__closed"))
+    asked = peptides.select(pep, F.col(wanted).alias("__wanted")).join(counts, pep, "left")
+    places = F.least(F.col("__wanted") + F.coalesce("__closed", F.lit(0)), F.lit(size))
+    start = draw_index(max(size, 1), F.lit(str(seed)), F.col(pep))
+    asked = asked.where(places > 0).select(pep, "__wanted", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("__step"))
+    asked = asked.withColumn("idx", (start + F.col("__step")) % max(size, 1)).join(closed, [pep, "idx"], "left_anti")
+    k = F.row_number().over(W.partitionBy(pep).orderBy("__step"))
+    return asked.withColumn("k", k).where("k <= __wanted").join(numbered, "idx").select(pep, ab, "k")
+
+
+def recombined(rows: DataFrame, known: DataFrame, key: str, left: str, right: str, seed: int = 42) -> DataFrame:
+    """(left, right, n): each row's left with the right of a row that its hash draws, so both come by their frequency; pairs of
+    `known` are left out. key (a text) tells rows apart."""
+    checkpoint_dir(rows.sparkSession)
+    numbered = numbered_pool(rows, key, [right]).checkpoint()
+    size = max(1, numbered.count())
+    drawn = rows.select(key, left).distinct().withColumn("idx", draw_index(size, F.lit(str(seed)), F.col(key)))
+    pairs = drawn.join(numbered.select("idx", right), "idx").groupBy(left, right).agg(F.count("*").alias("n"))
+    return pairs.join(known.select(left, right).distinct(), [left, right], "left_anti")
+
+
+def other_targets(rows: DataFrame, target: str, a: str = "a", b: str = "b") -> DataFrame:
+    """(target, n): how many distinct receptors (a, b) of all rows share neither chain with any of the target's own.
+
+    By what share a, share b, or share both, so targets and receptors are never paired. Targets with none have no row.
+    """
+    every = rows.select(a, b).distinct()
+    own_a, own_b = rows.select(target, a).distinct(), rows.select(target, b).distinct()
+    degree = lambda c: every.groupBy(c).agg(F.count("*").alias("__d"))
+    share_a = own_a.join(degree(a), a).groupBy(target).agg(F.sum("__d").alias("__a"))
+    share_b = own_b.join(degree(b), b).groupBy(target).agg(F.sum("__d").alias("__b"))
+    both = own_a.join(every, a).join(own_b, [target, b], "left_semi").groupBy(target).agg(F.count("*").alias("__both"))
+    total = every.agg(F.count("*").alias("__n"))
+    out = share_a.join(share_b, target).join(both, target).join(F.broadcast(total))  # one row
+    return out.select(target, (F.col("__n") - F.col("__a") - F.col("__b") + F.col("__both")).alias("n")).where("n > 0")
 
 
 def balanced(df: DataFrame, cells: list[str], key: list[str], seed: int = 42) -> DataFrame:

@@ -73,15 +73,31 @@ def nearest_strings(queries: DataFrame, pool: DataFrame, text: str, start: int =
         if todo.isEmpty():
             return out
         k *= 2
-    sizes = pool.groupBy(F.length("__b").alias("__n")).count().drop("count").agg(F.collect_set("__n").alias("__sizes"))
-    far = todo.join(F.broadcast(sizes)).select(F.col(text).alias("__a"), F.explode("__sizes").alias("__n"))
-    pairs = far.join(pool.withColumn("__n", F.length("__b")), "__n").withColumn("d", F.levenshtein("__a", "__b"))
-    return out.unionByName(_closest(pairs).withColumnRenamed("__a", text))
-
-
-def _closest(pairs: DataFrame) -> DataFrame:
+    # strings whose lengths differ by more than the best distance so far can't be nearer
+    pool = pool.withColumn("__n", F.length("__b")).checkpoint()
+    longest = pool.agg(F.max("__n")).first()[0] or 0
+    farthest = max(longest, todo.agg(F.max(F.length(text))).first()[0] or 0)
+    todo, before, reach = todo.withColumnRenamed(text, "__a"), -1, most
+    best = None
+    while not todo.isEmpty():
+        away = F.filter(F.sequence(F.length("__a") - reach, F.length("__a") + reach), lambda n: (F.abs(n - F.length("__a")) > before) & n.between(0, longest))
+        met = todo.select("__a", F.explode(away).alias("__n")).join(pool, "__n").select("__a", "__b", F.levenshtein("__a", "__b").alias("d"))
+        per = met.groupBy("__a", "d").agg(F.min("__b").alias("__b"), F.count("*").alias("n"))
+        per = (per if best is None else per.unionByName(best)).groupBy("__a", "d").agg(F.min("__b").alias("__b"), F.sum("n").alias("n"))
+        best = per.join(per.groupBy("__a").agg(F.min("d").alias("d")), ["__a", "d"]).checkpoint()
+        if reach >= farthest:
+            return out.unionByName(_closest(best, "n").withColumnRenamed("__a", text))
+        done = best.where(F.col("d") <= reach)  # ties of all lengths are counted too
+        out = out.unionByName(_closest(done, "n").withColumnRenamed("__a", text))
+        todo = todo.join(done, "__a", "left_anti").checkpoint()
+        best = best.join(todo, "__a", "left_semi")
+        before, reach = reach, 2 * reach
+    return out
+
+
+def _closest(pairs: DataFrame, counted: str | None = None) -> DataFrame:
     """Counts per (a, d) first, so that a query with many neighbours is summed before it is shuffled."""
-    per = pairs.groupBy("__a", "d").agg(F.min("__b").alias("__b"), F.count("*").alias("n"))
+    per = pairs.groupBy("__a", "d").agg(F.min("__b").alias("__b"), (F.sum(counted) if counted else F.count("*")).alias("n"))
     best = per.groupBy("__a").agg(F.min(F.struct("d", "__b", "n")).alias("m"))
     return best.select("__a", F.col("m.d").alias("min_edit_distance"), F.col("m.__b").alias("nearest"), F.col("m.n").alias("nearest_ties"))
 

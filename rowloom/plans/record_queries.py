@@ -280,7 +280,7 @@ add("I10_decode", lambda s, d: _NAMES(s, d).select("p_name", S.decode(S.pad_toke
 _HELICITY = "('A',1.24),('B',0.92),('C',0.79),('D',0.89),('E',0.85),('F',1.26),('G',1.15),('H',0.97),('I',1.29),('K',0.88),('L',1.28),('M',1.22),('N',0.94),('P',0.57),('Q',0.96),('R',0.95),('S',1.00),('T',1.09),('V',1.27),('W',1.07),('X',1.29),('Y',1.11),('Z',0.91),('*',1.04),('@',0)"
 add("I11_properties", lambda s, d: _NAMES(s, d).select("p_name", F.explode(S.properties(S.letters(F.col("x")), "helicity")).alias("v")).groupBy("p_name").agg(F.round(F.sum("v"), 6).alias("total"), F.count("v").alias("n")), f"WITH {_N}, v(k, v) AS (VALUES {_HELICITY}), c AS (SELECT p_name, unnest(string_split(x, '')) AS k FROM n) SELECT p_name, round(sum(v::DOUBLE), 6) AS total, count(v) AS n FROM c LEFT JOIN v USING (k) GROUP BY p_name")
 add("I12_substituted", lambda s, d: _NAMES(s, d).select("p_name", F.aggregate(S.substituted(S.letters(F.col("x")), {"A": [1.0, 2.0], "K": [3.0, 4.0], "E": [5.0, 6.0]}), F.lit(0.0), lambda a, v: a + F.coalesce(v[0] * v[1], F.lit(0.0))).alias("s")), f"WITH {_N}, c AS (SELECT p_name, unnest(string_split(x, '')) AS k FROM n) SELECT p_name, sum(CASE k WHEN 'A' THEN 2.0::DOUBLE WHEN 'K' THEN 12 WHEN 'O' THEN 12 WHEN 'E' THEN 30 ELSE 0 END) AS s FROM c GROUP BY p_name")
-add("I14_contacts", lambda s, d: table(s, d, "embeddings").where("vec_id < 100").select("vec_id", F.posexplode("embedding").alias("p", "x")).select("vec_id", F.floor(F.col("p") / 8).alias("i"), (F.col("p") % 8).cast("long").alias("j"), (F.abs("x") * 40 < 5).alias("contact")).where("contact AND i < 6"), "SELECT vec_id, (p - 1) // 8 AS i, (p - 1) % 8 AS j, TRUE AS contact FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings WHERE vec_id < 100) WHERE abs(x) * 40 < 5 AND (p - 1) // 8 < 6")
+add("I14_contacts", lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x")).select("vec_id", F.floor(F.col("p") / 8).alias("i"), (F.col("p") % 8).cast("long").alias("j"), (F.abs("x") * 40 < 5).alias("contact")).where("contact"), "SELECT vec_id, (p - 1) // 8 AS i, (p - 1) % 8 AS j, TRUE AS contact FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) WHERE abs(x) * 40 < 5")
 add("I15_masked_tokens", lambda s, d: _NAMES(s, d).select("p_name", F.array_join(S.masked_tokens(S.letters(F.col("x")), F.col("p_name"), 0.15, 42), "").alias("masked")), f"WITH {_N}, c AS (SELECT p_name, unnest(string_split(x, '')) AS k, generate_subscripts(string_split(x, ''), 1) - 1 AS i FROM n) SELECT p_name, string_agg(CASE WHEN ('0x' || substr(md5('42|' || p_name || '|' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < 0.15 THEN '*' ELSE k END, '' ORDER BY i) AS masked FROM c GROUP BY p_name")
 add("I17_batch_ids", lambda s, d: _NAMES(s, d).select("p_name", _IDS(S.pad_tokens(S.encode(S.letters(F.col("x")), S.COMPACT_ORDER, 0, 20), 20, F.lit(20))).alias("ids")), f"WITH {_N} SELECT p_name, array_to_string(list_transform(string_split(substr(rpad(x, 20, '-'), 1, 20), ''), lambda c: CASE WHEN instr('{S.COMPACT_ORDER}', c) > 0 THEN instr('{S.COMPACT_ORDER}', c) - 1 ELSE 20 END), ',') AS ids FROM n")
 

@@ -23,8 +23,8 @@ def _part(flag):
 _A, _N, _R = _part("A"), _part("N"), _part("R")
 # --- C: joins ---------------------------------------------------------------------------------------------------------
 add(
-    "C1_blocked_pairs", lambda s, d: joins.blocked_pairs(_A(s, d).where("l_suppkey < 20"), _A(s, d)),
-    "{P}, g AS (SELECT DISTINCT pep, grp FROM pairs WHERE l_returnflag = 'A' AND l_suppkey < 20), p AS (SELECT DISTINCT ab, grp FROM pairs WHERE l_returnflag = 'A') SELECT pep, ab FROM g JOIN p USING (grp) UNION SELECT pep, ab FROM pairs WHERE l_returnflag = 'A' AND l_suppkey < 20",
+    "C1_blocked_pairs", lambda s, d: joins.blocked_pairs(_A(s, d), _A(s, d)),
+    "{P}, g AS (SELECT DISTINCT pep, grp FROM pairs WHERE l_returnflag = 'A'), p AS (SELECT DISTINCT ab, grp FROM pairs WHERE l_returnflag = 'A') SELECT pep, ab FROM g JOIN p USING (grp) UNION SELECT pep, ab FROM pairs WHERE l_returnflag = 'A'",
 )
 add(
     "C2_many_to_one", lambda s, d: joins.many_to_one(table(s, d, "nation"), table(s, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), ["n_regionkey"]).select("n_name", "r_name"),
@@ -80,7 +80,9 @@ add("D2_key_overlaps", lambda s, d: joins.key_overlaps({"train": _A(s, d), "vali
 add("D3_difference", lambda s, d: _A(s, d).select("pep", "mhc", "brand").subtract(_N(s, d).select("pep", "mhc", "brand")), "WITH {P} SELECT pep, mhc, brand FROM pairs WHERE l_returnflag = 'A' EXCEPT SELECT pep, mhc, brand FROM pairs WHERE l_returnflag = 'N'")
 add("D4_universe", lambda s, d: _A(s, d).select("pep").union(_R(s, d).select("pep")).distinct(), "WITH {P} SELECT pep FROM pairs WHERE l_returnflag = 'A' UNION SELECT pep FROM pairs WHERE l_returnflag = 'R'")
 add("D5_same_sets", lambda s, d: joins.same_sets(_A(s, d), _N(s, d), ["pep", "l_suppkey"]), "WITH {P}, a AS (SELECT DISTINCT pep, l_suppkey FROM pairs WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT pep, l_suppkey FROM pairs WHERE l_returnflag = 'N') SELECT (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS only_a, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS only_b")
-add("D6_fold_intersection", lambda s, d: pairs(s, d).where((F.crc32("pep") % 5 == 1) & (F.crc32("brand") % 3 == 0)).groupBy("pep", "brand").agg(F.count("*").alias("n")))
+_FOLD = lambda c, n: F.floor(S.hash_uniform(F.lit("42"), F.col(c)) * n)
+_FOLD_SQL_OF = lambda c, n: f"floor(('0x' || substr(md5('42|' || {c}), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * {n})"
+add("D6_fold_intersection", lambda s, d: pairs(s, d).where((_FOLD("pep", 5) == 1) & (_FOLD("brand", 3) == 0)).groupBy("pep", "brand").agg(F.count("*").alias("n")), f"{{P}} SELECT pep, brand, count(*) AS n FROM pairs WHERE {_FOLD_SQL_OF('pep', 5)} = 1 AND {_FOLD_SQL_OF('brand', 3)} = 0 GROUP BY ALL")
 
 # --- E: aggregates ----------------------------------------------------------------------------------------------------
 add("E1_group_sizes", lambda s, d: pairs(s, d).groupBy("pep").agg(F.count("*").alias("n")), "{P} SELECT pep, count(*) AS n FROM pairs GROUP BY pep")
@@ -122,7 +124,7 @@ def _tail(s, d):
 add("F2_frequency_tail", _tail, "WITH {P}, c AS (SELECT pep, count(*) AS n FROM pairs GROUP BY pep) SELECT pep, n FROM c QUALIFY row_number() OVER (ORDER BY n, pep) <= floor(0.8::DOUBLE * count(*) OVER ())")
 add("F3_sorted", lambda s, d: pairs(s, d).groupBy("brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "brand"), "{P} SELECT brand, count(*) AS n FROM pairs GROUP BY brand ORDER BY n DESC, brand")
 add("F4_best_row", lambda s, d: pairs(s, d).groupBy("pep").agg(F.max(F.struct("score", F.col("l_orderkey"), F.col("ab"))).alias("m")).select("pep", F.round("m.score", 6).alias("score"), "m.l_orderkey", "m.ab"), "{P} SELECT pep, round(score, 6) AS score, l_orderkey, ab FROM pairs QUALIFY row_number() OVER (PARTITION BY pep ORDER BY score DESC, l_orderkey DESC, ab DESC) = 1")
-add("F6_candidate_order", lambda s, d: _peers(s, d).orderBy(F.desc("peers"), "tie", *_KEY).limit(50), "WITH {P}, k AS (SELECT pep, mhc, grp, count(DISTINCT l_returnflag) AS peers FROM pairs GROUP BY ALL) SELECT *, md5('42|' || pep || '|' || mhc || '|' || grp) AS tie FROM k ORDER BY peers DESC, tie, pep, mhc, grp LIMIT 50")
+add("F6_candidate_order", lambda s, d: _peers(s, d).orderBy(F.desc("peers"), "tie", *_KEY), "WITH {P}, k AS (SELECT pep, mhc, grp, count(DISTINCT l_returnflag) AS peers FROM pairs GROUP BY ALL) SELECT *, md5('42|' || pep || '|' || mhc || '|' || grp) AS tie FROM k ORDER BY peers DESC, tie, pep, mhc, grp")
 add("F7_first_offenders", lambda s, d: pairs(s, d).where("l_discount > 0.05").orderBy(*ORDER).limit(5).select("l_orderkey", "l_linenumber", "pep"), "{P} SELECT l_orderkey, l_linenumber, pep FROM pairs WHERE l_discount > 0.05 ORDER BY {O} LIMIT 5")
 
 
@@ -198,7 +200,7 @@ add("L2_windowed_counts", lambda s, d: _R6(stateless.tumbling_counts(table(s, d,
 _W = [((i * 7) % 11 - 5) / 10 for i in range(64)]
 _W_SQL = "[" + ", ".join(f"{w}::DOUBLE" for w in _W) + "]"
 add("M5_linear_head", lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(scoring.logistic(scoring.linear_score(F.col("embedding"), _W, 0.25)), 6).alias("score")), f"SELECT vec_id, round(1 / (1 + exp(-(0.25::DOUBLE + list_sum(list_transform(generate_series(1, 64), lambda i: embedding[i]::DOUBLE * {_W_SQL}[i]))))), 6) AS score FROM embeddings")
-add("M4_scored_distinct", lambda s, d: scoring.scored_distinct(pairs(s, d), "pep", lambda k: k.withColumn("score_of", F.crc32("pep") % 100)).groupBy("brand").agg(F.sum("score_of").alias("total")))
+add("M4_scored_distinct", lambda s, d: scoring.scored_distinct(pairs(s, d), "pep", lambda k: k.withColumn("score_of", F.length("pep") * 7 % 5)).groupBy("brand").agg(F.sum("score_of").alias("total")), "{P} SELECT brand, sum(length(pep) * 7 % 5)::BIGINT AS total FROM pairs GROUP BY brand")
 add("M3_batch_scorer", lambda s, d: scoring.batch_scorer(lambda: lambda frame: frame["p_size"] * 2.0 + frame["p_name"].str.len(), table(s, d, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", "score"), "SELECT p_partkey, p_size * 2.0::DOUBLE + length(p_name) AS score FROM part")
 add("M1_adapter", lambda s, d: scoring.ADAPTERS["single_chain"]().convert(pairs(s, d).withColumns({"row_id": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "pep": F.replace("pep", F.lit(" "), F.lit("")), "ab": F.translate("ab", "0123456789OB", "ACDEFGHIKLMN")})).groupBy("peptide", "tcr").agg(F.count("*").alias("n")), f"WITH {{P}}, o AS (SELECT upper(replace(pep, ' ', '')) AS peptide, split_part(translate(ab, '0123456789OB', 'ACDEFGHIKLMN'), '/', 2) AS tcr FROM pairs) SELECT peptide, tcr, count(*) AS n FROM o WHERE regexp_full_match(peptide, '[{S.STANDARD}]{{1,34}}') AND regexp_full_match(tcr, '[{S.STANDARD}]{{1,34}}') GROUP BY ALL")
 add("N1_self_blocked", lambda s, d: _A(s, d).where("label = 0").join(_A(s, d).where("label = 1").select("pep", "ab").distinct(), ["pep", "ab"], "left_anti").groupBy("pep").agg(F.count("*").alias("n")), "{P} SELECT pep, count(*) AS n FROM pairs a WHERE l_returnflag = 'A' AND label = 0 AND NOT EXISTS (SELECT 1 FROM pairs b WHERE b.l_returnflag = 'A' AND b.label = 1 AND b.pep = a.pep AND b.ab = a.ab) GROUP BY pep")

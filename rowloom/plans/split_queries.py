@@ -41,7 +41,7 @@ def _selected(s, d):
 
 
 add("G3_selection_report", _selected)
-add("G4_apply_validation", lambda s, d: splits.apply_validation(_flag(s, d, "N"), _flag(s, d, "A").where("l_suppkey < 10"), "pair_stratified").groupBy("pep").agg(F.count("*").alias("n")), "{P} SELECT pep, count(*) AS n FROM pairs a WHERE l_returnflag = 'N' AND NOT EXISTS (SELECT 1 FROM pairs b WHERE b.l_returnflag = 'A' AND b.l_suppkey < 10 AND b.pep = a.pep AND b.mhc = a.mhc AND b.grp = a.grp) GROUP BY pep")
+add("G4_apply_validation", lambda s, d: splits.apply_validation(_flag(s, d, "N"), _flag(s, d, "R"), "pair_stratified").groupBy("pep").agg(F.count("*").alias("n")), "{P} SELECT pep, count(*) AS n FROM pairs a WHERE l_returnflag = 'N' AND NOT EXISTS (SELECT 1 FROM pairs b WHERE b.l_returnflag = 'R' AND b.pep = a.pep AND b.mhc = a.mhc AND b.grp = a.grp) GROUP BY pep")
 for _k in (1, 2, 3):
     add(
         f"G5_single_linkage_{_k}", lambda s, d, k=_k: neighbors.single_linkage(table(s, d, "part"), "p_name", k),
@@ -87,20 +87,24 @@ add("G11_group_folds", _group_folds)
 add("G12_ratio_split", lambda s, d: splits.ratio_split(pairs(s, d).select("pep", "ab").distinct().withColumn("k", F.concat_ws("/", "pep", "ab")), "k", 0.2).groupBy("split").agg(F.count("*").alias("n")), "{P} SELECT CASE WHEN ('0x' || substr(md5('42|' || pep || '/' || ab), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < 0.2 THEN 'valid' ELSE 'train' END AS split, count(DISTINCT pep || '|' || ab) AS n FROM pairs GROUP BY 1")
 
 # --- H: negatives -----------------------------------------------------------------------------------------------------
-_POS = lambda s, d: _flag(s, d, "A").where("l_suppkey < 15")
-_RANKED = """WITH {P}, pos AS (SELECT * FROM pairs WHERE l_returnflag = 'A' AND l_suppkey < 15), pool AS (SELECT DISTINCT ab, grp FROM pairs WHERE l_returnflag = 'A'),
-want AS (SELECT pep, least(count(DISTINCT ab), 10) AS wanted FROM pos GROUP BY pep), blocked AS (SELECT DISTINCT pep, grp FROM pos),
-c AS (SELECT w.pep, w.wanted, p.ab, p.grp, md5('42|' || w.pep || '|' || p.ab) AS h FROM want w, pool p WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.pep = w.pep AND b.grp = p.grp))"""
+# Places of a pool in hash order, and how many of them a peptide has to look at: what it wants and what is blocked for it.
+_RANKED = """, num AS (SELECT ab, grp, row_number() OVER (ORDER BY md5(ab), ab) - 1 AS idx, count(*) OVER () AS size FROM pool), closed AS (SELECT DISTINCT pep, idx FROM pos JOIN num ON num.grp = pos.grp OR num.ab = pos.ab),
+asked AS (SELECT pep, wanted, (SELECT max(size) FROM num) AS size, unnest(range(least(wanted + (SELECT count(*) FROM closed c WHERE c.pep = want.pep), (SELECT max(size) FROM num))::BIGINT)) AS step FROM want),
+placed AS (SELECT pep, wanted, step, (floor(('0x' || substr(md5('42|' || pep), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * size)::BIGINT + step) % size AS idx FROM asked),
+open AS (SELECT *, row_number() OVER (PARTITION BY pep ORDER BY step) AS k FROM placed p WHERE NOT EXISTS (SELECT 1 FROM closed c WHERE c.pep = p.pep AND c.idx = p.idx)),
+found AS (SELECT pep, ab, k FROM open JOIN num USING (idx) WHERE k <= wanted)"""
+_POOL = "WITH {P}, pos AS (SELECT DISTINCT pep, ab, grp FROM pairs WHERE l_returnflag = 'A'), pool AS (SELECT DISTINCT ab, grp FROM pos)"
+_WANT = ", want AS (SELECT pep, count(DISTINCT ab) AS wanted FROM pos GROUP BY pep)"
 
 
-def _ranked(s, d, grp=None):
-    pos = _POS(s, d)
-    want = pos.groupBy("pep").agg(F.least(F.countDistinct("ab"), F.lit(10)).alias("wanted"))
-    return negatives.ranked_negatives(want, _flag(s, d, "A"), pos, "wanted", grp=grp)
+def _ranked(s, d, times=1, **options):
+    pos = _flag(s, d, "A")
+    want = pos.groupBy("pep").agg((F.lit(times) * F.countDistinct("ab")).alias("wanted"))
+    return negatives.ranked_negatives(want, pos, pos, "wanted", **options)
 
 
-add("H1_ranked_negatives", _ranked, _RANKED + " SELECT pep, ab, row_number() OVER (PARTITION BY pep ORDER BY h, ab) AS k FROM c QUALIFY k <= max(wanted) OVER (PARTITION BY pep)")
-add("H2_distinct_groups", lambda s, d: _ranked(s, d, "grp"), _RANKED + ", f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY pep, grp ORDER BY h, ab) = 1) SELECT pep, ab, row_number() OVER (PARTITION BY pep ORDER BY h, ab) AS k FROM f QUALIFY k <= max(wanted) OVER (PARTITION BY pep)")
+add("H1_ranked_negatives", _ranked, _POOL + _WANT + _RANKED + " SELECT pep, ab, k FROM found")
+add("H2_distinct_groups", lambda s, d: _ranked(s, d, distinct_groups=True), _POOL.replace("pool AS (SELECT DISTINCT ab, grp FROM pos)", "pool AS (SELECT DISTINCT ab, grp FROM pos QUALIFY row_number() OVER (PARTITION BY grp ORDER BY md5(ab), ab) = 1)") + _WANT + _RANKED + " SELECT pep, ab, k FROM found")
 
 
 def _drawn(s, d):
@@ -110,9 +114,23 @@ def _drawn(s, d):
 
 
 add("H1_drawn_negatives", _drawn)
-add("H3_domain_negatives", lambda s, d: negatives.ranked_negatives(_POS(s, d).groupBy(F.concat_ws("|", "l_linestatus", "pep").alias("pep")).agg(F.lit(3).cast("long").alias("wanted")), _flag(s, d, "A"), _POS(s, d).select(F.concat_ws("|", "l_linestatus", "pep").alias("pep"), "ab"), "wanted"), "WITH {P}, pos AS (SELECT l_linestatus || '|' || pep AS pep, ab, grp FROM pairs WHERE l_returnflag = 'A' AND l_suppkey < 15), pool AS (SELECT DISTINCT ab, grp FROM pairs WHERE l_returnflag = 'A'), c AS (SELECT w.pep, p.ab, md5('42|' || w.pep || '|' || p.ab) AS h FROM (SELECT DISTINCT pep FROM pos) w, pool p WHERE NOT EXISTS (SELECT 1 FROM pos b WHERE b.pep = w.pep AND b.grp = p.grp)) SELECT pep, ab, row_number() OVER (PARTITION BY pep ORDER BY h, ab) AS k FROM c QUALIFY k <= 3")
-_CHAIN = lambda df: df.withColumn("ab", S.last_part(F.col("ab")))
-add("H4_single_chain_negatives", lambda s, d: negatives.ranked_negatives(_CHAIN(_POS(s, d)).where("l_linenumber < 3").groupBy("pep").agg(F.lit(2).cast("long").alias("wanted")), _CHAIN(_flag(s, d, "A")), _CHAIN(_POS(s, d)).where("l_linenumber < 3"), "wanted"), "WITH {P}, pos AS (SELECT pep, split_part(ab, '/', 2) AS ab, split_part(grp, '/', 2) AS grp FROM pairs WHERE l_returnflag = 'A' AND l_suppkey < 15 AND l_linenumber < 3), pool AS (SELECT DISTINCT split_part(ab, '/', 2) AS ab, split_part(grp, '/', 2) AS grp FROM pairs WHERE l_returnflag = 'A'), c AS (SELECT w.pep, p.ab, md5('42|' || w.pep || '|' || p.ab) AS h FROM (SELECT DISTINCT pep FROM pos) w, pool p WHERE NOT EXISTS (SELECT 1 FROM pos b WHERE b.pep = w.pep AND (b.grp = p.grp OR b.ab = p.ab))) SELECT pep, ab, row_number() OVER (PARTITION BY pep ORDER BY h, ab) AS k FROM c QUALIFY k <= 2")
+
+
+def _domains(s, d):
+    pos = _flag(s, d, "A").withColumn("pep", F.concat_ws("|", "l_linestatus", "pep"))
+    return negatives.ranked_negatives(pos.select("pep", F.lit(3).cast("long").alias("wanted")).distinct(), pos, pos, "wanted")
+
+
+add("H3_domain_negatives", _domains, _POOL.replace("SELECT DISTINCT pep, ab", "SELECT DISTINCT l_linestatus || '|' || pep AS pep, ab").replace("DISTINCT ab, grp FROM pos", "DISTINCT ab, grp FROM pos") + ", want AS (SELECT DISTINCT pep, 3 AS wanted FROM pos)" + _RANKED + " SELECT pep, ab, k FROM found")
+
+
+def _single_chains(s, d):
+    """Two second chains for each part that none of its own pairs has."""
+    pos = _flag(s, d, "A").select(F.concat_ws("|", "pep", "l_partkey").alias("pep"), S.last_part(F.col("ab")).alias("ab"))
+    return negatives.ranked_negatives(pos.select("pep", F.lit(2).cast("long").alias("wanted")).distinct(), pos, pos, "wanted")
+
+
+add("H4_single_chain_negatives", _single_chains, _POOL.replace("SELECT DISTINCT pep, ab, grp", "SELECT DISTINCT pep || '|' || l_partkey AS pep, split_part(ab, '/', 2) AS ab, split_part(grp, '/', 2) AS grp") + ", want AS (SELECT DISTINCT pep, 2 AS wanted FROM pos)" + _RANKED + " SELECT pep, ab, k FROM found")
 
 
 def _epochs(s, d):
@@ -126,29 +144,16 @@ add("H5_epoch_negatives", _epochs)
 
 
 def _recombined(s, d):
-    """Peptides and receptors drawn by frequency, known pairs left out."""
-    p = _flag(s, d, "A")
-    pep = p.groupBy("kind").agg(F.count("*").alias("np"))
-    rec = p.groupBy("brand").agg(F.count("*").alias("nr"))
-    known = p.where("l_linenumber = 1 AND l_suppkey < 3").select("kind", "brand").distinct()
-    free = pep.join(rec).join(known, ["kind", "brand"], "left_anti")
-    return free.select("kind", "brand", F.round(negatives.weighted_order(F.col("np") * F.col("nr"), F.lit("42"), F.col("kind"), F.col("brand")) * 1e6, 6).alias("w")).orderBy("w", "kind", "brand").limit(40)
-
-
-add("H7_weighted_recombination", _recombined, "WITH {P}, a AS (SELECT * FROM pairs WHERE l_returnflag = 'A'), k AS (SELECT kind, count(*) AS np FROM a GROUP BY kind), r AS (SELECT brand, count(*) AS nr FROM a GROUP BY brand) SELECT kind, brand, round(-ln(greatest(('0x' || substr(md5('42|' || kind || '|' || brand), 1, 13))::BIGINT::DOUBLE / 4503599627370496, 1e-12)) / (np * nr) * 1e6, 6) AS w FROM k, r WHERE (kind, brand) NOT IN (SELECT (kind, brand) FROM a WHERE l_linenumber = 1 AND l_suppkey < 3) ORDER BY w, kind, brand LIMIT 40")
-add("H8_shuffled_ratio", lambda s, d: negatives.ranked_negatives(_POS(s, d).groupBy("pep").agg((F.lit(2) * F.countDistinct("ab")).alias("wanted")), _flag(s, d, "A"), _POS(s, d), "wanted").groupBy("pep").agg(F.count("*").alias("n")), _RANKED.replace("least(count(DISTINCT ab), 10)", "2 * count(DISTINCT ab)") + " SELECT pep, least(count(*), max(wanted)) AS n FROM c GROUP BY pep")
-
-
-def _other_targets(s, d):
-    """Receptors of other peptides that share neither chain with the peptide's own."""
-    pos = _POS(s, d).where("l_quantity < 2").select("brand", F.split("ab", "/")[0].alias("a"), F.split("ab", "/")[1].alias("b")).distinct()
-    own_a, own_b = pos.select("brand", "a").distinct(), pos.select("brand", "b").distinct()
-    cand = pos.select(F.col("brand").alias("from"), "a", "b").join(pos.select("brand").distinct(), F.col("from") != F.col("brand"))
-    return cand.join(own_a, ["brand", "a"], "left_anti").join(own_b, ["brand", "b"], "left_anti").select("brand", "a", "b").distinct().groupBy("brand").agg(F.count("*").alias("n"))
+    """Parts and suppliers drawn by frequency, known pairs left out."""
+    rows = _flag(s, d, "A").withColumn("k", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return negatives.recombined(rows, rows, "k", "l_partkey", "l_suppkey")
 
 
-add("H9_other_targets", _other_targets, "WITH {P}, p AS (SELECT DISTINCT brand, split_part(ab, '/', 1) AS a, split_part(ab, '/', 2) AS b FROM pairs WHERE l_returnflag = 'A' AND l_suppkey < 15 AND l_quantity < 2), c AS (SELECT DISTINCT t.brand, p.a, p.b FROM p, (SELECT DISTINCT brand FROM p) t WHERE p.brand <> t.brand) SELECT brand, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.brand = c.brand AND p.a = c.a) AND NOT EXISTS (SELECT 1 FROM p WHERE p.brand = c.brand AND p.b = c.b) GROUP BY brand")
-add("H10_exclusion_table", lambda s, d: joins.blocked_pairs(_POS(s, d), _flag(s, d, "A")).groupBy("pep").agg(F.count("*").alias("n")), "WITH {P}, g AS (SELECT DISTINCT pep, grp FROM pairs WHERE l_returnflag = 'A' AND l_suppkey < 15), d AS (SELECT DISTINCT ab, grp FROM pairs WHERE l_returnflag = 'A') SELECT pep, count(DISTINCT ab) AS n FROM g JOIN d USING (grp) GROUP BY pep")
+add("H7_weighted_recombination", _recombined, "WITH {P}, r AS (SELECT DISTINCT l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS k, l_partkey, l_suppkey FROM pairs WHERE l_returnflag = 'A'), m AS (SELECT *, row_number() OVER (ORDER BY md5(k || '|' || l_suppkey), k, l_suppkey) - 1 AS idx, count(*) OVER () AS size FROM r), w AS (SELECT l_partkey, floor(('0x' || substr(md5('42|' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * size)::BIGINT AS idx FROM m) SELECT w.l_partkey, m.l_suppkey, count(*) AS n FROM w JOIN m USING (idx) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.l_partkey = w.l_partkey AND r.l_suppkey = m.l_suppkey) GROUP BY ALL")
+add("H8_shuffled_ratio", lambda s, d: _ranked(s, d, 2).groupBy("pep").agg(F.count("*").alias("n")), _POOL + _WANT.replace("count(DISTINCT ab)", "2 * count(DISTINCT ab)") + _RANKED + " SELECT pep, count(*) AS n FROM found GROUP BY pep")
+_CHAINS = lambda s, d: _flag(s, d, "A").select("l_partkey", F.split("ab", "/")[0].alias("a"), F.split("ab", "/")[1].alias("b"))
+add("H9_other_targets", lambda s, d: negatives.other_targets(_CHAINS(s, d), "l_partkey"), "WITH {P}, p AS (SELECT DISTINCT l_partkey, split_part(ab, '/', 1) AS a, split_part(ab, '/', 2) AS b FROM pairs WHERE l_returnflag = 'A'), c AS (SELECT t.l_partkey, r.a, r.b FROM (SELECT DISTINCT l_partkey FROM p) t, (SELECT DISTINCT a, b FROM p) r) SELECT l_partkey, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l_partkey = c.l_partkey AND p.a = c.a) AND NOT EXISTS (SELECT 1 FROM p WHERE p.l_partkey = c.l_partkey AND p.b = c.b) GROUP BY l_partkey")
+add("H10_exclusion_table", lambda s, d: joins.blocked_pairs(_flag(s, d, "A"), _flag(s, d, "A")).groupBy("pep").agg(F.count("*").alias("n")), "WITH {P}, g AS (SELECT DISTINCT pep, grp FROM pairs WHERE l_returnflag = 'A'), d AS (SELECT DISTINCT ab, grp FROM pairs WHERE l_returnflag = 'A') SELECT pep, count(DISTINCT ab) AS n FROM g JOIN d USING (grp) GROUP BY pep")
 add("H11_balanced_cells", lambda s, d: negatives.balanced(pairs(s, d).select("kind", "label", "pep", "ab").distinct(), ["kind", "label"], ["pep", "ab"]), "WITH {P}, k AS (SELECT DISTINCT kind, label, pep, ab FROM pairs), m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM k GROUP BY kind, label)) SELECT kind, label, pep, ab FROM k QUALIFY row_number() OVER (PARTITION BY kind, label ORDER BY md5('42|' || pep || '|' || ab), pep, ab) <= (SELECT m FROM m)")
 add("H12_masked_chains", lambda s, d: negatives.masked_chains(pairs(s, d).select("pep", "ab", "mhc").distinct(), ["mhc"], 0.3, ["pep", "ab", "mhc"]).groupBy("mhc").agg(F.count("*").alias("n")), "{P} SELECT CASE WHEN ('0x' || substr(md5('42|mhc|' || pep || '|' || ab || '|' || mhc), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < 0.3 THEN '<MIS>' ELSE mhc END AS mhc, count(*) AS n FROM (SELECT DISTINCT pep, ab, mhc FROM pairs) GROUP BY 1")
 add("H13_class_weights", lambda s, d: pairs(s, d).groupBy("label").agg(F.count("*").alias("n")).select("label", "n", F.when(F.col("label") == 0, 1 / F.lit(5.0)).otherwise(1.0).alias("weight")), "{P} SELECT label, count(*) AS n, CASE WHEN label = 0 THEN 0.2 ELSE 1 END::DOUBLE AS weight FROM pairs GROUP BY label")
