@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
@@ -49,6 +50,43 @@ def batch_scorer(load: Callable[[], Callable[[pd.DataFrame], pd.Series]], df: Da
     return df.mapInPandas(run, f"{kinds}, `{name}` double")
 
 
+def run_worker(df: DataFrame, request: dict, load: Callable[[dict], Callable[[pd.DataFrame], pd.Series]], row_id: str = "row_id") -> DataFrame:
+    """df with score and threshold from a worker that gets its request as JSON and answers with (row_id, score, threshold).
+
+    The worker is made once per task and sees no other columns than df's. It has to predict every row exactly once: a
+    missing or repeated row is an error as the result is read.
+    """
+    from rowloom.operators.joins import many_to_one
+
+    text = json.dumps(request, sort_keys=True, allow_nan=False)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = json.loads(text)
+        model = load(asked)
+        for frame in frames:
+            yield pd.DataFrame({row_id: frame[row_id], "score": model(frame), "threshold": float(asked["threshold"])})
+
+    answer = df.mapInPandas(run, f"`{row_id}` {df.schema[row_id].dataType.simpleString()}, score double, threshold double")
+    out = many_to_one(df, answer, [row_id], "left")
+    checked = F.when(F.col("score").isNull(), F.raise_error(F.lit("worker left a row out")).cast("double")).otherwise(F.col("score"))
+    return out.withColumn("score", checked)
+
+
+def evaluation_shard(df: DataFrame, rank: int, world: int, index: str = "row_id") -> DataFrame:
+    """The rows rank, rank + world, ... of an evaluation set: shards are disjoint, none is padded, together they are all."""
+    if not 0 <= rank < world:
+        raise ValueError("rank out of range")
+    return df.where(F.pmod(F.col(index), F.lit(world)) == rank)
+
+
+def gathered(shards: list[DataFrame]) -> DataFrame:
+    """Predictions of all shards."""
+    out = shards[0]
+    for shard in shards[1:]:
+        out = out.unionByName(shard)
+    return out
+
+
 def score_delta(full: DataFrame, masked: DataFrame, key: str = "row_id", score: str = "score") -> DataFrame:
     """(key, delta): log probability with the context less that without it."""
     return full.select(key, F.col(score).alias("__f")).join(masked.select(key, F.col(score).alias("__m")), key).select(key, (F.col("__f") - F.col("__m")).alias("delta"))
