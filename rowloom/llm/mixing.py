@@ -147,7 +147,7 @@ class Mix:
         return self.taken(self.slim).select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", total.alias("taken"), F.size("placements").alias("copies"))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = "n_chars", slots: int = 16, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = "n_chars", slots: int = 64, **options) -> DataFrame:
     """The mixed corpus with the columns of docs: a row per copy taken, shard by shard, shuffled within each slot of a shard.
 
     A document cut at the quota keeps its first words, joined by single spaces, with size_col set anew. Sources that are
