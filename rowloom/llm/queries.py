@@ -100,6 +100,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STRENGTH = """SELECT least(greatest(coalesce(CASE WHEN rho <= 0 THEN 1000.0 ELSE 1 / least(rho, 1.0) - 1 END, 1.0), 0.5), 1000.0)::DOUBLE AS strength FROM (
     SELECT (sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / greatest(sum(n * prior * (1 - prior)) - sum(prior * (1 - prior)), 1e-9) AS rho FROM {0} WHERE n > 0)"""
+_ADDRESS, _SHARED = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$", r"(^|\.)(ac|co|com|edu|go|gob|gov|ne|net|or|org)\.[a-z]{2}$"
+_LAST = "array_to_string(list_slice(string_split(bare, '.'), -{0}, -1), '.')"
 _RATE = "(bad + strength * prior) / (n + strength)"
 SQL["op3_url_filter"] = f"""
 WITH parts AS (
@@ -112,8 +114,10 @@ fit AS (
                  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
                  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM parts),
 tree AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix,
-         count(rule)::DOUBLE AS n, count(*) FILTER (WHERE rule IN ('example.com/en/', 'net/es/', 'net/fr/'))::DOUBLE AS bad FROM fit GROUP BY ALL),
+  SELECT host, CASE WHEN regexp_matches(bare, '{_ADDRESS}') THEN bare WHEN regexp_matches(bare, '{_SHARED}') THEN {_LAST.format(3)} ELSE {_LAST.format(2)} END AS domain,
+         CASE WHEN regexp_matches(bare, '{_ADDRESS}') THEN 'address' WHEN regexp_matches(bare, '{_SHARED}') THEN {_LAST.format(2)} ELSE {_LAST.format(1)} END AS suffix,
+         count(rule)::DOUBLE AS n, count(*) FILTER (WHERE rule IN ('example.com/en/', 'net/es/', 'net/fr/'))::DOUBLE AS bad
+  FROM (SELECT *, regexp_replace(host, '^.*@|:[0-9]*$|\\.$', '', 'g') AS bare FROM fit) GROUP BY ALL),
 total AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS prior FROM tree),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(total.prior) AS prior FROM tree, total GROUP BY suffix),
 s1 AS (SELECT suffix, {_RATE} AS prior FROM s0, ({_STRENGTH.format("s0")})),
@@ -121,7 +125,13 @@ d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(s1.prior)
 d1 AS (SELECT domain, {_RATE} AS prior FROM d0, ({_STRENGTH.format("d0")})),
 h0 AS (SELECT tree.*, d1.prior FROM tree JOIN d1 USING (domain)),
 h1 AS (SELECT host, {_RATE} AS rate, n + strength AS size FROM h0, ({_STRENGTH.format("h0")})),
-h2 AS (SELECT host, rate, (rate + 2.705543454095404 / (2 * size) - 1.6448536269514722 * sqrt(rate * (1 - rate) / size + 2.705543454095404 / (4 * size * size))) / (1 + 2.705543454095404 / size) AS bound FROM h1)
+ab AS (SELECT host, rate, rate * size AS a, (1 - rate) * size AS b FROM h1),
+g AS (SELECT *, ln(a / b) AS mid, sqrt(1 / a + 1 / b + 1 / (a * a) + 1 / (b * b)) AS dev, a * ln(a / (a + b)) + b * ln(b / (a + b)) AS top FROM ab),
+z AS (SELECT host, rate, a, b, top, i, mid + dev * ((i - 90) * 0.1::DOUBLE) AS z FROM g, range(181) r(i)),
+w AS (SELECT host, rate, i, z, exp(a * (-greatest(-z, 0) - ln(1 + exp(-abs(z)))) + b * (-greatest(z, 0) - ln(1 + exp(-abs(z)))) - top) AS w FROM z),
+c AS (SELECT *, lag(z) OVER (PARTITION BY host ORDER BY i) AS z0, (w + lag(w) OVER (PARTITION BY host ORDER BY i)) / 2 AS part FROM w),
+f AS (SELECT *, sum(part) OVER (PARTITION BY host ORDER BY i) AS through, 0.05::DOUBLE * sum(part) OVER (PARTITION BY host) AS target FROM c),
+h2 AS (SELECT host, rate, 1 / (1 + exp(-(z0 + (z - z0) * (target - (through - part)) / part))) AS bound FROM f WHERE part IS NOT NULL AND through >= target QUALIFY row_number() OVER (PARTITION BY host ORDER BY i) = 1)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
        round(rate, 6) AS rate, round(bound, 6) AS bound FROM fit JOIN h2 USING (host)
 """

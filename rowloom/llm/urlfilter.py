@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import cut
+from rowloom.llm.common import cut, let
 
 #: (host, path prefix, verdict); a rule fits its host and all subdomains.
 RULES = [
@@ -22,8 +22,10 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Quantile of the normal law for the posterior bound, and the block rate that it must pass.
-Z, THRESHOLD = 1.6448536269514722, 0.5
+#: Share of the posterior below the bound, and the block rate that the bound must pass.
+TAIL, THRESHOLD = 0.05, 0.5
+#: The posterior's log odds are summed at 2 * REACH + 1 places, STEP deviations apart.
+REACH, STEP = 90, 0.1
 #: Bounds of the estimated prior strengths, in pages.
 LEAST_STRENGTH, MOST_STRENGTH = 0.5, 1000.0
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -40,13 +42,52 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+# Second-level labels under which two-letter suffixes register domains, and what looks like an address.
+_SHARED = r"(^|\.)(ac|co|com|edu|go|gob|gov|ne|net|or|org)\.[a-z]{2}$"
+_ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"
+
+
+def bare_host(host: Column) -> Column:
+    """Without a user before @, a port, or a dot at the end."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$|\.$", "")
+
+
 def host_suffix(host: Column) -> Column:
-    return F.element_at(F.split(host, r"\."), -1)
+    """The last label, or the last two where domains register under both; all numeric addresses share one."""
+    name = bare_host(host)
+    return F.when(name.rlike(_ADDRESS), "address").when(name.rlike(_SHARED), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def registered_domain(host: Column) -> Column:
-    """The last two labels; a host of one label is its own domain."""
-    return F.substring_index(host, ".", -2)
+    """The suffix and the label before it; a suffix alone and an address are their own domains."""
+    name = bare_host(host)
+    return F.when(name.rlike(_ADDRESS), name).when(name.rlike(_SHARED), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+
+
+def beta_quantile(a: Column, b: Column, p: float) -> Column:
+    """The p-quantile of a beta law: its log odds have density proportional to t^a (1 - t)^b, summed by trapezoids around the
+    mode in steps of their deviation, and interpolated where the sum passes p."""
+    deviation = F.sqrt(1 / a + 1 / b + 1 / (a * a) + 1 / (b * b))
+    odds = lambda u: F.log(a / b) + deviation * (u * STEP)
+    top = a * F.log(a / (a + b)) + b * F.log(b / (a + b))
+
+    def weight(u: Column) -> Column:
+        return let(odds(u), lambda z: F.exp(a * (-F.greatest(-z, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z)))) + b * (-F.greatest(z, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z)))) - top))
+
+    places = F.sequence(F.lit(-REACH), F.lit(REACH))
+
+    def find(w: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.lit(2 * REACH)), lambda i: (F.get(w, i - 1) + F.get(w, i)) / 2)
+        target = p * F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+        def step(s: Column, x: Column) -> Column:
+            passed = s["at"].isNull() & (s["sum"] + x >= target)
+            return F.struct((s["sum"] + x).alias("sum"), (s["i"] + 1).alias("i"), F.when(passed, s["i"] + (target - s["sum"]) / x).otherwise(s["at"]).alias("at"))
+
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("i"), F.lit(None).cast("double").alias("at"))
+        return F.aggregate(parts, start, step)["at"]
+
+    return 1 / (1 + F.exp(-odds(let(F.transform(places, weight), find) - REACH)))
 
 
 def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -93,19 +134,16 @@ def host_reputation(labelled: DataFrame, hosts: DataFrame) -> DataFrame:
     suffixes = posterior(cut(suffixes)).select("suffix", F.col("rate").alias("prior"))
     domains = posterior(cut(domains.join(suffixes, "suffix"))).select("domain", F.col("rate").alias("prior"))
     out = posterior(cut(tree.join(domains, "domain")))
-    size, z2 = F.col("n") + F.col("strength"), Z * Z
-    spread = Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / size + z2 / (4 * size * size))
-    return out.select(
-        "host", (F.col("rate") * size).alias("alpha"), ((1 - F.col("rate")) * size).alias("beta"), "rate",
-        ((F.col("rate") + z2 / (2 * size) - spread) / (1 + z2 / size)).alias("bound"),
-    )
+    size = F.col("n") + F.col("strength")
+    out = out.select("host", (F.col("rate") * size).alias("alpha"), ((1 - F.col("rate")) * size).alias("beta"), "rate")
+    return out.withColumn("bound", beta_quantile(F.col("alpha"), F.col("beta"), TAIL))
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", labelled: DataFrame | None = None, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """(id, host, path, rule, verdict, rate, bound) for every row of pages; any other columns of pages are left out.
 
     `labelled` has host and bad; without it the pages that a rule decides are the labelled ones. verdict: that of the
-    longest fitting rule; else block where the lower posterior bound (Wilson's form, one-sided 95 %) of the host's block
+    longest fitting rule; else block where the lower posterior bound (the TAIL quantile of the host's beta law) of the host's block
     rate exceeds `threshold`, else allow. Null and malformed urls have an empty host, which is judged like any other.
     Repeated rows each keep their own row; an empty table gives an empty table.
     """
