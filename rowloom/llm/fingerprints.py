@@ -41,8 +41,9 @@ def shingle_hashes(text: Column) -> Column:
     """63-bit hashes of the word shingles; fewer words: of the whole sequence; no words or null: of one empty word."""
     words = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACES)), r"[\x20\x09-\x0D]+")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    starts = lambda h: F.sequence(F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(1)))
-    return let(hashes, lambda h: F.transform(starts(h), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(h, i, SHINGLE)), 1)))
+    starts = lambda h: F.sequence(F.lit(0), F.greatest(F.size(h) - SHINGLE, F.lit(0)))
+    # places behind the end are null, which xxhash64 passes over
+    return let(hashes, lambda h: F.transform(starts(h), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]), 1)))
 
 
 def signature(text: Column) -> Column:
@@ -83,12 +84,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (same / BINS - chance) / (1 - chance)))
 
 
-def with_next(rows: DataFrame, id_col: str, ties: list[Column], columns: list[str], buckets: int | None = None) -> DataFrame:
-    """rows with next_<c> for each c of columns: its value in the row next in descending id order (after the last: in the first).
+def with_next(rows: DataFrame, id_col: str, ties: list[Column], buckets: int | None = None):
+    """(rows in ranges of ids, lead): lead(columns, frame) adds next_<c> for each c of columns, its value in the row next in
+    descending id order (after the last: in the first); rows(frame) drops what was added for that.
 
     Ranges of ids are the window partitions, so no task sees more than its range: bounds are approximate quantiles of the
     ids (a few kilobytes at the driver), a row finds its range by binary search, and the first row of each range goes as a
-    guest to the range before it as well. One shuffle. Null ids come last; rows of equal ids are ordered by `ties`.
+    guest to the range before it as well. One shuffle, whatever is computed and led after it. Null ids come last; rows of
+    equal ids are ordered by `ties`.
     """
     buckets = 1 << ((buckets or 2 * with_floor(rows, 1)) - 1).bit_length()
     ids = rows.select(F.col(id_col).alias("id"))
@@ -111,10 +114,15 @@ def with_next(rows: DataFrame, id_col: str, ties: list[Column], columns: list[st
     here = F.struct(F.col("__at").cast("long").alias("at"), F.lit(False).alias("guest"))
     there = F.struct(of(0, None).alias("at"), F.lit(True).alias("guest"))
     both = F.when(F.col(id_col).eqNullSafe(of(1, None)), F.array(here, there)).otherwise(F.array(here))
-    placed = placed.select("*", F.explode(both).alias("__p"))
-    order = W.partitionBy("__p.at").orderBy(F.col("__p.guest"), F.col(id_col).desc_nulls_last(), *ties)
-    out = placed.select(*rows.columns, "__p", F.lead(F.struct(*columns)).over(order).alias("__next"))
-    return out.where("NOT __p.guest").select(*rows.columns, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in columns])
+    # the keys are columns of their own, so that all windows have one exchange and one sort
+    added = {"__range": F.col("__p.at"), "__guest": F.col("__p.guest")} | {f"__tie{k}": t for k, t in enumerate(ties)}
+    placed = placed.select("*", F.explode(both).alias("__p")).withColumns(added).drop("__p", "__at")
+    order = W.partitionBy("__range").orderBy("__guest", F.col(id_col).desc_nulls_last(), *list(added)[2:])
+
+    def lead(columns: list[str], frame: DataFrame) -> DataFrame:
+        return frame.withColumn("__next", F.lead(F.struct(*columns)).over(order)).withColumns({f"next_{c}": F.col(f"__next.{c}") for c in columns}).drop("__next")
+
+    return placed, lead, lambda frame: frame.where("NOT __guest").drop(*added)
 
 
 def edited_text(text: Column, next_text: Column) -> Column:
@@ -131,8 +139,9 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     empty table gives an empty one. A text without words is like another such text (1) and unlike the rest.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("*", fingerprint(F.col("text")).alias("fp"))
-    out = with_next(rows, "doc_id", [F.char_length("text"), F.xxhash64("text")], ["text", "fp"])
+    placed, lead, own = with_next(rows, "doc_id", [F.char_length("text"), F.xxhash64("text")])
+    # texts move once; fingerprints are made where they arrive, in as many tasks as there are ranges, and led in the same order
+    out = own(lead(["fp"], lead(["text"], placed).withColumn("fp", fingerprint(F.col("text")))))
     out = out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fp", "next_fp", edited_text(F.col("text"), F.col("next_text")).alias("edited"))
     out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited")).alias("edited_fp"))
     return out.select(

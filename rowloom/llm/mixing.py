@@ -26,7 +26,8 @@ from rowloom.llm.common import cut, word_count
 WEIGHTS = (5, 2, 1)
 #: The mix's words as a share of all words; the most passes over a source.
 SHARE, MOST_PASSES = 1.5, 2
-BLOCK_WORDS, LEAST_BLOCKS, WORDS_PER_SHARD = 1 << 16, 16, 1 << 24
+#: Blocks have BLOCK_WORDS words, or so many more that all sources have about ALL_BLOCKS, which bounds what a window sorts.
+BLOCK_WORDS, ALL_BLOCKS, LEAST_BLOCKS, WORDS_PER_SHARD = 1 << 16, 1 << 20, 16, 1 << 24
 #: Rows of about 100 bytes that a broadcast may have.
 MOST_ROWS = 1 << 17
 
@@ -86,7 +87,8 @@ class Mix:
         quota = [min(round(t), MOST_PASSES * n) for t, n in zip(goal, sizes, strict=True)]
         passes = [divmod(q, n) if n else (0, 0) for q, n in zip(quota, sizes, strict=True)]
         self.n_sources = len(found)
-        rows = [(r.source, i, n, t, *p, max(LEAST_BLOCKS, math.ceil(n / BLOCK_WORDS))) for i, (r, n, t, p) in enumerate(zip(found, sizes, goal, passes, strict=True))]
+        block = max(BLOCK_WORDS, sum(sizes) // ALL_BLOCKS)
+        rows = [(r.source, i, n, t, *p, max(LEAST_BLOCKS, math.ceil(n / block))) for i, (r, n, t, p) in enumerate(zip(found, sizes, goal, passes, strict=True))]
         kinds = "source string, idx int, source_size long, target double, whole int, rest long, blocks long"
         sources = spark.createDataFrame(rows, kinds)
 
