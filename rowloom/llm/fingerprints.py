@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ _DIGITS = "0123456789abcdef"
 
 
 def _long_array(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values])
+    return F.lit(np.array(values, np.int64))  # one literal, however long
 
 
 def _tries() -> Column:
@@ -93,7 +94,8 @@ def with_next(rows: DataFrame, id_col: str, ties: list[Column], buckets: int | N
     guest to the range before it as well. One shuffle, whatever is computed and led after it. Null ids come last; rows of
     equal ids are ordered by `ties`.
     """
-    buckets = 1 << ((buckets or 2 * with_floor(rows, 1)) - 1).bit_length()
+    # several ranges a partition, so that partitions come out alike
+    buckets = 1 << ((buckets or 4 * with_floor(rows, 1)) - 1).bit_length()
     ids = rows.select(F.col(id_col).alias("id"))
     bounds = ids.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] if buckets > 1 else []
     if bounds is None:
@@ -110,10 +112,15 @@ def with_next(rows: DataFrame, id_col: str, ties: list[Column], buckets: int | N
     placed = rows.withColumn("__at", at)
     heads = sorted((r["__at"], r.id) for r in placed.groupBy("__at").agg(F.max(id_col).alias("id")).collect())
     guests = {b: (heads[(k + 1) % len(heads)][0], top) for k, (b, top) in enumerate(heads)}
-    of = lambda k, empty: F.get(F.array(*[F.lit(guests[b][k] if b in guests else empty).cast("long") for b in range(buckets)]), F.col("__at"))
+    headless = [b for b, g in guests.items() if g[1] is None]  # null ids only
+
+    def of(k: int) -> Column:
+        known = F.get(_long_array([guests[b][k] if b in guests and guests[b][k] is not None else 0 for b in range(buckets)]), F.col("__at"))
+        return F.when(F.col("__at").isin(headless), None).otherwise(known) if k and headless else known
+
     here = F.struct(F.col("__at").cast("long").alias("at"), F.lit(False).alias("guest"))
-    there = F.struct(of(0, None).alias("at"), F.lit(True).alias("guest"))
-    both = F.when(F.col(id_col).eqNullSafe(of(1, None)), F.array(here, there)).otherwise(F.array(here))
+    there = F.struct(of(0).alias("at"), F.lit(True).alias("guest"))
+    both = F.when(F.col(id_col).eqNullSafe(of(1)), F.array(here, there)).otherwise(F.array(here))
     # the keys are columns of their own, so that all windows have one exchange and one sort
     added = {"__range": F.col("__p.at"), "__guest": F.col("__p.guest")} | {f"__tie{k}": t for k, t in enumerate(ties)}
     placed = placed.select("*", F.explode(both).alias("__p")).withColumns(added).drop("__p", "__at")
