@@ -113,11 +113,24 @@ def other_targets(rows: DataFrame, target: str, a: str = "a", b: str = "b") -> D
 
 
 def balanced(df: DataFrame, cells: list[str], key: list[str], seed: int = 42) -> DataFrame:
-    """Rows so that every cell has as many as the smallest: those of the least hashes."""
-    counts = df.groupBy(*cells).count()
-    least = counts.agg(F.min("count").alias("__least"))
-    place = F.row_number().over(W.partitionBy(*cells).orderBy(S.hash_order(seed, *[F.col(k) for k in key]), *key))
-    return df.join(F.broadcast(least)).withColumn("__at", place).where("__at <= __least").drop("__at", "__least")
+    """Rows so that every cell has as many as the smallest: those of the least hashes.
+
+    Counts per cell and leading hash digits tell which digits stay whole and which go; only rows of the digits on the border
+    are ranked, so a large cell isn't ordered in one task.
+    """
+    order = S.hash_order(seed, *[F.col(k) for k in key])
+    rows = df.withColumn("__h", order).withColumn("__p", F.substring("__h", 1, 3))
+    per = rows.groupBy(*cells, "__p").agg(F.count("*").alias("__n"))  # at most 16 ** 3 rows a cell
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*cells).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    least = per.groupBy(*cells).agg(F.sum("__n").alias("__s")).agg(F.min("__s").alias("__least"))
+    plan = per.withColumn("__before", before).join(F.broadcast(least)).where("__before < __least").select(*[F.col(c).alias(f"__{c}") for c in cells], F.col("__p").alias("__q"), "__before", "__least", (F.col("__before") + F.col("__n") > F.col("__least")).alias("__border"))
+    same = F.col("__p") == F.col("__q")
+    for c in cells:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    kept = rows.join(plan, same)
+    place = F.row_number().over(W.partitionBy(*cells).orderBy("__h", *key)) + F.col("__before")
+    edge = kept.where("__border").withColumn("__at", place).where("__at <= __least")
+    return kept.where("NOT __border").select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def weighted_order(weight: Column, *key: Column) -> Column:

@@ -69,26 +69,42 @@ def pair_validation(keys: DataFrame, quotas: DataFrame, peers: list[DataFrame],
     return rows.groupBy("pep").applyInPandas(pick, "pep string, mhc string, grp string")
 
 
+#: Sums that the choice of groups tells apart; larger tables count rows in units, so memory is bounded whatever they hold.
+MOST_SUMS = 1 << 24
+
+
 def choose_groups(sizes: list[tuple[str, int]], fraction: float, seed: int = 42) -> list[str]:
-    """Groups whose sizes sum nearest to ceil(total * fraction), of equally near sums the smaller one: subset sums as bits of
-    one number per group. The input is a row per group, its sums at most the number of rows."""
+    """Groups whose sizes sum nearest to ceil(total * fraction), of equally near sums the smaller one.
+
+    Of each sum it is noted which group reached it first, so memory goes with the sums alone: at most MOST_SUMS, which above
+    that many rows makes a unit of several rows (one part in 16 million of them). The input is a row per group.
+    """
     if len(sizes) < 2:
         return []
     order = np.random.default_rng(seed).permutation(len(sizes))
     items = [sorted(sizes)[i] for i in order]
-    total = sum(n for _, n in items)
+    total, most = sum(n for _, n in items), max(n for _, n in items)
     target = max(1, math.ceil(total * fraction))
-    limit = min(total - 1, target + max(n for _, n in items))
-    reach, steps, full = 1, [1], (1 << (limit + 1)) - 1
-    for _, n in items:
-        reach |= (reach << n) & full
-        steps.append(reach)
-    best = min((s for s in range(1, limit + 1) if reach >> s & 1), key=lambda s: (abs(s - target), s), default=0)
-    chosen, left = [], best
-    for k in range(len(items), 0, -1):
-        if left and not steps[k - 1] >> left & 1:
-            chosen.append(items[k - 1][0])
-            left -= items[k - 1][1]
+    unit = -(-min(total - 1, target + most) // MOST_SUMS) or 1
+    weights = [max(1, round(n / unit)) if n else 0 for _, n in items]
+    target = max(1, round(target / unit))
+    limit = min(sum(weights) - 1, target + max(weights))
+    if limit < 1:
+        return []
+    first = np.full(limit + 1, -1, np.int32)
+    reached = np.zeros(limit + 1, bool)
+    reached[0] = True
+    for k, n in enumerate(weights):
+        if 0 < n <= limit:
+            new = np.flatnonzero(reached[: limit + 1 - n] & ~reached[n:]) + n
+            first[new], reached[new] = k, True
+    sums = np.flatnonzero(reached)[1:]
+    left = int(sums[np.argmin(np.abs(sums - target))]) if len(sums) else 0
+    chosen = []
+    while left:
+        k = int(first[left])
+        chosen.append(items[k][0])
+        left -= weights[k]
     return sorted(chosen)
 
 
