@@ -107,7 +107,12 @@ def single_linkage(df: DataFrame, text: str, k: int) -> DataFrame:
     names = df.select(F.col(text)).where(F.col(text).isNotNull()).distinct()
     labels = connected_components(bounded_self_join(names, text, k).select("a", "b"))
     out = names.join(labels, names[text] == labels["node"], "left").select(F.col(text), F.coalesce("label", F.col(text)).alias("__root"))
-    # numbers of the clusters: a sort of their roots, numbered along its partitions
-    roots = out.select("__root").distinct().orderBy("__root")
-    numbered = roots.rdd.map(lambda r: r[0]).zipWithIndex().toDF("__root string, cluster long") if not roots.isEmpty() else roots.withColumn("cluster", F.lit(0).cast("long"))
+    # numbers of the clusters: a sort of their roots, then places in a partition after the sizes of those before it
+    roots = out.select("__root").distinct().orderBy("__root").select("__root", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m")).checkpoint()
+    starts, before = [], 0
+    for r in sorted(roots.groupBy("__p").agg(F.count("*").alias("n"), F.min("__m").alias("least")).collect()):  # a row per partition
+        starts.append((r["__p"], before - r.least))
+        before += r.n
+    starts = df.sparkSession.createDataFrame(starts, "__p int, __shift long")
+    numbered = roots.join(F.broadcast(starts), "__p").select("__root", (F.col("__m") + F.col("__shift")).alias("cluster"))
     return out.join(numbered, "__root").select(text, "cluster")
