@@ -21,7 +21,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of all documents, learned from those not held out."""
+    """Language of all documents, learned from those not held out.
+
+    Null text, or no letter: und with score 0. Null ids and repeated rows have a row each. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 3) == 1
     out = langid.identify(docs, ~held_out, ["doc_id"])
@@ -30,26 +33,41 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words taken of each document by a mix of all sources."""
+    """Words taken of each document by a mix of all sources.
+
+    Null text: size 0, nothing taken. Null sources are one source, the last. Null ids share one hash; repeated rows have a
+    row each. An empty table gives no rows.
+    """
     return mixing.Mix(table(spark, sf_dir, "documents")).digest()
 
 
 @query
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of all pages: rules, else the reputation learned from the pages that rules decide."""
+    """Verdicts of all pages: rules, else the reputation learned from the pages that rules decide.
+
+    Null or malformed urls have an empty host and path. Null ids and repeated rows have a row each. An empty table gives no rows.
+    """
     out = urlfilter.filter_urls(table(spark, sf_dir, "pages"))
     return out.withColumns({"rate": F.round("rate", 6), "bound": F.round("bound", 6)})
 
 
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, and how like they are."""
+    """Fingerprints of all documents and of their edited texts, and how like they are.
+
+    Null text is empty. Null ids come last in the order; rows of equal ids are ordered by length and hash. One row is its own
+    next. An empty table gives no rows.
+    """
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of all documents, learned from the labels of those not held out."""
+    """Quality of all documents, learned from the labels of those not held out.
+
+    Null and empty texts score the labels' share of 1; without labels of both kinds all score 0.5. Null ids and repeated rows
+    have a row each. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     model = quality.train_model(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -59,20 +77,31 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in bins of 2,048 words."""
+    """All documents in bins of 2,048 words.
+
+    Null and empty texts are a piece of no words. Null sources conflict with nothing. Repeated rows are packed as often as they
+    come. An empty table gives no rows.
+    """
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and near-duplicate component of all documents."""
+    """Fingerprint and near-duplicate component of all documents.
+
+    Null and empty texts have fingerprint 0, linked like any other. Null ids are the smallest of nothing: a component of them
+    alone has a null one. Repeated rows have a row each. An empty table gives no rows.
+    """
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of secrets of all documents, whole texts."""
+    """Spans of secrets of all documents, whole texts.
+
+    Null text is empty: no span, the hash of an empty text. Null ids and repeated rows have a row each. An empty table gives no rows.
+    """
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
     name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -85,13 +114,19 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest others of every 50th embedding."""
+    """The five nearest others of every 50th embedding.
+
+    Null ids and vectors that are null, zero or not finite take no part. Rows of one id count once. An empty table gives no rows.
+    """
     return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 @query
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probabilities of all documents under a model of those not held out."""
+    """Log probabilities of all documents under a model of those not held out.
+
+    Null text is empty: the end token only. Null ids and repeated rows have a row each. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 7) == 2
     out = pitmanyor.scores(docs, ~held_out, ["doc_id"])
