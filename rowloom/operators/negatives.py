@@ -44,13 +44,17 @@ def drawn_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, seed:
     keys = rows.columns
     todo, out, turn = rows, None, 0
     while size and turn < tries:
-        drawn = todo.withColumn("idx", draw_index(size, F.lit(str(seed)), F.lit(str(turn)), *[F.col(k) for k in keys])).join(numbered, "idx")
-        good = drawn.join(exact, [pep, ab], "left_anti").join(groups, [pep, "__grp"], "left_anti").select(*keys, ab).checkpoint()
+        # one draw for all rows, then the first admissible of eight for the fewer that are left
+        width = 8 if turn else 1
+        drawn = todo.withColumn("__t", F.explode(F.sequence(F.lit(turn), F.lit(turn + width - 1))))
+        drawn = drawn.withColumn("idx", draw_index(size, F.lit(str(seed)), F.col("__t"), *[F.col(k) for k in keys])).join(numbered, "idx")
+        good = drawn.join(exact, [pep, ab], "left_anti").join(groups, [pep, "__grp"], "left_anti")
+        good = (good.groupBy(*keys).agg(F.min_by(ab, "__t").alias(ab)) if turn else good.select(*keys, ab)).checkpoint()
         out = good if out is None else out.unionByName(good)
         todo = todo.join(good, keys, "left_anti").checkpoint()
         if todo.isEmpty():
             return out
-        turn += 1 if turn < 8 else 8
+        turn += width
     few = todo.select(pep).distinct()
     allowed = few.join(numbered).join(exact, [pep, ab], "left_anti").join(groups, [pep, "__grp"], "left_anti")
     least = allowed.groupBy(pep).agg(F.min_by(ab, S.hash_order(seed, F.col(pep), F.col(ab))).alias(ab))
