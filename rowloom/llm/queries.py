@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import fingerprints, langid, mixing, packing, pitmanyor, quality, secrets, simhash, urlfilter, vptree
+from rowloom.llm import decontam, fingerprints, langid, mixing, packing, pitmanyor, quality, secrets, simhash, urlfilter, vptree
 from rowloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +133,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents.
+
+    Null or wordless texts are clean, null or wordless items match nothing. Null item ids have no name; repeated ones count
+    once. Null doc ids and repeated rows have a row each. An empty documents table gives no rows, an empty benchmark clean ones.
+    """
+    out = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 _STRENGTH = """SELECT least(greatest(coalesce(CASE WHEN rho <= 0 THEN 1000.0 ELSE 1 / least(rho, 1.0) - 1 END, 1.0), 0.5), 1000.0)::DOUBLE AS strength FROM (
     SELECT (sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / greatest(sum(n * prior * (1 - prior)) - sum(prior * (1 - prior)), 1e-9) AS rho FROM {0} WHERE n > 0)"""
 _ADDRESS, _SHARED = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$", r"(^|\.)(ac|co|com|edu|go|gob|gov|ne|net|or|org)\.[a-z]{2}$"
@@ -170,3 +181,15 @@ h2 AS (SELECT host, rate, 1 / (1 + exp(-(z0 + (z - z0) * (target - (through - pa
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
        round(rate, 6) AS rate, round(bound, 6) AS bound FROM fit JOIN h2 USING (host)
 """
+_PLAIN_WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[])"
+SQL["op11_decontamination"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_PLAIN_WORDS} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS id, w, least(10, len(w)) AS l FROM (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT id, l, array_to_string(w[s:s + l - 1], ' ') AS t FROM i, unnest(range(1, len(w) - l + 2)) u(s)),
+placed AS (SELECT r, p, l, array_to_string(w[p:p + l - 1], ' ') AS t FROM d, (SELECT DISTINCT l FROM win), unnest(range(1, len(w) - l + 2)) u(p)),
+found AS (SELECT r, p, placed.l, id FROM placed JOIN win USING (l, t)),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM found, unnest(range(p, p + l)) u(q) GROUP BY r),
+named AS (SELECT r, count(DISTINCT id) AS n_items, sha256(coalesce(string_agg(DISTINCT id, ',' ORDER BY id), '')) AS h FROM found GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
