@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontam, fingerprints, langid, mixing, packing, pitmanyor, quality, secrets, simhash, urlfilter, vptree
+from rowloom.llm import decontam, fingerprints, langid, mixing, packing, pitmanyor, quality, secrets, simhash, urlfilter, vptree, whitening
 from rowloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,6 +144,16 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of all embeddings.
+
+    Vectors that are null or hold null or non-finite entries (or are empty, or of another length than the commonest) take no part.
+    Null ids and repeated rows have rows of their own. An empty table gives no rows.
+    """
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id")
+
+
 _STRENGTH = """SELECT least(greatest(coalesce(CASE WHEN rho <= 0 THEN 1000.0 ELSE 1 / least(rho, 1.0) - 1 END, 1.0), 0.5), 1000.0)::DOUBLE AS strength FROM (
     SELECT (sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / greatest(sum(n * prior * (1 - prior)) - sum(prior * (1 - prior)), 1e-9) AS rho FROM {0} WHERE n > 0)"""
 _ADDRESS, _SHARED = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$", r"(^|\.)(ac|co|com|edu|go|gob|gov|ne|net|or|org)\.[a-z]{2}$"
