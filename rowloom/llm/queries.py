@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontam, fingerprints, langid, mixing, packing, pitmanyor, quality, secrets, simhash, urlfilter, vptree, whitening
+from rowloom.llm import alignment, decontam, fingerprints, langid, mixing, packing, pitmanyor, quality, secrets, simhash, urlfilter, vptree, whitening
 from rowloom.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,6 +144,21 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+#: Public vocabulary files; every executor has them there.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Groups and links of the tokens that two vocabularies give all documents, and how common the linked ids are.
+
+    Texts that are null, empty or not spelled back by both have zeros and an empty hash. Null ids and repeated rows have a row
+    each. An empty table gives no rows.
+    """
+    out = alignment.align_documents(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model", ["doc_id"])
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps", "n_products")
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight whitened components of all embeddings.
