@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import sequences as S
 from rowloom.operators.components import checkpoint_dir
+from rowloom.operators.ranks import open_counts, open_places, permuted, placed
 
 
 def numbered_pool(pool: DataFrame, ab: str = "ab", extra: list[str] | None = None) -> DataFrame:
@@ -146,3 +147,66 @@ def masked_chains(df: DataFrame, columns: list[str], share: float, key: list[str
     """Each column masked with probability share by a hash of its name and the key."""
     draw = {c: S.hash_uniform(F.lit(str(seed)), F.lit(c), *[F.col(k) for k in key]) for c in columns}
     return df.withColumns({c: F.when(draw[c] < share, mark).otherwise(F.col(c)) for c in columns})
+
+
+def _grouped_pool(pool: DataFrame, ab: str) -> DataFrame:
+    """(ab, grp, place): distinct donors, those of an endpoint group next to each other."""
+    return placed(pool.select(ab).distinct().withColumn("grp", S.endpoint_group(F.col(ab))), ["grp", ab]).checkpoint()
+
+
+def distinct_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, times: int | str = 1, seed: int = 42, pep: str = "pep", ab: str = "ab") -> DataFrame:
+    """(columns of rows, draw, ab): for each row `times` distinct donors, drawn evenly from those that no blocked pair of its pep rules
+    out, exactly or by endpoint group; fewer only where fewer exist. times: a number, or a column of rows. draw counts from 0.
+
+    Donors of a group have neighbouring places, so what a peptide is blocked from is a segment for each of its groups, whatever
+    the groups hold. A keyed permutation of the peptide's open ranks names the draws, and a running sum over segments and
+    draws finds their places: no redraws, no pairing of peptides and pool. A row's draws depend on seed and row alone. Rows
+    should be distinct; equal rows get equal draws. Null peptides are blocked by pairs of a null peptide.
+    """
+    checkpoint_dir(rows.sparkSession)
+    donors = _grouped_pool(pool, ab)
+    size = donors.count()
+    groups = donors.groupBy("grp").agg(F.min("place").alias("lo"), F.count("*").alias("len"))
+    own = blocked.select(F.col(pep).alias("__pep"), S.endpoint_group(F.col(ab)).alias("grp")).distinct()
+    segments = own.join(groups, "grp").select("__pep", "lo", "len").checkpoint()
+    wanted = (F.lit(times) if isinstance(times, int) else F.col(times)).cast("long")
+    free = open_counts(segments, ["__pep"], size).withColumnRenamed("__pep", "__free_pep")
+    asked = rows.join(free, rows[pep].eqNullSafe(F.col("__free_pep")), "left").withColumn("__open", F.coalesce("open", F.lit(size).cast("long")))
+    asked = asked.withColumn("__n", F.least(wanted, F.col("__open"))).where("__n > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    asked = asked.select(*rows.columns, F.col(pep).alias("__pep"), "draw", permuted(F.col("draw"), F.col("__open"), F.lit(seed), *key).alias("rank"))
+    found = open_places(segments, asked, ["__pep"])
+    return found.join(donors.select("place", F.col(ab).alias("__donor")), "place").select(*rows.columns, "draw", F.col("__donor").alias(ab))
+
+
+def other_target_negatives(rows: DataFrame, target: str, a: str = "a", b: str = "b", times: int = 1, seed: int = 42) -> DataFrame:
+    """(target, a, b, draw, other_a, other_b): for each distinct positive (target, a, b) `times` distinct receptors of any target that
+    share neither chain with the target's own; fewer only where fewer exist.
+
+    Receptors are numbered so that most of what a target is blocked from is a segment: by their first chain, and those with
+    a common second chain (more than sqrt(receptors) of them) by that one. What is left are single places, at most sqrt(receptors) for
+    each chain of a target. Draws and places as in distinct_negatives. Chains and targets are not null.
+    """
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    own = rows.select(target, F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct().checkpoint()
+    every = own.select("a", "b").distinct()
+    size = every.count()
+    common = every.groupBy("b").agg((F.count("*") > F.ceil(F.sqrt(F.lit(float(size))))).cast("int").alias("part"))
+    x, y = (F.when(F.col("part") == 0, F.col(one)).otherwise(F.col(other)) for one, other in (("a", "b"), ("b", "a")))
+    pool = placed(every.join(common, "b").select("a", "b", "part", x.alias("x"), y.alias("y")), ["part", "x", "y"]).checkpoint()
+    whole = pool.groupBy("part", "x").agg(F.min("place").alias("lo"), F.count("*").alias("len"))
+    own_a, own_b = own.select(target, "a").distinct(), own.select(target, "b").distinct()
+    segments = None
+    for part, first, other, mine, theirs in ((0, "a", "b", own_a, own_b), (1, "b", "a", own_b, own_a)):
+        run = mine.join(whole.where(F.col("part") == part).withColumnRenamed("x", first), first).select(target, "lo", "len")
+        single = theirs.join(pool.where(F.col("part") == part), other).join(mine, [target, first], "left_anti").select(target, F.col("place").alias("lo"), F.lit(1).cast("long").alias("len"))
+        segments = run.unionByName(single) if segments is None else segments.unionByName(run).unionByName(single)
+    segments = segments.checkpoint()
+    asked = own.join(open_counts(segments, [target], size), target).withColumn("__n", F.least(F.lit(times).cast("long"), F.col("open"))).where("__n > 0")
+    asked = asked.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    asked = asked.select(target, "a", "b", "draw", permuted(F.col("draw"), F.col("open"), F.lit(seed), F.col(target), F.col("a"), F.col("b")).alias("rank"))
+    found = open_places(segments, asked, [target])
+    kind_a, kind_b = rows.schema[a].dataType, rows.schema[b].dataType
+    others = pool.select("place", F.col("a").cast(kind_a).alias("other_a"), F.col("b").cast(kind_b).alias("other_b"))
+    return found.join(others, "place").select(target, F.col("a").cast(kind_a).alias(a), F.col("b").cast(kind_b).alias(b), "draw", "other_a", "other_b")

@@ -142,6 +142,58 @@ def _epochs(s, d):
 
 add("H5_epoch_negatives", _epochs)
 
+# Draws by keyed permutation from what is open. q has x, n and key; images come as v.
+_PERMUTED = """walk AS (SELECT *, ceil(sqrt(n::DOUBLE))::BIGINT AS fa, ceil(n::DOUBLE / ceil(sqrt(n::DOUBLE)))::BIGINT AS fb, x::BIGINT AS v, 0 AS step FROM q
+  UNION ALL SELECT * EXCLUDE (l0, r0, l1, r1, l2, r2) REPLACE (l2 * fb + r2 AS v, step + 1 AS step) FROM (
+    SELECT *, v // fb AS l0, v % fb AS r0, (l0 + ('0x' || substr(md5(key || '|0|' || r0), 1, 13))::BIGINT) % fa AS l1, (r0 + ('0x' || substr(md5(key || '|1|' || l1), 1, 13))::BIGINT) % fb AS r1,
+           (l1 + ('0x' || substr(md5(key || '|2|' || r1), 1, 13))::BIGINT) % fa AS l2, (r1 + ('0x' || substr(md5(key || '|3|' || l2), 1, 13))::BIGINT) % fb AS r2 FROM walk WHERE step = 0 OR v >= n)),
+image AS (SELECT * FROM walk WHERE step > 0 AND v < n)"""
+_EVEN = """WITH RECURSIVE {P}, don AS (SELECT ab, grp, row_number() OVER (ORDER BY grp, ab) AS place FROM (SELECT DISTINCT ab, grp FROM pairs)), shut AS (SELECT DISTINCT pep, grp FROM pairs),
+free AS (SELECT pep, ab, row_number() OVER (PARTITION BY pep ORDER BY place) - 1 AS rank, count(*) OVER (PARTITION BY pep) AS n FROM (SELECT DISTINCT pep FROM pairs) p, don WHERE NOT EXISTS (SELECT 1 FROM shut WHERE shut.pep = p.pep AND shut.grp = don.grp)),
+asked AS ({rows}), q AS (SELECT {cols}, unnest(range(least({times}, n))) AS x, n, concat_ws('|', '{seed}', {cols}) AS key FROM asked JOIN (SELECT DISTINCT pep, n FROM free) USING (pep)), """ + _PERMUTED + """
+SELECT {cols}, x AS draw, ab FROM image JOIN free ON free.pep = image.pep AND free.rank = image.v"""
+
+
+def _even_sql(rows, cols, times, seed=42):
+    out = _EVEN.replace("{rows}", rows).replace("{times}", times).replace("{seed}", str(seed))
+    head, tail = out.rsplit("SELECT {cols}", 1)
+    return head.replace("{cols}", cols) + "SELECT " + ", ".join(f"image.{c.strip()}" for c in cols.split(",")) + tail
+
+
+def _even_epochs(s, d):
+    """Three distinct negatives for each pair of part and class and each of two epochs."""
+    p = pairs(s, d)
+    rows = p.select("pep", "mhc").distinct().select("pep", "mhc", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
+    return negatives.distinct_negatives(rows, p, p, times=3, seed=7)
+
+
+add("H5_distinct_epoch_negatives", _even_epochs, _even_sql("SELECT * FROM (SELECT DISTINCT pep, mhc FROM pairs), range(2) r(epoch)", "pep, mhc, epoch", "3", 7))
+
+
+def _even_per_peptide(s, d):
+    """As many distinct negatives for each peptide as it has distinct receptors."""
+    p = pairs(s, d)
+    return negatives.distinct_negatives(p.groupBy("pep").agg(F.countDistinct("ab").alias("wanted")), p, p, times="wanted")
+
+
+add("H1_distinct_negatives", _even_per_peptide, _even_sql("SELECT pep, count(DISTINCT ab) AS wanted FROM pairs GROUP BY pep", "pep, wanted", "wanted"))
+
+
+def _other_targets(s, d):
+    """Two receptors (supplier, customer) for each of a part's, of other parts and with neither chain among its own."""
+    line, orders = table(s, d, "lineitem"), table(s, d, "orders")
+    rows = line.join(orders, line.l_orderkey == orders.o_orderkey).select("l_partkey", F.col("l_suppkey").alias("a"), F.col("o_custkey").alias("b"))
+    return negatives.other_target_negatives(rows, "l_partkey", times=2)
+
+
+add("H9_other_target_negatives", _other_targets, """WITH RECURSIVE own AS (SELECT DISTINCT l_partkey, l_suppkey::VARCHAR AS a, o_custkey::VARCHAR AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+every AS (SELECT DISTINCT a, b FROM own), common AS (SELECT b, (count(*) > (SELECT ceil(sqrt(count(*)::DOUBLE)) FROM every))::INT AS part FROM every GROUP BY b),
+pool AS (SELECT a, b, row_number() OVER (ORDER BY part, CASE WHEN part = 0 THEN a ELSE b END, CASE WHEN part = 0 THEN b ELSE a END) AS place FROM every JOIN common USING (b)),
+free AS (SELECT l_partkey, a AS other_a, b AS other_b, row_number() OVER (PARTITION BY l_partkey ORDER BY place) - 1 AS rank, count(*) OVER (PARTITION BY l_partkey) AS n FROM (SELECT DISTINCT l_partkey FROM own) t, pool
+  WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.l_partkey = t.l_partkey AND own.a = pool.a) AND NOT EXISTS (SELECT 1 FROM own WHERE own.l_partkey = t.l_partkey AND own.b = pool.b)),
+q AS (SELECT l_partkey, a, b, unnest(range(least(2, n))) AS x, n, concat_ws('|', '42', l_partkey, a, b) AS key FROM own JOIN (SELECT DISTINCT l_partkey, n FROM free) USING (l_partkey)), """ + _PERMUTED + """
+SELECT image.l_partkey, image.a::BIGINT AS a, image.b::BIGINT AS b, x AS draw, other_a::BIGINT AS other_a, other_b::BIGINT AS other_b FROM image JOIN free ON free.l_partkey = image.l_partkey AND free.rank = image.v""")
+
 
 def _recombined(s, d):
     """Parts and suppliers drawn by frequency, known pairs left out."""
