@@ -47,6 +47,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, size: Column, most: int = 1 << 24) -> DataFrame:
+    """df marked for a broadcast if its rows sum to at most so many bytes; otherwise the join is left to Spark. df should be stored."""
+    total = df.agg(F.sum(size.cast("double"))).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def with_floor(df: DataFrame, partitions: int) -> int:
     """A partition count for an explicit repartition: the session's shuffle partitions, at least the given number."""
     return max(partitions, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import cut, let
+from rowloom.llm.common import broadcast_if_small, cut, let
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
@@ -40,10 +40,15 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(11), text).alias("k2")]
 
 
+def _wanted(terms: DataFrame) -> DataFrame:
+    """Distinct terms, stored; they go to all tasks if they are few enough, so words that no item has are never shuffled."""
+    return broadcast_if_small(cut(terms.select("term").distinct()), F.octet_length("term") + 32)
+
+
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(term, n): how often each of the distinct terms occurs in all documents; terms that never do have no row."""
     words = docs.select(F.explode(cased_words(F.col(text))).alias("w")).select(lower_word(F.col("w")).alias("term"))
-    return words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    return words.join(_wanted(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -54,7 +59,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, text: str = "text"
     words = docs.select(*text_key(F.col(text)), F.posexplode(cased_words(F.col(text))).alias("place", "w"))
     words = words.select(lower_word(F.col("w")).alias("term"), *_KEY, "place")
     if terms is not None:
-        words = words.join(terms.select("term").distinct(), "term", "left_semi")
+        words = words.join(_wanted(terms), "term", "left_semi")
     return words.distinct()
 
 
@@ -124,7 +129,9 @@ class Index:
     def candidates(self) -> DataFrame:
         """(k1, k2, found): for each text with a diagonal its items, their words and ids, and where they would start."""
         lines = diagonals(self.lists, self.rare).groupBy(*_KEY, "item").agg(F.collect_set("start").alias("starts"))
-        return lines.join(self.items, "item").groupBy(*_KEY).agg(F.collect_list(F.struct("words", "ids", "starts")).alias("found"))
+        found = cut(lines.join(self.items, "item").groupBy(*_KEY).agg(F.collect_list(F.struct("words", "ids", "starts")).alias("found")))
+        letters = lambda f: F.octet_length(F.concat_ws(" ", f["words"], f["ids"])) + 8 * (F.size(f["words"]) + F.size(f["ids"]) + F.size(f["starts"])) + 64
+        return broadcast_if_small(found, F.aggregate("found", F.lit(64), lambda n, f: n + letters(f)))
 
 
 def _phrases(found: Column, words: Column, window: int) -> Column:
@@ -152,11 +159,12 @@ def phrase_matches(docs: DataFrame, items: DataFrame, text: str = "text", item_i
     """
     index = Index.build(docs, items, text, item_id, item_text, window)
     own = [c for c in docs.columns if c not in ("n_words", "matches")]
-    rows = docs.select(F.struct(*own).alias("row"), F.col(text).alias("text"), *text_key(F.col(text))).join(index.candidates(), _KEY, "left")
-    words = F.transform(cased_words(F.col("text")), lower_word)
+    rows = docs.select(F.struct(*own).alias("row"), *text_key(F.col(text))).join(index.candidates(), _KEY, "left")
+    whole = F.col("row").getField(text)
+    words = F.transform(cased_words(whole), lower_word)
     none = "array<struct<ids:array<string>,at:array<int>,wide:int>>"
     matches = F.when(F.col("found").isNotNull(), let(words, lambda w: _phrases(F.col("found"), w, window))).otherwise(F.array().cast(none))
-    return rows.select("row.*", F.size(cased_words(F.col("text"))).cast("long").alias("n_words"), matches.alias("matches"))
+    return rows.select("row.*", F.size(cased_words(whole)).cast("long").alias("n_words"), matches.alias("matches"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
