@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import stored, text_chunks
 
 #: Bytes of text that are aligned and counted together; one longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: What byte-level vocabularies split a text by before they merge bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
