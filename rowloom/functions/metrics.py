@@ -6,35 +6,33 @@ group's rows are combined before they are shuffled.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _curve(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """Per group and distinct score: positives and rows there, and in total above it (with it), and in the group."""
-    per = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
-    down = W.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(*by)
-    return per.select(*by, "s", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), F.sum("p").over(every).alias("all_p"), F.sum("n").over(every).alias("all_n"))
+from rowloom.operators.ranks import running
 
 
 def ranking(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """(by, n, positives, auroc, average_precision, aupr_trapezoid); the metrics are null where a group has one label only."""
-    c = _curve(df, by, label, score)
-    w = W.partitionBy(*by).orderBy(F.desc("s"))
-    prec, rec = F.col("tp") / F.col("seen"), F.try_divide(F.col("tp"), F.col("all_p"))
-    c = c.withColumns({"prec": prec, "rec": rec, "neg": F.col("n") - F.col("p")})
-    c = c.withColumns({"prec0": F.coalesce(F.lag("prec").over(w), F.lit(1.0)), "rec0": F.coalesce(F.lag("rec").over(w), F.lit(0.0))})
-    # negatives strictly below a score, and half of those at it
-    below = (F.col("all_n") - F.col("all_p")) - (F.col("seen") - F.col("tp")) + F.col("neg") / 2
+    """(by, n, positives, auroc, average_precision, aupr_trapezoid); the metrics are null where a group has one label only.
+
+    Positives and rows above a score are running sums over parts of a group, so no group's scores are ordered in one task.
+    """
+    per = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
+    c = running(per, by, [F.desc("s")], {"tp0": F.col("p"), "seen0": F.col("n")})
+    tp, seen, negatives = F.col("tp0") + F.col("p"), F.col("seen0") + F.col("n"), F.col("n") - F.col("p")
+    precision, before = tp / seen, F.when(F.col("seen0") == 0, 1.0).otherwise(F.try_divide("tp0", "seen0"))
     out = c.groupBy(*by).agg(
-        F.max("all_n").alias("n"), F.max("all_p").alias("positives"), F.sum(F.col("p") * below).alias("u"),
-        F.sum((F.col("rec") - F.col("rec0")) * F.col("prec")).alias("ap"), F.sum((F.col("rec") - F.col("rec0")) * (F.col("prec") + F.col("prec0")) / 2).alias("trap"),
+        F.sum("n").alias("__n"), F.sum("p").alias("positives"), F.sum(F.col("p") * (seen - tp - negatives / 2)).alias("__above"),
+        F.sum(F.col("p") * precision).alias("__ap"), F.sum(F.col("p") * (precision + before) / 2).alias("__trap"),
+    )
+    two = (F.col("positives") > 0) & (F.col("positives") < F.col("__n"))
+    pairs = F.col("positives") * (F.col("__n") - F.col("positives"))
+    return out.select(
+        *by, F.col("__n").alias("n"), "positives", F.when(two, (pairs - F.col("__above")) / pairs).alias("auroc"),
+        F.when(two, F.col("__ap") / F.col("positives")).alias("average_precision"), F.when(two, F.col("__trap") / F.col("positives")).alias("aupr_trapezoid"),
     )
-    two = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
-    pairs = F.col("positives") * (F.col("n") - F.col("positives"))
-    return out.select(*by, "n", "positives", F.when(two, F.col("u") / pairs).alias("auroc"), F.when(two, F.col("ap")).alias("average_precision"), F.when(two, F.col("trap")).alias("aupr_trapezoid"))
 
 
 def confusion(df: DataFrame, by: list[str], predicted: Column, label: str = "label") -> DataFrame:
@@ -81,10 +79,33 @@ def grid_cuts(spark, steps: int = 200) -> DataFrame:
     return spark.range(1, steps).select((F.col("id") / steps).alias("cut"))
 
 
+def quantiles(df: DataFrame, levels: list[float], score: str = "score") -> DataFrame:
+    """(level, value): exact linear quantiles of the non-null scores at each level; no rows without a score.
+
+    Scores are counted per distinct value and a running count says which values hold the two ranks that a level lies between,
+    so memory is bounded whatever the scores are. NaN is above infinity.
+    """
+    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"))
+    c = running(per, [], ["s"], {"seen": F.col("n")}).checkpoint()
+    last = (c.agg(F.sum("n")).first()[0] or 0) - 1
+    if last < 0:
+        return df.sparkSession.createDataFrame([], "level double, value double")
+    at = {q: q * last for q in levels}
+    ranks = sorted({r for x in at.values() for r in (math.floor(x), math.ceil(x))})  # two a level at most
+    held = F.filter(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r >= F.col("seen")) & (r < F.col("seen") + F.col("n")))
+    value = {r["rank"]: r["s"] for r in c.select("s", F.explode(held).alias("rank")).collect()}
+
+    def between(x: float) -> float:
+        low, high = math.floor(x), math.ceil(x)
+        return value[low] if value[low] == value[high] else (high - x) * value[low] + (x - low) * value[high]
+
+    return df.sparkSession.createDataFrame([(float(q), float(between(x))) for q, x in at.items()], "level double, value double")
+
+
 def quantile_cuts(df: DataFrame, low: float, high: float, number: int, score: str = "score") -> DataFrame:
     """Distinct linear quantiles of the score at `number` even levels."""
     levels = [round(low + (high - low) * i / (number - 1), 12) for i in range(number)]
-    return df.agg(F.percentile(score, levels).alias("q")).select(F.explode("q").alias("cut")).distinct()
+    return quantiles(df, levels, score).select(F.col("value").alias("cut")).distinct()
 
 
 def best_cut(table: DataFrame, metric: str, ties: list[Column]) -> DataFrame:

@@ -30,37 +30,14 @@ def draw_index(size: int, *key: Column) -> Column:
     return F.floor(S.hash_uniform(*key) * size).cast("long")
 
 
-def drawn_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, seed: int = 42, pep: str = "pep", ab: str = "ab", tries: int = 64) -> DataFrame:
-    """rows (pep and any keys that make them distinct) each with a donor ab that isn't blocked for its pep, exactly or by endpoint group.
+def drawn_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, seed: int = 42, pep: str = "pep", ab: str = "ab", tries: int | None = None) -> DataFrame:
+    """rows (pep and any keys that make them distinct) each with a donor ab that isn't blocked for its pep, exactly or by endpoint group;
+    null where no donor is left.
 
-    A draw names a place of the numbered pool; blocked draws are drawn again with the next counter, so peptides and pool are
-    never paired. Rows that `tries` draws leave open (nearly all donors blocked) are settled exactly by an anti-join of the
-    pool for their peptides alone; a peptide without any admissible donor gets null.
+    One draw of distinct_negatives for each row: nothing is drawn again, so `tries`, which older callers give, has no effect.
     """
-    checkpoint_dir(rows.sparkSession)
-    numbered = numbered_pool(pool, ab).withColumn("__grp", S.endpoint_group(F.col(ab))).checkpoint()
-    size = numbered.count()
-    exact = blocked.select(pep, ab).distinct()
-    groups = blocked.select(pep, S.endpoint_group(F.col(ab)).alias("__grp")).distinct()
-    keys = rows.columns
-    todo, out, turn = rows, None, 0
-    while size and turn < tries:
-        # one draw for all rows, then the first admissible of eight for the fewer that are left
-        width = 8 if turn else 1
-        drawn = todo.withColumn("__t", F.explode(F.sequence(F.lit(turn), F.lit(turn + width - 1))))
-        drawn = drawn.withColumn("idx", draw_index(size, F.lit(str(seed)), F.col("__t"), *[F.col(k) for k in keys])).join(numbered, "idx")
-        good = drawn.join(exact, [pep, ab], "left_anti").join(groups, [pep, "__grp"], "left_anti")
-        good = (good.groupBy(*keys).agg(F.min_by(ab, "__t").alias(ab)) if turn else good.select(*keys, ab)).checkpoint()
-        out = good if out is None else out.unionByName(good)
-        todo = todo.join(good, keys, "left_anti").checkpoint()
-        if todo.isEmpty():
-            return out
-        turn += width
-    few = todo.select(pep).distinct()
-    allowed = few.join(numbered).join(exact, [pep, ab], "left_anti").join(groups, [pep, "__grp"], "left_anti")
-    least = allowed.groupBy(pep).agg(F.min_by(ab, S.hash_order(seed, F.col(pep), F.col(ab))).alias(ab))
-    rest = todo.join(least, pep, "left").select(*keys, ab)
-    return rest if out is None else out.unionByName(rest)
+    found, none = _draws(rows, pool, blocked, 1, seed, pep, ab)
+    return found.drop("draw").unionByName(none.withColumn(ab, F.lit(None).cast(pool.schema[ab].dataType)))
 
 
 def ranked_negatives(peptides: DataFrame, pool: DataFrame, blocked: DataFrame, wanted: str, seed: int = 42, pep: str = "pep", ab: str = "ab", distinct_groups: bool = False) -> DataFrame:
@@ -154,15 +131,8 @@ def _grouped_pool(pool: DataFrame, ab: str) -> DataFrame:
     return placed(pool.select(ab).distinct().withColumn("grp", S.endpoint_group(F.col(ab))), ["grp", ab]).checkpoint()
 
 
-def distinct_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, times: int | str = 1, seed: int = 42, pep: str = "pep", ab: str = "ab") -> DataFrame:
-    """(columns of rows, draw, ab): for each row `times` distinct donors, drawn evenly from those that no blocked pair of its pep rules
-    out, exactly or by endpoint group; fewer only where fewer exist. times: a number, or a column of rows. draw counts from 0.
-
-    Donors of a group have neighbouring places, so what a peptide is blocked from is a segment for each of its groups, whatever
-    the groups hold. A keyed permutation of the peptide's open ranks names the draws, and a running sum over segments and
-    draws finds their places: no redraws, no pairing of peptides and pool. A row's draws depend on seed and row alone. Rows
-    should be distinct; equal rows get equal draws. Null peptides are blocked by pairs of a null peptide.
-    """
+def _draws(rows: DataFrame, pool: DataFrame, blocked: DataFrame, times: int | str, seed: int, pep: str, ab: str) -> tuple[DataFrame, DataFrame]:
+    """distinct_negatives, and the rows of peptides for which no donor is open."""
     checkpoint_dir(rows.sparkSession)
     donors = _grouped_pool(pool, ab)
     size = donors.count()
@@ -172,11 +142,24 @@ def distinct_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, tim
     wanted = (F.lit(times) if isinstance(times, int) else F.col(times)).cast("long")
     free = open_counts(segments, ["__pep"], size).withColumnRenamed("__pep", "__free_pep")
     asked = rows.join(free, rows[pep].eqNullSafe(F.col("__free_pep")), "left").withColumn("__open", F.coalesce("open", F.lit(size).cast("long")))
+    none = asked.where("__open = 0").select(*rows.columns)
     asked = asked.withColumn("__n", F.least(wanted, F.col("__open"))).where("__n > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
     asked = asked.select(*rows.columns, F.col(pep).alias("__pep"), "draw", permuted(F.col("draw"), F.col("__open"), F.lit(seed), *key).alias("rank"))
     found = open_places(segments, asked, ["__pep"])
-    return found.join(donors.select("place", F.col(ab).alias("__donor")), "place").select(*rows.columns, "draw", F.col("__donor").alias(ab))
+    return found.join(donors.select("place", F.col(ab).alias("__donor")), "place").select(*rows.columns, "draw", F.col("__donor").alias(ab)), none
+
+
+def distinct_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, times: int | str = 1, seed: int = 42, pep: str = "pep", ab: str = "ab") -> DataFrame:
+    """(columns of rows, draw, ab): for each row `times` distinct donors, drawn evenly from those that no blocked pair of its pep rules
+    out, exactly or by endpoint group; fewer only where fewer exist. times: a number, or a column of rows. draw counts from 0.
+
+    Donors of a group have neighbouring places, so what a peptide is blocked from is a segment for each of its groups, whatever
+    the groups hold. A keyed permutation of the peptide's open ranks names the draws, and a running sum over segments and
+    draws finds their places: no redraws, no pairing of peptides and pool. A row's draws depend on seed and row alone. Rows
+    should be distinct; equal rows get equal draws. Null peptides are blocked by pairs of a null peptide.
+    """
+    return _draws(rows, pool, blocked, times, seed, pep, ab)[0]
 
 
 def other_target_negatives(rows: DataFrame, target: str, a: str = "a", b: str = "b", times: int = 1, seed: int = 42) -> DataFrame:

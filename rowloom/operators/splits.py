@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import sequences as S
 from rowloom.operators.joins import not_in_keys
+from rowloom.operators.ranks import running
 
 GROUPINGS = ("pair_stratified", "peptide", "cluster")
 #: Frequency bins: (name, largest count).
@@ -28,7 +29,7 @@ def pair_quotas(keys: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
 
     The request is ceil(all pairs * fraction), at least 1 and at most the total capacity. Base quotas are floors of the
     proportional share; what is left fills peptides to capacity by falling fractional part, then tie, then name: running
-    sums of capacity in that order. The one global order is over peptides whose base is below their capacity.
+    sums of capacity in that order, part by part.
     """
     per = keys.groupBy("pep").agg(F.count("*").alias("n"))
     total = per.agg(F.sum("n").alias("__total"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("cap"))
@@ -38,9 +39,9 @@ def pair_quotas(keys: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     base = F.least(F.floor(share), F.col("n") - 1)
     open_ = open_.withColumns({"base": base, "frac": share - F.floor(share), "tie": S.hash_order(seed, F.col("pep"))})
     left = open_.agg(F.first("wanted").alias("w"), F.sum("base").alias("b")).select((F.col("w") - F.col("b")).alias("left"))
-    run = W.orderBy(F.desc("frac"), F.desc("tie"), F.desc("pep")).rowsBetween(W.unboundedPreceding, -1)
     spare = F.col("n") - 1 - F.col("base")
-    more = F.greatest(F.lit(0), F.least(spare, F.col("left") - F.coalesce(F.sum(spare).over(run), F.lit(0))))
+    open_ = running(open_, [], [F.desc("frac"), F.desc("tie"), F.desc("pep")], {"before": spare})
+    more = F.greatest(F.lit(0), F.least(spare, F.col("left") - F.col("before")))
     return open_.join(F.broadcast(left)).select("pep", "n", (F.col("base") + more).cast("long").alias("quota"))
 
 
@@ -142,11 +143,10 @@ def frequency_allocation(counts: DataFrame, evaluate: int, seed: int = 42, key:
     take = F.lit(0)
     for (b, _), q in zip(BINS, quota, strict=True):
         take = F.when(F.col("bin") == b, q).otherwise(take)
-    # only the first 2 * quota of a bin by hash are ranked against each other: a limit per window, not a sort of all keys
-    place = F.row_number().over(W.partitionBy("bin").orderBy(S.hash_order(seed, F.col(key)), key))
-    first = binned.withColumn("__at", place).where(F.col("__at") <= 2 * max(quota, default=0)).where(F.col("__at") <= 2 * take)
-    chosen = first.select(key, F.when(F.col("__at") <= take, "test").otherwise("valid").alias("split"))
-    return binned.join(chosen, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    order = binned.withColumn("__hash", S.hash_order(seed, F.col(key)))
+    ranked = running(order, ["bin"], ["__hash", key], {"__before": F.lit(1)})
+    split = F.when(F.col("__before") < take, "test").when(F.col("__before") < 2 * take, "valid").otherwise("train")
+    return ranked.select(key, n, "bin", split.alias("split"))
 
 
 def largest_remainder(sizes: list[int], wanted: int) -> list[int]:

@@ -104,7 +104,9 @@ def prepare(corpora: dict[str, DataFrame], test: DataFrame, config: Config) -> d
     pool = pool.unionByName(positives.select("pep", "ab")).unionByName(test.select("pep", "ab")).distinct().checkpoint()
     blocked = joins.blocked_pairs(pool, pool).checkpoint()
     wanted = positives.select("pep", "hla", "hla_allele", "mhc", F.col("grp").alias("__for"))
-    drawn = negatives.drawn_negatives(wanted, pool, blocked, config.seed + 1000).where("ab IS NOT NULL")
+    drawn = negatives.drawn_negatives(wanted, pool, pool, config.seed + 1000).checkpoint()
+    without = drawn.where("ab IS NULL").count()
+    drawn = drawn.where("ab IS NOT NULL")
     drawn = drawn.withColumns({"label": F.lit(0), "grp": S.endpoint_group(F.col("ab"))}).select(*columns)
     valid = records.keep_first(positives.select(*columns).unionByName(drawn), _KEY, [F.desc("label"), "ab"]).checkpoint()
 
@@ -112,6 +114,6 @@ def prepare(corpora: dict[str, DataFrame], test: DataFrame, config: Config) -> d
     for name, train in cleaned.items():
         n, unique = train.count(), train.select(*_KEY).distinct().count()
         labels = {r.label: r["count"] for r in valid.groupBy("label").count().collect()}
-        report = reports[name] | {"train": n, "train_unique": unique, "train_repeats": n - unique, "valid": {str(k): v for k, v in labels.items()}, "test": test.count(), "grouping": config.grouping, "seed": config.seed}
+        report = reports[name] | {"train": n, "train_unique": unique, "train_repeats": n - unique, "valid": {str(k): v for k, v in labels.items()}, "positives_without_donor": without, "test": test.count(), "grouping": config.grouping, "seed": config.seed}
         out[name] = {"train": train.select(*columns), "valid": valid, "test": test.select(*columns), "pool": pool.select("ab").distinct(), "blocked": blocked, "report": report}
     return out

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom.functions import metrics
 from rowloom.functions import sequences as S
 from rowloom.operators import negatives, ranks
 
@@ -104,3 +105,49 @@ def test_other_target_negatives(spark, seed):
         mine = by.get((t, a, b), set())
         assert len(mine) == min(4, len(free)) and mine <= free
     assert len(got) == sum(map(len, by.values()))
+
+
+def _plain_ranking(labels, scores):
+    pos, neg = [s for y, s in zip(labels, scores, strict=True) if y], [s for y, s in zip(labels, scores, strict=True) if not y]
+    if not pos or not neg:
+        return None, None, None
+    auc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg)
+    ap = trap = rec0 = 0.0
+    prec0 = 1.0
+    for cut in sorted(set(scores), reverse=True):
+        tp = sum(p >= cut for p in pos)
+        prec, rec = tp / (tp + sum(q >= cut for q in neg)), tp / len(pos)
+        ap, trap, prec0, rec0 = ap + (rec - rec0) * prec, trap + (rec - rec0) * (prec + prec0) / 2, prec, rec
+    return auc, ap, trap
+
+
+def test_ranking_over_several_parts(spark):
+    """More distinct scores of one group than a part holds, ties, and groups of one label."""
+    draw = random.Random(8)
+    rows = [("hot", draw.randrange(2), draw.randrange(700) / 700) for _ in range(900)] + [(g, draw.randrange(2), draw.randrange(4) / 4) for g in "abc" for _ in range(9)]
+    rows += [("one", 1, 0.3), ("one", 1, 0.2), (None, 0, 0.1), (None, 1, 0.1)]
+    df = spark.createDataFrame(rows, "g string, label int, score double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: tuple(r)[1:] for r in metrics.ranking(df, ["g"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g, own in ((g, [r for r in rows if r[0] == g]) for g in {r[0] for r in rows}):
+        n, p, *three = got[g]
+        assert (n, p) == (len(own), sum(r[1] for r in own))
+        want = _plain_ranking([r[1] for r in own], [r[2] for r in own])
+        assert three == [None] * 3 if want[0] is None else three == pytest.approx(want, abs=1e-12)
+    assert metrics.ranking(df.limit(0), ["g"]).collect() == []
+
+
+@pytest.mark.parametrize("scores", [[0.5], [1.0, 1.0, 1.0], [float("-inf"), 0.0, 3.0, float("inf")], [None, 2.0, 1.0, 1.0, 9.0, -4.0], [i * 0.37 % 5 for i in range(500)]])
+def test_exact_quantiles(spark, scores):
+    levels = [0.0, 0.02, 0.25, 0.5, 0.77, 1.0]
+    df = spark.createDataFrame([(s,) for s in scores], "score double")
+    got = {r.level: r.value for r in metrics.quantiles(df, levels).collect()}
+    known = sorted(s for s in scores if s is not None)
+    for q in levels:
+        at = q * (len(known) - 1)
+        lo, hi = known[int(at)], known[-int(-at // 1)]
+        assert got[q] == (lo if lo == hi else pytest.approx((1 - at % 1) * lo + at % 1 * hi, abs=1e-12))
+    assert metrics.quantiles(df.limit(0), levels).collect() == []
