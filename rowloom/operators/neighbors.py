@@ -3,10 +3,15 @@
 A string within k edits of another contains one of its k + 1 segments, shifted by k places at most. So segments of one
 side, with its length, are keys; substrings of the other side at the allowed shifts and lengths probe them; candidates
 meet in an equi-join and are verified by a bounded Levenshtein distance.
+
+Segments of short strings are one to five letters long and tell little. Two strings within k edits also become the same string
+when at most k letters are deleted from either, so pairs with a short string meet by hashes of their deletion variants.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +47,44 @@ def _probes(text: Column, k: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(lengths, by_length)))
 
 
+#: Segments of fewer letters than this make poor keys; variants that a string may have before segments are the lesser evil.
+LETTERS, VARIANTS = 6, 2048
+
+
+def short_length(k: int) -> int:
+    """Strings up to this length meet by deletion variants: longer ones have segments of LETTERS letters, or too many variants."""
+    n = 0
+    while n + 1 < LETTERS * (k + 1) and sum(comb(n + 1, i) for i in range(k + 1)) <= VARIANTS:
+        n += 1
+    return n
+
+
+def _variants(text: Column, k: int) -> Column:
+    """Hashes of all strings that deleting at most k letters leaves."""
+    fewer = lambda v: F.transform(F.sequence(F.lit(1), F.length(v)), lambda at: F.concat(F.substring(v, F.lit(1), at - 1), F.substring(v, at + 1, F.length(v))))
+    shorter = lambda v: F.when(F.length(v) > 0, fewer(v)).otherwise(F.array().cast("array<string>"))
+    last, found = F.array(text), [F.array(text)]
+    for _ in range(k):
+        last = F.array_distinct(F.flatten(F.transform(last, shorter)))
+        found.append(last)
+    return F.transform(F.flatten(F.array(*found)), lambda v: F.xxhash64(v))
+
+
+def candidates(left: DataFrame, right: DataFrame, k: int, a: str = "a", b: str = "b") -> DataFrame:
+    """(a, b), repeated: distinct strings of both sides that share a key; every pair within k edits is among them."""
+    left, right = (df.select(c).where(F.col(c).isNotNull()).distinct() for df, c in ((left, a), (right, b)))
+    most = short_length(k)
+    brief = lambda df, c: df.where(F.length(c) <= most + k).select(c, F.explode(_variants(F.col(c), k)).alias("__key"))
+    near = brief(left, a).join(brief(right, b), "__key").where((F.least(F.length(a), F.length(b)) <= most) & (F.abs(F.length(a) - F.length(b)) <= k))
+    probes = left.where(F.length(a) > most).select(a, F.explode(_probes(F.col(a), k)).alias("__key"))
+    stored = right.where(F.length(b) > most).select(b, F.explode(F.array_distinct(_stored(F.col(b), k))).alias("__key"))
+    return near.select(a, b).unionByName(probes.join(stored, "__key").select(a, b))
+
+
 def edit_pairs(left: DataFrame, right: DataFrame, k: int, a: str = "a", b: str = "b") -> DataFrame:
     """(a, b, d) for distinct strings a of left and b of right within k edits."""
-    probes = left.select(F.col(a)).where(F.col(a).isNotNull()).distinct().select(a, F.explode(_probes(F.col(a), k)).alias("__key"))
-    stored = right.select(F.col(b)).where(F.col(b).isNotNull()).distinct().select(b, F.explode(F.array_distinct(_stored(F.col(b), k))).alias("__key"))
-    found = probes.join(stored, "__key").withColumn("d", F.levenshtein(F.col(a), F.col(b), k)).where(F.col("d").between(0, k))
-    return found.select(a, b, "d").distinct()
+    found = candidates(left, right, k, a, b).distinct().withColumn("d", F.levenshtein(F.col(a), F.col(b), k))
+    return found.where(F.col("d").between(0, k))
 
 
 def bounded_self_join(df: DataFrame, text: str, k: int) -> DataFrame:
