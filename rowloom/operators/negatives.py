@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import sequences as S
 from rowloom.operators.components import checkpoint_dir
-from rowloom.operators.ranks import open_counts, open_places, permuted, placed
+from rowloom.operators.ranks import open_counts, open_places, permuted, placed, repeated, running
 
 
 def numbered_pool(pool: DataFrame, ab: str = "ab", extra: list[str] | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def drawn_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, seed:
 
     One draw of distinct_negatives for each row: nothing is drawn again, so `tries`, which older callers give, has no effect.
     """
-    found, none = _draws(rows, pool, blocked, 1, seed, pep, ab)
+    found, none = _draws(rows, pool, blocked, 1, seed, pep, ab, [])
     return found.drop("draw").unionByName(none.withColumn(ab, F.lit(None).cast(pool.schema[ab].dataType)))
 
 
@@ -126,40 +126,134 @@ def masked_chains(df: DataFrame, columns: list[str], share: float, key: list[str
     return df.withColumns({c: F.when(draw[c] < share, mark).otherwise(F.col(c)) for c in columns})
 
 
-def _grouped_pool(pool: DataFrame, ab: str) -> DataFrame:
-    """(ab, grp, place): distinct donors, those of an endpoint group next to each other."""
-    return placed(pool.select(ab).distinct().withColumn("grp", S.endpoint_group(F.col(ab))), ["grp", ab]).checkpoint()
+class _Field:
+    """A numbered pool and what each target may not draw from it. Donors of a unit have neighbouring places within their domain, so a
+    target is shut out of a segment for each of its units, whatever they hold."""
 
+    def __init__(self, donors: DataFrame, shut: DataFrame, within: list[str], target: str, unit: str):
+        """donors: (within, unit, payload ...), each a place; shut: (target, unit)."""
+        order = [unit, *[c for c in donors.columns if c not in (*within, unit)]]
+        self.donors = running(donors, within, order, {"place": F.lit(1).cast("long")}).checkpoint()
+        self.within, self.target, self.unit = within, target, unit
+        units = self.donors.groupBy(*within, unit).agg(F.min("place").alias("lo"), F.count("*").alias("len"))
+        self.segments = shut.select(target, unit).distinct().join(units, unit).select(*within, target, "lo", "len").checkpoint()
+        self.sizes = self.donors.groupBy(*within).agg(F.count("*").alias("__size"))
 
-def _draws(rows: DataFrame, pool: DataFrame, blocked: DataFrame, times: int | str, seed: int, pep: str, ab: str) -> tuple[DataFrame, DataFrame]:
+    def opened(self, rows: DataFrame) -> DataFrame:
+        """rows with __open: donors of their domain that are open to their target."""
+        taken = self.segments.groupBy(*self.within, self.target).agg(F.sum("len").alias("__taken"))
+        if self.within:
+            out = _null_safe(rows, self.sizes, self.within)
+        else:
+            out = rows.withColumn("__size", F.lit(self.donors.count()))
+        out = _null_safe(out, taken, [*self.within, self.target])
+        return out.withColumn("__open", (F.coalesce("__size", F.lit(0)) - F.coalesce("__taken", F.lit(0))).cast("long")).drop("__size", "__taken")
+
+    def drawn(self, asked: DataFrame, image: str, key: list[Column]) -> DataFrame:
+        """asked (with __open) with the donor that the key's permutation has at `image`."""
+        ranked = asked.withColumn("rank", permuted(F.col(image), F.col("__open"), *key)).select(F.struct(*asked.columns).alias("__row"), *self.within, self.target, "rank")
+        found = open_places(self.segments, ranked, [*self.within, self.target])
+        names = [c for c in self.donors.columns if c not in ("place", *self.within)]
+        donors = self.donors.select("place", *self.within, F.struct(*names).alias("__donor"))
+        return _null_safe(found, donors, ["place", *self.within], "inner").select("__row.*", "__donor")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join on keys in which nulls are equal; the right side's keys are dropped."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(other[f"__right_{k}"])
+    return left.join(other, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
+def _by_group(pool: DataFrame, blocked: DataFrame, within: list[str], pep: str, ab: str) -> _Field:
+    grp = S.endpoint_group(F.col(ab)).alias("__grp")
+    return _Field(pool.select(*within, grp, ab).distinct(), blocked.select(pep, grp), within, pep, "__grp")
+
+
+def _key_of(rows: DataFrame, seed: int) -> list[Column]:
+    return [F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]]
+
+
+def _draws(rows: DataFrame, pool: DataFrame, blocked: DataFrame, times: int | str, seed: int, pep: str, ab: str, within: list[str]) -> tuple[DataFrame, DataFrame]:
     """distinct_negatives, and the rows of peptides for which no donor is open."""
     checkpoint_dir(rows.sparkSession)
-    donors = _grouped_pool(pool, ab)
-    size = donors.count()
-    groups = donors.groupBy("grp").agg(F.min("place").alias("lo"), F.count("*").alias("len"))
-    own = blocked.select(F.col(pep).alias("__pep"), S.endpoint_group(F.col(ab)).alias("grp")).distinct()
-    segments = own.join(groups, "grp").select("__pep", "lo", "len").checkpoint()
+    field = _by_group(pool, blocked, within, pep, ab)
     wanted = (F.lit(times) if isinstance(times, int) else F.col(times)).cast("long")
-    free = open_counts(segments, ["__pep"], size).withColumnRenamed("__pep", "__free_pep")
-    asked = rows.join(free, rows[pep].eqNullSafe(F.col("__free_pep")), "left").withColumn("__open", F.coalesce("open", F.lit(size).cast("long")))
-    none = asked.where("__open = 0").select(*rows.columns)
-    asked = asked.withColumn("__n", F.least(wanted, F.col("__open"))).where("__n > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
-    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
-    asked = asked.select(*rows.columns, F.col(pep).alias("__pep"), "draw", permuted(F.col("draw"), F.col("__open"), F.lit(seed), *key).alias("rank"))
-    found = open_places(segments, asked, ["__pep"])
-    return found.join(donors.select("place", F.col(ab).alias("__donor")), "place").select(*rows.columns, "draw", F.col("__donor").alias(ab)), none
+    opened = field.opened(rows)
+    none = opened.where("__open = 0").select(*rows.columns)
+    asked = repeated(opened, F.lit(0).cast("long"), F.least(wanted, F.col("__open")), "draw")
+    found = field.drawn(asked, "draw", _key_of(rows, seed))
+    return found.select(*rows.columns, "draw", F.col("__donor")[ab].alias(ab)), none
 
 
-def distinct_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, times: int | str = 1, seed: int = 42, pep: str = "pep", ab: str = "ab") -> DataFrame:
+def _first_units(rows: DataFrame, field: _Field, wanted: str, seed: int) -> DataFrame:
+    """(rows, __unit, __donor, draw): for each row the first `wanted` distinct units that its permutation of open donors meets, numbered
+    from 0, each with the donor that it was met by; all units where fewer are open.
+
+    A unit comes by the number of its open donors, without replacement. Rows look at twice as many donors as they want, then at
+    as many again while units are missing and donors left.
+    """
+    key = _key_of(rows, seed)
+    opened = field.opened(rows).where(F.col("__open") > 0).withColumn("__to", F.least(F.col("__open"), 2 * F.col(wanted).cast("long") + 8)).withColumn("__from", F.lit(0).cast("long"))
+    todo, met = opened.checkpoint(), None
+    while not todo.isEmpty():
+        asked = repeated(todo, F.col("__from"), F.col("__to"), "__image")
+        new = field.drawn(asked, "__image", key).groupBy(*rows.columns, F.col("__donor")[field.unit].alias("__unit")).agg(F.min("__image").alias("__image"), F.min_by("__donor", "__image").alias("__donor"))
+        met = new.checkpoint() if met is None else met.unionByName(new).groupBy(*rows.columns, "__unit").agg(F.min("__image").alias("__image"), F.min_by("__donor", "__image").alias("__donor")).checkpoint()
+        have = met.groupBy(*rows.columns).agg(F.count("*").alias("__have"))
+        short = _null_safe(todo, have, rows.columns, "left").where((F.coalesce("__have", F.lit(0)) < F.col(wanted)) & (F.col("__to") < F.col("__open")))
+        todo = short.drop("__have").withColumn("__from", F.col("__to")).withColumn("__to", F.least(F.col("__open"), 2 * F.col("__to"))).checkpoint()
+    if met is None:
+        met = field.drawn(opened.withColumn("__image", F.col("__from")), "__image", key).select(*rows.columns, F.col("__donor")[field.unit].alias("__unit"), "__image", "__donor")
+    return running(met, rows.columns, ["__image"], {"draw": F.lit(1).cast("long")}).where(F.col("draw") < F.col(wanted)).drop("__image")
+
+
+def distinct_negatives(rows: DataFrame, pool: DataFrame, blocked: DataFrame, times: int | str = 1, seed: int = 42, pep: str = "pep", ab: str = "ab", within: list[str] | None = None) -> DataFrame:
     """(columns of rows, draw, ab): for each row `times` distinct donors, drawn evenly from those that no blocked pair of its pep rules
     out, exactly or by endpoint group; fewer only where fewer exist. times: a number, or a column of rows. draw counts from 0.
 
-    Donors of a group have neighbouring places, so what a peptide is blocked from is a segment for each of its groups, whatever
-    the groups hold. A keyed permutation of the peptide's open ranks names the draws, and a running sum over segments and
-    draws finds their places: no redraws, no pairing of peptides and pool. A row's draws depend on seed and row alone. Rows
-    should be distinct; equal rows get equal draws. Null peptides are blocked by pairs of a null peptide.
+    within: columns that rows and pool share (a domain): donors come from the row's own; what is blocked is so in all domains.
+    A keyed permutation of a peptide's open ranks names the draws, and a running sum over blocked segments and draws finds
+    their places: no redraws, no pairing of peptides and pool. A row's draws depend on seed and row alone. Rows should be
+    distinct; equal rows get equal draws. A null peptide or domain is one like any other.
+    """
+    return _draws(rows, pool, blocked, times, seed, pep, ab, within or [])[0]
+
+
+def evaluation_negatives(positives: DataFrame, pool: DataFrame, known: DataFrame, seed: int = 42, pep: str = "pep", allele: str = "mhc", ab: str = "ab", strict: bool = True) -> DataFrame:
+    """(pep, allele, draw, grp, ab): as many negatives for each (pep, allele) as it has rows in positives, no endpoint group twice.
+
+    A donor is drawn evenly from those of the pool whose group is in no known pair of the peptide, whatever the allele, and drawn
+    again where its group was met before; so a group comes by the number of its donors and any of them may stand for it.
+    strict: an error where groups run out, as positives and negatives would not be one to one; else fewer.
     """
-    return _draws(rows, pool, blocked, times, seed, pep, ab)[0]
+    checkpoint_dir(positives.sparkSession)
+    rows = positives.groupBy(pep, allele).agg(F.count("*").alias("__wanted")).checkpoint()
+    field = _by_group(pool, known, [], pep, ab)
+    found = _first_units(rows, field, "__wanted", seed).checkpoint()
+    if strict:
+        got = found.groupBy(pep, allele).agg(F.count("*").alias("__got"))
+        short = _null_safe(rows, got, [pep, allele]).where(F.coalesce("__got", F.lit(0)) < F.col("__wanted")).select(pep, allele).limit(5).collect()
+        if short:
+            raise ValueError(f"not enough negative groups for {[tuple(r) for r in short]} and maybe others")
+    return found.select(pep, allele, "draw", F.col("__unit").alias("grp"), F.col("__donor")[ab].alias(ab))
+
+
+def recombined_to_quota(rows: DataFrame, left: str, right: str, ratio: float, known: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """(left, right, draw): for each left round(its rows * ratio) new pairs with distinct rights, halves to even; all there are where fewer
+    exist. A right comes by its rows among all, and never one that the left has in known (rows, if not given).
+
+    Every row is a donor of its right: drawing rows without replacement and passing over rights met before is drawing rights by
+    frequency until the quota is full. Null rights are no donors.
+    """
+    checkpoint_dir(rows.sparkSession)
+    quota = rows.groupBy(left).agg(F.bround(F.count("*") * F.lit(float(ratio))).cast("long").alias("__wanted")).where("__wanted > 0").checkpoint()
+    every = rows.where(F.col(right).isNotNull()).groupBy(right).agg(F.count("*").alias("__times"))
+    donors = repeated(every, F.lit(0).cast("long"), F.col("__times"), "__copy").select(right, "__copy")
+    field = _Field(donors, (rows if known is None else known).select(left, right), [], left, right)
+    return _first_units(quota, field, "__wanted", seed).select(left, F.col("__unit").alias(right), "draw")
 
 
 def other_target_negatives(rows: DataFrame, target: str, a: str = "a", b: str = "b", times: int = 1, seed: int = 42) -> DataFrame:
@@ -187,7 +281,7 @@ def other_target_negatives(rows: DataFrame, target: str, a: str = "a", b: str =
         segments = run.unionByName(single) if segments is None else segments.unionByName(run).unionByName(single)
     segments = segments.checkpoint()
     asked = own.join(open_counts(segments, [target], size), target).withColumn("__n", F.least(F.lit(times).cast("long"), F.col("open"))).where("__n > 0")
-    asked = asked.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    asked = repeated(asked, F.lit(0).cast("long"), F.col("__n"), "draw")
     asked = asked.select(target, "a", "b", "draw", permuted(F.col("draw"), F.col("open"), F.lit(seed), F.col(target), F.col("a"), F.col("b")).alias("rank"))
     found = open_places(segments, asked, [target])
     kind_a, kind_b = rows.schema[a].dataType, rows.schema[b].dataType

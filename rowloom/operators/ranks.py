@@ -90,3 +90,11 @@ def open_places(segments: DataFrame, draws: DataFrame, target: list[str], rank:
     asked = draws.select(*target, F.col(rank).cast("long").alias("__at"), F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__len"), F.md5(F.to_json(F.struct(*draws.columns))).alias("__tie"), F.struct(*draws.columns).alias("__draw"))
     both = running(marks.unionByName(asked), target, ["__at", "__kind", "__tie"], {"__shift": F.col("__len")})
     return both.where("__kind = 1").select("__draw.*", (F.col("__at") + F.col("__shift")).alias("place"))
+
+
+def repeated(df: DataFrame, low: Column, high: Column, name: str, block: int = 1 << 16) -> DataFrame:
+    """df with a row for each whole number from low to high - 1 in `name`. Long runs are cut into blocks, which are dealt over all tasks,
+    so no task makes all rows of one."""
+    blocks = F.when(high > low, F.sequence(low, high - 1, F.lit(block).cast("long")))
+    dealt = df.withColumn("__high", high).withColumn("__low", F.explode(blocks)).repartition(F.xxhash64(*df.columns, "__low"))
+    return dealt.withColumn(name, F.explode(F.sequence("__low", F.least(F.col("__low") + block, F.col("__high")) - 1))).drop("__low", "__high")

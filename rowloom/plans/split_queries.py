@@ -195,6 +195,51 @@ q AS (SELECT l_partkey, a, b, unnest(range(least(2, n))) AS x, n, concat_ws('|',
 SELECT image.l_partkey, image.a::BIGINT AS a, image.b::BIGINT AS b, x AS draw, other_a::BIGINT AS other_a, other_b::BIGINT AS other_b FROM image JOIN free ON free.l_partkey = image.l_partkey AND free.rank = image.v""")
 
 
+def _even_domains(s, d):
+    """One negative for each positive, its donor from the positive's own return flag; known pairs of all flags are blocked."""
+    p = pairs(s, d)
+    rows = p.select("l_returnflag", "pep", "mhc", F.col("ab").alias("positive")).distinct()
+    return negatives.distinct_negatives(rows, p, p, within=["l_returnflag"])
+
+
+_WITHIN = _even_sql("SELECT DISTINCT l_returnflag, pep, mhc, ab AS positive FROM pairs", "l_returnflag, pep, mhc, positive", "1")
+_WITHIN = _WITHIN.replace("row_number() OVER (ORDER BY grp, ab) AS place FROM (SELECT DISTINCT ab, grp FROM pairs)", "l_returnflag, row_number() OVER (ORDER BY grp, ab) AS place FROM (SELECT DISTINCT l_returnflag, ab, grp FROM pairs)")
+_WITHIN = _WITHIN.replace("SELECT pep, ab, row_number() OVER (PARTITION BY pep ORDER BY place) - 1 AS rank, count(*) OVER (PARTITION BY pep) AS n", "SELECT l_returnflag, pep, ab, row_number() OVER (PARTITION BY l_returnflag, pep ORDER BY place) - 1 AS rank, count(*) OVER (PARTITION BY l_returnflag, pep) AS n")
+_WITHIN = _WITHIN.replace("(SELECT DISTINCT pep, n FROM free) USING (pep)", "(SELECT DISTINCT l_returnflag, pep, n FROM free) USING (l_returnflag, pep)").replace("ON free.pep = image.pep AND", "ON free.l_returnflag = image.l_returnflag AND free.pep = image.pep AND")
+add("H3_same_domain_negatives", _even_domains, _WITHIN)
+# All open donors in the order of a key's permutation; the first of each unit, as many units as wanted.
+_FIRST = """WITH RECURSIVE {P}, don AS ({donors}), shut AS ({shut}), want AS ({want}),
+free AS (SELECT {t}, unit, payload, row_number() OVER (PARTITION BY {t} ORDER BY unit, payload) - 1 AS rank, count(*) OVER (PARTITION BY {t}) AS n FROM (SELECT DISTINCT {t} FROM want) p, don WHERE NOT EXISTS (SELECT 1 FROM shut WHERE shut.{t} = p.{t} AND shut.unit = don.unit)),
+q AS (SELECT {keys}, wanted, unnest(range(n)) AS x, n, concat_ws('|', '42', {keys}, wanted) AS key FROM want JOIN (SELECT DISTINCT {t}, n FROM free) USING ({t})), """ + _PERMUTED + """,
+met AS (SELECT {ikeys}, image.wanted, unit, min(x) AS met_at, min_by(payload, x) AS payload FROM image JOIN free ON free.{t} = image.{t} AND free.rank = image.v GROUP BY ALL)
+SELECT {out}, row_number() OVER (PARTITION BY {keys} ORDER BY met_at) - 1 AS draw FROM met QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY met_at) <= wanted"""
+
+
+def _first_sql(**parts):
+    out = _FIRST.replace("{ikeys}", ", ".join(f"image.{c.strip()}" for c in parts["keys"].split(",")))
+    for k, v in parts.items():
+        out = out.replace("{" + k + "}", v)
+    return out
+
+
+def _evaluation(s, d):
+    """One negative for each distinct positive of (pep, mhc), no endpoint group twice; known pairs are those of all classes."""
+    p = pairs(s, d)
+    return negatives.evaluation_negatives(p.select(*_KEY).distinct(), p, p, strict=False)
+
+
+add("H2_evaluation_negatives", _evaluation, _first_sql(donors="SELECT DISTINCT grp AS unit, ab AS payload FROM pairs", shut="SELECT DISTINCT pep, grp AS unit FROM pairs", want="SELECT pep, mhc, count(DISTINCT grp) AS wanted FROM pairs GROUP BY ALL", keys="pep, mhc", t="pep", out="pep, mhc, unit AS grp, payload AS ab"))
+
+
+def _to_quota(s, d):
+    """Half as many new pairs of part name and customer as the name has rows, customers by frequency."""
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return negatives.recombined_to_quota(pairs(s, d).join(orders, "l_orderkey").select("pep", "o_custkey"), "pep", "o_custkey", 0.5)
+
+
+add("H7_recombined_to_quota", _to_quota, _first_sql(donors="SELECT o_custkey AS unit, row_number() OVER (PARTITION BY o_custkey) AS payload FROM pairs JOIN orders ON l_orderkey = o_orderkey", shut="SELECT DISTINCT pep, o_custkey AS unit FROM pairs JOIN orders ON l_orderkey = o_orderkey", want="SELECT pep, round_even(count(*) * 0.5::DOUBLE, 0)::BIGINT AS wanted FROM pairs JOIN orders ON l_orderkey = o_orderkey GROUP BY pep HAVING round_even(count(*) * 0.5::DOUBLE, 0) > 0", keys="pep", t="pep", out="pep, unit AS o_custkey"))
+
+
 def _recombined(s, d):
     """Parts and suppliers drawn by frequency, known pairs left out."""
     rows = _flag(s, d, "A").withColumn("k", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
