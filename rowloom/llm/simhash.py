@@ -8,12 +8,11 @@ both lie three bits from theirs and the other's codeword is one of the five next
 nearest codeword is the stored key, those of the up to six nearby codewords are the probes. The other segment is cut in
 halves, one of which is free of error and completes the key. So no link is missed.
 
-The stage that drops near-duplicates (five words, similarity 0.8) has links of WIDE_BITS bits or fewer, which needs keys
-that stand more errors. Both segments of a pair are decoded to all codewords within four bits (one, or six) on either
-side, and a key is one codeword of each. This finds nearly all links of six bits and about three quarters of those of
-eight. A link also has to agree on a sketch of the texts' shingles: 64 one-bit bins of a one-permutation MinHash, of
-which (1 - similarity) / 2 differ, so SKETCH_BITS of them bound the similarity whatever the fingerprints say. README has
-the share of pairs found by their similarity.
+The stage that drops near-duplicates (five words, similarity 0.8) works on distinct shingles and four words of 64 bits, each
+from other hashes. Texts of similarity 0.8 differ in about 15 of 100 bits, so links are WIDE_BITS of the 256 or fewer, and keys
+have to stand more errors. Within a word each two segments are decoded to all codewords within four bits (one, or six), and
+a key is the nearest codeword of one with any near codeword of the other. A pair needs one of twelve such keys in common.
+README has the share of pairs found by their similarity.
 
 Keys are dealt to tasks and sorted; within a key's rows candidates are compared as vectors, verified on all 64 bits, and
 only links between fingerprints that earlier links have not joined yet go out, so a dense group of m fingerprints gives
@@ -31,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import connected_components, cut, lower_ascii, mix64, text_chunks, with_floor, words_of
+from rowloom.llm.common import broadcast_if_small, connected_components, cut, lower_ascii, mix64, text_chunks, with_floor, words_of
 
 MOST_BITS, SHINGLE, SEED = 4, 4, 42
-#: Of the stage: words of a shingle, most differing bits of fingerprints and of sketches. At similarity 0.8 a sketch differs in 6.4 bits, with deviation 2.4.
-WIDE_SHINGLE, WIDE_BITS, SKETCH_BITS = 5, 12, 8
+#: Of the stage: words of a shingle, 64-bit words of a fingerprint, most differing bits of all of them. At similarity 0.8 pairs differ
+#: in 39 bits with deviation 5.7, at 0.7 in 49.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_BITS = 5, 4, 48
+WIDE = ["fp", "f1", "f2", "f3"]
 #: (low bit, width) of the segments.
 SEGMENTS = ((0, 22), (22, 22), (44, 20))
 #: Pairs for two segments with one error each: (decoded segment, segment cut in halves).
@@ -56,8 +57,15 @@ def text_fingerprint(words: bytes, starts: list[int], ends: list[int]) -> int:
     return majority(shingle_hashes(words, starts, ends)) if starts else 0
 
 
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """A majority vote of the distinct hashes, mixed anew, for each word."""
+    some = np.unique(hashes)
+    return [majority(mix64(some + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(WIDE_WORDS)]
+
+
 def text_sketch(hashes: np.ndarray) -> int:
-    """One bit of the least hash in each of 64 bins; an empty bin takes the next bin's that isn't."""
+    """For an estimate of similarity beside the links: one bit of the least hash in each of 64 bins, of which (1 - similarity) / 2
+    differ; an empty bin takes the next bin's that isn't."""
     ordered = np.sort(hashes)
     first = np.searchsorted(ordered >> np.uint64(58), np.arange(64, dtype=np.uint64))
     least = ordered[first % len(ordered)]  # past an empty bin comes the next one's, round the end
@@ -73,10 +81,10 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(shingle: int, sketched: bool):
+def _fingerprints(shingle: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((2, batch.num_rows), np.uint64)
+            out = np.zeros((WIDE_WORDS if wide else 1, batch.num_rows), np.uint64)
             for lo, hi, raw, offsets in text_chunks(batch.column(batch.num_columns - 1)):
                 raw = lower_ascii(raw)
                 starts, ends, rows = words_of(raw, offsets)
@@ -92,19 +100,17 @@ def _fingerprints(shingle: int, sketched: bool):
                     a, b = first[r], first[r + 1]
                     if a < b:
                         hashes = shingle_hashes(words, new[a:b], end[a:b], shingle)
-                        out[0, lo + r] = majority(hashes)
-                        out[1, lo + r] = text_sketch(hashes) if sketched else 0
-            made = [pa.array(x.view(np.int64)) for x in out[: 1 + sketched]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "fp", "sketch"][: batch.num_columns + sketched])
+                        out[:, lo + r] = wide_fingerprint(hashes) if wide else majority(hashes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x.view(np.int64)) for x in out)], [*batch.schema.names[:-1], *WIDE[: len(out)]])
 
     return run
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = SHINGLE, sketched: bool = False) -> DataFrame:
-    """The columns of keep and fp (the 64 bits as a long; if sketched, sketch too) of every row, over whole texts; null counts as empty: 0."""
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """The columns of keep and fp (the 64 bits as a long; if wide, four of other hashes) of every row, over whole texts; null counts as empty: 0."""
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]
-    return slim.mapInArrow(_fingerprints(shingle, sketched), ", ".join([*kinds, "fp bigint", *["sketch bigint"] * sketched]))
+    return slim.mapInArrow(_fingerprints(shingle, wide), ", ".join([*kinds, *(f"{c} bigint" for c in (WIDE if wide else WIDE[:1]))]))
 
 
 @cache
@@ -157,44 +163,55 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
-def wide_keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, key, stored): for each two segments a codeword near the one with a codeword near the other."""
-    fps = fps.view(np.uint64)
-    near = []
-    for lo, n in SEGMENTS:
-        nearest, more = golay_keys((fps >> np.uint64(lo)) & np.uint64((1 << n) - 1))
-        near.append((np.column_stack([nearest, more]).astype(np.uint64), more[:, 0] != nearest))
+def wide_keys_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, key) of rows of four words: for each word and two of its segments, the codeword nearest to one with every codeword near
+    the other."""
     out = []
-    for kind, (i, j) in enumerate(PAIRS):
-        (a, many_a), (b, many_b) = near[i], near[j]
-        for x in range(6):
-            for y in range(6):
-                rows = np.flatnonzero((many_a if x else True) & (many_b if y else True) & np.ones(len(fps), bool))
-                out.append((rows, (a[rows, x] << np.uint64(12)) | b[rows, y] | np.uint64(kind << 40)))
-    position, keys = (np.concatenate([x[k] for x in out]) for k in (0, 1))
-    return position, keys, np.ones(len(keys), bool)
+    for w in range(words.shape[1]):
+        near = []
+        for lo, n in SEGMENTS:
+            nearest, more = golay_keys((words[:, w].view(np.uint64) >> np.uint64(lo)) & np.uint64((1 << n) - 1))
+            near.append((np.column_stack([nearest, more]).astype(np.uint64), more[:, 0] != nearest))
+        for kind, (i, j) in enumerate(PAIRS):
+            (a, many_a), (b, many_b) = near[i], near[j]
+            tag = np.uint64((w * len(PAIRS) + kind) << 40)
+            for x, y in [(0, y) for y in range(6)] + [(x, 0) for x in range(1, 6)]:
+                rows = np.flatnonzero((many_a if x else True) & (many_b if y else True) & np.ones(len(words), bool))
+                out.append((rows, (a[rows, x] << np.uint64(12)) | b[rows, y] | tag))
+    return tuple(np.concatenate([x[k] for x in out]) for k in (0, 1))
+
+
+def _columns(batch, names: list[str]) -> np.ndarray:
+    """A row of 64-bit words for each row of an Arrow batch or table."""
+    return np.column_stack([np.asarray(batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(c).to_numpy(), np.int64) for c in names])
 
 
 def _explode_keys(wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 1 << 14):
-                rows, keys, stored = (wide_keys_of if wide else keys_of)(fps[at : at + (1 << 14)])
+            words = _columns(batch, batch.schema.names)
+            for at in range(0, len(words), 1 << 13):
+                part = words[at : at + (1 << 13)]
+                rows, keys, *stored = wide_keys_of(part) if wide else keys_of(part[:, 0].copy())
                 kept = [c.take(pa.array(rows + at)) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *kept, pa.array(stored)], ["key", *batch.schema.names, "stored"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *kept, *map(pa.array, stored)], ["key", *batch.schema.names, *["stored"] * len(stored)])
 
     return run
 
 
-def node_of(fps: np.ndarray, sketches: np.ndarray | None) -> np.ndarray:
-    """What stands for a text in the graph of links: its fingerprint, or a hash of it and of its sketch."""
-    return fps if sketches is None else mix64(fps.view(np.uint64) ^ mix64(sketches.view(np.uint64) + np.uint64(1))).view(np.int64)
+def node_of(words: np.ndarray) -> np.ndarray:
+    """What stands for a text in the graph of links: its fingerprint of one word, or a hash of all four."""
+    out = np.ascontiguousarray(words[:, 0]).view(np.uint64)
+    for k in range(1, words.shape[1]):
+        out = mix64(np.ascontiguousarray(words[:, k]).view(np.uint64) ^ mix64(out + np.uint64(k)))
+    return out.view(np.int64)
 
 
-def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_bits: int = MOST_BITS, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal key (sorted by key) with a stored one at either end, without those that others imply."""
-    distinct, nodes = np.unique(node_of(fps, sketches), return_inverse=True)
+def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows of equal key (sorted by key) with a stored one at either end, without those that others imply. fps: a
+    fingerprint, or a row of several words, for each."""
+    words = np.ascontiguousarray(fps.reshape(len(keys), -1))
+    distinct, nodes = np.unique(node_of(words), return_inverse=True)
     label = np.arange(len(distinct))
     parent = label.tolist()
 
@@ -204,12 +221,10 @@ def links_in_groups(keys: np.ndarray, fps: np.ndarray, stored: np.ndarray, most_
             x = parent[x]
         return x
 
-    bits, a_out, b_out = fps.view(np.uint64), [], []
-    marks = None if sketches is None else sketches.view(np.uint64)
+    bits, a_out, b_out = words.view(np.uint64), [], []
 
     def close(x: np.ndarray, y) -> np.ndarray:
-        out = np.bitwise_count(bits[x] ^ bits[y]) <= most_bits
-        return out if marks is None else out & (np.bitwise_count(marks[x] ^ marks[y]) <= SKETCH_BITS)
+        return np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int32) <= most_bits
 
     def link(x: int, y: int) -> None:
         p, q = root(x), root(y)
@@ -261,8 +276,9 @@ def _link(wide: bool):
     """Rows come sorted by key. Whole groups are handled about LINK_ROWS at a time; a group that goes on waits for its end."""
 
     def links(rows: pa.Table) -> pa.RecordBatch:
-        keys, fps, stored = (rows.column(c).to_numpy() for c in ("key", "fp", "stored"))
-        a, b = links_in_groups(keys, fps, stored, WIDE_BITS, rows.column("sketch").to_numpy()) if wide else links_in_groups(keys, fps, stored)
+        keys = rows.column("key").to_numpy()
+        stored = np.ones(len(keys), bool) if wide else rows.column("stored").to_numpy()
+        a, b = links_in_groups(keys, _columns(rows, WIDE if wide else WIDE[:1]), stored, WIDE_BITS if wide else MOST_BITS)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,10 +309,10 @@ NEAR_ROWS = 64
 def fingerprint_links(distinct: DataFrame, wide: bool = False) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect all within MOST_BITS of each other.
 
-    wide: between distinct (fp, sketch), named by node_of, that WIDE_BITS and SKETCH_BITS hold for and a key is found of.
+    wide: between distinct fingerprints of four words, named by node_of, that differ in WIDE_BITS or fewer and share a key.
     """
-    kept = "fp bigint, sketch bigint" if wide else "fp bigint"
-    keyed = distinct.select("fp", *["sketch"] * wide).mapInArrow(_explode_keys(wide), f"key bigint, {kept}, stored boolean")
+    words = WIDE if wide else WIDE[:1]
+    keyed = distinct.select(*words).mapInArrow(_explode_keys(wide), ", ".join(["key bigint", *(f"{c} bigint" for c in words), *["stored boolean"] * (not wide)]))
     dealt = keyed.repartition(with_floor(distinct, 1), "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_link(wide), "a bigint, b bigint")
 
@@ -329,8 +345,7 @@ def _with_component(marked: DataFrame, distinct: DataFrame, node: str, roots: Da
 
 def _add_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, sketches = (batch.column(i).to_numpy() for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_of(fps, sketches))], ["fp", "sketch", "least", "node"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_of(_columns(batch, WIDE)))], [*batch.schema.names, "node"])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,15 +359,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     row = F.xxhash64(*columns)
     # an id and the hash of its row name a row up to exact repeats, of which one is kept
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), row.alias("row"), F.col(f"`{text_col}`").alias("text"))
-    marked = cut(fingerprints(slim, ["id", "row"], shingle=WIDE_SHINGLE, sketched=True))
+    marked = cut(fingerprints(slim, ["id", "row"], shingle=WIDE_SHINGLE, wide=True))
     id_kind = docs.schema[id_col].dataType.simpleString()
-    distinct = cut(marked.groupBy("fp", "sketch").agg(F.min("id").alias("least")).mapInArrow(_add_nodes, f"fp bigint, sketch bigint, least {id_kind}, node bigint"))
+    distinct = cut(marked.groupBy(*WIDE).agg(F.min("id").alias("least")).mapInArrow(_add_nodes, ", ".join([*(f"{c} bigint" for c in WIDE), f"least {id_kind}", "node bigint"])))
     roots = connected_components(fingerprint_links(distinct, wide=True)).select("node", F.col("label").alias("root"))
-    grouped = _with_component(marked.join(distinct.select("fp", "sketch", "node"), ["fp", "sketch"]), distinct, "node", roots)
+    grouped = _with_component(marked.join(distinct.select(*WIDE, "node"), WIDE), distinct, "node", roots)
     kept = grouped.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "row").agg(F.count("*").alias("n"))
     kept = cut(kept.groupBy("component_id").agg(F.min_by(F.struct("row", "n"), "row").alias("k")).select(F.col("component_id").alias("kept_id"), F.col("k.row").alias("kept_row"), F.col("k.n").alias("n")))
     tagged = docs.select(F.struct(*columns).alias("all"), F.col(f"`{id_col}`").alias("id"), row.alias("row"))
-    out = tagged.join(kept.select("kept_id", "kept_row"), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")), "left_semi")
+    chosen = broadcast_if_small(kept.select("kept_id", "kept_row"), F.octet_length(F.coalesce(F.col("kept_id").cast("string"), F.lit(""))) + 24)  # else texts move
+    out = tagged.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")), "left_semi")
     if not kept.where("n > 1").isEmpty():
         out = out.dropDuplicates(["id", "row"])  # rows equal in all columns
     return out.select(*[F.col(f"all.`{c}`").alias(c) for c in docs.columns])
