@@ -22,7 +22,7 @@ def _flag(s, d, flag):
 
 def _pair_choice(s, d):
     """Pairs chosen of each peptide, of which none is missing in the corpus, and whether the peptide keeps some for training."""
-    keys = _flag(s, d, "A").select(*_KEY).distinct()
+    keys = pairs(s, d).select(*_KEY).distinct()
     chosen = _of("G1_pair_validation")(s, d).select(*_KEY, F.lit(1).alias("chosen"))
     per = keys.join(chosen, _KEY, "full").join(keys.withColumn("known", F.lit(1)), _KEY, "left").groupBy("pep")
     return per.agg(F.count("chosen").alias("quota"), F.count_if(F.col("known").isNull()).alias("unknown"), (F.count("*") > F.count("chosen")).alias("trains"))
@@ -89,7 +89,7 @@ def _blocked(drawn, positives, keys):
     return out.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("exact").isNotNull() | F.col("group").isNotNull()).alias("blocked"), F.count_if(F.col("ab").isNull()).alias("missing"))
 
 
-add("H1_drawn_rules", lambda s, d: _blocked(_of("H1_drawn_negatives")(s, d), _flag(s, d, "A"), ["pep"]), "{P} SELECT pep, count(*) AS n, 0 AS blocked, 0 AS missing FROM (SELECT DISTINCT pep, mhc, ab FROM pairs WHERE l_returnflag = 'A') GROUP BY pep")
-add("H5_epoch_rules", lambda s, d: _blocked(_of("H5_epoch_negatives")(s, d), _flag(s, d, "A"), ["pep", "epoch"]), "{P} SELECT pep, epoch::INT AS epoch, count(*) AS n, 0 AS blocked, 0 AS missing FROM (SELECT DISTINCT pep, mhc FROM pairs WHERE l_returnflag = 'A'), range(2) r(epoch) GROUP BY ALL")
+add("H1_drawn_rules", lambda s, d: _blocked(_of("H1_drawn_negatives")(s, d), pairs(s, d), ["pep"]), "{P} SELECT pep, count(*) AS n, 0 AS blocked, 0 AS missing FROM (SELECT DISTINCT pep, mhc, ab FROM pairs) GROUP BY pep")
+add("H5_epoch_rules", lambda s, d: _blocked(_of("H5_epoch_negatives")(s, d), pairs(s, d), ["pep", "epoch"]), "{P} SELECT pep, epoch::INT AS epoch, count(*) AS n, 0 AS blocked, 0 AS missing FROM (SELECT DISTINCT pep, mhc FROM pairs), range(2) r(epoch) GROUP BY ALL")
 _CHAIN = lambda df: df.withColumn("ab", S.last_part(F.col("ab")))
 add("H6_redraw_rules", lambda s, d: _blocked(_of("H6_screened_redraws")(s, d), _CHAIN(pairs(s, d)).where("l_linenumber = 1"), ["pep"]), "{P} SELECT pep, count(DISTINCT brand) AS n, 0 AS blocked, 0 AS missing FROM pairs GROUP BY pep")

@@ -136,14 +136,24 @@ def _lists(s, d):
 add("A13_list_product", _lists, "SELECT r_name AS peptide, n_name AS tcr FROM region, nation")
 
 
+def _lines(s, rows, path):
+    """Rows (place, value) as one text file, in order of place."""
+    rows.orderBy("place").coalesce(1).select("value").write.text(path)
+    return path
+
+
 def _matrix(s, d):
-    path = scratch(s)
-    rows = ["# a matrix", "   A  B  C  *", "A  4 -2  0 -4", "B -2  4 -3 -4", "C  0 -3  9 -4", "* -4 -4 -4  1"]
-    s.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.text(path)
-    return readers.read_substitution(s, path, ("B", "*")).select("residue", F.array_join(F.transform("scores", lambda x: x.cast("int").cast("string")), ",").alias("scores"))
+    """A matrix of line counts by part size and supplier, a letter each, as a file that is read again without the last letter."""
+    p = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy((F.col("p_size") % 6).alias("r"), (F.col("l_suppkey") % 6).alias("c")).agg(F.count("*").alias("n"))
+    counts = p.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("n"))
+    cells = [F.coalesce(F.try_element_at("n", F.lit(j).cast("long")), F.lit(0)).cast("string") for j in range(6)]
+    rows = counts.select((F.col("r") + 2).alias("place"), F.concat_ws("  ", F.expr("chr(r + 65)"), *cells).alias("value"))
+    head = s.range(2).select(F.col("id").alias("place"), F.when(F.col("id") == 0, "# counts").otherwise("   A  B  C  D  E  F").alias("value"))
+    path = _lines(s, head.unionByName(rows), scratch(s))
+    return readers.read_substitution(s, path, ("F",)).select("residue", F.array_join(F.transform("scores", lambda x: x.cast("long").cast("string")), ",").alias("scores"))
 
 
-add("A14_substitution_matrix", _matrix, "SELECT * FROM (VALUES ('A', '4,0'), ('C', '0,9')) v(residue, scores)")
+add("A14_substitution_matrix", _matrix, "WITH p AS (SELECT p_size % 6 AS r, l_suppkey % 6 AS c, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) SELECT chr((q.r + 65)::INT) AS residue, string_agg(coalesce(p.n, 0)::VARCHAR, ',' ORDER BY j) AS scores FROM (SELECT DISTINCT r FROM p WHERE r < 5) q CROSS JOIN range(5) t(j) LEFT JOIN p ON p.r = q.r AND p.c = t.j GROUP BY q.r")
 
 
 def _layouts(s, d):
@@ -156,17 +166,21 @@ add("A15_layout_fallback", _layouts, "{P} SELECT pep AS epitope, sum(label) AS p
 
 
 def _matrices(s, d):
-    root = scratch(s)
-    for k in (1, 2):
-        s.createDataFrame([("r,A,B",), (f"x,{k}.5,2",), ("y,3,4",)], "value string").coalesce(1).write.text(f"{root}/parts{k}")
-        fs = s._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(s._jsc.hadoopConfiguration())
-        found = [x.getPath() for x in fs.listStatus(s._jvm.org.apache.hadoop.fs.Path(f"{root}/parts{k}")) if x.getPath().getName().startswith("part-")]
-        fs.mkdirs(s._jvm.org.apache.hadoop.fs.Path(f"{root}/m"))
-        fs.rename(found[0], s._jvm.org.apache.hadoop.fs.Path(f"{root}/m/k{k}.csv"))
-    return readers.read_matrices(s, s.createDataFrame([("k1",), ("k2",)], "key string"), f"{root}/m").select("key", F.col("i").cast("int").alias("i"), "j", "value")
-
-
-add("A16_matrix_cells", _matrices, "SELECT * FROM (VALUES ('k1',0,0,1.5::DOUBLE),('k1',0,1,2),('k1',1,0,3),('k1',1,1,4),('k2',0,0,2.5),('k2',0,1,2),('k2',1,0,3),('k2',1,1,4)) v(key,i,j,value)")
+    """For each return flag a matrix of quantities by line number and supplier, a file each, found by a summary of the flags."""
+    root, line = scratch(s), table(s, d, "lineitem")
+    fs = s._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(s._jsc.hadoopConfiguration())
+    cells = line.groupBy("l_returnflag", "l_linenumber").agg(*[F.coalesce(F.sum(F.when(F.col("l_suppkey") % 4 == j, F.col("l_quantity"))), F.lit(0.0)).cast("string").alias(f"c{j}") for j in range(4)])
+    path = lambda x: s._jvm.org.apache.hadoop.fs.Path(x)
+    fs.mkdirs(path(f"{root}/m"))
+    for flag in "ANR":
+        rows = cells.where(F.col("l_returnflag") == flag).select(F.col("l_linenumber").cast("long").alias("place"), F.concat_ws(",", F.concat(F.lit("r"), "l_linenumber"), *[f"c{j}" for j in range(4)]).alias("value"))
+        _lines(s, s.range(1).select(F.lit(-1).cast("long").alias("place"), F.lit("r,A,B,C,D").alias("value")).unionByName(rows), f"{root}/parts{flag}")
+        found = [x.getPath() for x in fs.listStatus(path(f"{root}/parts{flag}")) if x.getPath().getName().startswith("part-")]
+        fs.rename(found[0], path(f"{root}/m/{flag}.csv"))
+    return readers.read_matrices(s, line.select(F.col("l_returnflag").alias("key")).distinct(), f"{root}/m").select("key", F.col("i").cast("int").alias("i"), "j", "value")
+
+
+add("A16_matrix_cells", _matrices, "SELECT l_returnflag AS key, (dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_linenumber) - 1)::INT AS i, j::INT AS j, v AS value FROM (SELECT l_returnflag, l_linenumber, j, coalesce(sum(l_quantity) FILTER (WHERE l_suppkey % 4 = j), 0)::DOUBLE AS v FROM lineitem, range(4) t(j) GROUP BY ALL)")
 add(
     "A18_latin1",
     lambda s, d: readers.read_strings(s, _latin(s, table(s, d, "nation").select(F.concat("n_name", F.lit("é")).alias("name"))), ["name"], sep="\t", encoding="ISO-8859-1"),
@@ -281,6 +295,17 @@ _HELICITY = "('A',1.24),('B',0.92),('C',0.79),('D',0.89),('E',0.85),('F',1.26),(
 add("I11_properties", lambda s, d: _NAMES(s, d).select("p_name", F.explode(S.properties(S.letters(F.col("x")), "helicity")).alias("v")).groupBy("p_name").agg(F.round(F.sum("v"), 6).alias("total"), F.count("v").alias("n")), f"WITH {_N}, v(k, v) AS (VALUES {_HELICITY}), c AS (SELECT p_name, unnest(string_split(x, '')) AS k FROM n) SELECT p_name, round(sum(v::DOUBLE), 6) AS total, count(v) AS n FROM c LEFT JOIN v USING (k) GROUP BY p_name")
 add("I12_substituted", lambda s, d: _NAMES(s, d).select("p_name", F.aggregate(S.substituted(S.letters(F.col("x")), {"A": [1.0, 2.0], "K": [3.0, 4.0], "E": [5.0, 6.0]}), F.lit(0.0), lambda a, v: a + F.coalesce(v[0] * v[1], F.lit(0.0))).alias("s")), f"WITH {_N}, c AS (SELECT p_name, unnest(string_split(x, '')) AS k FROM n) SELECT p_name, sum(CASE k WHEN 'A' THEN 2.0::DOUBLE WHEN 'K' THEN 12 WHEN 'O' THEN 12 WHEN 'E' THEN 30 ELSE 0 END) AS s FROM c GROUP BY p_name")
 add("I14_contacts", lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x")).select("vec_id", F.floor(F.col("p") / 8).alias("i"), (F.col("p") % 8).cast("long").alias("j"), (F.abs("x") * 40 < 5).alias("contact")).where("contact"), "SELECT vec_id, (p - 1) // 8 AS i, (p - 1) % 8 AS j, TRUE AS contact FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) WHERE abs(x) * 40 < 5")
+_IDS = lambda s, d: _NAMES(s, d).select("p_name", F.transform(S.letters(F.col("x")), lambda c: F.ascii(c)).alias("ids"))
+_SHOWN = lambda m: [F.array_join(F.transform(m[c], lambda x: x.cast("string")), " ").alias(c) for c in ("tokens", "labels")]
+_U = "('0x' || substr(md5('42|' || p_name || {}), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
+_TOKENS = f"WITH {_N}, c AS (SELECT p_name, unnest(string_split(x, '')) AS ch, generate_subscripts(string_split(x, ''), 1) - 1 AS i, length(x) AS size FROM n), t AS (SELECT p_name, i, ascii(ch) AS id, size FROM c)"
+_JOINED = ", m AS ({}) SELECT p_name, string_agg(token::VARCHAR, ' ' ORDER BY i) AS tokens, string_agg(label::VARCHAR, ' ' ORDER BY i) AS labels FROM m GROUP BY p_name"
+add("I15_span_masking", lambda s, d: _IDS(s, d).withColumn("m", S.span_masked(F.col("ids"), F.col("p_name"), 42, F.lit(0))).select("p_name", *_SHOWN(F.col("m"))),
+    _TOKENS + f", w AS (SELECT *, least(size, 20) AS n, 3 + floor({_U.format("'|length'")} * 3)::INT AS wide FROM t), v AS (SELECT *, floor({_U.format("'|start'")} * (greatest(1, n - wide) + 1))::INT AS start FROM w)"
+    + _JOINED.format("SELECT p_name, i, CASE WHEN i >= start AND i < least(start + wide, n) THEN 0 ELSE id END AS token, CASE WHEN i >= start AND i < least(start + wide, n) THEN id ELSE -100 END AS label FROM v"))
+add("I15_three_way_masking", lambda s, d: _IDS(s, d).withColumn("m", S.replaced_tokens(F.col("ids"), F.col("p_name"), 42, F.lit(0), 128, 0.15, F.array(F.lit(90)))).select("p_name", *_SHOWN(F.col("m"))),
+    _TOKENS + f", w AS (SELECT *, {_U.format("'|' || i || '|chosen'")} < 0.15 AND id <> 90 AS chosen, {_U.format("'|' || i || '|kind'")} AS kind, floor({_U.format("'|' || i || '|id'")} * 128)::INT AS other FROM t)"
+    + _JOINED.format("SELECT p_name, i, CASE WHEN NOT chosen THEN id WHEN kind < 0.8 THEN 0 WHEN kind < 0.9 THEN other ELSE id END AS token, CASE WHEN chosen THEN id ELSE -100 END AS label FROM w"))
 add("I15_masked_tokens", lambda s, d: _NAMES(s, d).select("p_name", F.array_join(S.masked_tokens(S.letters(F.col("x")), F.col("p_name"), 0.15, 42), "").alias("masked")), f"WITH {_N}, c AS (SELECT p_name, unnest(string_split(x, '')) AS k, generate_subscripts(string_split(x, ''), 1) - 1 AS i FROM n) SELECT p_name, string_agg(CASE WHEN ('0x' || substr(md5('42|' || p_name || '|' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < 0.15 THEN '*' ELSE k END, '' ORDER BY i) AS masked FROM c GROUP BY p_name")
 add("I17_batch_ids", lambda s, d: _NAMES(s, d).select("p_name", _IDS(S.pad_tokens(S.encode(S.letters(F.col("x")), S.COMPACT_ORDER, 0, 20), 20, F.lit(20))).alias("ids")), f"WITH {_N} SELECT p_name, array_to_string(list_transform(string_split(substr(rpad(x, 20, '-'), 1, 20), ''), lambda c: CASE WHEN instr('{S.COMPACT_ORDER}', c) > 0 THEN instr('{S.COMPACT_ORDER}', c) - 1 ELSE 20 END), ',') AS ids FROM n")
 

@@ -23,8 +23,8 @@ def _part(flag):
 _A, _N, _R = _part("A"), _part("N"), _part("R")
 # --- C: joins ---------------------------------------------------------------------------------------------------------
 add(
-    "C1_blocked_pairs", lambda s, d: joins.blocked_pairs(_A(s, d), _A(s, d)),
-    "{P}, g AS (SELECT DISTINCT pep, grp FROM pairs WHERE l_returnflag = 'A'), p AS (SELECT DISTINCT ab, grp FROM pairs WHERE l_returnflag = 'A') SELECT pep, ab FROM g JOIN p USING (grp) UNION SELECT pep, ab FROM pairs WHERE l_returnflag = 'A'",
+    "C1_blocked_pairs", lambda s, d: joins.blocked_pairs(pairs(s, d), pairs(s, d)),
+    "{P}, g AS (SELECT DISTINCT pep, grp FROM pairs), p AS (SELECT DISTINCT ab, grp FROM pairs) SELECT pep, ab FROM g JOIN p USING (grp) UNION SELECT pep, ab FROM pairs",
 )
 add(
     "C2_many_to_one", lambda s, d: joins.many_to_one(table(s, d, "nation"), table(s, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), ["n_regionkey"]).select("n_name", "r_name"),

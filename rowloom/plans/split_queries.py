@@ -17,16 +17,16 @@ def _flag(s, d, flag):
     return pairs(s, d).where(F.col("l_returnflag") == flag)
 
 
-_QUOTA_SQL = """WITH {P}, k AS (SELECT DISTINCT pep, mhc, grp FROM pairs WHERE l_returnflag = 'A'), p AS (SELECT pep, count(*) AS n FROM k GROUP BY pep),
+_QUOTA_SQL = """WITH {P}, k AS (SELECT DISTINCT pep, mhc, grp FROM pairs), p AS (SELECT pep, count(*) AS n FROM k GROUP BY pep),
 t AS (SELECT sum(n) AS nn, sum(greatest(n - 1, 0)) AS cap FROM p), w AS (SELECT *, least(greatest(1, ceil(nn * 0.1::DOUBLE)), cap) AS wanted FROM t),
 b AS (SELECT pep, n, wanted, least(floor(wanted * n / nn::DOUBLE), n - 1) AS base, wanted * n / nn::DOUBLE - floor(wanted * n / nn::DOUBLE) AS frac, md5('42|' || pep) AS tie FROM p, w WHERE n > 1),
 r AS (SELECT *, wanted - sum(base) OVER () AS lft, coalesce(sum(n - 1 - base) OVER (ORDER BY frac DESC, tie DESC, pep DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
 SELECT pep, n, (base + greatest(0, least(n - 1 - base, lft - before)))::BIGINT AS quota FROM r"""
-add("G1_pair_quotas", lambda s, d: splits.pair_quotas(_flag(s, d, "A").select(*_KEY).distinct(), 0.1), _QUOTA_SQL)
+add("G1_pair_quotas", lambda s, d: splits.pair_quotas(pairs(s, d).select(*_KEY).distinct(), 0.1), _QUOTA_SQL)
 
 
 def _pair_validation(s, d):
-    keys = _flag(s, d, "A").select(*_KEY).distinct()
+    keys = pairs(s, d).select(*_KEY).distinct()
     return splits.pair_validation(keys, splits.pair_quotas(keys, 0.1), [_flag(s, d, f) for f in "ANR"]).orderBy(*_KEY)
 
 
@@ -93,12 +93,12 @@ asked AS (SELECT pep, wanted, (SELECT max(size) FROM num) AS size, unnest(range(
 placed AS (SELECT pep, wanted, step, (floor(('0x' || substr(md5('42|' || pep), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * size)::BIGINT + step) % size AS idx FROM asked),
 open AS (SELECT *, row_number() OVER (PARTITION BY pep ORDER BY step) AS k FROM placed p WHERE NOT EXISTS (SELECT 1 FROM closed c WHERE c.pep = p.pep AND c.idx = p.idx)),
 found AS (SELECT pep, ab, k FROM open JOIN num USING (idx) WHERE k <= wanted)"""
-_POOL = "WITH {P}, pos AS (SELECT DISTINCT pep, ab, grp FROM pairs WHERE l_returnflag = 'A'), pool AS (SELECT DISTINCT ab, grp FROM pos)"
+_POOL = "WITH {P}, pos AS (SELECT DISTINCT pep, ab, grp FROM pairs), pool AS (SELECT DISTINCT ab, grp FROM pos)"
 _WANT = ", want AS (SELECT pep, count(DISTINCT ab) AS wanted FROM pos GROUP BY pep)"
 
 
 def _ranked(s, d, times=1, **options):
-    pos = _flag(s, d, "A")
+    pos = pairs(s, d)
     want = pos.groupBy("pep").agg((F.lit(times) * F.countDistinct("ab")).alias("wanted"))
     return negatives.ranked_negatives(want, pos, pos, "wanted", **options)
 
@@ -108,16 +108,15 @@ add("H2_distinct_groups", lambda s, d: _ranked(s, d, distinct_groups=True), _POO
 
 
 def _drawn(s, d):
-    pos = _flag(s, d, "A")
+    pos = pairs(s, d)
     rows = pos.select("pep", "mhc", "ab").distinct().groupBy("pep", "mhc").agg(F.count("*").alias("n")).select("pep", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"), "mhc")
     return negatives.drawn_negatives(rows, pos, pos)
 
 
-add("H1_drawn_negatives", _drawn)
 
 
 def _domains(s, d):
-    pos = _flag(s, d, "A").withColumn("pep", F.concat_ws("|", "l_linestatus", "pep"))
+    pos = pairs(s, d).withColumn("pep", F.concat_ws("|", "l_linestatus", "pep"))
     return negatives.ranked_negatives(pos.select("pep", F.lit(3).cast("long").alias("wanted")).distinct(), pos, pos, "wanted")
 
 
@@ -126,7 +125,7 @@ add("H3_domain_negatives", _domains, _POOL.replace("SELECT DISTINCT pep, ab", "S
 
 def _single_chains(s, d):
     """Two second chains for each part that none of its own pairs has."""
-    pos = _flag(s, d, "A").select(F.concat_ws("|", "pep", "l_partkey").alias("pep"), S.last_part(F.col("ab")).alias("ab"))
+    pos = pairs(s, d).select(F.concat_ws("|", "pep", "l_partkey").alias("pep"), S.last_part(F.col("ab")).alias("ab"))
     return negatives.ranked_negatives(pos.select("pep", F.lit(2).cast("long").alias("wanted")).distinct(), pos, pos, "wanted")
 
 
@@ -135,12 +134,11 @@ add("H4_single_chain_negatives", _single_chains, _POOL.replace("SELECT DISTINCT
 
 def _epochs(s, d):
     """Negatives of two epochs: the draw is keyed by epoch and row, so any epoch can be made alone."""
-    pos = _flag(s, d, "A")
+    pos = pairs(s, d)
     rows = pos.select("pep", "mhc").distinct().select("pep", "mhc", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
     return negatives.drawn_negatives(rows, pos, pos, seed=7)
 
 
-add("H5_epoch_negatives", _epochs)
 
 # Draws by keyed permutation from what is open. q has x, n and key; images come as v.
 _PERMUTED = """walk AS (SELECT *, ceil(sqrt(n::DOUBLE))::BIGINT AS fa, ceil(n::DOUBLE / ceil(sqrt(n::DOUBLE)))::BIGINT AS fb, x::BIGINT AS v, 0 AS step FROM q
@@ -167,6 +165,14 @@ def _even_epochs(s, d):
     return negatives.distinct_negatives(rows, p, p, times=3, seed=7)
 
 
+def _one_sql(rows, cols, seed=42):
+    """One draw a row; null where no donor is open."""
+    head, tail = _even_sql(rows, cols, "1", seed).rsplit("SELECT image.", 1)
+    return head.rstrip() + f", res AS (SELECT image.{tail}) SELECT {cols}, ab FROM asked LEFT JOIN res USING ({cols})"
+
+
+add("H1_drawn_negatives", _drawn, _one_sql("SELECT pep, unnest(range(1, n + 1)) AS k, mhc FROM (SELECT pep, mhc, count(DISTINCT ab) AS n FROM pairs GROUP BY ALL)", "pep, k, mhc"))
+add("H5_epoch_negatives", _epochs, _one_sql("SELECT * FROM (SELECT DISTINCT pep, mhc FROM pairs), range(2) r(epoch)", "pep, mhc, epoch", 7))
 add("H5_distinct_epoch_negatives", _even_epochs, _even_sql("SELECT * FROM (SELECT DISTINCT pep, mhc FROM pairs), range(2) r(epoch)", "pep, mhc, epoch", "3", 7))
 
 
@@ -242,15 +248,15 @@ add("H7_recombined_to_quota", _to_quota, _first_sql(donors="SELECT o_custkey AS
 
 def _recombined(s, d):
     """Parts and suppliers drawn by frequency, known pairs left out."""
-    rows = _flag(s, d, "A").withColumn("k", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    rows = pairs(s, d).withColumn("k", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     return negatives.recombined(rows, rows, "k", "l_partkey", "l_suppkey")
 
 
-add("H7_weighted_recombination", _recombined, "WITH {P}, r AS (SELECT DISTINCT l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS k, l_partkey, l_suppkey FROM pairs WHERE l_returnflag = 'A'), m AS (SELECT *, row_number() OVER (ORDER BY md5(k || '|' || l_suppkey), k, l_suppkey) - 1 AS idx, count(*) OVER () AS size FROM r), w AS (SELECT l_partkey, floor(('0x' || substr(md5('42|' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * size)::BIGINT AS idx FROM m) SELECT w.l_partkey, m.l_suppkey, count(*) AS n FROM w JOIN m USING (idx) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.l_partkey = w.l_partkey AND r.l_suppkey = m.l_suppkey) GROUP BY ALL")
+add("H7_weighted_recombination", _recombined, "WITH {P}, r AS (SELECT DISTINCT l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS k, l_partkey, l_suppkey FROM pairs), m AS (SELECT *, row_number() OVER (ORDER BY md5(k || '|' || l_suppkey), k, l_suppkey) - 1 AS idx, count(*) OVER () AS size FROM r), w AS (SELECT l_partkey, floor(('0x' || substr(md5('42|' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * size)::BIGINT AS idx FROM m) SELECT w.l_partkey, m.l_suppkey, count(*) AS n FROM w JOIN m USING (idx) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.l_partkey = w.l_partkey AND r.l_suppkey = m.l_suppkey) GROUP BY ALL")
 add("H8_shuffled_ratio", lambda s, d: _ranked(s, d, 2).groupBy("pep").agg(F.count("*").alias("n")), _POOL + _WANT.replace("count(DISTINCT ab)", "2 * count(DISTINCT ab)") + _RANKED + " SELECT pep, count(*) AS n FROM found GROUP BY pep")
-_CHAINS = lambda s, d: _flag(s, d, "A").select("l_partkey", F.split("ab", "/")[0].alias("a"), F.split("ab", "/")[1].alias("b"))
-add("H9_other_targets", lambda s, d: negatives.other_targets(_CHAINS(s, d), "l_partkey"), "WITH {P}, p AS (SELECT DISTINCT l_partkey, split_part(ab, '/', 1) AS a, split_part(ab, '/', 2) AS b FROM pairs WHERE l_returnflag = 'A'), c AS (SELECT t.l_partkey, r.a, r.b FROM (SELECT DISTINCT l_partkey FROM p) t, (SELECT DISTINCT a, b FROM p) r) SELECT l_partkey, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l_partkey = c.l_partkey AND p.a = c.a) AND NOT EXISTS (SELECT 1 FROM p WHERE p.l_partkey = c.l_partkey AND p.b = c.b) GROUP BY l_partkey")
-add("H10_exclusion_table", lambda s, d: joins.blocked_pairs(_flag(s, d, "A"), _flag(s, d, "A")).groupBy("pep").agg(F.count("*").alias("n")), "WITH {P}, g AS (SELECT DISTINCT pep, grp FROM pairs WHERE l_returnflag = 'A'), d AS (SELECT DISTINCT ab, grp FROM pairs WHERE l_returnflag = 'A') SELECT pep, count(DISTINCT ab) AS n FROM g JOIN d USING (grp) GROUP BY pep")
+_CHAINS = lambda s, d: pairs(s, d).select("l_partkey", F.split("ab", "/")[0].alias("a"), F.split("ab", "/")[1].alias("b"))
+add("H9_other_targets", lambda s, d: negatives.other_targets(_CHAINS(s, d), "l_partkey"), "WITH {P}, p AS (SELECT DISTINCT l_partkey, split_part(ab, '/', 1) AS a, split_part(ab, '/', 2) AS b FROM pairs), c AS (SELECT t.l_partkey, r.a, r.b FROM (SELECT DISTINCT l_partkey FROM p) t, (SELECT DISTINCT a, b FROM p) r) SELECT l_partkey, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l_partkey = c.l_partkey AND p.a = c.a) AND NOT EXISTS (SELECT 1 FROM p WHERE p.l_partkey = c.l_partkey AND p.b = c.b) GROUP BY l_partkey")
+add("H10_exclusion_table", lambda s, d: joins.blocked_pairs(pairs(s, d), pairs(s, d)).groupBy("pep").agg(F.count("*").alias("n")), "WITH {P}, g AS (SELECT DISTINCT pep, grp FROM pairs), d AS (SELECT DISTINCT ab, grp FROM pairs) SELECT pep, count(DISTINCT ab) AS n FROM g JOIN d USING (grp) GROUP BY pep")
 add("H11_balanced_cells", lambda s, d: negatives.balanced(pairs(s, d).select("kind", "label", "pep", "ab").distinct(), ["kind", "label"], ["pep", "ab"]), "WITH {P}, k AS (SELECT DISTINCT kind, label, pep, ab FROM pairs), m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM k GROUP BY kind, label)) SELECT kind, label, pep, ab FROM k QUALIFY row_number() OVER (PARTITION BY kind, label ORDER BY md5('42|' || pep || '|' || ab), pep, ab) <= (SELECT m FROM m)")
 add("H12_masked_chains", lambda s, d: negatives.masked_chains(pairs(s, d).select("pep", "ab", "mhc").distinct(), ["mhc"], 0.3, ["pep", "ab", "mhc"]).groupBy("mhc").agg(F.count("*").alias("n")), "{P} SELECT CASE WHEN ('0x' || substr(md5('42|mhc|' || pep || '|' || ab || '|' || mhc), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < 0.3 THEN '<MIS>' ELSE mhc END AS mhc, count(*) AS n FROM (SELECT DISTINCT pep, ab, mhc FROM pairs) GROUP BY 1")
 add("H13_class_weights", lambda s, d: pairs(s, d).groupBy("label").agg(F.count("*").alias("n")).select("label", "n", F.when(F.col("label") == 0, 1 / F.lit(5.0)).otherwise(1.0).alias("weight")), "{P} SELECT label, count(*) AS n, CASE WHEN label = 0 THEN 0.2 ELSE 1 END::DOUBLE AS weight FROM pairs GROUP BY label")

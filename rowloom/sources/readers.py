@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import sequences as S
+from rowloom.operators.ranks import running
 from rowloom.schema import PAN_COLUMNS, PAN_LIMITS, forbid_columns, require_columns, strings
 
 
@@ -39,10 +40,20 @@ def read_inputs(spark: SparkSession, path: str, required: list[str], added: tupl
     return forbid_columns(require_columns(read_strings(spark, path, sep="\t" if path.endswith((".tsv", ".txt")) else ","), required), added)
 
 
+#: Where a row stands in its file: the file, its split's first byte, and the row's order within the task that reads the split.
+_PLACE = ["__file", "__block", "__line"]
+
+
+def in_place(df: DataFrame) -> DataFrame:
+    """df, as a file reader gives it, with the columns of _PLACE. Splits are byte ranges of a file and tasks may read them in any
+    order, so the number of a task says nothing."""
+    at = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__line": F.monotonically_increasing_id()}
+    return df.select("*", *[c.alias(n) for n, c in at.items()])
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
-    """row_id from 0 in file order."""
-    out = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(out, T.StructType([*df.schema.fields, T.StructField("row_id", T.LongType())]))
+    """row_id from 0 in file order, files by path: running counts over parts of the rows."""
+    return running(in_place(df), [], _PLACE, {"row_id": F.lit(1).cast("long")}).select(*df.columns, "row_id")
 
 
 def adapted(df: DataFrame, form: str, level: str, positive: bool = True) -> DataFrame:
@@ -111,14 +122,20 @@ def read_pan(df: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(header, record_id, sequence): the id is the second field of a header with '|', else its first word. Records are split by
-    the reader, so large files are read in parallel where the codec allows."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    lines = F.split(F.regexp_replace("value", r"\r", ""), "\n")
-    header = F.trim(F.get(lines, F.lit(0)))
-    fields = F.split(header, r"\|")
-    out = raw.select(header.alias("header"), F.when(F.size(fields) > 1, F.get(fields, F.lit(1))).otherwise(F.get(F.split(header, r"\s+"), F.lit(0))).alias("record_id"), F.slice(lines, 2, 1 << 20).alias("rest"))
-    return out.select("header", "record_id", F.upper(F.regexp_replace(F.array_join("rest", ""), r"\s", "")).alias("sequence"))
+    """(header, record_id, sequence) in no order: the id is the second field of a header with '|', else its first word.
+
+    A header is a line that begins with '>'. Files are read in splits; the headers before a line, counted over its file, say
+    which record it belongs to, so a record may reach over splits and have any number of lines. Lines before the first header
+    are left out, as are headers without a letter.
+    """
+    lines = in_place(spark.read.text(path)).withColumn("value", F.regexp_replace("value", r"\r", ""))
+    lines = lines.withColumn("__head", F.col("value").startswith(">").cast("long"))
+    counted = running(lines, ["__file"], ["__block", "__line"], {"__before": F.col("__head")}).withColumn("__record", F.col("__before") + F.col("__head"))
+    body = F.collect_list(F.when(F.col("__head") == 0, F.struct("__block", "__line", "value")))
+    records = counted.where("__record > 0").groupBy("__file", "__record").agg(F.trim(F.max(F.when(F.col("__head") == 1, F.substring("value", 2, 1 << 30)))).alias("header"), F.array_sort(body).alias("rest"))
+    fields = F.split("header", r"\|")
+    ids = F.when(F.size(fields) > 1, F.get(fields, F.lit(1))).otherwise(F.get(F.split("header", r"\s+"), F.lit(0)))
+    return records.where("header <> ''").select("header", ids.alias("record_id"), F.upper(F.regexp_replace(F.array_join("rest.value", ""), r"\s", "")).alias("sequence"))
 
 
 def read_blocked(spark: SparkSession, path: str) -> DataFrame:
@@ -143,20 +160,33 @@ def read_triples(spark: SparkSession, path: str, skip_header: bool = True) -> Da
 
 
 def read_lists(spark: SparkSession, tcr_path: str, peptide_path: str) -> DataFrame:
-    """Every receptor with every peptide of two one-column files."""
+    """Every receptor with every peptide of two one-column files: a product by definition. The shorter list goes to all tasks if it is
+    within LIST_BYTES; else Spark pairs partitions."""
     tcrs = spark.read.text(tcr_path).select(F.trim("value").alias("tcr")).where("tcr <> ''")
     peptides = spark.read.text(peptide_path).select(F.trim("value").alias("peptide")).where("peptide <> ''")
-    return peptides.join(tcrs)
+    size = lambda df, c: df.agg(F.sum(F.octet_length(c) + 32)).first()[0] or 0
+    of_tcrs, of_peptides = size(tcrs, "tcr"), size(peptides, "peptide")
+    if min(of_tcrs, of_peptides) > LIST_BYTES:
+        return peptides.join(tcrs)
+    return peptides.join(F.broadcast(tcrs)) if of_tcrs <= of_peptides else tcrs.join(F.broadcast(peptides)).select("peptide", "tcr")
+
+
+#: A list up to this many bytes may be broadcast.
+LIST_BYTES = 1 << 24
 
 
 def read_substitution(spark: SparkSession, path: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """(residue, scores array<double>) of a substitution matrix file; columns and rows named in drop are left out."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    rows = [r[0].split() for r in lines.limit(64).collect()]  # such a matrix has a row per residue
-    names = rows[0]
-    keep = [i for i, n in enumerate(names) if n not in drop]
-    out = [(r[0], [float(r[1 + i]) for i in keep]) for r in rows[1:] if r[0] not in drop]
-    return spark.createDataFrame(out, "residue string, scores array<double>")
+    """(residue, scores array<double>) of a substitution matrix file; columns and rows named in drop are left out. The first line that
+    is no comment names the columns."""
+    lines = in_place(spark.read.text(path)).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    first = lines.orderBy(*_PLACE).select("value", *_PLACE).first()
+    if first is None:
+        return spark.createDataFrame([], "residue string, scores array<double>")
+    keep = [i for i, n in enumerate(first["value"].split()) if n not in drop]
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = lines.where(~((F.col("__file") == first["__file"]) & (F.col("__block") == first["__block"]) & (F.col("__line") == first["__line"])))
+    out = rows.select(F.get(parts, F.lit(0)).alias("residue"), F.array(*[F.get(parts, F.lit(1 + i)).cast("double") for i in keep]).alias("scores"))
+    return out.where(~F.col("residue").isin(*drop)) if drop else out
 
 
 def read_first_layout(spark: SparkSession, base: str) -> DataFrame:
@@ -173,13 +203,11 @@ def read_first_layout(spark: SparkSession, base: str) -> DataFrame:
 
 def read_matrices(spark: SparkSession, summary: DataFrame, folder: str) -> DataFrame:
     """(key, i, j, value) of all matrix files folder/<key>.csv named by summary.key, cell by cell. Header and row names are dropped."""
-    lines = spark.read.text(f"{folder}/*.csv").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("key"), F.split("value", ",").alias("cells"), F.get(F.split("value", ","), F.lit(1)).alias("first"))
-    from pyspark.sql import Window as W
-
-    numbers = lines.where(F.col("first").try_cast("double").isNotNull())
-    # small files are read whole and in order, so lines number up within a key
-    rows = numbers.withColumn("i", F.row_number().over(W.partitionBy("key").orderBy(F.monotonically_increasing_id())) - 1)
-    cells = rows.select("key", "i", F.posexplode(F.slice("cells", 2, 1 << 20)).alias("j", "value"))
+    cells = F.split("value", ",")
+    lines = in_place(spark.read.text(f"{folder}/*.csv")).withColumns({"key": F.regexp_extract("__file", r"([^/]+)\.csv$", 1), "cells": cells})
+    numbers = lines.where(F.get("cells", F.lit(1)).try_cast("double").isNotNull())
+    rows = running(numbers, ["key"], ["__block", "__line"], {"i": F.lit(1)})
+    cells = rows.select("key", "i", F.posexplode(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))).alias("j", "value"))
     return cells.select("key", "i", "j", F.col("value").cast("double").alias("value")).join(summary.select("key").distinct(), "key", "left_semi")
 
 

@@ -67,12 +67,13 @@ def test_recombination_fills_its_quota(spark):
             mine = {r.tcr for r in got if r.pep == p}
             free = {t for _, t in rows if t is not None} - {t for q, t in rows if q == p}
             assert len(mine) == sum(r.pep == p for r in got) == min(round(sum(q == p for q, _ in rows) * ratio), len(free)) and mine <= free
-    alone = spark.createDataFrame([("x", 1)] * 2 + [("y", 2)] * 6 + [("z", 3)], "pep string, tcr int")
-    none = alone.limit(0)
-    first = Counter()
-    for seed in range(60):
-        first.update(r.tcr for r in negatives.recombined_to_quota(alone, "pep", "tcr", 0.5, none, seed).collect() if r.draw == 0 and r.pep == "y")
-    assert first[2] > first[1] > 0  # six rows against two
+
+
+def test_rights_come_by_their_rows(spark):
+    """Of 300 lefts that draw one right each and know none, three in four draw the one with three in four rows."""
+    df = spark.createDataFrame([(f"p{i}", 2 if i % 4 else 1) for i in range(300)], "pep string, tcr int")
+    first = Counter(r.tcr for r in negatives.recombined_to_quota(df, "pep", "tcr", 1.0, df.limit(0)).collect())
+    assert first[1] + first[2] == 300 and abs(first[2] - 225) < 30  # four deviations
 
 
 def test_long_runs_are_cut_into_blocks(spark):
