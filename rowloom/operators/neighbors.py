@@ -76,9 +76,14 @@ def candidates(left: DataFrame, right: DataFrame, k: int, a: str = "a", b: str =
     most = short_length(k)
     brief = lambda df, c: df.where(F.length(c) <= most + k).select(c, F.explode(_variants(F.col(c), k)).alias("__key"))
     near = brief(left, a).join(brief(right, b), "__key").where((F.least(F.length(a), F.length(b)) <= most) & (F.abs(F.length(a) - F.length(b)) <= k))
-    probes = left.where(F.length(a) > most).select(a, F.explode(_probes(F.col(a), k)).alias("__key"))
-    stored = right.where(F.length(b) > most).select(b, F.explode(F.array_distinct(_stored(F.col(b), k))).alias("__key"))
-    return near.select(a, b).unionByName(probes.join(stored, "__key").select(a, b))
+    return near.select(a, b).unionByName(edit_pairs_by_segments(left.where(F.length(a) > most), right.where(F.length(b) > most), k, a, b))
+
+
+def edit_pairs_by_segments(left: DataFrame, right: DataFrame, k: int, a: str = "a", b: str = "b") -> DataFrame:
+    """(a, b), repeated: candidates that share a segment."""
+    probes = left.select(a, F.explode(_probes(F.col(a), k)).alias("__key"))
+    stored = right.select(b, F.explode(F.array_distinct(_stored(F.col(b), k))).alias("__key"))
+    return probes.join(stored, "__key").select(a, b)
 
 
 def edit_pairs(left: DataFrame, right: DataFrame, k: int, a: str = "a", b: str = "b") -> DataFrame:
@@ -93,6 +98,23 @@ def bounded_self_join(df: DataFrame, text: str, k: int) -> DataFrame:
     return out.where("a < b")
 
 
+def linking_edges(df: DataFrame, text: str, k: int) -> DataFrame:
+    """(a, b): verified links that connect all strings within k edits, without all pairs of a dense group.
+
+    Within a key's strings the first is compared with all others; only those that it isn't linked to meet the whole group.
+    """
+    names = df.select(F.col(text).alias("a")).where(F.col("a").isNotNull()).distinct()
+    most = short_length(k)
+    linked = lambda x, y: F.levenshtein(x, y, k).between(0, k)
+    keyed = names.where(F.length("a") <= most + k).select("a", F.explode(_variants(F.col("a"), k)).alias("__key"))
+    first = keyed.groupBy("__key").agg(F.min("a").alias("b"), F.count("*").alias("__n")).where("__n > 1").select("__key", "b")
+    met = keyed.join(first, "__key").where("a <> b").withColumn("__ok", linked("a", "b"))
+    rest = met.where("NOT __ok").select("__key", "a").join(keyed.select("__key", F.col("a").alias("b")), "__key").where((F.col("a") != F.col("b")) & linked("a", "b"))
+    long = names.where(F.length("a") > most)
+    far = edit_pairs_by_segments(long, long.withColumnRenamed("a", "b"), k).where((F.col("a") < F.col("b")) & linked("a", "b"))
+    return met.where("__ok").select("a", "b").unionByName(rest.select("a", "b")).unionByName(far).distinct()
+
+
 def nearest_strings(queries: DataFrame, pool: DataFrame, text: str, start: int = 2, most: int = 8) -> DataFrame:
     """(text, min_edit_distance, nearest, nearest_ties) for each distinct query: the lexically first nearest of the pool.
 
@@ -142,7 +164,7 @@ def _closest(pairs: DataFrame, counted: str | None = None) -> DataFrame:
 def single_linkage(df: DataFrame, text: str, k: int) -> DataFrame:
     """(text, cluster): clusters of strings linked within k edits, numbered from 0 by their lexically first member."""
     names = df.select(F.col(text)).where(F.col(text).isNotNull()).distinct()
-    labels = connected_components(bounded_self_join(names, text, k).select("a", "b"))
+    labels = connected_components(linking_edges(names, text, k))
     out = names.join(labels, names[text] == labels["node"], "left").select(F.col(text), F.coalesce("label", F.col(text)).alias("__root"))
     # numbers of the clusters: a sort of their roots, then places in a partition after the sizes of those before it
     roots = out.select("__root").distinct().orderBy("__root").select("__root", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m")).checkpoint()

@@ -51,3 +51,29 @@ def test_few_candidates_for_each_true_pair(spark, k, most):
     met = neighbors.candidates(df, df.withColumnRenamed("a", "b"), k).where("a < b").distinct()
     row = met.agg(F.count("*").alias("n"), F.count_if(F.levenshtein("a", "b", k) >= 0).alias("linked")).first()
     assert row.linked >= 18_000 and row.n <= most * row.linked, row
+
+
+def test_dense_groups_have_few_edges(spark):
+    """1,500 strings of one cluster: a star's edges, not a million pairs; clusters as by brute force."""
+    draw = random.Random(3)
+    dense = {"ACDEFGHIK"[:i] + draw.choice("LMNPQRSTVWY") + "ACDEFGHIK"[i + 1 :] for i in range(9) for _ in range(60)}
+    others = {"".join(draw.choices("ACDEF", k=draw.choice([4, 9, 20, 26]))) for _ in range(150)}
+    texts = sorted(dense | others)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for k in (1, 2):
+        edges = neighbors.linking_edges(df, "t", k).collect()
+        assert all(distance(r.a, r.b) <= k for r in edges)
+        parent = {t: t for t in texts}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in ((r.a, r.b) for r in edges):
+            parent[max(root(x), root(y))] = min(root(x), root(y))
+        mine = {t: root(t) for t in texts}
+        pairs = [(x, y) for i, x in enumerate(texts) for y in texts[i + 1 :] if abs(len(x) - len(y)) <= k and distance(x, y) <= k]
+        assert all(mine[x] == mine[y] for x, y in pairs)
+        if k == 2:
+            assert len(edges) < len(pairs) / 2
