@@ -96,3 +96,13 @@ def same_sets(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     y = b.select(*key).distinct().withColumn("__b", F.lit(1))
     both = x.join(y, key, "full")
     return both.agg(F.count_if(F.col("__b").isNull()).alias("only_a"), F.count_if(F.col("__a").isNull()).alias("only_b"))
+
+
+def unobserved_counts(every: DataFrame, observed: DataFrame, left: str, right: str) -> DataFrame:
+    """(left, n): for each left of `every` how many of its distinct rights it has no row of `observed` with; lefts without any have no
+    row. Counts tell: no product of lefts and rights is made. Nulls are no values."""
+    rights = every.select(right).where(F.col(right).isNotNull()).distinct()
+    lefts = every.select(left).where(F.col(left).isNotNull()).distinct()
+    met = observed.select(left, right).distinct().join(rights, right, "left_semi").groupBy(left).agg(F.count("*").alias("__met"))
+    n = F.lit(rights.count()) - F.coalesce("__met", F.lit(0))
+    return lefts.join(met, left, "left").select(left, n.alias("n")).where("n > 0")

@@ -149,9 +149,12 @@ class _Field:
         out = _null_safe(out, taken, [*self.within, self.target])
         return out.withColumn("__open", (F.coalesce("__size", F.lit(0)) - F.coalesce("__taken", F.lit(0))).cast("long")).drop("__size", "__taken")
 
-    def drawn(self, asked: DataFrame, image: str, key: list[Column]) -> DataFrame:
-        """asked (with __open) with the donor that the key's permutation has at `image`."""
-        ranked = asked.withColumn("rank", permuted(F.col(image), F.col("__open"), *key)).select(F.struct(*asked.columns).alias("__row"), *self.within, self.target, "rank")
+    def drawn(self, asked: DataFrame, image: str, key: list[Column], again: Column | None = None) -> DataFrame:
+        """asked (with __open) with the donor that the key's permutation has at `image`; where `again` holds, any open one by a hash."""
+        rank = permuted(F.col(image), F.col("__open"), *key)
+        if again is not None:
+            rank = F.when(again, F.floor(S.hash_uniform(*key, F.lit("again"), F.col(image)) * F.col("__open")).cast("long")).otherwise(rank)
+        ranked = asked.withColumn("rank", rank).select(F.struct(*asked.columns).alias("__row"), *self.within, self.target, "rank")
         found = open_places(self.segments, ranked, [*self.within, self.target])
         names = [c for c in self.donors.columns if c not in ("place", *self.within)]
         donors = self.donors.select("place", *self.within, F.struct(*names).alias("__donor"))
@@ -241,6 +244,18 @@ def evaluation_negatives(positives: DataFrame, pool: DataFrame, known: DataFrame
     return found.select(pep, allele, "draw", F.col("__unit").alias("grp"), F.col("__donor")[ab].alias(ab))
 
 
+def shuffled_negatives(rows: DataFrame, target: str, receptor: str, ratio: float, seed: int = 42) -> DataFrame:
+    """(target, draw, receptor): for each target floor(its rows * ratio) receptors of the table that no row has it with, all distinct if as many
+    exist; else each is drawn anew, so some come again. A target that has every receptor gets none. Null receptors are none.
+    """
+    checkpoint_dir(rows.sparkSession)
+    wanted = rows.groupBy(target).agg(F.floor(F.count("*") * F.lit(float(ratio))).cast("long").alias("__wanted")).checkpoint()
+    field = _Field(rows.where(F.col(receptor).isNotNull()).select(receptor).distinct(), rows.select(target, receptor), [], target, receptor)
+    asked = repeated(field.opened(wanted).where("__open > 0"), F.lit(0).cast("long"), F.col("__wanted"), "draw")
+    found = field.drawn(asked, "draw", _key_of(wanted, seed), F.col("__wanted") > F.col("__open"))
+    return found.select(target, "draw", F.col("__donor")[receptor].alias(receptor))
+
+
 def recombined_to_quota(rows: DataFrame, left: str, right: str, ratio: float, known: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """(left, right, draw): for each left round(its rows * ratio) new pairs with distinct rights, halves to even; all there are where fewer
     exist. A right comes by its rows among all, and never one that the left has in known (rows, if not given).

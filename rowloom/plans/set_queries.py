@@ -67,7 +67,7 @@ add("C10_nearest_strings", _nearest, "WITH n AS (SELECT DISTINCT p_name, md5(p_n
 add("C11_bounded_self_join", lambda s, d: neighbors.bounded_self_join(table(s, d, "part"), "p_name", 3).withColumn("d", F.col("d").cast("long")), "WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS d FROM n a JOIN n b ON a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 3")
 add("C12_indexed_lookup", lambda s, d: pairs(s, d).select("ab").distinct().withColumn("id", F.md5("ab")).join(pairs(s, d).select("ab", "pep").distinct(), "ab").groupBy("id").agg(F.count("*").alias("n")), "{P} SELECT md5(ab) AS id, count(DISTINCT pep) AS n FROM pairs GROUP BY ab")
 add(
-    "C13_unobserved_pairs", lambda s, d: joins.not_in_keys(pairs(s, d).select("kind").distinct().join(pairs(s, d).select("grp").distinct()), _A(s, d), ["kind", "grp"]).groupBy("kind").agg(F.count("*").alias("n")),
+    "C13_unobserved_pairs", lambda s, d: joins.unobserved_counts(pairs(s, d), _A(s, d), "kind", "grp"),
     "WITH {P} SELECT kind, count(*) AS n FROM (SELECT DISTINCT kind FROM pairs), (SELECT DISTINCT grp FROM pairs) WHERE (kind, grp) NOT IN (SELECT (kind, grp) FROM pairs WHERE l_returnflag = 'A') GROUP BY kind",
 )
 _CUST = lambda s, d: table(s, d, "customer").withColumnRenamed("c_custkey", "row_id")

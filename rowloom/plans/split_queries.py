@@ -246,6 +246,22 @@ def _to_quota(s, d):
 add("H7_recombined_to_quota", _to_quota, _first_sql(donors="SELECT o_custkey AS unit, row_number() OVER (PARTITION BY o_custkey) AS payload FROM pairs JOIN orders ON l_orderkey = o_orderkey", shut="SELECT DISTINCT pep, o_custkey AS unit FROM pairs JOIN orders ON l_orderkey = o_orderkey", want="SELECT pep, round_even(count(*) * 0.5::DOUBLE, 0)::BIGINT AS wanted FROM pairs JOIN orders ON l_orderkey = o_orderkey GROUP BY pep HAVING round_even(count(*) * 0.5::DOUBLE, 0) > 0", keys="pep", t="pep", out="pep, unit AS o_custkey"))
 
 
+def _screened_epochs(s, d):
+    """One negative for each part's first chain and each of two epochs; the chains of all rows of a part are screened out."""
+    p = pairs(s, d).select(F.col("l_partkey").cast("string").alias("pep"), F.split("ab", "/")[0].alias("ab"))
+    rows = p.select("pep", F.col("ab").alias("positive")).distinct().withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1))))
+    return negatives.distinct_negatives(rows, p, p, seed=11)
+
+
+_SCREENED = _even_sql("SELECT * FROM (SELECT DISTINCT pep, ab AS positive FROM pairs), range(2) r(epoch)", "pep, positive, epoch", "1", 11).replace("FROM pairs", "FROM ch")
+add("H6_screened_epochs", _screened_epochs, _SCREENED.replace("WITH RECURSIVE {P},", "WITH RECURSIVE {P}, ch AS (SELECT l_partkey::VARCHAR AS pep, split_part(ab, '/', 1) AS ab, split_part(grp, '/', 1) AS grp FROM pairs),", 1))
+add("H8_shuffled_negatives", lambda s, d: negatives.shuffled_negatives(table(s, d, "lineitem"), "l_partkey", "l_suppkey", 2.0), """WITH RECURSIVE want AS (SELECT l_partkey, floor(count(*) * 2.0::DOUBLE)::BIGINT AS wanted FROM lineitem GROUP BY ALL), seen AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+free AS (SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) - 1 AS rank, count(*) OVER (PARTITION BY l_partkey) AS n FROM want, (SELECT DISTINCT l_suppkey FROM lineitem) r WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.l_partkey = want.l_partkey AND seen.l_suppkey = r.l_suppkey)),
+asked AS (SELECT l_partkey, wanted, n, unnest(range(wanted)) AS x, concat_ws('|', '42', l_partkey, wanted) AS key FROM want JOIN (SELECT DISTINCT l_partkey, n FROM free) USING (l_partkey)), q AS (SELECT * FROM asked WHERE wanted <= n), """ + _PERMUTED + """,
+every AS (SELECT l_partkey, x, v FROM image UNION ALL SELECT l_partkey, x, floor(('0x' || substr(md5(key || '|again|' || x), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * n)::BIGINT FROM asked WHERE wanted > n)
+SELECT every.l_partkey, x AS draw, l_suppkey FROM every JOIN free ON free.l_partkey = every.l_partkey AND free.rank = every.v""")
+
+
 def _recombined(s, d):
     """Parts and suppliers drawn by frequency, known pairs left out."""
     rows = pairs(s, d).withColumn("k", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))

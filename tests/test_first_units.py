@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.functions import sequences as S
-from rowloom.operators import negatives, ranks
+from rowloom.operators import joins, negatives, ranks
 
 
 def known_pairs(seed, n):
@@ -80,3 +80,18 @@ def test_long_runs_are_cut_into_blocks(spark):
     df = spark.createDataFrame([("a", 0, 10), ("b", 5, 5), ("c", 3, 4)], "k string, lo long, hi long")
     got = sorted((r.k, r.i) for r in ranks.repeated(df, F.col("lo"), F.col("hi"), "i", block=4).collect())
     assert got == [("a", i) for i in range(10)] + [("c", 3)]
+
+
+def test_shuffled_negatives_fall_back_to_repeats(spark):
+    rows = [("full", r) for r in range(6)] + [("few", r) for r in (0, 1, 2, 3, 3, 3)] + [("many", 0)] * 2 + [("odd", None)]
+    df = spark.createDataFrame(rows, "pep string, tcr int")
+    got = negatives.shuffled_negatives(df, "pep", "tcr", 1.5).collect()
+    of = lambda p: sorted(r.tcr for r in got if r.pep == p)
+    assert of("full") == [] and len(of("few")) == 9 and set(of("few")) <= {4, 5}
+    assert len(of("many")) == len(set(of("many"))) == 3 and 0 not in of("many") and len(of("odd")) == 1
+
+
+def test_unobserved_counts(spark):
+    every = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", None), (None, 1)], "k string, g int")
+    seen = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("a", 3), ("b", 2), ("b", 9)], "k string, g int")
+    assert sorted(map(tuple, joins.unobserved_counts(every, seen, "k", "g").collect())) == [("b", 2), ("c", 3), ("d", 3)]
