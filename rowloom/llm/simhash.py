@@ -302,6 +302,8 @@ def _link(wide: bool):
 
 
 LINK_ROWS = 1 << 18
+#: Rows of a task that compares them.
+TASK_ROWS = 1 << 21
 #: Places on in a group that rows are compared with before what has one label by then is passed over.
 NEAR_ROWS = 64
 
@@ -313,7 +315,8 @@ def fingerprint_links(distinct: DataFrame, wide: bool = False) -> DataFrame:
     """
     words = WIDE if wide else WIDE[:1]
     keyed = distinct.select(*words).mapInArrow(_explode_keys(wide), ", ".join(["key bigint", *(f"{c} bigint" for c in words), *["stored boolean"] * (not wide)]))
-    dealt = keyed.repartition(with_floor(distinct, 1), "key").sortWithinPartitions("key", "fp")
+    rows = distinct.count() * (120 if wide else 40)  # about as many keys have they
+    dealt = keyed.repartition(with_floor(distinct, rows // TASK_ROWS + 1), "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_link(wide), "a bigint, b bigint")
 
 
