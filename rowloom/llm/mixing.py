@@ -144,9 +144,10 @@ class Mix:
         return joined.select(*rows.columns, "source_size", "target", placed.alias("placements"))
 
     def digest(self) -> DataFrame:
-        """(doc_id, size, source_size, target, taken, copies) for every document."""
+        """(doc_id, size, source_size, target, taken, copies, shards) for every document. shards: of each copy `shard:words`, by round."""
         total = F.aggregate("placements", F.lit(0).cast("long"), lambda a, r: a + r["words"])
-        return self.taken(self.slim).select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", total.alias("taken"), F.size("placements").alias("copies"))
+        where = F.array_join(F.transform("placements", lambda r: F.concat_ws(":", r["shard"].cast("string"), r["words"].cast("string"))), ",")
+        return self.taken(self.slim).select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", total.alias("taken"), F.size("placements").alias("copies"), where.alias("shards"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = "n_chars", slots: int = 64, **options) -> DataFrame:
