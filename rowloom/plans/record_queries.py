@@ -143,17 +143,20 @@ def _lines(s, rows, path):
 
 
 def _matrix(s, d):
-    """A matrix of line counts by part size and supplier, a letter each, as a file that is read again without the last letter."""
+    """A matrix of line counts by part size and supplier, a letter each, as a file that is read without the last letter."""
     p = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy((F.col("p_size") % 6).alias("r"), (F.col("l_suppkey") % 6).alias("c")).agg(F.count("*").alias("n"))
     counts = p.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("n"))
     cells = [F.coalesce(F.try_element_at("n", F.lit(j).cast("long")), F.lit(0)).cast("string") for j in range(6)]
     rows = counts.select((F.col("r") + 2).alias("place"), F.concat_ws("  ", F.expr("chr(r + 65)"), *cells).alias("value"))
     head = s.range(2).select(F.col("id").alias("place"), F.when(F.col("id") == 0, "# counts").otherwise("   A  B  C  D  E  F").alias("value"))
-    path = _lines(s, head.unionByName(rows), scratch(s))
-    return readers.read_substitution(s, path, ("F",)).select("residue", F.array_join(F.transform("scores", lambda x: x.cast("long").cast("string")), ",").alias("scores"))
+    return readers.read_substitution(s, _lines(s, head.unionByName(rows), scratch(s)), ("F",))
 
 
-add("A14_substitution_matrix", _matrix, "WITH p AS (SELECT p_size % 6 AS r, l_suppkey % 6 AS c, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) SELECT chr((q.r + 65)::INT) AS residue, string_agg(coalesce(p.n, 0)::VARCHAR, ',' ORDER BY j) AS scores FROM (SELECT DISTINCT r FROM p WHERE r < 5) q CROSS JOIN range(5) t(j) LEFT JOIN p ON p.r = q.r AND p.c = t.j GROUP BY q.r")
+def _matrix_rows(s, d):
+    return _matrix(s, d).select("residue", F.array_join(F.transform("scores", lambda x: x.cast("long").cast("string")), ",").alias("scores"))
+
+
+add("A14_substitution_matrix", _matrix_rows, "WITH p AS (SELECT p_size % 6 AS r, l_suppkey % 6 AS c, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) SELECT chr((q.r + 65)::INT) AS residue, string_agg(coalesce(p.n, 0)::VARCHAR, ',' ORDER BY j) AS scores FROM (SELECT DISTINCT r FROM p WHERE r < 5) q CROSS JOIN range(5) t(j) LEFT JOIN p ON p.r = q.r AND p.c = t.j GROUP BY q.r")
 
 
 def _layouts(s, d):
@@ -295,6 +298,16 @@ _HELICITY = "('A',1.24),('B',0.92),('C',0.79),('D',0.89),('E',0.85),('F',1.26),(
 add("I11_properties", lambda s, d: _NAMES(s, d).select("p_name", F.explode(S.properties(S.letters(F.col("x")), "helicity")).alias("v")).groupBy("p_name").agg(F.round(F.sum("v"), 6).alias("total"), F.count("v").alias("n")), f"WITH {_N}, v(k, v) AS (VALUES {_HELICITY}), c AS (SELECT p_name, unnest(string_split(x, '')) AS k FROM n) SELECT p_name, round(sum(v::DOUBLE), 6) AS total, count(v) AS n FROM c LEFT JOIN v USING (k) GROUP BY p_name")
 add("I12_substituted", lambda s, d: _NAMES(s, d).select("p_name", F.aggregate(S.substituted(S.letters(F.col("x")), {"A": [1.0, 2.0], "K": [3.0, 4.0], "E": [5.0, 6.0]}), F.lit(0.0), lambda a, v: a + F.coalesce(v[0] * v[1], F.lit(0.0))).alias("s")), f"WITH {_N}, c AS (SELECT p_name, unnest(string_split(x, '')) AS k FROM n) SELECT p_name, sum(CASE k WHEN 'A' THEN 2.0::DOUBLE WHEN 'K' THEN 12 WHEN 'O' THEN 12 WHEN 'E' THEN 30 ELSE 0 END) AS s FROM c GROUP BY p_name")
 add("I14_contacts", lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x")).select("vec_id", F.floor(F.col("p") / 8).alias("i"), (F.col("p") % 8).cast("long").alias("j"), (F.abs("x") * 40 < 5).alias("contact")).where("contact"), "SELECT vec_id, (p - 1) // 8 AS i, (p - 1) % 8 AS j, TRUE AS contact FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) WHERE abs(x) * 40 < 5")
+
+
+def _matrix_embedded(s, d):
+    """Sums of the first and last score over a name's letters, each letter as its row of the matrix that A14 reads."""
+    rows = {r.residue: r.scores for r in _matrix(s, d).collect()}  # a row per residue
+    each = _NAMES(s, d).select("p_name", F.explode(S.substituted(S.letters(F.col("x")), rows)).alias("e"))
+    return each.groupBy("p_name").agg(F.sum(F.get("e", F.lit(0))).alias("first"), F.sum(F.get("e", F.lit(4))).alias("last"), F.count("e").alias("n"))
+
+
+add("I13_matrix_embedding", _matrix_embedded, f"WITH {_N}, p AS (SELECT p_size % 6 AS r, l_suppkey % 6 AS c, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), g AS (SELECT chr((q.r + 65)::INT) AS k, j, coalesce(p.n, 0)::DOUBLE AS v FROM (SELECT DISTINCT r FROM p WHERE r < 5) q CROSS JOIN range(5) t(j) LEFT JOIN p ON p.r = q.r AND p.c = t.j), c AS (SELECT p_name, unnest(string_split(x, '')) AS k FROM n) SELECT p_name, sum(v) FILTER (WHERE j = 0) AS first, sum(v) FILTER (WHERE j = 4) AS last, count(*) FILTER (WHERE j = 0) AS n FROM c LEFT JOIN g USING (k) GROUP BY p_name")
 _IDS = lambda s, d: _NAMES(s, d).select("p_name", F.transform(S.letters(F.col("x")), lambda c: F.ascii(c)).alias("ids"))
 _SHOWN = lambda m: [F.array_join(F.transform(m[c], lambda x: x.cast("string")), " ").alias(c) for c in ("tokens", "labels")]
 _U = "('0x' || substr(md5('42|' || p_name || {}), 1, 13))::BIGINT::DOUBLE / 4503599627370496"

@@ -224,18 +224,19 @@ add("N19_failures_as_zero", lambda s, d: summaries.masked_scores(_MASK(s, d).wit
 add("N20_masked_mean", lambda s, d: pairs(s, d).groupBy("kind").agg(F.round(F.try_divide(F.sum(F.when(F.col("l_linenumber") < 4, F.col("score"))), F.count_if(F.col("l_linenumber") < 4)), 6).alias("loss")), "{P} SELECT kind, round(sum(score) FILTER (WHERE l_linenumber < 4) / count(*) FILTER (WHERE l_linenumber < 4), 6) AS loss FROM pairs GROUP BY kind")
 
 
-def _three(s, d):
+def _three(s, d, above=300):
     p, by = pairs(s, d), {"alpha": "score", "beta": "l_discount", "peptide": "l_tax"}
     per = p.groupBy("pep").agg(F.count("*").alias("n"))
     out = None
     for name, column in by.items():
-        one = M.ranking(p, ["pep"], score=column).join(per.where("n > 300").select("pep"), "pep", "left_semi").agg(F.lit(name).alias("part"), F.round(F.avg("auroc"), 6).alias("auroc"))
+        one = M.ranking(p, ["pep"], score=column).join(per.where(F.col("n") > above).select("pep"), "pep", "left_semi").agg(F.lit(name).alias("part"), F.round(F.avg("auroc"), 6).alias("auroc"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 _THREE = " UNION ALL ".join(f"SELECT '{n}' AS part, round(avg(a), 6) AS auroc FROM (SELECT pep, sum(CASE WHEN label = 1 THEN r END) AS s, sum(label) AS p, count(*) AS n, (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2::DOUBLE) / nullif(sum(label) * (count(*) - sum(label)), 0) AS a FROM (SELECT pep, label, rank() OVER (PARTITION BY pep ORDER BY {c}) + (count(*) OVER (PARTITION BY pep, {c}) - 1) / 2::DOUBLE AS r FROM pairs) GROUP BY pep HAVING count(*) > 300)" for n, c in (("alpha", "score"), ("beta", "l_discount"), ("peptide", "l_tax")))
 add("N22_three_aucs", _three, "WITH {P} " + _THREE)
+add("N22_every_peptide", lambda s, d: _three(s, d, 0), "WITH {P} " + _THREE.replace(" HAVING count(*) > 300", ""))
 add("N24_threshold_transfer", lambda s, d: scoring.predicted(pairs(s, d), 0.5, strict=True).groupBy("brand").agg(F.sum("predicted_label").alias("n")), "{P} SELECT brand, sum((score > 0.5)::INT) AS n FROM pairs GROUP BY brand")
 add("N25_whole_batches", lambda s, d: _CUST(s, d).join(F.broadcast(_CUST(s, d).agg((F.count("*") - F.count("*") % 64).alias("whole")))).where("row_id < whole").agg(F.count("*").alias("n")), "SELECT count(*) - count(*) % 64 AS n FROM customer")
 add("N26_best_fold", lambda s, d: _FOLDS(s, d).select("fold", F.round((F.col("acc") + F.col("auc")) / 2, 6).alias("mean")).orderBy(F.desc("mean"), "fold").limit(1), "{P} SELECT l_linenumber AS fold, round((avg(label) + avg(score)) / 2, 6) AS mean FROM pairs GROUP BY 1 ORDER BY mean DESC, fold LIMIT 1")
