@@ -308,15 +308,15 @@ def _matrix_embedded(s, d):
 
 
 add("I13_matrix_embedding", _matrix_embedded, f"WITH {_N}, p AS (SELECT p_size % 6 AS r, l_suppkey % 6 AS c, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), g AS (SELECT chr((q.r + 65)::INT) AS k, j, coalesce(p.n, 0)::DOUBLE AS v FROM (SELECT DISTINCT r FROM p WHERE r < 5) q CROSS JOIN range(5) t(j) LEFT JOIN p ON p.r = q.r AND p.c = t.j), c AS (SELECT p_name, unnest(string_split(x, '')) AS k FROM n) SELECT p_name, sum(v) FILTER (WHERE j = 0) AS first, sum(v) FILTER (WHERE j = 4) AS last, count(*) FILTER (WHERE j = 0) AS n FROM c LEFT JOIN g USING (k) GROUP BY p_name")
-_IDS = lambda s, d: _NAMES(s, d).select("p_name", F.transform(S.letters(F.col("x")), lambda c: F.ascii(c)).alias("ids"))
+_CODES = lambda s, d: _NAMES(s, d).select("p_name", F.transform(S.letters(F.col("x")), lambda c: F.ascii(c)).alias("ids"))
 _SHOWN = lambda m: [F.array_join(F.transform(m[c], lambda x: x.cast("string")), " ").alias(c) for c in ("tokens", "labels")]
 _U = "('0x' || substr(md5('42|' || p_name || {}), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
 _TOKENS = f"WITH {_N}, c AS (SELECT p_name, unnest(string_split(x, '')) AS ch, generate_subscripts(string_split(x, ''), 1) - 1 AS i, length(x) AS size FROM n), t AS (SELECT p_name, i, ascii(ch) AS id, size FROM c)"
 _JOINED = ", m AS ({}) SELECT p_name, string_agg(token::VARCHAR, ' ' ORDER BY i) AS tokens, string_agg(label::VARCHAR, ' ' ORDER BY i) AS labels FROM m GROUP BY p_name"
-add("I15_span_masking", lambda s, d: _IDS(s, d).withColumn("m", S.span_masked(F.col("ids"), F.col("p_name"), 42, F.lit(0))).select("p_name", *_SHOWN(F.col("m"))),
+add("I15_span_masking", lambda s, d: _CODES(s, d).withColumn("m", S.span_masked(F.col("ids"), F.col("p_name"), 42, F.lit(0))).select("p_name", *_SHOWN(F.col("m"))),
     _TOKENS + f", w AS (SELECT *, least(size, 20) AS n, 3 + floor({_U.format("'|length'")} * 3)::INT AS wide FROM t), v AS (SELECT *, floor({_U.format("'|start'")} * (greatest(1, n - wide) + 1))::INT AS start FROM w)"
     + _JOINED.format("SELECT p_name, i, CASE WHEN i >= start AND i < least(start + wide, n) THEN 0 ELSE id END AS token, CASE WHEN i >= start AND i < least(start + wide, n) THEN id ELSE -100 END AS label FROM v"))
-add("I15_three_way_masking", lambda s, d: _IDS(s, d).withColumn("m", S.replaced_tokens(F.col("ids"), F.col("p_name"), 42, F.lit(0), 128, 0.15, F.array(F.lit(90)))).select("p_name", *_SHOWN(F.col("m"))),
+add("I15_three_way_masking", lambda s, d: _CODES(s, d).withColumn("m", S.replaced_tokens(F.col("ids"), F.col("p_name"), 42, F.lit(0), 128, 0.15, F.array(F.lit(90)))).select("p_name", *_SHOWN(F.col("m"))),
     _TOKENS + f", w AS (SELECT *, {_U.format("'|' || i || '|chosen'")} < 0.15 AND id <> 90 AS chosen, {_U.format("'|' || i || '|kind'")} AS kind, floor({_U.format("'|' || i || '|id'")} * 128)::INT AS other FROM t)"
     + _JOINED.format("SELECT p_name, i, CASE WHEN NOT chosen THEN id WHEN kind < 0.8 THEN 0 WHEN kind < 0.9 THEN other ELSE id END AS token, CASE WHEN chosen THEN id ELSE -100 END AS label FROM w"))
 add("I15_masked_tokens", lambda s, d: _NAMES(s, d).select("p_name", F.array_join(S.masked_tokens(S.letters(F.col("x")), F.col("p_name"), 0.15, 42), "").alias("masked")), f"WITH {_N}, c AS (SELECT p_name, unnest(string_split(x, '')) AS k, generate_subscripts(string_split(x, ''), 1) - 1 AS i FROM n) SELECT p_name, string_agg(CASE WHEN ('0x' || substr(md5('42|' || p_name || '|' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < 0.15 THEN '*' ELSE k END, '' ORDER BY i) AS masked FROM c GROUP BY p_name")
