@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowloom.functions import sequences as S
+from rowloom.operators.components import checkpoint_dir
 from rowloom.operators.joins import not_in_keys
-from rowloom.operators.ranks import running
+from rowloom.operators.ranks import repeated, running
 
 GROUPINGS = ("pair_stratified", "peptide", "cluster")
 #: Frequency bins: (name, largest count).
@@ -70,49 +71,103 @@ def pair_validation(keys: DataFrame, quotas: DataFrame, peers: list[DataFrame],
     return rows.groupBy("pep").applyInPandas(pick, "pep string, mhc string, grp string")
 
 
-#: Sums that the choice of groups tells apart; larger tables count rows in units, so memory is bounded whatever they hold.
-MOST_SUMS = 1 << 24
+#: Rows left open for the exact choice of groups, at first and at most: its memory, whatever the table holds.
+FIRST_ROOM, MOST_ROOM = 1 << 12, 1 << 22
 
 
-def choose_groups(sizes: list[tuple[str, int]], fraction: float, seed: int = 42) -> list[str]:
-    """Groups whose sizes sum nearest to ceil(total * fraction), of equally near sums the smaller one.
+def nearest_counts(sizes: list[tuple[int, int]], target: int, limit: int, empty: bool, seed: int = 42) -> dict[int, int]:
+    """{size: groups} whose rows sum nearest to target, of equally near sums the smaller one, at most `limit` rows in all.
 
-    Of each sum it is noted which group reached it first, so memory goes with the sums alone: at most MOST_SUMS, which above
-    that many rows makes a unit of several rows (one part in 16 million of them). The input is a row per group.
+    sizes has (size, how many groups have it). Groups of one size are alike, so counts are halved into items of 1, 2, 4, ... of
+    them, and of each sum it is noted which item reached it first. It ends as soon as target is reached. Without `empty` the
+    answer has a group, if any fits.
     """
-    if len(sizes) < 2:
-        return []
-    order = np.random.default_rng(seed).permutation(len(sizes))
-    items = [sorted(sizes)[i] for i in order]
-    total, most = sum(n for _, n in items), max(n for _, n in items)
-    target = max(1, math.ceil(total * fraction))
-    unit = -(-min(total - 1, target + most) // MOST_SUMS) or 1
-    weights = [max(1, round(n / unit)) if n else 0 for _, n in items]
-    target = max(1, round(target / unit))
-    limit = min(sum(weights) - 1, target + max(weights))
-    if limit < 1:
-        return []
-    first = np.full(limit + 1, -1, np.int32)
-    reached = np.zeros(limit + 1, bool)
+    sizes = sorted(sizes)
+    least = sizes[0][0] if sizes else limit + 1
+    if least > limit:
+        return {}
+    top = min(limit, max(2 * target, least))  # what overshoots by more than target is farther than nothing
+    items = []
+    for i in np.random.default_rng(seed).permutation(len(sizes)):
+        n, left = sizes[i]
+        left, step = min(left, top // n), 1
+        while left > 0:
+            items.append((n, min(step, left)))
+            left, step = left - step, 2 * step
+    first, reached = np.full(top + 1, -1, np.int32), np.zeros(top + 1, bool)
     reached[0] = True
-    for k, n in enumerate(weights):
-        if 0 < n <= limit:
-            new = np.flatnonzero(reached[: limit + 1 - n] & ~reached[n:]) + n
+    for k, (n, times) in enumerate(items):
+        n *= times
+        if n <= top:
+            new = np.flatnonzero(reached[: top + 1 - n] & ~reached[n:]) + n
             first[new], reached[new] = k, True
-    sums = np.flatnonzero(reached)[1:]
-    left = int(sums[np.argmin(np.abs(sums - target))]) if len(sums) else 0
-    chosen = []
+        if target <= top and reached[target]:
+            break
+    sums = np.flatnonzero(reached)
+    sums = sums if empty else sums[1:]
+    left, chosen = int(sums[np.argmin(np.abs(sums - target))]), {}
     while left:
-        k = int(first[left])
-        chosen.append(items[k][0])
-        left -= weights[k]
-    return sorted(chosen)
+        n, times = items[first[left]]
+        chosen[n] = chosen.get(n, 0) + times
+        left -= n * times
+    return chosen
+
+
+def _first_groups(sizes: DataFrame, group: str, wanted: int, slack: int) -> tuple[DataFrame, DataFrame, int]:
+    """(taken, rest, rows taken): groups in hash order while they fit into wanted rows. Those that don't are passed over, until
+    at most slack rows are open or no group fits."""
+    taken, rest, left = sizes.limit(0), sizes, wanted
+    while left > slack:
+        fits = running(rest.where(F.col("__n") <= left), [], ["__h", group], {"__before": F.col("__n")}).checkpoint()
+        more = fits.where(F.col("__before") + F.col("__n") <= left).drop("__before")
+        used = more.agg(F.sum("__n")).first()[0]
+        if not used:
+            break
+        taken, rest, left = taken.unionByName(more), rest.join(more.select(group), group, "left_anti").checkpoint(), left - used
+    return taken, rest, max(wanted, 0) - max(left, 0)
 
 
 def group_validation(df: DataFrame, group: str, fraction: float, seed: int = 42) -> DataFrame:
-    """(group) chosen for validation; what comes to the driver is one row per group."""
-    sizes = [(r[0], r[1]) for r in df.groupBy(group).count().collect()]
-    return df.sparkSession.createDataFrame([(g,) for g in choose_groups(sizes, fraction, seed)], df.select(group).schema)
+    """(group) chosen for validation: groups whose rows sum nearest to ceil(rows * fraction), at least one group and never all.
+
+    Groups come in hash order until few rows are open; what is open is filled exactly by counts per size, so that the driver
+    sees a row per distinct size of a group, never the groups. While that doesn't give the very number, more is left open, up to
+    MOST_ROOM rows. The result is therefore the very number, or the nearest one of all where the target is within MOST_ROOM, or
+    else the nearest one to be had with the groups of the first part. Rows without a group take no part; fewer than two groups
+    give none.
+    """
+    checkpoint_dir(df.sparkSession)
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("__n")).withColumn("__h", S.hash_order(seed, F.col(group))).checkpoint()
+    total, groups = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count("*")).first()
+    if groups < 2:
+        return sizes.select(group).limit(0)
+    target, room, best = max(1, math.ceil(total * fraction)), FIRST_ROOM, None
+    while True:
+        taken, rest, used = _first_groups(sizes, group, target - room, room)
+        left, limit = target - used, total - 1 - used
+        per = rest.groupBy("__n").agg(F.count("*").alias("k"))
+        if left <= 3 * room:
+            near = per.where(F.col("__n") <= 2 * left)
+            more = nearest_counts(_with_least(near, per), left, limit, used > 0, seed)
+        else:  # every group left has over two thirds of what is open: one of them or none
+            ends = per.agg(F.max(F.when(F.col("__n") <= left, F.col("__n"))), F.min(F.when(F.col("__n") > left, F.col("__n")))).first()
+            one = min((n for n in (*ends, 0 if used else None) if n is not None and n <= limit), key=lambda n: (abs(n - left), n), default=0)
+            more = {one: 1} if one else {}
+        off = abs(left - sum(n * k for n, k in more.items()))
+        if best is None or off < best[0]:
+            best = off, taken, rest, more
+        if not off or room >= min(target, MOST_ROOM):
+            break
+        room *= 32
+    _, taken, rest, more = best
+    counts = df.sparkSession.createDataFrame(list(more.items()), "__n long, __k long")
+    ranked = running(rest.join(F.broadcast(counts), "__n"), ["__n"], ["__h", group], {"__before": F.lit(1)})  # a row per chosen size
+    return taken.select(group).unionByName(ranked.where("__before < __k").select(group)).checkpoint()
+
+
+def _with_least(near: DataFrame, per: DataFrame) -> list[tuple[int, int]]:
+    """Rows of near, or the smallest size of all if there is none."""
+    return [tuple(r) for r in near.collect()] or [tuple(r) for r in per.orderBy("__n").limit(1).collect()]
 
 
 def apply_validation(df: DataFrame, validation: DataFrame, grouping: str, clusters: DataFrame | None = None) -> DataFrame:
@@ -178,19 +233,39 @@ def tail_sample(counts: DataFrame, share: float = 0.8, take: int = 100, seed: in
     return tail.orderBy(S.hash_order(seed, F.col(key)), key).limit(take)
 
 
-def rejection_partition(counts: list[tuple[str, int, int]], evaluate: int, cap: int, tolerance: float = 0.05, seed: int = 42, attempts: int = 100_000) -> tuple[list[str], list[str], int]:
-    """(valid, test, attempt): whole permutations of (key, rows, unique pairs) until the first two blocks of `evaluate` keys
-    have at most cap rows and differ by at most `tolerance` in rows and in unique pairs. One row per key."""
-    counts = sorted(counts)
-    rows, unique = (np.array([c[i] for c in counts], float) for i in (1, 2))
-    rng = np.random.RandomState(seed)
-    for attempt in range(1, attempts + 1):
-        order = rng.permutation(len(counts))
-        a, b = order[:evaluate], order[evaluate : 2 * evaluate]
-        if max(rows[a].sum(), rows[b].sum()) > cap:
-            continue
-        if all(abs(x[a].sum() - x[b].sum()) <= tolerance * max(x[a].sum(), x[b].sum()) for x in (rows, unique)):
-            return [counts[i][0] for i in a], [counts[i][0] for i in b], attempt
+#: Rows of one round of permutations.
+ROUND = 1 << 22
+
+
+def rejection_partition(counts: DataFrame, evaluate: int, cap: int, tolerance: float = 0.05, seed: int = 42, attempts: int = 100_000, key: str = "pep") -> DataFrame:
+    """(key, split, attempt): whole permutations of (key, rows, unique) until the first two blocks of `evaluate` keys, valid and
+    test, have at most cap rows each and differ by at most `tolerance` in rows and in unique pairs.
+
+    A permutation is the order of a hash of attempt and key. Rounds try one, two, four, ... of them side by side, as many as
+    ROUND rows hold; the first that fits counts, so rounds don't show in the result. Keys are ranked by running sums and
+    never gathered.
+    """
+    checkpoint_dir(counts.sparkSession)
+    counts = counts.select(key, "rows", "unique").checkpoint()
+    n = counts.count()
+    if 2 * evaluate > n:
+        raise ValueError(f"cannot take 2 * {evaluate} of {n}")
+    at, width = 1, 1
+    while at <= attempts:
+        width = min(width, attempts - at + 1)
+        tried = counts.withColumn("attempt", F.explode(F.sequence(F.lit(at), F.lit(at + width - 1))))
+        tried = tried.withColumn("__h", S.hash_order(seed, F.col("attempt"), F.col(key)))
+        placed = running(tried, ["attempt"], ["__h", key], {"__place": F.lit(1)}).where(F.col("__place") < 2 * evaluate).checkpoint()
+        first = F.col("__place") < evaluate
+        sums = placed.groupBy("attempt").agg(*[F.sum(F.when(side, F.col(c)).otherwise(0)).alias(f"{c}_{i}") for c in ("rows", "unique") for i, side in enumerate((first, ~first))])
+        fits = F.greatest("rows_0", "rows_1") <= cap
+        for c in ("rows", "unique"):
+            a, b = F.col(f"{c}_0"), F.col(f"{c}_1")
+            fits = fits & (F.abs(a - b) <= tolerance * F.greatest(a, b))
+        found = sums.where(fits).agg(F.min("attempt")).first()[0]
+        if found is not None:
+            return placed.where(F.col("attempt") == found).select(key, F.when(first, "valid").otherwise("test").alias("split"), "attempt")
+        at, width = at + width, max(1, min(2 * width, ROUND // max(n, 1)))
     raise ValueError("no permutation fits")
 
 
@@ -213,15 +288,46 @@ def hash_folds(df: DataFrame, folds: int, seed: int = 42, key: str = "pep") -> D
     return keys.join(F.broadcast(first), "__p").select(key, F.when(fold < folds, fold).cast("int").alias("fold"))
 
 
-def group_folds(sizes: list[tuple[str, int]], folds: int) -> dict[str, int]:
-    """Each group to the lightest fold, the largest first. One row per group."""
-    load, out = [0] * folds, {}
-    for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        k = min(range(folds), key=lambda i: (load[i], i))
-        out[name], load[k] = k, load[k] + n
+def fold_shares(load: list[int], n: int, count: int) -> list[int]:
+    """How many of `count` groups of n rows each fold gets, if each goes to the lightest fold, the earlier one of equals.
+
+    Fold f takes its i-th at a load of load[f] + i n; the count smallest of these (load, fold) are taken. The level below
+    which all are taken is found by bisection, so no group is gone through.
+    """
+    below = lambda level: [max(0, -(-(level - x) // n)) for x in load]
+    low, high = min(load), max(load) + n * (count + 1)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(below(middle)) <= count else (low, middle)
+    out = below(low)
+    for f, x in enumerate(load):
+        if sum(out) < count and x + out[f] * n == low:
+            out[f] += 1
     return out
 
 
+def group_folds(sizes: DataFrame, folds: int, group: str = "brand", n: str = "n") -> DataFrame:
+    """(group, fold): each group to the lightest fold, the largest first, then by name; of equally light folds the first.
+
+    Groups of one size are alike but for their names, so the driver goes through distinct sizes only (their square is at most
+    twice the rows) and notes what each fold gets; Spark makes a slot for each of these, ranks slots by load and groups by name,
+    and joins the ranks. Null is a group.
+    """
+    spark = sizes.sparkSession
+    checkpoint_dir(spark)
+    sizes = sizes.select(group, F.col(n).cast("long").alias("__n")).checkpoint()
+    load, rows = [0] * folds, []
+    for size, count in sorted((tuple(r) for r in sizes.groupBy("__n").count().collect()), reverse=True):
+        share = fold_shares(load, size, count)
+        rows += [(size, f, load[f], k) for f, k in enumerate(share) if k]
+        load = [x + k * size for x, k in zip(load, share, strict=True)]
+    shares = spark.createDataFrame(rows, "__n long, fold int, __load long, __k long")
+    slots = repeated(shares, F.lit(0).cast("long"), F.col("__k"), "__i").withColumn("__at", F.col("__load") + F.col("__i") * F.col("__n"))
+    slots = running(slots.select("__n", "fold", "__at"), ["__n"], ["__at", "fold"], {"__place": F.lit(1)})
+    named = running(sizes, ["__n"], [group], {"__place": F.lit(1)})
+    return named.join(slots, ["__n", "__place"]).select(group, "fold")
+
+
 def ratio_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """df with split: valid where the key's hash falls below share, else train."""
     return df.withColumn("split", F.when(S.hash_uniform(F.lit(str(seed)), F.col(key)) < share, "valid").otherwise("train"))

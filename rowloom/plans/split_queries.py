@@ -51,9 +51,8 @@ for _k in (1, 2, 3):
 
 def _rejection(s, d):
     per = pairs(s, d).groupBy("pep").agg(F.count("*").alias("rows"), F.countDistinct("mhc", "grp").alias("unique"))
-    rows = [tuple(r) for r in per.collect()]  # one row per peptide, as the method asks
-    valid, test, attempt = splits.rejection_partition(rows, max(1, len(rows) // 6), sum(r[1] for r in rows) // 5, 0.05)
-    return s.createDataFrame([(p, "valid", attempt) for p in valid] + [(p, "test", attempt) for p in test], "pep string, split string, attempt int")
+    peptides, rows = per.agg(F.count("*"), F.sum("rows")).first()
+    return splits.rejection_partition(per, max(1, peptides // 6), rows // 5, 0.05)
 
 
 add("G6_rejection_partition", _rejection)
@@ -79,8 +78,7 @@ add("G10_hash_folds", lambda s, d: splits.hash_folds(pairs(s, d), 5), "WITH {P},
 
 
 def _group_folds(s, d):
-    sizes = [(r[0], r[1]) for r in pairs(s, d).groupBy("brand").count().collect()]  # one row per group
-    return s.createDataFrame(sorted(splits.group_folds(sizes, 3).items()), "brand string, fold int")
+    return splits.group_folds(pairs(s, d).groupBy("brand").agg(F.count("*").alias("n")), 3)
 
 
 add("G11_group_folds", _group_folds)

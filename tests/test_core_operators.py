@@ -1,6 +1,8 @@
 """Invariants and small fixtures of the record, split, negative, metric and source operators."""
 
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,15 +126,15 @@ def test_pair_validation_keeps_every_peptide(spark):
     assert rest.join(held, ["pep", "mhc", "grp"]).count() == 0
 
 
-def test_subset_sum_is_nearest():
+def test_counts_of_sizes_are_nearest():
     rng = random.Random(3)
-    for _ in range(30):
-        sizes = [(f"g{i}", rng.randint(1, 9)) for i in range(rng.randint(2, 8))]
-        total = sum(n for _, n in sizes)
-        got = sum(dict(sizes)[g] for g in splits.choose_groups(sizes, 0.3))
-        target = max(1, -(-total * 3 // 10))
-        sums = {sum(n for j, (_, n) in enumerate(sizes) if m >> j & 1) for m in range(1, 1 << len(sizes))} - {total}
-        assert abs(got - target) == min(abs(s - target) for s in sums)
+    for _ in range(300):
+        sizes = [rng.randint(1, 9) for _ in range(rng.randint(2, 8))]
+        limit, target, empty = sum(sizes) - 1, rng.randint(1, sum(sizes)), rng.random() < 0.5
+        got = splits.nearest_counts(list(Counter(sizes).items()), target, limit, empty)
+        sums = {sum(n for j, n in enumerate(sizes) if m >> j & 1) for m in range(0 if empty else 1, 1 << len(sizes))}
+        best = min((x for x in sums if x <= limit), key=lambda x: (abs(x - target), x))
+        assert sum(n * k for n, k in got.items()) == best and all(k <= sizes.count(n) for n, k in got.items())
 
 
 def test_frequency_allocation_counts(spark):
@@ -148,11 +150,23 @@ def test_frequency_allocation_counts(spark):
         splits.frequency_allocation(df, 400)
 
 
-def test_rejection_partition_leaves_the_big_group():
-    counts = [("p0", 100, 100)] + [(f"p{i}", i, i) for i in range(1, 8)]
-    a, b, _ = splits.rejection_partition(counts, 2, 10, 0.5)
-    assert not set(a) & set(b) and "p0" not in a + b
-    assert (a, b) == splits.rejection_partition(counts[::-1], 2, 10, 0.5)[:2]
+def test_rejection_partition_leaves_the_big_group(spark):
+    counts = spark.createDataFrame([("p0", 100, 100)] + [(f"p{i}", i, i) for i in range(1, 8)], "pep string, rows long, unique long")
+    got = {tuple(r) for r in splits.rejection_partition(counts, 2, 10, 0.5).collect()}
+    assert len({p for p, _, _ in got}) == 4 and "p0" not in {p for p, _, _ in got} and len({a for _, _, a in got}) == 1
+    assert got == {tuple(r) for r in splits.rejection_partition(counts.orderBy(F.desc("pep")).repartition(3), 2, 10, 0.5).collect()}
+    order = lambda a: sorted((hashlib.md5(f"42|{a}|p{i}".encode()).hexdigest(), i) for i in range(8))
+    rows = [100, *range(1, 8)]
+    for attempt in range(1, 10_000):
+        a, b = ([i for _, i in order(attempt)[lo : lo + 2]] for lo in (0, 2))
+        x, y = (sum(rows[i] for i in side) for side in (a, b))
+        if max(x, y) <= 10 and abs(x - y) <= 0.5 * max(x, y):
+            break
+    assert got == {(f"p{i}", "valid", attempt) for i in a} | {(f"p{i}", "test", attempt) for i in b}
+    with pytest.raises(ValueError, match="no permutation"):
+        splits.rejection_partition(counts, 2, 1, 0.5, attempts=50)
+    with pytest.raises(ValueError, match="cannot take"):
+        splits.rejection_partition(counts, 5, 10)
 
 
 def test_folds_are_disjoint_and_even(spark):
