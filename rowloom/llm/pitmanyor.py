@@ -21,7 +21,6 @@ of a chunk's message, so there are no hot keys; memory of a task is a chunk's or
 
 from __future__ import annotations
 
-import gc
 import math
 import pickle
 import uuid
@@ -43,6 +42,7 @@ STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 END = np.uint64(0x5DEECE66D1234567)
 #: Numbers of types are 32 bits wide, so that a pair is 64.
 MOST_TYPES = 1 << 32
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,11 +251,14 @@ class Store:
 
     def __call__(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        df.write.option("parquet.block.size", 16 << 20).parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")  # the plan runs once, so its shuffle files go with the end of the write
+        try:
+            df.write.option("parquet.block.size", 16 << 20).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         self.drop(name)
         self.at[name] = path
-        gc.collect()
-        self.spark._jvm.System.gc()  # so that the shuffle files of the plan go now
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
