@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,27 +47,48 @@ def pair_quotas(keys: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
 
 def pair_validation(keys: DataFrame, quotas: DataFrame, peers: list[DataFrame], seed: int = 42) -> DataFrame:
     """Chosen keys: within a peptide those that most peers share come first, then by hash; a peer never loses its last pair
-    of the peptide. Greedy within one peptide only: peptides are independent groups."""
+    of the peptide.
+
+    Keys are gone through in that order for all peptides at once. Until a peer of a peptide comes to its last pair, which keys
+    are taken depends on which peers they are in alone, so running sums tell how far that is; the next round goes on behind it
+    without that peer's keys. Rounds are one more than peers at most, and no task holds a peptide. Keys that no peer has are
+    never chosen.
+    """
+    spark = keys.sparkSession
+    checkpoint_dir(spark)
     common = None
     for i, p in enumerate(peers):
         mine = p.select("pep", "mhc", "grp").distinct().withColumn("peer", F.lit(i))
         common = mine if common is None else common.unionByName(mine)
-    left = common.groupBy("pep", "peer").agg(F.count("*").alias("n")).groupBy("pep").agg(F.map_from_entries(F.collect_list(F.struct("peer", "n"))).alias("left"))
-    by_key = common.groupBy("pep", "mhc", "grp").agg(F.sort_array(F.collect_list("peer")).alias("in"))
-    rows = keys.join(quotas.select("pep", "quota").where("quota > 0"), "pep").join(by_key, ["pep", "mhc", "grp"]).join(left, "pep")
-    rows = rows.withColumn("tie", S.hash_order(seed, F.col("pep"), F.col("mhc"), F.col("grp")))
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(most=-group["in"].map(len)).sort_values(["most", "tie", "mhc", "grp"])
-        left, want, rows = dict(group["left"].iloc[0]), int(group["quota"].iloc[0]), []
-        for i, peers in zip(group.index, group["in"], strict=True):
-            if len(rows) < want and all(left[p] > 1 for p in peers):
-                rows.append(i)
-                for p in peers:
-                    left[p] -= 1
-        return group.loc[rows, ["pep", "mhc", "grp"]]
-
-    return rows.groupBy("pep").applyInPandas(pick, "pep string, mhc string, grp string")
+    common = common.checkpoint()
+    has = [f"__has{i}" for i in range(len(peers))]
+    left, sums = ([f"__{kind}{i}" for i in range(len(peers))] for kind in ("left", "sum"))
+    state = common.groupBy("pep").agg(*[F.count_if(F.col("peer") == i).alias(c) for i, c in enumerate(left)])
+    state = state.join(quotas.where("quota > 0").select("pep", F.col("quota").alias("__want")), "pep").withColumn("__after", F.lit(-1).cast("long")).checkpoint()
+    by_key = common.groupBy("pep", "mhc", "grp").agg(*[F.count_if(F.col("peer") == i).alias(c) for i, c in enumerate(has)])
+    most = sum((F.col(c) for c in has), F.lit(0))
+    rows = keys.select("pep", "mhc", "grp").join(by_key, ["pep", "mhc", "grp"]).join(state.select("pep"), "pep", "left_semi")
+    rows = rows.withColumns({"__most": most, "__tie": S.hash_order(seed, F.col("pep"), F.col("mhc"), F.col("grp"))})
+    rows = running(rows, ["pep"], [F.desc("__most"), "__tie", "mhc", "grp"], {"__place": F.lit(1).cast("long")}).drop("__most", "__tie").checkpoint()
+    out = rows.select("pep", "mhc", "grp").limit(0)
+    for _ in range(len(peers) + 1):
+        live = rows.join(state, "pep").where(F.col("__place") > F.col("__after"))
+        for h, n in zip(has, left, strict=True):
+            live = live.where((F.col(h) == 0) | (F.col(n) > 1))
+        live = running(live, ["pep"], ["__place"], {"__taken": F.lit(1), **{x: F.col(h) for x, h in zip(sums, has, strict=True)}})
+        ends = F.col("__taken") + 1 == F.col("__want")
+        for h, n, x in zip(has, left, sums, strict=True):
+            ends = ends | ((F.col(h) == 1) & (F.col(n) - F.col(x) == 2))
+        live = live.withColumn("__ends", ends).checkpoint()
+        cuts = live.where("__ends").groupBy("pep").agg(F.min("__place").alias("__cut"))
+        taken = live.join(cuts, "pep", "left").where(F.col("__cut").isNull() | (F.col("__place") <= F.col("__cut"))).checkpoint()
+        out = out.unionByName(taken.select("pep", "mhc", "grp"))
+        used = taken.where("__cut IS NOT NULL").groupBy("pep").agg(F.first("__cut").alias("__cut"), F.count("*").alias("__used"), *[F.sum(h).alias(x) for h, x in zip(has, sums, strict=True)])
+        state = state.join(used, "pep").select("pep", (F.col("__want") - F.col("__used")).alias("__want"), F.col("__cut").alias("__after"), *[(F.col(n) - F.col(x)).alias(n) for n, x in zip(left, sums, strict=True)])
+        state = state.where("__want > 0").checkpoint()
+        if state.isEmpty():
+            break
+    return out
 
 
 #: Rows left open for the exact choice of groups, at first and at most: its memory, whatever the table holds.

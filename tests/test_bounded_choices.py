@@ -1,5 +1,6 @@
 """Choices of groups and balanced cells against plain versions, at any size."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -41,6 +42,28 @@ def test_little_is_left_open(spark, monkeypatch):
     assert abs(sum(even[g] for g in _chosen(spark, even, 0.11)) - sum(even.values()) * 0.11) <= 20
 
 
+def test_pairs_as_one_by_one(spark):
+    rng = random.Random(6)
+    names = [(p, m, f"g{k}") for p in ("hot", "b", "c", "d", "e") for m in "xy" for k in range(60 if p == "hot" else rng.randint(1, 6))]
+    peers = [[k for k in names if rng.random() < share] for share in (0.9, 0.5, 0.1)]
+    quotas = {p: rng.randint(0, 3) if p != "hot" else 70 for p in "hot b c d e".split()}
+    want = set()
+    for p, quota in quotas.items():
+        left = [sum(k[0] == p for k in peer) for peer in peers]
+        mine = [(k, [i for i, peer in enumerate(peers) if k in peer]) for k in names if k[0] == p]
+        mine = sorted((x for x in mine if x[1]), key=lambda x: (-len(x[1]), hashlib.md5("|".join(("42", *x[0])).encode()).hexdigest()))
+        n = 0
+        for k, of in mine:
+            if n < quota and all(left[i] > 1 for i in of):
+                want.add(k)
+                n += 1
+                for i in of:
+                    left[i] -= 1
+    make = lambda rows: spark.createDataFrame(rows, "pep string, mhc string, grp string")
+    got = splits.pair_validation(make(names), spark.createDataFrame(list(quotas.items()), "pep string, quota long"), [make(p + p[:3]) for p in peers])
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_few_groups(spark):
     assert _chosen(spark, {"a": 5}, 0.5) == [] and _chosen(spark, {"a": 5, "b": 5}, 0.1) in (["a"], ["b"])
     assert _chosen(spark, {"a": 90, "b": 7}, 0.1) == ["b"]
