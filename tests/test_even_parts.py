@@ -62,3 +62,18 @@ def test_quota_over_units_of_many_places(spark):
     got = negatives.recombined_to_quota(df, "pep", "tcr", 0.5).collect()
     mine = sorted(r.draw for r in got if r.pep == "q")
     assert mine == list(range(30)) and len({r.tcr for r in got if r.pep == "q"}) == 30 and 7 not in {r.tcr for r in got if r.pep == "q"}
+
+
+def test_ranked_negatives_go_round_the_pool(spark):
+    """By brute force: the first open donors from the drawn place on and round the end; a null peptide is one like any other."""
+    rows = [(p, f"CA{i}F/CX{i % 4}") for p, step in (("p", 2), ("q", 3), (None, 5)) for i in range(0, 40, step)]
+    df = spark.createDataFrame(rows, "pep string, ab string")
+    want = df.select("pep", F.lit(12).alias("wanted")).distinct()
+    place = {r.ab: r.idx for r in negatives.numbered_pool(df).collect()}
+    size, donors = len(place), {i: ab for ab, i in place.items()}
+    starts = {r.pep: r.at for r in want.select("pep", negatives.draw_index(size, F.lit("42"), F.col("pep")).alias("at")).collect()}
+    got = {(r.pep, r.k): r.ab for r in negatives.ranked_negatives(want, df, df, "wanted").collect()}
+    for p in ("p", "q", None):
+        ring = [donors[(starts[p] + i) % size] for i in range(size)]
+        free = [ab for ab in ring if (p, ab) not in set(rows)]
+        assert [got.get((p, k)) for k in range(1, 13)] == (free + [None] * 12)[:12]
