@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import sequences as S
+from rowloom.operators.components import stored
 from rowloom.operators.ranks import running
 from rowloom.schema import PAN_COLUMNS, PAN_LIMITS, forbid_columns, require_columns, strings
 
@@ -52,8 +53,14 @@ def in_place(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """row_id from 0 in file order, files by path: running counts over parts of the rows."""
-    return running(in_place(df), [], _PLACE, {"row_id": F.lit(1).cast("long")}).select(*df.columns, "row_id")
+    """row_id from 0 in file order, files by path. Rows of a split are numbered one after the other as they are read, so a row per split
+    tells where it begins and nothing is sorted. Where a split comes twice (a path given twice), running counts over parts of the rows."""
+    rows = stored(in_place(df))
+    splits = rows.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__line").alias("__first"), F.max("__line").alias("__end")).checkpoint()
+    if not splits.where("__end - __first + 1 <> __n").isEmpty():
+        return running(rows, [], _PLACE, {"row_id": F.lit(1).cast("long")}).select(*df.columns, "row_id")
+    begins = running(splits, [], ["__file", "__block"], {"__before": F.col("__n")}).select("__file", "__block", (F.col("__before") - F.col("__first")).alias("__shift"))
+    return rows.join(F.broadcast(begins), ["__file", "__block"]).select(*df.columns, (F.col("__line") + F.col("__shift")).alias("row_id"))  # a row per split
 
 
 def adapted(df: DataFrame, form: str, level: str, positive: bool = True) -> DataFrame:
