@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.functions import sequences as S
-from rowloom.operators import joins, negatives
+from rowloom.operators import joins, negatives, splits
 from rowloom.plans.prepare import Config, prepare
 from rowloom.schema import Caps
 
@@ -56,3 +56,10 @@ def test_draws_by_place(spark):
     got = negatives.negatives_by_place(wanted, donors, shut, 5)
     want = negatives.drawn_negatives(wanted, known, known, 5)
     assert sorted(map(tuple, got.select("pep", "of", "ab").collect())) == sorted(map(tuple, want.select("pep", "of", "ab").collect()))
+
+
+def test_few_groups_of_many_rows_are_broadcast(spark):
+    """The chosen groups have a known size, so that rows aren't dealt by group, where a common one would be one task's."""
+    rows = spark.range(3_000_000).select((F.col("id") % 500).alias("cluster"), F.col("id").alias("x"))
+    chosen = splits.group_validation(rows, "cluster", 0.1)
+    assert "BroadcastHashJoin" in joins.in_keys(rows, chosen, ["cluster"])._jdf.queryExecution().sparkPlan().toString() and chosen.count() == 50
